@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sentencepiece_codec, sharding
+from . import kneser_ney, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,22 @@ def op4_sentencepiece_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFram
     return sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op5_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_doubling_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op7_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_kneser_ney_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +48,16 @@ def op10_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sentencepiece_merge_rounds, op9_hash_tree_sharding, op10_line_quality_rules)}
+    found = (
+        op4_sentencepiece_merge_rounds,
+        op5_preference_quality,
+        op6_doubling_substring_dedup,
+        op7_soft_membership_mixing,
+        op8_kneser_ney_scoring,
+        op9_hash_tree_sharding,
+        op10_line_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
