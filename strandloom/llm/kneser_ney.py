@@ -8,27 +8,24 @@ Scoring: workers map the files into memory and look up the distinct pairs of som
 
 from __future__ import annotations
 
-import math
-import os
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from urllib.parse import unquote, urlparse
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .hash_files import Lookup, new_folder, range_bits, range_of, runs, save
 from .text_arrays import mixed, pieces
 
 U64 = np.uint64
 #: Tokens that aren't words, and the multiplier that joins a pair's hashes to one.
 BEGIN, END, JOIN = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F), U64(0x9FB21C651E98DF25)
-#: Pairs that a task gathers before it sorts them, bytes of input for each range, and of text scored at once.
+#: Columns of a range's file: key and count of each pair; context, its count and its pairs counted once, twice and more.
+PAIR_COLUMNS = (U64, np.uint32, U64, np.int64, np.uint32, np.uint32, np.uint32)
+#: Pairs that a task gathers before it sorts them, and bytes of text scored at once.
 FLUSH_PAIRS = 1 << 21
-RANGE_BYTES = 4 << 20
 PIECE_BYTES = 6 << 20
 
 
@@ -57,95 +54,30 @@ def summed(contexts: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> tupl
     return contexts[at], tokens[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
-def runs(sorted_values: np.ndarray) -> np.ndarray:
-    new = np.ones(len(sorted_values), bool)
-    new[1:] = sorted_values[1:] != sorted_values[:-1]
-    return np.flatnonzero(new)
-
-
-def local_folder(uri: str) -> str:
-    """The path of a shared folder that every worker has mounted; the files are mapped into memory from there."""
-    parts = urlparse(uri)
-    if parts.scheme not in ("", "file"):
-        raise ValueError(f"spark.checkpoint.dir must be a mounted folder for this operator, not {uri}")
-    return unquote(parts.path)
-
-
-def save(path: str, *arrays: np.ndarray) -> None:
-    """Arrays one after another behind their lengths; a task that runs twice replaces the file by the same one."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    with open(own, "wb") as out:
-        out.write(np.array([len(a) for a in arrays], np.int64).tobytes())
-        for a in arrays:
-            out.write(a.tobytes())
-    os.replace(own, path)
-
-
-def load(path: str, *kinds: type) -> list[np.ndarray] | None:
-    if not os.path.exists(path):
-        return None
-    raw = np.memmap(path, np.uint8, "r")
-    at = 8 * len(kinds)
-    out = []
-    for n, kind in zip(raw[:at].view(np.int64), kinds):
-        size = int(n) * np.dtype(kind).itemsize
-        out.append(raw[at : at + size].view(kind))
-        at += size
-    return out
-
-
 @dataclass
 class Model:
     """Where the arrays lie, and the figures that all tokens share."""
 
-    folder: str
-    bits: int
+    pairs: Lookup
+    spreads: Lookup
     tokens: int = 0
     types: int = 0
     pair_types: int = 0
     pair_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
     type_discounts: tuple[float, ...] = (0.0, 0.0, 0.0)
     type_counts: tuple[int, ...] = (0, 0, 0)
-    files: dict = field(default_factory=dict, repr=False)
-
-    def range_of(self, hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> U64(64 - self.bits)).astype(np.int64)
-
-    def opened(self, kind: str, number: int):
-        if (kind, number) not in self.files:
-            kinds = (U64, np.uint32, U64, np.int64, np.uint32, np.uint32, np.uint32) if kind == "pairs" else (U64, np.uint32)
-            self.files[kind, number] = load(f"{self.folder}/{kind}-{number}", *kinds)
-        return self.files[kind, number]
-
-    def _found(self, kind: str, by: np.ndarray, keys: np.ndarray, key_column: int, columns: tuple[int, ...]) -> list[np.ndarray]:
-        """The values of `columns` at each key, 0 where it isn't; `by` tells the range."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
-        number = self.range_of(by)
-        order = np.lexsort((keys, number))
-        at = np.append(runs(number[order]), len(order))
-        for a, b in zip(at[:-1], at[1:]):
-            mine = order[a:b]
-            arrays = self.opened(kind, int(number[mine[0]]))
-            if arrays is None or not len(arrays[key_column]):
-                continue
-            have = arrays[key_column]
-            spot = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)
-            hit = have[spot] == keys[mine]
-            for o, c in zip(out, columns):
-                o[mine[hit]] = arrays[c][spot[hit]]
-        return out
 
     def scores(self, contexts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token after its context, and the token's training count."""
         pair, first, back = np.unique(pair_keys(contexts, tokens), return_index=True, return_inverse=True)
         context, token = contexts[first], tokens[first]
-        (count,) = self._found("pairs", context, pair, 0, (1,))
+        (count,) = self.pairs.found(context, pair, 0, (1,))
         kinds, back_c = np.unique(context, return_inverse=True)
-        total, n1, n2, n3 = self._found("pairs", kinds, kinds, 2, (3, 4, 5, 6))
+        total, n1, n2, n3 = self.pairs.found(kinds, kinds, 2, (3, 4, 5, 6))
         words, back_t = np.unique(token, return_inverse=True)
-        (spread,) = self._found("types", words, words, 0, (1,))
+        (spread,) = self.spreads.found(words, words, 0, (1,))
         # every word is the context of what follows it; there are as many ends as beginnings
-        (seen,) = self._found("pairs", (own := np.where(words == END, BEGIN, words)), own, 2, (3,))
+        (seen,) = self.pairs.found((own := np.where(words == END, BEGIN, words)), own, 2, (3,))
         d, e = np.array([0.0, *self.pair_discounts]), np.array([0.0, *self.type_discounts])
         left = sum(x * y for x, y in zip(self.type_discounts, self.type_counts)) / self.pair_types if self.pair_types else 1.0
         low = (spread - e[np.minimum(spread, 3)]) / max(self.pair_types, 1) + left / (self.types + 1)
@@ -164,22 +96,13 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.01), k - 0.01) for k, x in enumerate(raw, 1))
 
 
-def ranges_bits(docs: DataFrame) -> int:
-    """So many ranges, as a power of 2, that each has about RANGE_BYTES of the input as Spark estimates it; 64 ranges where it has no estimate."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 6 if size >= 1 << 60 else min(18, max(4, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
-
-
 def train(docs: DataFrame) -> Model:
     """Count the bigrams of all texts of `docs` and write the model's arrays to the shared folder."""
-    spark, bits = docs.sparkSession, ranges_bits(docs)
-    folder = local_folder(new_path(spark, "bigrams"))
-    os.makedirs(folder, exist_ok=True)
-    shift = U64(64 - bits)
+    bits, folder = range_bits(docs), new_folder(docs.sparkSession, "bigrams")
 
     def blobs(contexts: list[np.ndarray], tokens: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         c, t, n = summed(np.concatenate(contexts), np.concatenate(tokens), np.ones(sum(map(len, tokens)), np.uint32))
-        number = (c >> shift).astype(np.int64)
+        number = range_of(c, bits)
         at = np.append(runs(number), len(c))
         rows: list[list] = [[], [], [], [], []]
         for a, b in zip(at[:-1], at[1:]):
@@ -213,7 +136,7 @@ def train(docs: DataFrame) -> Model:
         order = np.argsort(keys)
         save(f"{folder}/pairs-{key[0].as_py()}", keys[order], n[order].astype(np.uint32), c[start], np.add.reduceat(n, start), many(n == 1), many(n == 2), many(n >= 3))
         types, spread = np.unique(t, return_counts=True)
-        number = (types >> shift).astype(np.int64)
+        number = range_of(types, bits)
         at = np.append(runs(number), len(types))
         out = {"range": number[at[:-1]], "tokens": [types[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], "spread": [spread[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]}
         for k, name in enumerate(figures):
@@ -235,7 +158,7 @@ def train(docs: DataFrame) -> Model:
     names = ["types", "pair_types", "m1", "m2", "m3", "m4", "m3_up", *figures]
     sums = spreads.groupBy("range").applyInArrow(write_types, ", ".join(f"{x} long" for x in names))
     got = {k: int(v or 0) for k, v in sums.agg(*(F.sum(x).alias(x) for x in names)).first().asDict().items()}
-    return Model(folder, bits, got["total"], got["types"], got["pair_types"], discounts(*(got[f"n{k}"] for k in range(1, 5))), discounts(*(got[f"m{k}"] for k in range(1, 5))), (got["m1"], got["m2"], got["m3_up"]))
+    return Model(Lookup(folder, "pairs", bits, PAIR_COLUMNS), Lookup(folder, "types", bits, (U64, np.uint32)), got["total"], got["types"], got["pair_types"], discounts(*(got[f"n{k}"] for k in range(1, 5))), discounts(*(got[f"m{k}"] for k in range(1, 5))), (got["m1"], got["m2"], got["m3_up"]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, mixing, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from . import embedding_dedup, jaccard_join, kneser_ney, mixing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_int8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_voronoi_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -49,6 +61,9 @@ def op10_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_int8_embedding_dedup,
+        op2_voronoi_jaccard_join,
+        op3_bootstrapped_pii,
         op4_sentencepiece_merge_rounds,
         op5_preference_quality,
         op6_doubling_substring_dedup,
