@@ -34,7 +34,7 @@ from .text_arrays import Words, mixed, pieces, signed, span_hashes
 U64 = np.uint64
 #: Share of all shingles, those of least hash, whose document frequency is counted, and the frequency from which it is kept.
 COUNTED = 0.4
-FREQUENT = 4
+FREQUENT = 2
 #: Shingles that a task gathers before it sorts them.
 FLUSH = 1 << 21
 #: Sets that one task joins at once; larger regions are cut first.
@@ -295,7 +295,12 @@ def region_join(regions: DataFrame, limit: Limit) -> DataFrame:
     def join(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("set", "ascending")])
         grams, bounds, hashes = _table_sets(table, limit)
-        right = np.flatnonzero(signed(hashes) == table.column("set").to_numpy())
+        asked, owners = table.column("set").to_numpy(), table.column("doc_id").to_numpy()
+        fresh = np.ones(len(asked), bool)  # rows of equal id and set come once
+        fresh[1:] = (asked[1:] != asked[:-1]) | (owners[1:] != owners[:-1])
+        good = signed(hashes) == asked
+        # of rows of one id only those of the asked set count, the first of them
+        right = np.flatnonzero(good & (fresh | ~np.concatenate([[False], good[:-1]])))
         ids = table.column("doc_id").to_numpy()[right]
         keep = np.zeros(len(hashes), bool)
         keep[right] = True
@@ -325,10 +330,12 @@ def cells(regions: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataF
         seen: dict[str, tuple] = {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            grams, bounds, _ = _table_sets(table, limit)
-            sizes = np.diff(bounds)
+            grams, bounds, hashes = _table_sets(table, limit)
+            sizes, right = np.diff(bounds), signed(hashes) == table.column("set").to_numpy()
             out: list[tuple] = []
             for i, region in enumerate(batch.column("region").to_pylist()):
+                if not right[i]:  # another row of this id
+                    continue
                 if region not in seen:
                     seen.clear()
                     at = batch.column("pivots")[i].values
@@ -399,7 +406,7 @@ def similar_documents(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     members = classes.join(near.withColumnRenamed("node", "set"), "set").select(F.col("head").alias("doc_id"), "set", F.col("component").cast("string").alias("region"))
     members = written(members, "members")
     likely, _ = possible(known, "doc_id", members.select("doc_id"))
-    regions = likely.join(members, "doc_id").select("region", "doc_id", "set", "text").dropDuplicates(["region", "doc_id", "set", "text"])
+    regions = likely.join(members, "doc_id").select("region", "doc_id", "set", "text")
     joined = components(linked_sets(regions, limit))
     heads = classes.join(joined.withColumnRenamed("node", "head"), "head", "left").select("set", F.coalesce("component", "head").alias("_component"))
     out = sets.join(heads, "set", "left")
