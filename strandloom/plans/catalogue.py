@@ -409,8 +409,8 @@ def transcript_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DEPTH = """
-, ends AS (SELECT gene, pos AS at, 1 AS d FROM reads UNION ALL SELECT gene, pos + span, -1 FROM reads), ch AS (SELECT gene, at, sum(d) AS d FROM ends GROUP BY gene, at),
-  steps AS (SELECT gene, at AS from_pos, lead(at) OVER (PARTITION BY gene ORDER BY at) AS to_pos, CAST(sum(d) OVER (PARTITION BY gene ORDER BY at) AS BIGINT) AS depth FROM ch)"""
+, ends AS (SELECT gene, pos AS place, 1 AS d FROM reads UNION ALL SELECT gene, pos + span, -1 FROM reads), ch AS (SELECT gene, place, sum(d) AS d FROM ends GROUP BY gene, place),
+  steps AS (SELECT gene, place AS from_pos, lead(place) OVER (PARTITION BY gene ORDER BY place) AS to_pos, CAST(sum(d) OVER (PARTITION BY gene ORDER BY place) AS BIGINT) AS depth FROM ch)"""
 
 
 @query(_DEPTH + " SELECT gene, from_pos, to_pos, depth FROM steps WHERE depth > 0")
@@ -514,7 +514,8 @@ def _psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splicing.inclusion(counts, "gene", "junction", "well", "k")
 
 
-_TREATED = F.col("well") >= "W12"
+def _treated() -> F.Column:
+    return F.col("well") >= "W05"
 
 
 @query(_PSI + " SELECT gene, junction, well, k, total, round(psi, 6) AS psi FROM p")
@@ -522,9 +523,9 @@ def psi_per_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _psi(spark, sf_dir).withColumn("psi", r6(F.col("psi")))
 
 
-@query(_PSI + " SELECT gene, junction, round(sum(k) FILTER (well < 'W12') / sum(total) FILTER (well < 'W12'), 6) AS psi_control, round(sum(k) FILTER (well >= 'W12') / sum(total) FILTER (well >= 'W12'), 6) AS psi_treated, round(sum(k) FILTER (well >= 'W12') / sum(total) FILTER (well >= 'W12') - sum(k) FILTER (well < 'W12') / sum(total) FILTER (well < 'W12'), 6) AS dpsi FROM p GROUP BY gene, junction")
+@query(_PSI + " SELECT gene, junction, round(sum(k) FILTER (well < 'W05') / sum(total) FILTER (well < 'W05'), 6) AS psi_control, round(sum(k) FILTER (well >= 'W05') / sum(total) FILTER (well >= 'W05'), 6) AS psi_treated, round(sum(k) FILTER (well >= 'W05') / sum(total) FILTER (well >= 'W05') - sum(k) FILTER (well < 'W05') / sum(total) FILTER (well < 'W05'), 6) AS dpsi FROM p GROUP BY gene, junction")
 def psi_dpsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _TREATED)
+    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _treated())
     return out.withColumns({c: r6(F.col(c)) for c in ("psi_control", "psi_treated", "dpsi")})
 
 
@@ -533,11 +534,11 @@ def ds_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splicing.testable(_psi(spark, sf_dir), ["gene", "junction"], 20, 0.002).select("gene", "junction").distinct()
 
 
-@query(_PSI + """, a AS (SELECT gene, junction, avg(psi) FILTER (well >= 'W12') m1, avg(psi) FILTER (well < 'W12') m2, var_samp(psi) FILTER (well >= 'W12') / count(psi) FILTER (well >= 'W12') s1, var_samp(psi) FILTER (well < 'W12') / count(psi) FILTER (well < 'W12') s2,
-  count(psi) FILTER (well >= 'W12') n1, count(psi) FILTER (well < 'W12') n2 FROM p GROUP BY gene, junction)
+@query(_PSI + """, a AS (SELECT gene, junction, avg(psi) FILTER (well >= 'W05') m1, avg(psi) FILTER (well < 'W05') m2, var_samp(psi) FILTER (well >= 'W05') / count(psi) FILTER (well >= 'W05') s1, var_samp(psi) FILTER (well < 'W05') / count(psi) FILTER (well < 'W05') s2,
+  count(psi) FILTER (well >= 'W05') n1, count(psi) FILTER (well < 'W05') n2 FROM p GROUP BY gene, junction)
 SELECT gene, junction, round((m1 - m2) / sqrt(s1 + s2), 5) AS t, round((s1 + s2) * (s1 + s2) / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)), 5) AS df, round(m1 - m2, 6) AS difference FROM a""")
 def welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splicing.welch(_psi(spark, sf_dir), ["gene", "junction"], "psi", _TREATED)
+    out = splicing.welch(_psi(spark, sf_dir), ["gene", "junction"], "psi", _treated())
     return out.select("gene", "junction", F.round("t", 5).alias("t"), F.round("df", 5).alias("df"), r6(F.col("difference")).alias("difference"))
 
 
@@ -549,12 +550,12 @@ def ols_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def differential_splicing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splicing.differential(splicing.testable(_psi(spark, sf_dir), ["gene", "junction"], 20, 0.0005), ["gene", "junction"], "k", _TREATED, 0.5, 0.0)
+    return splicing.differential(splicing.testable(_psi(spark, sf_dir), ["gene", "junction"], 20, 0.0005), ["gene", "junction"], "k", _treated(), 0.5, 0.0)
 
 
 @query()
 def greedy_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _TREATED).where("dpsi > 0").withColumn("one", F.lit(1))
+    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _treated()).where("dpsi > 0").withColumn("one", F.lit(1))
     return splicing.greedy_distinct(out, ["one"], [F.round("dpsi", 9).desc(), F.col("gene"), F.col("junction")], ["gene"], 10)
 
 
@@ -646,7 +647,7 @@ def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = reads(spark, sf_dir).groupBy("gene", "well").agg(F.count("*").alias("n")).withColumn("arm", F.when(_TREATED, "treated").otherwise("control"))
+    c = reads(spark, sf_dir).groupBy("gene", "well").agg(F.count("*").alias("n")).withColumn("arm", F.when(_treated(), "treated").otherwise("control"))
     return st.mann_whitney(c, ["gene"], "n", "arm", "treated")
 
 
@@ -700,9 +701,9 @@ def median_offset_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", "gene", r6(F.col("d")).alias("d"), r6(F.col("median")).alias("median"))
 
 
-@query(_CPM + ", w AS (SELECT gene, well < 'W12' AS arm, avg(v) AS a FROM m GROUP BY 1, 2) SELECT gene, round(min(a), 6) AS least_mean FROM w GROUP BY gene ORDER BY min(a) DESC, gene LIMIT 10")
+@query(_CPM + ", w AS (SELECT gene, well < 'W05' AS arm, avg(v) AS a FROM m GROUP BY 1, 2) SELECT gene, round(min(a), 6) AS least_mean FROM w GROUP BY gene ORDER BY min(a) DESC, gene LIMIT 10")
 def capped_gene_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _cpm(spark, sf_dir).withColumn("arm", F.col("well") < "W12")
+    rows = _cpm(spark, sf_dir).withColumn("arm", F.col("well") < "W05")
     return matrix.capped_features(rows, "gene", "arm", "v", 10).withColumn("least_mean", r6(F.col("least_mean")))
 
 
@@ -730,7 +731,7 @@ def tpm_weighted_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pca_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.principal_components(_cpm(spark, sf_dir), "gene", "well", "v")
+    return matrix.principal_components(_cpm(spark, sf_dir), "gene", "well", "v").withColumns({c: F.round(c, 6) for c in ("score", "share")})
 
 
 # Checks -------------------------------------------------------------------------------------------------------
