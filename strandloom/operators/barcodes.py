@@ -60,7 +60,7 @@ def call_positional(reads: DataFrame, seq: str, codes: list[str], mismatches: in
     return out.drop(*(f"_{k}{n}" for n in lengths for k in "wcd"))
 
 
-def call_against(reads: DataFrame, seq: Column, codes: list[str], mismatches: int = 1) -> Column:
+def call_against(seq: Column, codes: list[str], mismatches: int = 1) -> Column:
     """(code, distance) of the only nearest code within the limit, by comparing with each code of a short list."""
     each = F.array(*(F.struct(hamming(seq, F.lit(c)).alias("d"), F.lit(c).alias("code")) for c in codes))
     near = F.filter(each, lambda x: x["d"] <= mismatches)
