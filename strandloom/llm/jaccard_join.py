@@ -243,12 +243,14 @@ class Sets:
 
 
 def ball_links(sets: Sets, limit: Limit) -> Iterator[tuple[int, int]]:
-    """Links that join whatever sets are linked, directly or by others: of every pivot with its ball.
+    """Links that join whatever sets are linked, directly or by others: fewer than there are sets.
 
     Each set is a pivot, or in a pivot's ball; and a pivot as well if it lies in the window around another's ball.
+    Of a pivot's links to its ball only those between sets that aren't joined yet are given out.
     """
     n = len(sets.sizes)
     covered, asked, done = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    label = np.arange(n)
     next_free = 0
     waiting: list[int] = []
     while True:
@@ -268,13 +270,18 @@ def ball_links(sets: Sets, limit: Limit) -> Iterator[tuple[int, int]]:
         ball = limit.linked(both, union)
         ball[i] = False
         hits = np.flatnonzero(ball)
-        for j in hits.tolist():
-            yield i, j
         covered[hits] = True
-        if len(hits):
-            more = np.flatnonzero(limit.near(both, union) & ~ball & ~asked & ~done)
-            asked[more] = True
-            waiting += more.tolist()
+        if not len(hits):
+            continue
+        groups, first = np.unique(label[hits], return_index=True)
+        apart = groups != label[i]
+        for j in hits[first[apart]].tolist():
+            yield i, j
+        if apart.any():
+            label[np.isin(label, groups)] = label[i]
+        more = np.flatnonzero(limit.near(both, union) & ~ball & ~asked & ~done)
+        asked[more] = True
+        waiting += more.tolist()
 
 
 def _table_sets(table: pa.Table, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
