@@ -14,13 +14,27 @@ CLASS[128:] = len(CLASSES) + 1
 for _i, _chars in enumerate(CLASSES):
     CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _i
 N_FORM = N_CLASSES * N_CLASSES + 8
-BUCKETS = 4096
+BUCKETS = 1 << 14
 
 
 def _share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
 
+def repeats(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of each text's values are equal to another one before them; each text is sorted by itself."""
+    values = values.copy()
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        values[a:b].sort()
+    same = np.zeros(len(values) + 1, np.int64)
+    if len(values) > 1:
+        same[2:] = values[1:] == values[:-1]
+        inner = bounds[(bounds > 0) & (bounds < len(values))]
+        same[inner + 1] = 0
+    sums = np.cumsum(same)
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 def form(words: Words, hashes: np.ndarray) -> np.ndarray:
     """N_FORM numbers for each text: roots of the shares of neighbouring byte classes, length, word and line repetition. Zeros for empty texts."""
     n, text = len(words.bounds) - 1, words.texts
@@ -33,17 +47,11 @@ def form(words: Words, hashes: np.ndarray) -> np.ndarray:
         code = owner[:-1] * (N_CLASSES * N_CLASSES) + kinds[:-1] * N_CLASSES + kinds[1:]
         pairs = np.bincount(code[same], minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1) / np.maximum(size, 1)[:, None]
     count = words.counts
-    order = np.lexsort((hashes, text))
-    repeat = np.zeros(len(hashes), bool)
-    repeat[1:] = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
-    again = np.bincount(text[order][repeat], minlength=n)
+    again = repeats(hashes, words.bounds)
     twin = np.zeros(len(hashes), bool)
     twin[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
     grams, inside = words.windows(hashes, 4)
-    gram_text, grams = text[inside], grams[inside]
-    order = np.lexsort((grams, gram_text))
-    copied = np.zeros(len(grams), bool)
-    copied[1:] = (grams[order][1:] == grams[order][:-1]) & (gram_text[order][1:] == gram_text[order][:-1])
+    copied = repeats(grams[inside], np.concatenate([[0], np.cumsum(inside)])[words.bounds])
     lines = np.bincount(np.repeat(np.arange(n), size)[words.data == 10], minlength=n) + (size > 0)
     lengths = np.bincount(text, weights=(words.ends - words.starts), minlength=n)
     last = words.data[words.ends - 1] if len(words.ends) else np.zeros(0, np.uint8)
@@ -54,7 +62,7 @@ def form(words: Words, hashes: np.ndarray) -> np.ndarray:
             _share(lengths, count) / 10,
             _share(again, count) / np.log1p(np.maximum(count, 1)),
             _share(np.bincount(text[twin], minlength=n), count),
-            _share(np.bincount(gram_text[order][copied], minlength=n), count),
+            _share(copied, count),
             np.log1p(_share(count, lines)),
             _share(stops, count),
             (count < 20).astype(float),

@@ -22,11 +22,15 @@ from .document_features import BUCKETS, N_FORM, form, word_buckets
 from .scratch import written
 from .text_arrays import pieces
 
-#: Domains told from the labels, in this order; targets are shares of the corpus's tokens.
+#: Domains told from the labels, in this order; targets are shares of the corpus's tokens, factors multiples of a domain's own total.
 DOMAINS = ("clean", "toxic", "junk")
-TARGETS = {"clean": 1.05, "toxic": 0.01, "junk": 0.04}
+#: Factors leave out the domain that a quality stage has emptied: its few soft members would only make the fit unstable.
+TARGETS = {"clean": 0.92, "toxic": 0.02, "junk": 0.06}
+FACTORS = {"clean": 1.2, "toxic": 0.3}
+#: How many standard errors a word's share in a domain must lie from its share elsewhere for the word to count.
+LEAST_Z = 4.0
 #: Labelled rows that the classifier is fitted on at most, chosen by a hash of doc_id.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 9000
 
 
 @dataclass
@@ -44,7 +48,21 @@ class Model:
         return logits / logits.sum(1, keepdims=True)
 
 
-def fit(buckets: np.ndarray, bounds: np.ndarray, features: np.ndarray, domain: np.ndarray, domains: int, rounds: int = 150, ridge: float = 1e-3) -> Model:
+def telling(buckets: np.ndarray, owner: np.ndarray, domain: np.ndarray, domains: int, least: float = LEAST_Z) -> np.ndarray:
+    """Which word buckets occur clearly more or less often in some domain than elsewhere."""
+    n, total = len(domain), np.bincount(buckets, minlength=BUCKETS)
+    keep = np.zeros(BUCKETS, bool)
+    for d in range(domains):
+        inside = int((domain == d).sum())
+        if 0 < inside < n:
+            here = np.bincount(buckets[domain[owner] == d], minlength=BUCKETS)
+            p = total / n
+            spread = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / inside + 1 / (n - inside)))
+            keep |= np.abs(here / inside - (total - here) / (n - inside)) > least * spread
+    return keep
+
+
+def fit(buckets: np.ndarray, bounds: np.ndarray, features: np.ndarray, domain: np.ndarray, domains: int, rounds: int = 120, ridge: float = 1e-3) -> Model:
     """Softmax weights by Adam over all rows given; without rows, the same posterior for every domain."""
     n = len(domain)
     centre, spread = (features.mean(0), features.std(0) + 1e-3) if n else (np.zeros(N_FORM), np.ones(N_FORM))
@@ -54,6 +72,9 @@ def fit(buckets: np.ndarray, bounds: np.ndarray, features: np.ndarray, domain: n
     want = np.eye(domains)[domain]
     x = np.clip((features - centre) / spread, -8, 8)
     owner = np.repeat(np.arange(n), np.diff(bounds))
+    some = telling(buckets, owner, domain, domains)[buckets]
+    buckets, owner = buckets[some], owner[some]
+    bounds = np.concatenate([[0], np.cumsum(some)])[bounds]
     state = [(w, np.zeros_like(w), np.zeros_like(w)) for w in (model.word, model.form, model.bias)]
     for k in range(1, rounds + 1):
         error = (model.posteriors(buckets, bounds, features) - want) / n
@@ -79,12 +100,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, forms = [], []
-            for w in pieces(batch.column("text"), lower=True):
-                hashes = w.hashes()
-                own, at = word_buckets(w, hashes)
+            for low, w in zip(pieces(batch.column("text"), lower=True), pieces(batch.column("text"))):
+                hashes = low.hashes()
+                own, at = word_buckets(low, hashes)
                 words += [own[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            for w in pieces(batch.column("text")):
-                forms += [f.tobytes() for f in form(w, w.hashes()).astype(np.float32)]
+                forms += [f.tobytes() for f in form(w, hashes).astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(words, pa.binary()), pa.array(forms, pa.binary())], ["domain", "words", "form"])
 
     got = rows.mapInArrow(run, "domain int, words binary, form binary").collect()
@@ -105,8 +125,9 @@ def with_posteriors(docs: DataFrame, model: Model, domains: Sequence[str] = DOMA
         for batch in batches:
             counts, parts = [np.zeros(0, np.int64)], [np.zeros((0, len(domains)))]
             for low, w in zip(pieces(batch.column("text"), lower=True), pieces(batch.column("text"))):
-                own, at = word_buckets(low, low.hashes())
-                parts.append(model.posteriors(own, at, form(w, w.hashes())))
+                hashes = low.hashes()
+                own, at = word_buckets(low, hashes)
+                parts.append(model.posteriors(own, at, form(w, hashes)))
                 counts.append(w.counts + 1)
             p = np.vstack(parts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(counts)), *(pa.array(np.ascontiguousarray(p[:, d])) for d in range(len(domains)))], names)
@@ -114,11 +135,12 @@ def with_posteriors(docs: DataFrame, model: Model, domains: Sequence[str] = DOMA
     return docs.mapInArrow(run, schema)
 
 
-def solve_rates(rows: DataFrame, targets: dict[str, float], rounds: int = 40, tolerance: float = 1e-7) -> tuple[Column, dict[str, float]]:
+def solve_rates(rows: DataFrame, targets: dict[str, float], factors: bool = False, rounds: int = 40, tolerance: float = 1e-7) -> tuple[Column, dict[str, float]]:
     """The rate of a row as a column of its posteriors, and the expected totals it gives, as shares of all tokens.
 
     Starts at rate 1. Each round's gradient is scaled by the curvature of the rows whose rate isn't held at 0;
     a step that doesn't bring the totals nearer is halved. Targets that no rates meet are met as nearly as found.
+    With `factors`, a target is that multiple of the total that the domain has at rate 1.
     """
     domains = list(targets)
     p = [F.col(f"_p_{d}") for d in domains]
@@ -138,6 +160,7 @@ def solve_rates(rows: DataFrame, targets: dict[str, float], rounds: int = 40, to
     goal = np.array([targets[d] for d in domains])
     steps: list[np.ndarray] = []
     reached, curve, _ = totals(steps)
+    goal = goal * reached if factors else goal
     size = 1.0
     for _ in range(rounds):
         miss = reached - goal
@@ -152,13 +175,6 @@ def solve_rates(rows: DataFrame, targets: dict[str, float], rounds: int = 40, to
     return after(steps), dict(zip(domains, reached.tolist()))
 
 
-def rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """Columns of `docs` with `_tokens`, `_p_<domain>` and `_rate`, kept in the shared folder between the passes."""
-    rows = written(with_posteriors(docs, learn(docs, labels)), "posteriors")
-    rate, _ = solve_rates(rows, targets or TARGETS)
-    return rows.withColumn("_rate", rate)
-
-
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, tokens, rate and posteriors of every row; null texts are empty ones of one token, an empty table gives no rows."""
     goals = targets or TARGETS
@@ -167,8 +183,12 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return rows.select("doc_id", F.col("_tokens").alias("tokens"), rate.alias("rate"), *(F.col(f"_p_{d}").alias(f"p_{d}") for d in goals))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents once each whose rate is at least a draw from their id: those of rate 1 or more always; columns as before."""
-    rows = rated(docs.select(*docs.columns), labels, targets)
+def mixed_documents(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None) -> DataFrame:
+    """The documents once each whose rate is at least a draw from their id: those of rate 1 or more always; columns as before.
+
+    The targets are `factors` of the domains' own totals.
+    """
+    rows = written(with_posteriors(docs.select(*docs.columns), learn(docs, labels)), "posteriors")
+    rate, _ = solve_rates(rows, factors or FACTORS, factors=True)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where((F.col("_rate") >= 1) | (F.col("_rate") > draw)).select(*docs.columns)
+    return rows.withColumn("_rate", rate).where((F.col("_rate") >= 1) | (F.col("_rate") > draw)).select(*docs.columns)
