@@ -76,7 +76,8 @@ def number_slots(rows: DataFrame, shard: str, key: str, order: list[str], bucket
     No task sees a whole shard: rows are numbered inside (shard, bucket), and the buckets' counts, at
     most shards x buckets rows, are summed up to offsets. `buckets` should grow with the rows of a shard.
     """
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    bucketed = rows.withColumn("_bucket", (F.conv(F.substring(F.md5(name), 25, 8), 16, 10).cast("long") % buckets).cast("int"))
     counts = bucketed.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
