@@ -3,7 +3,8 @@
 Level one takes windows of 25 words: of the windows inside each run of 50 words, those of least hash, so equal
 runs of 50 words choose equal windows. Only the runs whose window is repeated in another document are extended
 to 50 words, the length that decides; a run that starts in a smaller document loses all its words. Rows are
-sorted by hash and streamed, never gathered, so one passage in many documents takes no more memory than another.
+sorted by hash and streamed, never gathered, so one passage in many documents takes no more memory than another;
+and each task settles what its own documents share before rows are dealt out by hash.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import functions as F
 
 from .membership import possible
 from .scratch import written
-from .text_arrays import WORD_BASES, Words, pieces, signed
+from .text_arrays import WORD_BASES, Words, mixed, pieces, signed
 
-#: Words of a window whose repetition counts.
+#: Words of a window whose repetition counts, and rows that a task compares among themselves before it deals them out.
 WINDOW = 50
+FLUSH = 1 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -48,37 +50,72 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), "text")
 
 
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where each run of equal rows begins."""
+    first = np.zeros(len(sorted_columns[0]), bool)
+    first[:1] = True
+    for c in sorted_columns:
+        first[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(first)
+
+
+def _spread(h: np.ndarray, doc: np.ndarray, settled: np.ndarray) -> pa.Array:
+    """What rows are dealt by: the hash; rows that are settled already go anywhere."""
+    return pa.array(np.where(settled, signed(mixed(h.view(np.uint64) + doc.view(np.uint64))), h))
+
+
 def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """hash, doc_id, row: the chosen half windows of each document, each once."""
+    """h, doc_id, row, shared, k: the chosen half windows of each document, each once.
+
+    Of a half window that several of the task's documents have, one row is dealt by its hash; the others are known to be shared and
+    dealt anywhere, so a window in very many documents doesn't fill one task.
+    """
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, doc, row = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, h))
+        h, doc, row = h[order], doc[order], row[order]
+        start = _runs(h)
+        size = np.diff(np.append(start, len(h)))
+        shared = np.repeat(doc[start] != doc[start + size - 1], size)
+        settled = shared.copy()
+        settled[start] = False
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(row), pa.array(shared), _spread(h, doc, settled)], ["h", "doc_id", "row", "shared", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             for w in pieces(batch.column("text")):
                 least, inside = chosen(w, window)
                 least, text = least[inside], w.texts[inside]
                 new = np.ones(len(least), bool)
                 new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-                rows = pa.array(w.first + text[new])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(least[new])), batch.column("doc_id").take(rows), batch.column("row").take(rows)], ["h", "doc_id", "row"])
+                at = w.first + text[new]
+                parts.append((signed(least[new]), ids[at], keys[at]))
+                if sum(len(p[0]) for p in parts) >= FLUSH:
+                    yield flush(parts)
+                    parts = []
+        if parts:
+            yield flush(parts)
 
-    return docs.mapInArrow(run, "h long, doc_id long, row int")
+    return docs.mapInArrow(run, "h long, doc_id long, row int, shared boolean, k long")
 
 
 def shared_only(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows sorted by h, then doc_id: those whose h has at least two doc_ids."""
-    schema = "h long, doc_id long, row int"
-    names = ["h", "doc_id", "row"]
+    """h, doc_id and row, of rows sorted by h, then doc_id: those whose h has two doc_ids, or is known to be shared."""
+    names = ["h", "doc_id", "row", "shared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # rows of the last h while they are all of one document
-        last: tuple[int, int] | None = None  # that h and its first document, once it has two
+        held: pa.Table | None = None  # rows of the last h while it isn't known to be shared: all of one document
+        last: int | None = None  # the last h, if it is shared
         for batch in batches:
             table = pa.Table.from_batches([batch.select(names)])
             if last is not None and table.num_rows:
                 h = table.column("h").to_numpy()
-                more = int(np.searchsorted(h, last[0], side="right")) if h[0] == last[0] else 0
+                more = int(np.searchsorted(h, last, side="right")) if h[0] == last else 0
                 if more:
-                    yield from table.slice(0, more).to_batches()
+                    yield from table.slice(0, more).select(names[:3]).to_batches()
                     table = table.slice(more)
                 if table.num_rows:
                     last = None
@@ -88,30 +125,42 @@ def shared_only(sorted_rows: DataFrame) -> DataFrame:
             if not table.num_rows:
                 continue
             h, doc = table.column("h").to_numpy(), table.column("doc_id").to_numpy()
-            first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
-            starts = np.flatnonzero(first)
+            starts = _runs(h)
             ends = np.append(starts[1:], len(h))
-            many = doc[starts] != doc[ends - 1]
+            many = (doc[starts] != doc[ends - 1]) | (np.add.reduceat(table.column("shared").to_numpy().astype(np.int64), starts) > 0)
             if many[-1]:
-                last, stop = (int(h[-1]), int(doc[starts[-1]])), len(h)
+                last, stop = int(h[-1]), len(h)
             else:
                 stop = int(starts[-1])
                 held = table.slice(stop)
             keep = np.repeat(many, ends - starts)
             keep[stop:] = False
             if keep.any():
-                yield from table.filter(pa.array(keep)).to_batches()
+                yield from table.select(names[:3]).filter(pa.array(keep)).to_batches()
 
-    return sorted_rows.mapInArrow(run, schema)
+    return sorted_rows.mapInArrow(run, "h long, doc_id long, row int")
 
 
 def full_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h, g, doc_id, row, start: windows of `docs` whose chosen half window is in the array `halves`; h and g make 96 bits of hash."""
+    """h, g, doc_id, row, start, later, k: windows of `docs` whose chosen half window is in the array `halves`; h and g make 96 bits of hash.
+
+    A window that a smaller document of the task has too is known to be a later one and dealt anywhere; so of a window in very many
+    documents each task deals one row by its hash.
+    """
+    names = ["h", "g", "doc_id", "row", "start", "later", "k"]
+
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, g, doc, row, start = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((doc, g, h))
+        h, g, doc, row, start = h[order], g[order], doc[order], row[order], start[order]
+        begin = _runs(h, g)
+        later = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(h))))
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h, g, doc, row, start, later)), _spread(h, doc + start, later)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            halves = batch.column("halves")
+            halves, ids, keys = batch.column("halves"), batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             at = 0
             for w in pieces(batch.column("text")):
                 n = len(w.counts)
@@ -130,18 +179,19 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
                 hashes = w.hashes()
                 h, _ = w.windows(hashes, window)
                 g, _ = w.windows(hashes, window, WORD_BASES[1])
-                rows = pa.array(w.first + text[spot])
-                start = (spot - w.bounds[text[spot]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(h[spot])), pa.array((g[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(rows), batch.column("row").take(rows), pa.array(start)],
-                    ["h", "g", "doc_id", "row", "start"],
-                )
+                rows = w.first + text[spot]
+                parts.append((signed(h[spot]), (g[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[rows], keys[rows], (spot - w.bounds[text[spot]]).astype(np.int32)))
+                if sum(len(p[0]) for p in parts) >= FLUSH:
+                    yield flush(parts)
+                    parts = []
+        if parts:
+            yield flush(parts)
 
-    return docs.mapInArrow(run, "h long, g int, doc_id long, row int, start int")
+    return docs.mapInArrow(run, "h long, g int, doc_id long, row int, start int, later boolean, k long")
 
 
 def later_only(sorted_rows: DataFrame) -> DataFrame:
-    """Of rows sorted by h, g and doc_id: those whose (h, g) has a smaller doc_id too."""
+    """Of rows sorted by h, g and doc_id: those whose (h, g) has a smaller doc_id too, or that are known to be later ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int, int] | None = None
@@ -149,15 +199,13 @@ def later_only(sorted_rows: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, g, doc = (batch.column(x).to_numpy() for x in ("h", "g", "doc_id"))
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-            starts = np.flatnonzero(first)
+            starts = _runs(h, g)
             least = doc[starts].copy()
             if last is not None and (h[0], g[0]) == last[:2]:
                 least[0] = last[2]
             last = (h[-1], g[-1], least[-1])
-            later = pa.array(doc > np.repeat(least, np.diff(np.append(starts, len(h)))))
-            yield pa.RecordBatch.from_arrays([batch.column(x).filter(later) for x in ("doc_id", "row", "start")], ["doc_id", "row", "start"])
+            later = (doc > np.repeat(least, np.diff(np.append(starts, len(h))))) | batch.column("later").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(later)) for x in ("doc_id", "row", "start")], ["doc_id", "row", "start"])
 
     return sorted_rows.mapInArrow(run, "doc_id long, row int, start int")
 
@@ -206,11 +254,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, as_text: bool = False)
         raise ValueError("the window must be an even number of words, as it is reached by doubling")
     rows = _with_key(docs)
     known = rows.where("doc_id is not null")
-    halves = shared_only(half_windows(known, window).repartition("h").sortWithinPartitions("h", "doc_id"))
+    halves = shared_only(half_windows(known, window).repartition("k").sortWithinPartitions("h", "doc_id"))
     per_document = halves.groupBy("doc_id", "row").agg(F.collect_set("h").alias("halves"))
     candidates, _ = possible(known, "doc_id", per_document.select("doc_id"))
     extended = full_windows(candidates.join(per_document, ["doc_id", "row"]).select("doc_id", "row", "text", "halves"), window)
-    starts = later_only(extended.repartition("h").sortWithinPartitions("h", "g", "doc_id"))
+    starts = later_only(extended.repartition("k").sortWithinPartitions("h", "g", "doc_id"))
 
     removals = written(starts.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts")), "removals")
     touched, whole = possible(rows, "doc_id", removals.select("doc_id"))
