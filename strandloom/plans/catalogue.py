@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..functions import statistics as st
-from ..operators import barcodes, checks, intervals, matrix, molecules, sampling, splicing, tables
+from ..operators import barcodes, checks, intervals, matrix, molecules, motifs, profiles, sampling, splicing, tables
+from ..operators import reads as rd
 from .fixture import READS_SQL, reads, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -760,3 +761,129 @@ def offset_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir).select("suppkey", F.col("pos").alias("s"), (F.col("pos") + F.col("span")).alias("e"), F.lit(1).alias("one"))
     out = checks.offset_probe(r.where("suppkey % 2 = 0"), r.where("suppkey % 2 = 1"), ["one"], "s", "e")
     return out.select(F.col("ds").cast("long"), F.col("de").cast("long"), "asked", "matched")
+
+
+# Preparation, libraries, profiles -----------------------------------------------------------------------------
+
+
+@query("""
+, s AS (SELECT DISTINCT umi FROM reads), x AS (SELECT umi || 'GGG' || umi AS seq FROM s)
+SELECT seq, substr(seq, 1, 4) AS code, substr(seq, 5, 2) AS tag, substr(seq, 7) AS rest, regexp_matches(seq, '^.{2,8}G{3,}') AS run_inside FROM x""")
+def barcode_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = reads(spark, sf_dir).select("umi").distinct().select(F.concat("umi", F.lit("GGG"), "umi").alias("seq"))
+    out = x.withColumn("p", rd.split_barcode(F.col("seq"), 4, 2))
+    return out.select("seq", "p.code", "p.tag", "p.rest", rd.run_starts_between(F.col("seq"), "G", 3, 2, 8).alias("run_inside"))
+
+
+@query(", g AS (SELECT well, contig, pos, strand, count(*) AS n FROM reads GROUP BY 1, 2, 3, 4) SELECT well, CAST(sum(n) AS BIGINT) AS reads, count(*) AS footprints, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS in_groups, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS dup_pct FROM g GROUP BY well")
+def footprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.duplicate_stats(reads(spark, sf_dir), ["contig", "pos", "strand"], ["well"]).withColumn("dup_pct", r6(F.col("dup_pct")))
+
+
+@query(", g AS (SELECT CASE WHEN contig LIKE 'HUMAN%' THEN 'human' ELSE 'mouse' END AS species, gene, umi, count(*) AS n FROM reads GROUP BY 1, 2, 3) SELECT species, CAST(sum(n) AS BIGINT) AS reads, count(*) AS molecules, round(100.0 * (sum(n) - count(*)) / sum(n), 6) AS dup_pct FROM g GROUP BY ROLLUP (species)")
+def gene_tag_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.gene_tag_duplicates(reads(spark, sf_dir), "gene", "umi", "contig").withColumn("dup_pct", r6(F.col("dup_pct")))
+
+
+@query("""SELECT well, count(*) FILTER (nh <> 'U') AS multi, count(*) FILTER (nh = 'U' AND region = 'R') AS rrna, count(*) FILTER (nh = 'U' AND region <> 'R') AS scored, count(*) FILTER (nh = 'U' AND region <> 'R' AND strand = '+') AS correct,
+round(100.0 * count(*) FILTER (nh = 'U' AND region <> 'R' AND strand = '+') / count(*) FILTER (nh = 'U' AND region <> 'R'), 6) AS accuracy_pct FROM reads GROUP BY well""")
+def strict_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rd.scored(reads(spark, sf_dir), ["well"], [("multi", F.col("nh") != "U"), ("rrna", F.col("region") == "R")], F.col("strand") == "+")
+    return out.withColumn("accuracy_pct", r6(F.col("accuracy_pct")))
+
+
+@query("SELECT CAST(floor(span / 10.0) * 10 AS BIGINT) AS class, count(*) AS reads, round(100.0 * count(*) FILTER (strand = '+') / count(*), 6) AS accuracy_pct FROM reads GROUP BY 1")
+def accuracy_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rd.accuracy_by(reads(spark, sf_dir), rd.length_bin(F.col("span"), 10).cast("long"), F.col("strand") == "+")
+    return out.withColumn("accuracy_pct", r6(F.col("accuracy_pct")))
+
+
+@query(", c AS (SELECT contig, gene, count(*) AS n FROM reads GROUP BY 1, 2) SELECT contig, gene, round(n / sum(n) OVER (PARTITION BY contig), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY contig ORDER BY n DESC, gene DESC) = 1")
+def dominant_gene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.dominant(reads(spark, sf_dir), ["contig"], "gene").select("contig", "gene", r6(F.col("share")).alias("share"))
+
+
+@query("""
+, c AS (SELECT gene, contig, count(*) AS reads, count(*) FILTER (nh = 'U') AS uniq, count(*) FILTER (nh = 'U' AND region = 'E') AS exonic FROM reads GROUP BY 1, 2), t AS (SELECT gene FROM c GROUP BY gene ORDER BY sum(reads) DESC, gene LIMIT 10)
+SELECT * FROM c WHERE gene IN (SELECT gene FROM t)""")
+def code_filter_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.code_filters(reads(spark, sf_dir), "gene", "contig", [("uniq", F.col("nh") == "U"), ("exonic", F.col("region") == "E")])
+
+
+@query(", c AS (SELECT contig, well, count(*) AS n FROM reads GROUP BY 1, 2) SELECT contig, count(*) AS n, round(stddev_pop(n) / avg(n), 6) AS cv FROM c GROUP BY contig HAVING count(*) > 1")
+def plate_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = reads(spark, sf_dir).groupBy("contig", "well").agg(F.count("*").alias("k"))
+    return rd.plate_variation(c, "contig", "k").select("contig", "n", r6(F.col("cv")).alias("cv"))
+
+
+@query("""
+, spots AS (SELECT DISTINCT contig, pos AS spot FROM reads WHERE pos % 50 = 1), x AS (SELECT r.contig, spot, well, umi FROM reads r JOIN spots s ON r.contig = s.contig AND abs(r.pos - spot) <= 25), e AS (SELECT contig, spot, well, count(*) AS n FROM x GROUP BY 1, 2, 3),
+  t AS (SELECT contig, spot, round(max(n) / sum(n), 6) AS top_share FROM e GROUP BY 1, 2)
+SELECT contig, spot, count(*) AS reads, count(DISTINCT well || umi) AS molecules, top_share FROM x JOIN t USING (contig, spot) GROUP BY contig, spot, top_share""")
+def peak_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir)
+    spots = r.where("pos % 50 = 1").select("contig", F.col("pos").alias("spot")).distinct()
+    return rd.peak_windows(r, spots, ["contig"], "pos", "spot", "umi", "well").withColumn("top_share", r6(F.col("top_share")))
+
+
+@query(", f AS (SELECT well, orderkey, bool_or(region = 'I') AS i, bool_or(region = 'R') AS r FROM reads GROUP BY 1, 2) SELECT well, CASE WHEN i THEN 'included' WHEN r THEN 'skipped' ELSE 'none' END AS type, count(*) AS fragments FROM f GROUP BY 1, 2")
+def fragment_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rd.fragment_types(reads(spark, sf_dir), "well", "orderkey", {"included": F.col("region") == "I", "skipped": F.col("region") == "R"})
+
+
+@query(", c AS (SELECT gene, CAST(count(*) FILTER (region = 'E' AND strand = '+') AS DOUBLE) t, CAST(count(*) FILTER (region = 'E' AND strand = '-') AS DOUBLE) a, CAST(count(*) FILTER (region = 'I' AND strand = '+') AS DOUBLE) c, CAST(count(*) FILTER (region = 'I' AND strand = '-') AS DOUBLE) g FROM reads GROUP BY gene) SELECT gene, CASE WHEN a > 0 AND c > 0 AND g > 0 THEN round(t / a / (c / g), 6) END AS index FROM c")
+def inclusion_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda r, s: F.count_if((F.col("region") == r) & (F.col("strand") == s)).cast("double")
+    c = reads(spark, sf_dir).groupBy("gene").agg(at("E", "+").alias("t"), at("E", "-").alias("a"), at("I", "+").alias("c"), at("I", "-").alias("g"))
+    return c.select("gene", r6(rd.inclusion_index(*(F.col(x) for x in "tacg"))).alias("index"))
+
+
+@query("""
+, b AS (SELECT gene, CAST(least(floor((lineno - 1) * 5 / 7), 4) AS BIGINT) AS bin, CAST(count(*) AS DOUBLE) AS n FROM reads GROUP BY 1, 2), l AS (SELECT gene, bin, n / max(n) OVER (PARTITION BY gene) AS level FROM b)
+SELECT bin, round(sum(level) / (SELECT count(DISTINCT gene) FROM reads), 6) AS level FROM l GROUP BY bin""")
+def scaled_mean_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).withColumn("place", F.col("lineno") - 1).withColumn("len", F.lit(7))
+    bins = profiles.normalised(profiles.gene_bins(r, [], "gene", "place", "len", 5), [], "gene", "max")
+    return profiles.mean_profile(bins, [], "gene").select(F.col("bin").cast("long"), r6(F.col("level")).alias("level"))
+
+
+@query("SELECT well, round(avg(CAST(lineno - 1 < 2 AS INTEGER)), 6) AS five_prime, round(avg(CAST(7 - (lineno - 1) <= 2 AS INTEGER)), 6) AS three_prime, round(avg(CAST((lineno - 1) / 7.0 < 1 / 3.0 AS INTEGER)), 6) AS first_third, round(median((lineno - 1) / 7.0), 6) AS median_place FROM reads GROUP BY well")
+def end_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).withColumn("place", F.col("lineno") - 1).withColumn("len", F.lit(7))
+    return profiles.end_shares(r, ["well"], "place", "len", 2).select("well", *(r6(F.col(c)).alias(c) for c in ("five_prime", "three_prime", "first_third", "median_place")))
+
+
+@query(", c AS (SELECT gene, count(*) AS n FROM reads GROUP BY gene), q AS (SELECT quantile_cont(n, 0.25) a, quantile_cont(n, 0.5) b, quantile_cont(n, 0.75) c FROM c) SELECT gene, c.n, CAST(CASE WHEN c.n <= q.a THEN 1 WHEN c.n <= q.b THEN 2 WHEN c.n <= q.c THEN 3 ELSE 4 END AS BIGINT) AS quartile FROM c, q")
+def expression_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = reads(spark, sf_dir).groupBy("gene").agg(F.count("*").alias("n"))
+    return profiles.quartile_of(c, [], "n").withColumn("quartile", F.col("quartile").cast("long"))
+
+
+@query()
+def breadth_of_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).withColumn("len", F.lit(30000))
+    return profiles.breadth(profiles.gene_bins(r, [], "gene", "pos", "len", 50), [], "gene", 50).withColumn("gini", r6(F.col("gini")))
+
+
+@query()
+def profile_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir).withColumn("len", F.lit(30000))
+    return profiles.profile_agreement(profiles.gene_bins(r, ["contig"], "gene", "pos", "len", 20), "gene", "contig").withColumn("r", r6(F.col("r")))
+
+
+@query()
+def fuzzy_motif_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reads(spark, sf_dir).select("umi").distinct().withColumn("seq", F.concat("umi", F.lit("ACGTTGCA"), "umi"))
+    return s.withColumn("hit", motifs.fuzzy_first(F.col("seq"), "ACGATGCA", 1, 1)).select("umi", "hit.start", "hit.end", "hit.distance")
+
+
+@query(", x AS (SELECT DISTINCT umi, umi || 'AACC' || umi AS seq FROM reads) SELECT umi, CASE WHEN contains(seq, 'CAC') OR contains(reverse(translate(seq, 'ACGT', 'TGCA')), 'CAC') THEN 'both' ELSE 'first' END AS class FROM x")
+def read_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = reads(spark, sf_dir).select("umi").distinct().withColumn("seq", F.concat("umi", F.lit("AACC"), "umi"))
+    return s.select("umi", motifs.read_class(F.col("seq"), "ACC", "CAC").alias("class"))
+
+
+@query(", x AS (SELECT umi || 'TTAACC' || umi AS seq FROM reads), p AS (SELECT seq, position('TTAACC' IN seq) AS loc FROM x), o AS (SELECT unnest([-2, -1, 6, 7]) AS o), l AS (SELECT o, substr(seq, CAST(loc + o AS BIGINT), 1) AS b FROM p, o WHERE loc + o BETWEEN 1 AND length(seq)) SELECT CAST(o AS BIGINT) AS \"offset\", round(avg(CAST(b = 'A' AS INTEGER)), 6) AS a, round(avg(CAST(b = 'C' AS INTEGER)), 6) AS c, round(avg(CAST(b = 'G' AS INTEGER)), 6) AS g, round(avg(CAST(b = 'T' AS INTEGER)), 6) AS t FROM l GROUP BY o")
+def flank_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = reads(spark, sf_dir).select(F.concat("umi", F.lit("TTAACC"), "umi").alias("seq"))
+    return motifs.flank_shares(x, "seq", "TTAACC", 2).select(F.col("offset").cast("long").alias("offset"), *(r6(F.col(b)).alias(b.lower()) for b in "ACGT"))
