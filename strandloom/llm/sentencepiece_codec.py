@@ -23,8 +23,8 @@ from .text_arrays import BASE, BYTE_VALUES, flat, mixed, powers
 META = "▁"
 NEVER = np.int32(2**31 - 1)
 #: Symbols that are merged together, and bytes of text that are worked on at once, unless one text has more.
-CHUNK_SYMBOLS = 1 << 20
-PIECE_BYTES = 1 << 23
+CHUNK_SYMBOLS = 1 << 17
+PIECE_BYTES = 3 << 20
 _space = ord(" ")
 _newline = ord("\n")
 
