@@ -434,7 +434,8 @@ def one_of_each(docs: DataFrame, limit: Limit = Limit(5, 80)) -> DataFrame:
     counts = found.where("doc_id is not null").groupBy("doc_id", "row").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n"))
     troubled = written(counts.where("component_id < doc_id or n > 1").select("doc_id", "row", (F.col("component_id") < F.col("doc_id")).alias("gone")), "dropped")
     likely, rest = possible(docs, "doc_id", troubled.select("doc_id"))
-    marked = likely.withColumn("_row", F.hash("text")).join(troubled.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row2"), "gone"), (F.col("doc_id") == F.col("_id")) & (F.col("_row") == F.col("_row2")), "left")
-    single = marked.where("gone is null").select(*docs.columns)
-    repeated = marked.where("not gone").dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    asked = troubled.select(F.col("doc_id").alias("_jaccard_id"), F.col("row").alias("_jaccard_row"), F.col("gone").alias("_jaccard_gone"))
+    marked = likely.withColumn("_jaccard_hash", F.hash("text")).join(asked, (F.col("doc_id") == F.col("_jaccard_id")) & (F.col("_jaccard_hash") == F.col("_jaccard_row")), "left")
+    single = marked.where("_jaccard_gone is null").select(*docs.columns)
+    repeated = marked.where("not _jaccard_gone").dropDuplicates(["doc_id", "_jaccard_hash"]).select(*docs.columns)
     return rest.unionByName(single).unionByName(repeated)

@@ -21,11 +21,11 @@ def possible(frame: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame,
     through, so an exact join of the first part must follow.
     """
     place = _place(F.col(wanted.columns[0]))
-    rows = wanted.select(place.alias("_at")).groupBy(F.expr(f"cast(_at div {ROW_BITS} as int)").alias("_row"))
-    bitmap = rows.agg(F.expr(f"bitmap_construct_agg(_at % {ROW_BITS})").alias("_bits"))
+    rows = wanted.select(place.alias("_member_at")).groupBy(F.expr(f"cast(_member_at div {ROW_BITS} as int)").alias("_member_row"))
+    bitmap = rows.agg(F.expr(f"bitmap_construct_agg(_member_at % {ROW_BITS})").alias("_member_bits"))
     at = _place(F.col(key))
-    marked = frame.withColumn("_at", at).withColumn("_row", F.expr(f"cast(_at div {ROW_BITS} as int)")).join(F.broadcast(bitmap), "_row", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_at % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    marked = marked.withColumn("_hit", F.coalesce(F.expr("_bits is not null") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0), F.lit(False)))
+    marked = frame.withColumn("_member_at", at).withColumn("_member_row", F.expr(f"cast(_member_at div {ROW_BITS} as int)")).join(F.broadcast(bitmap), "_member_row", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_member_bits, cast((_member_at % {ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = marked.withColumn("_member_hit", F.coalesce(F.expr("_member_bits is not null") & (byte.bitwiseAND(F.expr("shiftleft(1, cast(_member_at % 8 as int))")) != 0), F.lit(False)))
     names = frame.columns
-    return marked.where("_hit").select(*names), marked.where("not _hit").select(*names)
+    return marked.where("_member_hit").select(*names), marked.where("not _member_hit").select(*names)

@@ -197,9 +197,11 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     Base spans are replaced row by row; only rows with further spans are joined with them.
     """
     found = written(discovered(written(occurrences(docs.select("doc_id", "text")), "pii")), "pii-found")
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    likely, rest = possible(keyed, "_key", found.select("key"))
+    keyed = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text"))
+    likely, rest = possible(keyed, "_pii_key", found.select("key"))
     none = F.array().cast(SPAN)
-    likely = likely.join(found.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_spans", F.concat(base_spans(F.col("text")), F.coalesce("found", none)))
-    parts = [x.withColumn("text", masked_text(F.col("text"), F.col("_spans"))).select(*docs.columns) for x in (likely, rest.withColumn("_spans", base_spans(F.col("text"))))]
+    more = found.select(F.col("key").alias("_pii_key"), F.col("found").alias("_pii_found"))
+    likely = likely.join(more, "_pii_key", "left").withColumn("_pii_spans", F.concat(base_spans(F.col("text")), F.coalesce("_pii_found", none)))
+    rest = rest.withColumn("_pii_spans", base_spans(F.col("text")))
+    parts = [x.withColumn("text", masked_text(F.col("text"), F.col("_pii_spans"))).select(*docs.columns) for x in (likely, rest)]
     return parts[0].unionByName(parts[1])

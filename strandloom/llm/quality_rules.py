@@ -128,10 +128,10 @@ def measure(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50,
 
 def clean(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
     """Documents that pass, their failing lines removed from the text; columns as before."""
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col("text"), F.lit(""))
     good = F.filter(F.split(body, "\n"), lambda x: ~(x.rlike(NOT_SPACE) & line_fails(x)))
-    judged = measure(docs, text=text, **limits)
-    return judged.where("kept").withColumn(text, F.array_join(good, "\n")).select(*docs.columns)
+    judged = measure(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text")), **limits).where("kept")
+    return judged.select(*(F.array_join(good, "\n").alias(c) if c == text else F.col(f"_doc.`{c}`") for c in docs.columns))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
