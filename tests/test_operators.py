@@ -253,3 +253,50 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.code, r.reads) for r in spark.table("codes").collect()} == {("ACGTACG", 2)}
+
+
+def test_rankings_and_sites(spark):
+    from strandloom.operators import ranking as rk
+
+    x = F.col("x")
+    rows = spark.createDataFrame([(i, float(i - 5), i * 0.01) for i in range(11)], "id int, e double, p double")
+    got = [(r.side, r.place, r.id) for r in rk.signed_top(rows, "e", "p", "id", 2).orderBy("side", "place").collect()]
+    assert got == [("down", 1, 0), ("down", 2, 1), ("up", 1, 6), ("up", 2, 7)]
+    assert one(spark, "ACGTAC", rk.base_at(x, F.lit("2M3N1I3M"), F.lit(10), F.lit(15))) == "T"
+    assert one(spark, "ACGTAC", rk.base_at(x, F.lit("2M3N1I3M"), F.lit(10), F.lit(13))) is None
+    s = rk.aligned_sites(spark.createDataFrame([("k", "AC-GT", "ACCTT")], "k string, a string, b string"), ["k"], "a", "b").collect()
+    assert [(r.a_pos, r.b_pos, r.a, r.b) for r in s] == [(2, 3, "G", "T")]
+    assert one(spark, "TTACGAACGT", rk.index_in(x, ["ACGT"], 1))["at"] == 2
+    assert [(b.code, b.plot) for b in one(spark, "BC01(#3) BC12(#4)", rk.barcode_list(x))] == [("BC01", 3), ("BC12", 4)]
+    assert one(spark, "BC01: a: b | BC02: c", rk.barcode_notes(x)) == {"BC01": "a: b", "BC02": "c"}
+    d = rk.derived_sequences(spark.createDataFrame([("p", "AACC"), ("q", "ACGT")], "n string, s string"), "n", "s").collect()
+    assert {(r.n, r.s) for r in d} == {("p", "AACC"), ("p_rc", "GGTT"), ("q", "ACGT")}
+
+
+def test_read_preparation(spark):
+    from strandloom.operators import reads as rd
+
+    a = spark.createDataFrame([("q", 0x41, 100, "10M100N10M", 170), ("q", 0x81, 200, "5M60N25M", -170), ("r", 0x41, 5, "4M", 0)], "read string, flag int, start int, cigar string, tlen int")
+    pairs = {r.read: r for r in rd.paired_mates(a, "read", ["start", "cigar", "tlen"]).withColumn("ins", rd.genomic_insert(F.col("m1.tlen"), F.col("m1.start"), F.col("m1.cigar"), F.col("m2.start"), F.col("m2.cigar"))).collect()}
+    assert pairs["q"].ins == 170 - (265 - 110) and pairs["r"].m2 is None
+    rules = spark.createDataFrame([("w1", "^HUMAN")], "well string, pattern string")
+    rows = spark.createDataFrame([("w1", "HUMAN_1"), ("w1", "MOUSE_1"), ("w2", "MOUSE_1")], "well string, contig string")
+    assert rd.matches_rule(rows, rules, "well", "contig").count() == 2
+    names = spark.createDataFrame([("A1",), ("B2",), ("C",)], "n string")
+    keys = spark.createDataFrame([("A1",), ("xA1",), ("yB2",), ("1C",), ("2C",)], "k string")
+    assert {(r.n, r.k) for r in rd.suffix_match(names, keys, "n", "k").collect()} == {("A1", "A1"), ("B2", "yB2"), ("C", None)}
+    assert one(spark, "RPS6KA1", rd.is_ribosomal(F.col("x"), "no kinases")) is False and one(spark, "RPL8", rd.is_ribosomal(F.col("x")))
+    flow = rd.stage_flow(spark.createDataFrame([("s", 10, 7, 7)], "s string, a long, b long, c long"), ["s"], ["a", "b", "c"]).collect()
+    assert {(r["from"], r.to, r.n) for r in flow} == {("a", "b", 7), ("b", "c", 7), ("a", "lost", 3), ("b", "lost", 0)}
+
+
+def test_run_settings():
+    from strandloom.plans.config import Run
+
+    good = Run.from_json('{"tso_species_map": {"ACGTACG": "human"}, "grun_offsets": {"ACGTACG": 2}, "bobcode_labels": {"ACGTACG": "s1"}, "read_lengths": [50, 50]}')
+    assert good.checked().measurable() == {"code": True, "g_run": True, "mate_tail": True}
+    assert tf.parse_guide(good.guide())["species.ACGTACG"] == "human"
+    bad = Run({"ACGX": "yeast"}, {"AC": 1}, {}, (), (3, 10))
+    assert len(bad.problems()) >= 5
+    with pytest.raises(ValueError):
+        bad.checked()
