@@ -8,7 +8,8 @@
    region, directly or by others, make up a larger region that no link leaves.
 3. Inside such a region documents are pivots: a pivot's ball holds the sets linked with it, and a set outside the
    ball can be linked with one in it only at up to twice the limit. Just the sets in that window become pivots in
-   turn. A region of too many sets is cut by Voronoi cells of document pivots, each cell with its window, again and again.
+   turn. A region of too many sets is cut by Voronoi cells of document pivots: balls are joined as they are, and each cell keeps only
+   what a document of its window may still add, again and again.
 
 Common passages come last in the order, so regions are about as small as the groups of near copies. Any order gives
 the same links. Sets are told apart, and shingles compared, by 64-bit hashes.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, local_labels
 from .hash_files import Lookup, new_folder, range_bits, range_of, runs, save
 from .membership import possible
 from .scratch import written
@@ -319,50 +320,71 @@ def region_join(regions: DataFrame, limit: Limit) -> DataFrame:
     return regions.groupBy("region").applyInArrow(join, "a long, b long")
 
 
+def _pivot_groups(key: tuple, table: pa.Table) -> pa.Table:
+    """For each of a region's pivots the least pivot that shared documents join it with."""
+    label = local_labels(CELLS, table.column("a").to_numpy().astype(np.int64), table.column("b").to_numpy().astype(np.int64))
+    return pa.table([pa.array([key[0].as_py()]), pa.array([label.astype(np.int32)], pa.list_(pa.int32()))], names=["region", "groups"])
+
+
 def cells(regions: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The cells of large regions, and links found on the way.
+    """Smaller regions for large ones, and links found on the way.
 
-    Pivots are some documents of each region. A document goes to the cell of its nearest pivot, and as a guest to each whose
-    pivot is at most twice the link distance farther; a pair of linked documents then meets in the home cell of either.
-    A document outside that window of every pivot but its own shares nothing with the other cells.
+    Pivots are some documents of each region; a document's home is its nearest pivot. Documents in the ball of their home are
+    linked with it, and pivots that have a document in common are joined. What is joined needs no more comparing with itself. Still
+    open is whether a document of another group, or in no ball, is linked with one in the ball of pivot j; such a guest lies at
+    most twice the link distance from j. So the new regions are: for each j with guests, those at home in its ball with the guests; and
+    the documents in no ball among themselves. A dense group is settled by its pivots, however large it is.
     """
     names = ["region", "doc_id", "set", "text"]
     draw = F.xxhash64("doc_id", "set", F.lit(turn))
     picked = regions.groupBy("region", F.pmod(draw, F.lit(CELLS)).alias("slot")).agg(F.min_by(F.struct("doc_id", "text"), F.struct(draw, "doc_id", "set")).alias("pivot"))
     pivots = picked.groupBy("region").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
-    schema = "region string, doc_id long, set long, text string, a long, b long"
-    twice = 2 * (1 - float(limit.share)) + 1e-9
+    schema = "region string, doc_id long, set long, text string, home int, ball array<int>, near array<int>, a long, b long, i int, j int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple] = {}
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            grams, bounds, hashes = _table_sets(table, limit)
-            sizes, right = np.diff(bounds), signed(hashes) == table.column("set").to_numpy()
-            out: list[tuple] = []
-            for i, region in enumerate(batch.column("region").to_pylist()):
-                if not right[i]:  # another row of this id
+            grams, bounds, hashes = _table_sets(pa.Table.from_batches([batch]), limit)
+            sizes, right = np.diff(bounds), signed(hashes) == batch.column("set").to_numpy()
+            rows: list[tuple] = []
+            joined: set[tuple] = set()
+            for r, region in enumerate(batch.column("region").to_pylist()):
+                if not right[r]:  # another row of this id
                     continue
                 if region not in seen:
                     seen.clear()
-                    at = batch.column("pivots")[i].values
+                    at = batch.column("pivots")[r].values
                     g, b, _ = _table_sets(pa.table({"text": at.field("text")}), limit)
                     by = np.argsort(g, kind="stable")
                     seen[region] = (at.field("doc_id").to_pylist(), g[by], np.repeat(np.arange(len(b) - 1), np.diff(b))[by], np.diff(b))
                 ids, g, owner, n = seen[region]
-                own = grams[bounds[i] : bounds[i + 1]]
+                own = grams[bounds[r] : bounds[r + 1]]
                 lo, hi = np.searchsorted(g, own), np.searchsorted(g, own, side="right")
                 ends = np.cumsum(hi - lo)
                 both = np.bincount(owner[np.repeat(lo - (ends - (hi - lo)), hi - lo) + np.arange(ends[-1])], minlength=len(n))
-                union = n + sizes[i] - both
-                far = 1 - both / union
-                row = [batch.column(c)[i].as_py() for c in names]
-                out += [(None, None, None, None, row[1], ids[j]) for j in np.flatnonzero(limit.linked(both, union)).tolist() if ids[j] != row[1]]
-                out += [(f"{region}.{j}", *row[1:], None, None) for j in np.flatnonzero(far <= far.min() + twice).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["region", "doc_id", "set", "text", "a", "b"])
+                union = n + sizes[r] - both
+                home = int(np.argmax(both / union))
+                ball, near = (np.flatnonzero(test(both, union)).tolist() for test in (limit.linked, limit.near))
+                doc, key, text = (batch.column(c)[r].as_py() for c in names[1:])
+                rows.append((region, doc, key, text, home, ball, near, ids[home] if ball else None, doc if ball else None, None, None))
+                joined |= {(region, ids[ball[0]], ids[j], ball[0], j) for j in ball[1:]}
+            rows += [(region, None, None, None, None, None, None, a, b, i, j) for region, a, b, i, j in joined]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
 
     rows = written(regions.join(pivots, "region").select(*names, "pivots").mapInArrow(run, schema), "cells")
-    return rows.where("region is not null").select(*names), rows.where("region is null").select("a", "b")
+    edges = rows.where("i is not null").select("region", F.col("i").alias("a"), F.col("j").alias("b")).distinct()
+    groups = edges.groupBy("region").applyInArrow(_pivot_groups, "region string, groups array<int>")
+    own = F.coalesce("groups", F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    placed = rows.where("doc_id is not null").join(groups, "region", "left").withColumn("groups", own)
+    inside = F.size("ball") > 0
+    strange = F.filter("near", lambda j: ~inside | (F.get(F.col("groups"), j) != F.get(F.col("groups"), F.col("home"))))
+    cell = lambda j: F.concat_ws(".", F.col("region"), F.lit(turn).cast("string"), j.cast("string"))
+    guests = written(placed.withColumn("_j", F.explode(strange)).select(cell(F.col("_j")).alias("region"), *names[1:]), "guests")
+    homes = placed.where(inside).select(cell(F.col("home")).alias("region"), *names[1:]).join(guests.select("region").distinct(), "region", "left_semi")
+    outer = placed.where(~inside).select(cell(F.lit("o")).alias("region"), *names[1:])
+    links = rows.where("a is not null").select("a", "b")
+    return homes.unionByName(guests).unionByName(outer), links
 
 
 def blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -390,6 +412,7 @@ def linked_sets(regions: DataFrame, limit: Limit) -> DataFrame:
             found.append(region_join(blocks(rest, large), limit))
             break
         regions, links = cells(rest, limit, turn)
+        regions = written(regions, "regions")
         found.append(links)
     out = found[0]
     for more in found[1:]:
