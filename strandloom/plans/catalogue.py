@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as sq
 from ..functions import statistics as st
-from ..operators import barcodes, checks, intervals, matrix, molecules, motifs, profiles, sampling, splicing, tables
+from ..operators import barcodes, checks, intervals, matrix, molecules, motifs, profiles, ranking, sampling, splicing, tables
 from ..operators import reads as rd
 from .fixture import READS_SQL, reads, table
 
@@ -887,3 +887,80 @@ def read_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flank_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = reads(spark, sf_dir).select(F.concat("umi", F.lit("TTAACC"), "umi").alias("seq"))
     return motifs.flank_shares(x, "seq", "TTAACC", 2).select(F.col("offset").cast("long").alias("offset"), *(r6(F.col(b)).alias(b.lower()) for b in "ACGT"))
+
+
+# Rankings, flows, checks --------------------------------------------------------------------------------------
+
+_EFFECT = ", c AS (SELECT gene, count(*) FILTER (well >= 'W05') AS a, count(*) FILTER (well < 'W05') AS b, round(avg(size), 6) AS len FROM reads GROUP BY gene), e AS (SELECT gene, len, round(ln((a + 1.0) / (b + 1.0)) - (SELECT avg(ln((a + 1.0) / (b + 1.0))) FROM c), 6) AS effect, a + b AS n FROM c)"
+
+
+def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = reads(spark, sf_dir).groupBy("gene").agg(F.count_if(_treated()).alias("a"), F.count_if(~_treated()).alias("b"), r6(F.avg("size")).alias("len"))
+    raw = c.withColumn("raw", F.log((F.col("a") + 1.0) / (F.col("b") + 1.0)))
+    mean = raw.agg(F.avg("raw").alias("_mean"))
+    return raw.crossJoin(F.broadcast(mean)).select("gene", "len", r6(F.col("raw") - F.col("_mean")).alias("effect"), (F.col("a") + F.col("b")).alias("n"))
+
+
+@query(_EFFECT + ", s AS (SELECT gene, n, CASE WHEN effect > 0 THEN 'up' WHEN effect < 0 THEN 'down' END AS side FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n, gene) AS place FROM s WHERE side IS NOT NULL) SELECT side, CAST(place AS BIGINT) AS place, gene, n FROM r WHERE place <= 5")
+def signed_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.signed_top(_effects(spark, sf_dir), "effect", "n", "gene", 5).select("side", F.col("place").cast("long"), "gene", "n")
+
+
+@query(_EFFECT + " SELECT CAST((len >= 24) AS BIGINT) + CAST((len >= 26) AS BIGINT) AS bin, round(median(effect), 6) AS median, count(*) AS rows FROM e GROUP BY 1")
+def effect_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ranking.effect_by_length(_effects(spark, sf_dir), "len", "effect", [24.0, 26.0])
+    return out.select(F.col("bin").cast("long"), r6(F.col("median")).alias("median"), "rows")
+
+
+@query("""
+, r AS (SELECT *, row_number() OVER (PARTITION BY well ORDER BY (orderkey * 7919 + lineno * 104729 + partkey * 31) % 1000003, orderkey, lineno, partkey, pos, umi) AS k, count(*) OVER (PARTITION BY well) AS n FROM reads), d AS (SELECT unnest([25, 50, 100, 200]) AS depth),
+  j AS (SELECT well, depth, gene, region, count(*) AS m FROM r JOIN d ON k <= depth AND depth <= n GROUP BY 1, 2, 3, 4)
+SELECT well, CAST(depth AS BIGINT) AS depth, count(*) AS any_support, count(*) FILTER (m >= 2) AS two, count(*) FILTER (m >= 3) AS three FROM j GROUP BY well, depth""")
+def junctions_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.expr("(orderkey * 7919 + lineno * 104729 + partkey * 31) % 1000003"), "orderkey", "lineno", "partkey", "pos", "umi"]
+    pairs = sampling.rarefy(reads(spark, sf_dir), ["well"], order, DEPTHS, {"found": F.collect_list(F.concat_ws(":", "gene", "region"))})
+    counts = pairs.select("well", "depth", F.explode("found").alias("junction")).groupBy("well", "depth", "junction").agg(F.count("*").alias("m"))
+    return counts.groupBy("well", "depth").agg(F.count("*").alias("any_support"), F.count_if(F.col("m") >= 2).alias("two"), F.count_if(F.col("m") >= 3).alias("three"))
+
+
+@query("""
+, f AS (SELECT well, count(*) AS a, count(*) FILTER (nh = 'U') AS b, count(*) FILTER (nh = 'U' AND region = 'E') AS c FROM reads GROUP BY well)
+SELECT well, 'reads' AS "from", 'unique' AS "to", b AS n FROM f UNION ALL SELECT well, 'unique', 'exonic', c FROM f UNION ALL SELECT well, 'reads', 'lost', a - b FROM f UNION ALL SELECT well, 'unique', 'lost', b - c FROM f""")
+def stage_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = reads(spark, sf_dir).groupBy("well").agg(F.count("*").alias("reads"), F.count_if(F.col("nh") == "U").alias("unique"), F.count_if((F.col("nh") == "U") & (F.col("region") == "E")).alias("exonic"))
+    return rd.stage_flow(f, ["well"], ["reads", "unique", "exonic"])
+
+
+@query("""
+, a AS (SELECT well, contig, 100.0 * count(*) FILTER (strand = '+') / count(*) AS acc FROM reads GROUP BY 1, 2), g AS (SELECT DISTINCT well, 'all' AS arm FROM reads UNION ALL SELECT DISTINCT well, CASE WHEN well >= 'W05' THEN 'treated' ELSE 'control' END FROM reads)
+SELECT arm, contig, round(avg(acc), 6) AS mean, round(min(acc), 6) AS least, round(max(acc), 6) AS most, count(*) AS samples FROM a JOIN g USING (well) GROUP BY arm, contig""")
+def group_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir)
+    acc = r.groupBy("well", "contig").agg((100 * F.count_if(F.col("strand") == "+") / F.count("*")).alias("acc"))
+    wells = r.select("well").distinct()
+    groups = wells.select("well", F.lit("all").alias("arm")).unionByName(wells.select("well", F.when(_treated(), "treated").otherwise("control").alias("arm")))
+    out = rd.group_funnel(acc, groups, "well", "arm", "contig", "acc")
+    return out.select("arm", "contig", *(r6(F.col(c)).alias(c) for c in ("mean", "least", "most")), "samples")
+
+
+@query("""SELECT 'shares' AS "check", true AS passed UNION ALL SELECT 'fate', true UNION ALL SELECT 'wells', true""")
+def result_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = reads(spark, sf_dir)
+    shares = tables.composition(r, ["well"], "region").withColumn("pct", 100 * F.col("share"))
+    fate = tables.read_fate(r, ["well"], {"uniq": F.col("nh") == "U", "exonic": F.col("region") == "E"})
+    wells = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("W"), F.lpad((F.col("l_suppkey") % 24).cast("string"), 2, "0")).alias("well")).distinct()
+    found = checks.all_checks(checks.hundred_percent(shares, "shares", ["well"], "pct"), rd.ordered_stages(fate, "fate", ["reads_in", "uniq", "exonic"]), checks.same_keys(wells, fate, "well", "wells"))
+    return found.select("check", "passed")
+
+
+@query(", c AS (SELECT gene, well, count(*) AS n FROM reads GROUP BY 1, 2) SELECT gene, well, round(n * 1e7 / sum(n) OVER (PARTITION BY well), 4) AS scaled FROM c")
+def scaled_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = reads(spark, sf_dir).groupBy("gene", "well").agg(F.count("*").alias("depth"))
+    totals = c.groupBy("well").agg(F.sum("depth").alias("total"))
+    return profiles.scaled_depth(c, totals, ["well"], "total").select("gene", "well", F.round("scaled", 4).alias("scaled"))
+
+
+@query(", c AS (SELECT gene, CAST(floor(pos / 100) AS BIGINT) AS bin, count(*) AS n FROM reads GROUP BY 1, 2) SELECT gene, CAST(floor(bin / 5) AS BIGINT) AS block, max(n) AS n FROM c GROUP BY 1, 2")
+def block_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = reads(spark, sf_dir).groupBy("gene", F.floor(F.col("pos") / 100).alias("bin")).agg(F.count("*").alias("n"))
+    return profiles.block_max(c, ["gene"], "bin", "n", 5)
