@@ -215,7 +215,8 @@ def jitter_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def uci_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return molecules.corrected_molecules(reads(spark, sf_dir), "well", "umi", "gene")
+    out = molecules.corrected_molecules(reads(spark, sf_dir), "well", "umi", "gene")
+    return out.withColumns({c: r6(F.col(c)) for c in ("b_corr", "simpson", "shannon")})
 
 
 @query()

@@ -300,3 +300,28 @@ def test_run_settings():
     assert len(bad.problems()) >= 5
     with pytest.raises(ValueError):
         bad.checked()
+
+
+def test_corrected_molecules(spark):
+    draw = random.Random(6)
+    rows = [("w", "".join(draw.choice("ACGT") for _ in range(4)), f"{draw.choice(['RPL', 'G'])}{draw.randrange(12)}") for _ in range(1500)]
+    got = molecules.corrected_molecules(spark.createDataFrame(rows, "w string, u string, g string"), "w", "u", "g").first()
+    pairs = sorted(set(rows))
+    n = {}
+    for _, u, _ in pairs:
+        n[u] = n.get(u, 0) + 1
+    total = sum(n.values())
+    share = [{b: sum(c for u, c in n.items() if u[j] == b) / total for b in "ACGT"} for j in range(4)]
+    bad = {u for u, c in n.items() if max(u.count(b) for b in "ACGT") >= 3 or c > 8 * max(math.prod(share[j][x] for j, x in enumerate(u)) * total, 1)}
+    assert len(n) >= 100 and got.tags == len(n) and got.b_raw == len(pairs)
+    kept = [(u, g) for _, u, g in pairs if u not in bad]
+    assert got.b_kept == len(kept) and got.genes == len({g for _, g in kept}) and got.genes_no_rp == len({g for _, g in kept if g[0] == "G"})
+    p = np.array([c for u, c in n.items() if u not in bad], float)
+    p /= p.sum()
+    assert math.isclose(got.simpson, 1 / (p * p).sum(), rel_tol=1e-9)
+    k = {}
+    for _, g in kept:
+        k[g] = k.get(g, 0) + 1
+    grid = np.unique(np.round(np.logspace(0, math.log10(50 * len(p)), 600)).astype(int))
+    seen = np.array([(1 - (1 - p) ** m).sum() for m in grid])
+    assert math.isclose(got.b_corr, sum(np.interp(min(c, 0.995 * seen[-1]), seen, grid) if c > 1 else c for c in k.values()), rel_tol=1e-9)
