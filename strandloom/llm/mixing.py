@@ -63,11 +63,11 @@ def telling(buckets: np.ndarray, owner: np.ndarray, domain: np.ndarray, domains:
 
 
 def fit(buckets: np.ndarray, bounds: np.ndarray, features: np.ndarray, domain: np.ndarray, domains: int, rounds: int = 120, ridge: float = 1e-3) -> Model:
-    """Softmax weights by Adam over all rows given; without rows, the same posterior for every domain."""
+    """Softmax weights by Adam over all rows given; without rows of two domains, the same posterior for every domain."""
     n = len(domain)
     centre, spread = (features.mean(0), features.std(0) + 1e-3) if n else (np.zeros(N_FORM), np.ones(N_FORM))
     model = Model(np.zeros((BUCKETS, domains)), np.zeros((N_FORM, domains)), np.zeros(domains), centre, spread)
-    if not n:
+    if len(np.unique(domain)) < 2:
         return model
     want = np.eye(domains)[domain]
     x = np.clip((features - centre) / spread, -8, 8)
@@ -166,7 +166,7 @@ def solve_rates(rows: DataFrame, targets: dict[str, float], factors: bool = Fals
         miss = reached - goal
         if np.abs(miss).max() <= tolerance or size < 1e-3:
             break
-        step = size * np.linalg.solve(curve + 1e-9 * np.eye(len(goal)), miss)
+        step = size * np.linalg.solve(curve + (1e-6 * np.trace(curve) + 1e-12) * np.eye(len(goal)), miss)
         now, curve_now, _ = totals([*steps, step])
         if np.linalg.norm(now - goal) < np.linalg.norm(miss):
             steps, reached, curve, size = [*steps, step], now, curve_now, min(1.0, 2 * size)
@@ -186,9 +186,12 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 def mixed_documents(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None) -> DataFrame:
     """The documents once each whose rate is at least a draw from their id: those of rate 1 or more always; columns as before.
 
-    The targets are `factors` of the domains' own totals.
+    The targets are `factors` of the domains' own totals. Without labelled rows of two domains nothing is known of them and all documents stay.
     """
-    rows = written(with_posteriors(docs.select(*docs.columns), learn(docs, labels)), "posteriors")
+    model = learn(docs, labels)
+    if not model.form.any():
+        return docs.select(*docs.columns)
+    rows = written(with_posteriors(docs.select(*docs.columns), model), "posteriors")
     rate, _ = solve_rates(rows, factors or FACTORS, factors=True)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumn("_rate", rate).where((F.col("_rate") >= 1) | (F.col("_rate") > draw)).select(*docs.columns)

@@ -101,3 +101,12 @@ def test_rates_meet_targets(documents, labels, awkward, empty):
     assert mixing.mix_documents(awkward, labels).count() == 10
     assert mixing.mix_documents(empty, labels).count() == 0
     assert mixing.mixed_documents(awkward, labels).columns == awkward.columns
+
+
+def test_without_labels_nothing_is_lost(documents, labels):
+    none = labels.where("doc_id < 0")
+    assert mixing.mixed_documents(documents, none).count() == documents.count()
+    assert quality_classifier.good_documents(documents, none).count() == documents.count()
+    one_kind = labels.where("quality = 1 and toxic = 0")
+    assert mixing.mixed_documents(documents, one_kind).count() > 0.9 * documents.count()
+    assert quality_classifier.good_documents(documents, one_kind).count() == documents.count()
