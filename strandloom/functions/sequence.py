@@ -101,7 +101,7 @@ def pack_name(*parts: Column) -> Column:
 
 
 def name_part(name: Column, from_end: int) -> Column:
-    return F.element_at(F.split(name, "_"), -from_end)
+    return F.try_element_at(F.split(name, "_"), F.lit(-from_end))
 
 
 def name_head(name: Column, tails: int) -> Column:
@@ -135,7 +135,7 @@ def track_contig(contig: Column) -> Column:
 def flow_position(read_id: Column) -> Column:
     """lane, tile, x and y of a colon-separated read id."""
     parts = F.split(F.element_at(F.split(read_id, " "), 1), ":")
-    return F.struct(*(F.element_at(parts, k).cast("long").alias(n) for k, n in ((-4, "lane"), (-3, "tile"), (-2, "x"), (-1, "y"))))
+    return F.struct(*(F.try_element_at(parts, F.lit(k)).try_cast("long").alias(n) for k, n in ((-4, "lane"), (-3, "tile"), (-2, "x"), (-1, "y"))))
 
 
 def packed_position(lane: Column, tile: Column, x: Column, y: Column) -> Column:

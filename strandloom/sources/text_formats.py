@@ -81,7 +81,7 @@ def read_sam(spark: SparkSession, paths: str | list[str], drop_flags: int = 0x90
     text = spark.read.text(paths).where(~F.col("value").startswith("@"))
     parts = F.split("value", "\t", 12)
     fields = [parts[i].cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(SAM_FIELDS)]
-    tags = F.map_from_entries(F.transform(F.filter(F.split(parts[11], "\t"), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, "^[^:]*:[^:]*:(.*)$", 1))))
+    tags = F.map_from_entries(F.transform(F.filter(F.split(F.coalesce(F.get(parts, F.lit(11)), F.lit("")), "\t"), lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:.:")), lambda x: F.struct(F.substring(x, 1, 2), F.regexp_extract(x, "^[^:]*:[^:]*:(.*)$", 1))))
     rows = text.select(*fields, tags.alias("tags"))
     return rows.where(F.col("flag").bitwiseAND(drop_flags) == 0)
 

@@ -217,8 +217,9 @@ def test_readers(spark, tmp_path):
     assert sorted((r.read_id, r.r1.seq, r.r2.seq) for r in tf.paired(r1, r2).collect()) == [("a", "ACGT", "TTTT"), ("b", "GG", "CC")]
     with pytest.raises(Exception):
         tf.paired(r1, r2.where("index = 0")).select("read_id").collect()
-    (tmp_path / "x.sam").write_text("@HD\tVN:1\nq1\t0\tHUMAN_1\t5\t255\t4M\t*\t0\t0\tACGT\tIIII\tNH:i:1\tnM:i:0\nq2\t256\tHUMAN_1\t5\t3\t4M\t*\t0\t0\tACGT\tIIII\n")
+    (tmp_path / "x.sam").write_text("@HD\tVN:1\nq1\t0\tHUMAN_1\t5\t255\t4M\t*\t0\t0\tACGT\tIIII\tNH:i:1\tnM:i:0\nq2\t256\tHUMAN_1\t5\t3\t4M\t*\t0\t0\tACGT\tIIII\nq3\t0\tHUMAN_1\t5\t3\t4M\t*\t0\t0\tACGT\tIIII\n")
     sam = tf.read_sam(spark, str(tmp_path / "x.sam"))
+    assert sorted((r.qname, len(r.tags)) for r in sam.collect()) == [("q1", 2), ("q3", 0)]
     assert [(r.qname, r.tags["NH"]) for r in sam.where(tf.is_unique()).collect()] == [("q1", "1")]
     gtf = 'chr1\ts\texon\t11\t20\t.\t+\t.\tgene_id "G"; gene_name "N"; transcript_id "T1"; gene_biotype "protein_coding"; tag "Ensembl_canonical";\nchr1\ts\texon\t31\t50\t.\t+\t.\tgene_id "G"; gene_name "N"; transcript_id "T1"; gene_biotype "protein_coding";\nchr1\ts\tCDS\t15\t20\t.\t+\t0\tgene_id "G"; gene_name "N"; transcript_id "T1";\n'
     (tmp_path / "x.gtf").write_text("#c\n" + gtf)
