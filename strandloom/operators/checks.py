@@ -69,3 +69,36 @@ def offset_probe(left: DataFrame, right: DataFrame, keys: list[str], start: str,
     asked = left.select(*keys, start, end).distinct().withColumn("_s", F.explode(shifts)).select(*keys, (F.col(start) + F.col("_s.ds")).alias(start), (F.col(end) + F.col("_s.de")).alias(end), "_s.ds", "_s.de")
     known = right.select(*keys, start, end).distinct().withColumn("_hit", F.lit(1))
     return asked.join(known, [*keys, start, end], "left").groupBy("ds", "de").agg(F.count("*").alias("asked"), F.count("_hit").alias("matched"))
+
+
+def some_denominator(frame: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """No row in which all parts of a denominator are 0."""
+    nothing = reduce(lambda a, b: a & b, (F.coalesce(F.col(c), F.lit(0)) == 0 for c in columns))
+    return check(frame, name, F.count_if(nothing) == 0, F.count_if(nothing))
+
+
+def not_all_zero(frame: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """Each column has a value above 0 somewhere."""
+    empty = sum((F.when(F.coalesce(F.max(c), F.lit(0)) <= 0, 1).otherwise(0) for c in columns), F.lit(0))
+    return check(frame, name, empty == 0, empty)
+
+
+def kept_within(frame: DataFrame, name: str, kept: str, whole: str, tolerance: float = 0.02) -> DataFrame:
+    """No row keeps more than it had, and the sums agree within the tolerance."""
+    more = F.count_if(F.col(kept) > F.col(whole))
+    off = F.abs(F.sum(kept) - F.sum(whole)) / F.sum(whole)
+    return check(frame, name, (more == 0) & (off <= tolerance), F.concat_ws(" ", more.cast("string"), F.round(off, 6).cast("string")))
+
+
+def right_direction(codes: DataFrame, name: str, share: str, reads: str, least: int = 50, fail: float = 0.5, note: float = 0.7) -> DataFrame:
+    """No code with enough reads has less than `fail` of its declared species; those below `note` are told."""
+    enough = F.col(reads) >= least
+    low, doubtful = F.count_if(enough & (F.col(share) < fail)), F.count_if(enough & (F.col(share) >= fail) & (F.col(share) < note))
+    return check(codes, name, low == 0, F.concat_ws(" ", low.cast("string"), doubtful.cast("string")))
+
+
+def proportional(frame: DataFrame, name: str, by: list[str], a: str, b: str, tolerance: float = 1e-6) -> DataFrame:
+    """a and b have the same shares of their sums in each group."""
+    sums = frame.groupBy(*by).agg(F.sum(a).alias("_a"), F.sum(b).alias("_b"))
+    off = F.max(F.abs(F.col(a) / F.col("_a") - F.col(b) / F.col("_b")))
+    return check(frame.join(sums, by), name, off <= tolerance, F.round(off, 9))

@@ -184,3 +184,27 @@ def parse_guide(text: str) -> dict[str, str]:
     if block is None:
         raise ValueError("no block of settings")
     return dict(line.split("\t", 1) for line in block[1].splitlines() if "\t" in line)
+
+
+def read_annotation(spark: SparkSession, path: str) -> DataFrame:
+    """gene_id, gene_name, biotype and contig of genes, from a table (.tsv, .txt) with those columns or from GTF."""
+    if re.search(r"\.(tsv|txt)(\.gz)?$", path):
+        return read_table(spark, path, "gene_id string, gene_name string, biotype string, contig string")
+    return read_gtf(spark, path, "gene").select("gene_id", "gene_name", "biotype", "contig").distinct()
+
+
+def read_registry(spark: SparkSession, patterns: list[str], schema: str, key: str) -> DataFrame:
+    """Rows of the sheets that exist, in that order, the first row of each key; an error if none does."""
+    found, out = [], None
+    for p in patterns:
+        try:
+            found += resolve(spark, p)
+        except FileNotFoundError:
+            continue
+    if not found:
+        raise FileNotFoundError("; ".join(patterns))
+    for i, p in enumerate(found):
+        part = spark.read.csv(p, sep="\t", header=True, comment="#", schema=schema).withColumn("_sheet", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    names = [c for c in out.columns if c not in (key, "_sheet")]
+    return out.groupBy(key).agg(F.min(F.struct("_sheet", *names)).alias("_r")).select(key, *(F.col(f"_r.{c}") for c in names))

@@ -326,3 +326,45 @@ def test_corrected_molecules(spark):
     grid = np.unique(np.round(np.logspace(0, math.log10(50 * len(p)), 600)).astype(int))
     seen = np.array([(1 - (1 - p) ** m).sum() for m in grid])
     assert math.isclose(got.b_corr, sum(np.interp(min(c, 0.995 * seen[-1]), seen, grid) if c > 1 else c for c in k.values()), rel_tol=1e-9)
+
+
+def test_assays(spark, tmp_path):
+    from strandloom.operators import assays
+
+    x = F.col("x")
+    insert = "ACGTTGCATCGGATCTAGGCTTACGATCGTAGCTAGC"
+    reads = spark.createDataFrame([("ACGTACG" + "GGG" + insert, "human"), ("ACGTACC" + "GGGG" + insert, "mouse"), ("TTTTTTT" + "GGG" + insert, "mouse"), ("ACGTACG" + "GGG" + "A" * 40, "human"), ("CCCCCCC" + insert, "human")], "seq string, species string")
+    assay = assays.positional_chemistry({"ACGTACG": "human", "TTTTTTT": "mouse"})
+    got = [(r.level, r.dropped_by) for r in assay.measured(reads).orderBy(F.monotonically_increasing_id()).collect()]
+    assert got == [(4, None), (4, None), (4, None), (3, "complex"), (0, "code")]
+    f = {r.level: (r.n, r.correct) for r in assay.funnel(reads, []).collect()}
+    assert f[4] == (3, 2) and f[0] == (5, 3)
+    assert assay.retained(reads).count() == 3
+    assert one(spark, "CCCAACCGGATTACATTTTTTTTTTTT", assays.polyt_structure(x, "GATTACA"))["code"] == "CAACCG"
+    ends = {(r.end, r.element): r.reads for r in assays.end_elements(spark.createDataFrame([("AAACCC" + "T" * 50 + "GGGTTA",)], "s string"), "s", {"a": "AAAC", "g": "GGGT"}).collect()}
+    assert ends == {("start", "a"): 1, ("end", "g"): 1}
+    w = assays.window_composition(spark.createDataFrame([("p", "AAAAAAAAAAAACC"), ("b", "ACGTACGTACGTAC")], "k string, s string"), "s", ["k"]).collect()
+    assert {r.k: r.a_rich for r in w} == {"p": 1.0, "b": 0.0}
+    e = assays.expected_species(spark.createDataFrame([("w", "human", "human", False), ("w", "mouse", "human", True), ("w", None, "human", False)], "w string, s string, e string, r boolean"), ["w"], "s", "e", F.col("r")).first()
+    assert (e.expected_pct, e.expected_no_rdna_pct) == (50.0, 100.0)
+    a = assays.aligned_bases(spark.createDataFrame([("w", "10M5N5M", "q"), ("w", "20M", "q")], "w string, c string, q string"), ["w"], "c", "q", 1).first()
+    assert (a.bases, a.per_fragment, a.at_depth) == (35, 35.0, 35.0)
+    exons = spark.createDataFrame([("g", i * 100, i * 100 + 50) for i in range(6)], "g string, s int, e int")
+    z = assays.zoom_window(exons, spark.createDataFrame([("g", 310)], "g string, site int"), "g", "s", "e", "site").first()
+    assert z.exons == 3 and z.window_start <= 300 <= z.window_end
+    art = assays.artefacts(spark.createDataFrame([("AACCGG" + "T" * 12 + "CCTTGG",), ("AACCGGACCTTGG",)], "s string"), "s", [], ("AACCGG", "CCTTGG")).first()
+    assert (art.reads, art.empty, art.without_tail) == (2, 2, 1)
+
+
+def test_more_checks(spark, tmp_path):
+    frame = spark.createDataFrame([("a", 10.0, 5.0), ("b", 20.0, 10.0)], "k string, x double, y double").withColumn("g", F.lit(1))
+    assert checks.proportional(frame, "p", ["g"], "x", "y").first().passed
+    assert checks.kept_within(frame, "k", "y", "x").first().passed is False
+    assert checks.some_denominator(frame, "d", ["x", "y"]).first().passed and checks.not_all_zero(frame, "z", ["x"]).first().passed
+    assert not checks.right_direction(frame.withColumn("s", F.lit(0.4)).withColumn("n", F.lit(60)), "r", "s", "n").first().passed
+    (tmp_path / "a.tsv").write_text("code\tname\nAC\tone\n")
+    (tmp_path / "b.tsv").write_text("code\tname\nAC\tother\nGT\ttwo\n")
+    got = tf.read_registry(spark, [str(tmp_path / "none.tsv"), str(tmp_path / "a.tsv"), str(tmp_path / "b.tsv")], "code string, name string", "code")
+    assert {(r.code, r.name) for r in got.collect()} == {("AC", "one"), ("GT", "two")}
+    with pytest.raises(FileNotFoundError):
+        tf.read_registry(spark, [str(tmp_path / "none.tsv")], "code string", "code")
