@@ -18,15 +18,17 @@ class Run:
     accepted: frozenset[str] = field(default_factory=frozenset)
 
     @classmethod
-    def from_json(cls, text: str) -> Run:
+    def from_json(cls, text: str, names: dict[str, str] | None = None) -> Run:
+        """Settings from JSON; `names` gives the JSON's own name for any of this class's fields."""
         raw = json.loads(text)
+        get = lambda field, none: raw.get((names or {}).get(field, field), none)
         return cls(
-            {str(k): str(v) for k, v in raw.get("tso_species_map", {}).items()},
-            {str(k): int(v) for k, v in raw.get("grun_offsets", {}).items()},
-            {str(k): str(v) for k, v in raw.get("bobcode_labels", {}).items()},
-            tuple(raw.get("barcodes", ())),
-            tuple(raw.get("read_lengths", (0, 0))),
-            frozenset(raw.get("accept_unmeasurable", ())),
+            {str(k): str(v) for k, v in get("species", {}).items()},
+            {str(k): int(v) for k, v in get("offsets", {}).items()},
+            {str(k): str(v) for k, v in get("labels", {}).items()},
+            tuple(get("barcodes", ())),
+            tuple(get("read_lengths", (0, 0))),
+            frozenset(get("accepted", ())),
         )
 
     def measurable(self) -> dict[str, bool]:

@@ -37,8 +37,8 @@ def test_sequence_expressions(spark):
     assert one(spark, "id_umi1_umi2_code_3_T", sq.name_part(x, 3)) == "code" and one(spark, "a_b_c_d", sq.name_head(x, 2)) == "a_b"
     assert one(spark, "m:1:f:2:1101:15:20", sq.flow_position(x)["tile"]) == 1101
     assert one(spark, "NNNLEFTACGTRIGHTNN", sq.trim_flanks(x, "LEFT", "RIGHT")) == "ACGT"
-    part = one(spark, "chr19:CLASRP:t:45068419|19:45068054-45068419:+", sq.junction_parts(x))
-    assert (part.gene, part.anchor, part.chrom, part.start, part.end, part.strand) == ("CLASRP", 45068419, "19", 45068054, 45068419, "+")
+    part = one(spark, "chr7:GENE:t:4500|7:4100-4500:+", sq.junction_parts(x))
+    assert (part.gene, part.anchor, part.chrom, part.start, part.end, part.strand) == ("GENE", 4500, "7", 4100, 4500, "+")
 
 
 def test_cigars(spark):
@@ -294,7 +294,7 @@ def test_read_preparation(spark):
 def test_run_settings():
     from strandloom.plans.config import Run
 
-    good = Run.from_json('{"tso_species_map": {"ACGTACG": "human"}, "grun_offsets": {"ACGTACG": 2}, "bobcode_labels": {"ACGTACG": "s1"}, "read_lengths": [50, 50]}')
+    good = Run.from_json('{"codes": {"ACGTACG": "human"}, "offsets": {"ACGTACG": 2}, "labels": {"ACGTACG": "s1"}, "read_lengths": [50, 50]}', {"species": "codes"})
     assert good.checked().measurable() == {"code": True, "g_run": True, "mate_tail": True}
     assert tf.parse_guide(good.guide())["species.ACGTACG"] == "human"
     bad = Run({"ACGX": "yeast"}, {"AC": 1}, {}, (), (3, 10))
