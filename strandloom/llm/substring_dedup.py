@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .membership import possible
 from .scratch import written
-from .text_arrays import WORD_BASES, Words, mixed, pieces, signed
+from .text_arrays import WORD_BASES, Words, pieces, signed
 
 #: Words of a window whose repetition counts, and rows that a task compares among themselves before it deals them out.
 WINDOW = 50
@@ -59,13 +59,13 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _spread(h: np.ndarray, doc: np.ndarray, settled: np.ndarray) -> pa.Array:
-    """What rows are dealt by: the hash; rows that are settled already go anywhere."""
-    return pa.array(np.where(settled, signed(mixed(h.view(np.uint64) + doc.view(np.uint64))), h))
+def _dealt(rows: DataFrame, settled: str, order: list[str]) -> DataFrame:
+    """Rows dealt by their hash h and sorted; those that are settled already are dealt anywhere."""
+    return rows.repartition(F.when(F.col(settled), F.xxhash64(*order, "row")).otherwise(F.col("h"))).sortWithinPartitions(*order)
 
 
 def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h, doc_id, row, shared, k: the chosen half windows of each document, each once.
+    """h, doc_id, row, shared, settled: the chosen half windows of each document, each once.
 
     Of a half window that several of the task's documents have, one row is dealt by its hash; the others are known to be shared and
     dealt anywhere, so a window in very many documents doesn't fill one task.
@@ -80,7 +80,7 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
         shared = np.repeat(doc[start] != doc[start + size - 1], size)
         settled = shared.copy()
         settled[start] = False
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(row), pa.array(shared), _spread(h, doc, settled)], ["h", "doc_id", "row", "shared", "k"])
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(row), pa.array(shared), pa.array(settled)], ["h", "doc_id", "row", "shared", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -99,7 +99,7 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield flush(parts)
 
-    return docs.mapInArrow(run, "h long, doc_id long, row int, shared boolean, k long")
+    return docs.mapInArrow(run, "h long, doc_id long, row int, shared boolean, settled boolean")
 
 
 def shared_only(sorted_rows: DataFrame) -> DataFrame:
@@ -142,12 +142,12 @@ def shared_only(sorted_rows: DataFrame) -> DataFrame:
 
 
 def full_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h, g, doc_id, row, start, later, k: windows of `docs` whose chosen half window is in the array `halves`; h and g make 96 bits of hash.
+    """h, g, doc_id, row, start, later: windows of `docs` whose chosen half window is in the array `halves`; h and g make 96 bits of hash.
 
     A window that a smaller document of the task has too is known to be a later one and dealt anywhere; so of a window in very many
     documents each task deals one row by its hash.
     """
-    names = ["h", "g", "doc_id", "row", "start", "later", "k"]
+    names = ["h", "g", "doc_id", "row", "start", "later"]
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h, g, doc, row, start = (np.concatenate(x) for x in zip(*parts))
@@ -155,7 +155,7 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
         h, g, doc, row, start = h[order], g[order], doc[order], row[order], start[order]
         begin = _runs(h, g)
         later = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(h))))
-        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (h, g, doc, row, start, later)), _spread(h, doc + start, later)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, doc, row, start, later)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
@@ -187,7 +187,7 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
         if parts:
             yield flush(parts)
 
-    return docs.mapInArrow(run, "h long, g int, doc_id long, row int, start int, later boolean, k long")
+    return docs.mapInArrow(run, "h long, g int, doc_id long, row int, start int, later boolean")
 
 
 def later_only(sorted_rows: DataFrame) -> DataFrame:
@@ -254,11 +254,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, as_text: bool = False)
         raise ValueError("the window must be an even number of words, as it is reached by doubling")
     rows = _with_key(docs)
     known = rows.where("doc_id is not null")
-    halves = shared_only(half_windows(known, window).repartition("k").sortWithinPartitions("h", "doc_id"))
+    halves = shared_only(_dealt(half_windows(known, window), "settled", ["h", "doc_id"]))
     per_document = halves.groupBy("doc_id", "row").agg(F.collect_set("h").alias("halves"))
     candidates, _ = possible(known, "doc_id", per_document.select("doc_id"))
     extended = full_windows(candidates.join(per_document, ["doc_id", "row"]).select("doc_id", "row", "text", "halves"), window)
-    starts = later_only(extended.repartition("k").sortWithinPartitions("h", "g", "doc_id"))
+    starts = later_only(_dealt(extended, "later", ["h", "g", "doc_id"]))
 
     removals = written(starts.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts")), "removals")
     touched, whole = possible(rows, "doc_id", removals.select("doc_id"))
