@@ -18,6 +18,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == F.length(b), F.aggregate(unlike, F.lit(0), lambda s, x: s + x))
 
 
+def hamming_fixed(a: Column, b: Column, length: int) -> Column:
+    """Substitutions between strings of a known length, letter by letter in generated code rather than over arrays."""
+    out = F.lit(0)
+    for i in range(1, length + 1):
+        out = out + (F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int")
+    return out
+
+
 def run_length_at(seq: Column, start: Column | int, base: str = "G") -> Column:
     """How many of `base` follow from the 0-based position on."""
     start = start if isinstance(start, Column) else F.lit(start)

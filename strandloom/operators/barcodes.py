@@ -7,7 +7,7 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import BASES, hamming
+from ..functions.sequence import BASES, hamming, hamming_fixed
 
 #: Strings that a lookup may hold at most; longer code lists are compared code by code.
 LOOKUP_ROWS = 2_000_000
@@ -102,7 +102,7 @@ def near_pairs(tags: DataFrame, tag: str, by: list[str], length: int, mismatches
     distinct = tags.where(F.length(tag) == length).select(*by, tag).distinct()
     rows = distinct.withColumn("_k", F.explode(blocks)).select(*by, "_k.b", "_k.w", tag)
     other = rows.withColumnRenamed(tag, "_other")
-    pairs = rows.join(other, [*by, "b", "w"]).where(F.col(tag) < F.col("_other")).where(hamming(F.col(tag), F.col("_other")) <= mismatches)
+    pairs = rows.join(other, [*by, "b", "w"]).where(F.col(tag) < F.col("_other")).where(hamming_fixed(F.col(tag), F.col("_other"), length) <= mismatches)
     return pairs.select(*by, F.col(tag).alias("a"), F.col("_other").alias("b")).distinct()
 
 
