@@ -155,6 +155,7 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
         h, g, doc, row, start = h[order], g[order], doc[order], row[order], start[order]
         begin = _runs(h, g)
         later = doc > np.repeat(doc[begin], np.diff(np.append(begin, len(h))))
+        h, g = np.where(later, 0, h), np.where(later, np.int32(0), g)  # nothing else is asked of these rows
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, doc, row, start, later)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
