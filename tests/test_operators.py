@@ -148,10 +148,11 @@ def test_fuzzy_motifs(spark):
     hit = one(spark, "TTTTACGTACTTTT", motifs.fuzzy_first(x, "ACGGTAC", 0, 1))
     assert hit["distance"] == 1 and hit["end"] in (9, 10)
     assert one(spark, "TTTT", motifs.fuzzy_first(x, "ACGAACG", 1, 1)) in (None,) or one(spark, "TTTT", motifs.fuzzy_first(x, "ACGAACG", 1, 1))["start"] is None
-    parts = motifs.components_of(x, {"a": "ACCA", "g": "GGTG"})
-    assert [(p.start, p.name) for p in one(spark, "ACCAACCATTGGTG", parts)] == [(0, "a"), (9, "a"), (10, "g")]  # TGGT is ACCA on the other strand
-    assert one(spark, "ACCATTTTTTTTGGTG", motifs.structure_key(parts)) == "a > g"
-    assert one(spark, "ACCATTTTTTTTGGTG", motifs.largest_gap(parts, F.length(x))) == 8
+    parts = motifs.components_of(x, {"a": "ACCA", "g": "GGATG"})
+    assert [(p.start, p.end, p.name) for p in one(spark, "ACCAACCATTGGATGTGGT", parts)] == [(0, 8, "a"), (10, 15, "g"), (15, 19, "a")]  # TGGT is ACCA on the other strand
+    assert one(spark, "ACCATTTTTTTTGGATG", motifs.structure_key(parts)) == "a > g"
+    assert one(spark, "GGATGTTTTTTTTACCA", motifs.structure_key(parts)) == "a > g"
+    assert one(spark, "ACCATTTTTTTTGGATG", motifs.largest_gap(parts, F.length(x))) == 8
     assert one(spark, "AAACCCCGGG", motifs.context_code(x, "AAA", "GGG")) == "CCCC"
     assert one(spark, "NNACGTNNN", motifs.code_window(x, "ACGT", 2, 3)) == "NNACGTNNN"
 
