@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset (tests, one machine), a folder of our own."""
+    """spark.checkpoint.dir of the session; only where that is unset (tests, one machine), a folder of our own, removed when Python ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandloom-shared-")
+        own = tempfile.mkdtemp(prefix="strandloom-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
