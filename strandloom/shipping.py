@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +26,7 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
     folder = tempfile.mkdtemp(prefix="strandloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "strandloom.zip")
     Path(target).write_bytes(packed.getvalue())
     context.addPyFile(target)
