@@ -31,10 +31,3 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a table of new_path() that nothing will read again."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

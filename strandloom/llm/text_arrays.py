@@ -141,23 +141,5 @@ def pieces(column: pa.Array | pa.ChunkedArray, lower: bool = False, piece_bytes:
         i = j
 
 
-def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of the texts, text by text in ascending order, and each text's bounds among them.
-
-    A text with fewer words than `width` has its whole sequence as one shingle; one without words has none.
-    """
-    hashes, counts = words.hashes(), words.counts
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    grams, inside = words.windows(hashes, width)
-    text = np.concatenate([words.texts[inside], short])
-    grams = np.concatenate([grams[inside], span_hashes(hashes, words.bounds[short], words.bounds[short + 1])])
-    order = np.lexsort((grams, text))
-    text, grams = text[order], grams[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (text[1:] != text[:-1])
-    text, grams = text[new], grams[new]
-    return grams, np.searchsorted(text, np.arange(len(counts) + 1))
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
