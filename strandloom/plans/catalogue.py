@@ -199,7 +199,7 @@ def dedup_anchored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
   pairs AS (SELECT a.well, a.umi AS x, b.umi AS y FROM nodes a JOIN nodes b ON a.well = b.well AND a.umi <> b.umi WHERE hamming(a.umi, b.umi) <= 1)
 SELECT well, x AS a, y AS b FROM pairs WHERE x < y""")
 def near_tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return barcodes.near_pairs(reads(spark, sf_dir).where("suppkey % 7 = 0"), "umi", ["well"], 6, 1)
+    return barcodes.near_pairs(reads(spark, sf_dir), "umi", ["well"], 6, 1)
 
 
 @query()
