@@ -269,7 +269,7 @@ def matched_feature_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
   n AS (SELECT a.well, a.contig, a.id FROM g a JOIN g b ON a.well = b.well AND a.contig = b.contig AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400)
 SELECT well, count(DISTINCT id) AS neighbours FROM n GROUP BY well""")
 def optical_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reads(spark, sf_dir).where("suppkey % 5 = 0").withColumn("id", F.col("orderkey") * 100 + F.col("lineno"))
+    rows = reads(spark, sf_dir).withColumn("id", F.col("orderkey") * 100 + F.col("lineno"))
     return molecules.optical_neighbours(rows, ["well"], "contig", "pos", "span", "id", 20.0)
 
 

@@ -1,5 +1,7 @@
 """Queries over all reads against brute force: nothing but an operator's own conditions may leave a read out."""
 
+from collections import Counter
+
 from strandloom.plans import catalogue
 from strandloom.plans.fixture import reads
 
@@ -10,3 +12,12 @@ def test_near_tag_pairs_of_all_reads(spark, sf_dir):
     want = {(w, a, b) for w, a, b in near if a < b and (w, b) in tags}
     got = [tuple(r) for r in catalogue.near_tag_pairs(spark, sf_dir).select("well", "a", "b").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_optical_neighbours_of_all_reads(spark, sf_dir):
+    tiles = {}
+    for r in reads(spark, sf_dir).select("well", "contig", "pos", "span", "orderkey", "lineno").collect():
+        tiles.setdefault((r.well, r.contig), []).append((r.pos, r.span, r.orderkey * 100 + r.lineno))
+    near = {(w, i) for (w, _), spots in tiles.items() for x, y, i in spots for u, v, j in spots if i != j and (x - u) ** 2 + (y - v) ** 2 <= 400}
+    got = {r.well: r.neighbours for r in catalogue.optical_neighbours(spark, sf_dir).collect()}
+    assert got == Counter(w for w, _ in near)
