@@ -321,7 +321,7 @@ def dinucleotide_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 , g AS (SELECT DISTINCT gene || ':' || umi AS name, repeat(umi, 2) AS seq FROM reads WHERE suppkey % 11 = 0), k AS (SELECT name, i - 1 AS o, substr(seq, CAST(i AS BIGINT), 9) AS kmer FROM g, (SELECT unnest(range(1, 5)) AS i))
 SELECT kmer, min(name) AS name, CAST(min(o) AS BIGINT) AS "offset" FROM k GROUP BY kmer HAVING count(*) = 1""")
 def kmer_unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = reads(spark, sf_dir).where("suppkey % 11 = 0").select(F.concat_ws(":", "gene", "umi").alias("name"), F.repeat("umi", 2).alias("seq")).distinct()
+    g = reads(spark, sf_dir).select(F.concat_ws(":", "gene", "umi").alias("name"), F.repeat("umi", 2).alias("seq")).distinct()
     return barcodes.unique_kmers(spark, g, "name", "seq", 9).select("kmer", "name", F.col("offset").cast("long"))
 
 

@@ -21,3 +21,11 @@ def test_optical_neighbours_of_all_reads(spark, sf_dir):
     near = {(w, i) for (w, _), spots in tiles.items() for x, y, i in spots for u, v, j in spots if i != j and (x - u) ** 2 + (y - v) ** 2 <= 400}
     got = {r.well: r.neighbours for r in catalogue.optical_neighbours(spark, sf_dir).collect()}
     assert got == Counter(w for w, _ in near)
+
+
+def test_kmer_index_of_all_reads(spark, sf_dir):
+    names = {(f"{r.gene}:{r.umi}", 2 * r.umi) for r in reads(spark, sf_dir).select("gene", "umi").collect()}
+    grams = [(s[i : i + 9], name, i) for name, s in names for i in range(4)]
+    times = Counter(k for k, _, _ in grams)
+    got = {tuple(r) for r in catalogue.kmer_unique_index(spark, sf_dir).select("kmer", "name", "offset").collect()}
+    assert got == {g for g in grams if times[g[0]] == 1}
