@@ -29,7 +29,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by their rates for the target totals of domains: those of rate 1 or more, and of the others a share as large as the rate."""
+    """Documents as often as their rates for the target totals of domains say: a rate above 1 gives further copies."""
     ship(spark)
     return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

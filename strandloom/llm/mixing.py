@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .document_features import BUCKETS, N_FORM, form, word_buckets
+from .membership import possible
 from .scratch import written
 from .text_arrays import pieces
 
@@ -184,14 +185,22 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None) -> DataFrame:
-    """The documents once each whose rate is at least a draw from their id: those of rate 1 or more always; columns as before.
+    """The documents as often as their rates say: floor(rate) copies, and one more where what is left of the rate is above a draw; columns as before.
 
+    The draw is a hash of the whole row, so rows of one id, or of none, are drawn each for itself; n equal rows are one of n times the rate.
     The targets are `factors` of the domains' own totals. Without labelled rows of two domains nothing is known of them and all documents stay.
     """
     model = learn(docs, labels)
     if not model.form.any():
         return docs.select(*docs.columns)
-    rows = written(with_posteriors(docs.select(*docs.columns), model), "posteriors")
+    # a hash passes over nulls, so where they are goes into it too
+    key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = written(with_posteriors(docs.withColumn("_mix_key", key), model), "posteriors")
     rate, _ = solve_rates(rows, factors or FACTORS, factors=True)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("_rate", rate).where((F.col("_rate") >= 1) | (F.col("_rate") > draw)).select(*docs.columns)
+    again = rows.groupBy("_mix_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_mix_key")
+    rows = rows.select(*docs.columns, "_mix_key", rate.alias("_rate"))
+    equal, single = possible(rows, "_mix_key", again)
+    rows = single.unionByName(equal.groupBy(*docs.columns, "_mix_key").agg(F.sum("_rate").alias("_rate")))
+    draw = F.pmod(F.xxhash64(F.col("_mix_key"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor("_rate") + (F.col("_rate") - F.floor("_rate") > draw).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
