@@ -60,7 +60,7 @@ def molecules_per_well(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT well, umi, contig, pos, gene, strand FROM reads WHERE {KEPT} AND orderkey % 3 <> 0 AND well <> 'W05'")
 def read_table_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     excluded = spark.createDataFrame([("W05",)], "well string")
-    kept = reads(spark, sf_dir).where(KEPT).where("orderkey % 3 <> 0")
+    kept = reads(spark, sf_dir).where(KEPT)
     return kept.join(F.broadcast(excluded), "well", "left_anti").select("well", "umi", "contig", "pos", "gene", "strand")
 
 
@@ -823,7 +823,7 @@ def plate_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT contig, spot, count(*) AS reads, count(DISTINCT well || umi) AS molecules, top_share FROM x JOIN t USING (contig, spot) GROUP BY contig, spot, top_share""")
 def peak_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir)
-    spots = r.where("pos % 50 = 1").select("contig", F.col("pos").alias("spot")).distinct()
+    spots = r.select("contig", F.col("pos").alias("spot")).distinct()
     return rd.peak_windows(r, spots, ["contig"], "pos", "spot", "umi", "well").withColumn("top_share", r6(F.col("top_share")))
 
 

@@ -29,3 +29,23 @@ def test_kmer_index_of_all_reads(spark, sf_dir):
     times = Counter(k for k, _, _ in grams)
     got = {tuple(r) for r in catalogue.kmer_unique_index(spark, sf_dir).select("kmer", "name", "offset").collect()}
     assert got == {g for g in grams if times[g[0]] == 1}
+
+
+def test_slice_has_only_its_own_gates(spark, sf_dir):
+    columns = ["well", "umi", "contig", "pos", "gene", "strand"]
+    rows = reads(spark, sf_dir).select(*columns, "region", "nh").collect()
+    want = Counter(tuple(r[c] for c in columns) for r in rows if r.region == "E" and r.nh == "U" and r.contig.startswith("HUMAN") and r.well != "W05")
+    assert Counter(tuple(r[c] for c in columns) for r in catalogue.read_table_slice(spark, sf_dir).collect()) == want
+
+
+def test_every_read_position_is_a_spot(spark, sf_dir):
+    places = {}
+    for r in reads(spark, sf_dir).select("contig", "pos", "well", "umi").collect():
+        places.setdefault((r.contig, r.pos), []).append((r.well, r.umi))
+    want = {}
+    for contig, spot in places:
+        near = [x for p in range(spot - 25, spot + 26) for x in places.get((contig, p), ())]
+        want[contig, spot] = (len(near), len(set(near)), max(Counter(w for w, _ in near).values()) / len(near))
+    got = {(r.contig, r.spot): r for r in catalogue.peak_molecules(spark, sf_dir).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k].reads, got[k].molecules) == (n, m) and abs(got[k].top_share - share) < 1e-6 for k, (n, m, share) in want.items())
