@@ -126,8 +126,11 @@ def principal_components(values: DataFrame, feature: str, sample: str, value: st
 
 
 def average_linkage(distances: DataFrame, a: str, b: str, distance: str) -> list[tuple[list, list, float]]:
-    """Merges of average linkage over a full table of pair distances between few items, on the driver."""
-    rows = distances.limit(MOST_SAMPLES * MOST_SAMPLES).collect()
+    """Merges of average linkage over a full table of pair distances between few items, on the driver; their number is checked."""
+    n = distances.count()
+    if n > MOST_SAMPLES * MOST_SAMPLES:
+        raise ValueError(f"{n} distances are more than {MOST_SAMPLES * MOST_SAMPLES}")
+    rows = distances.collect()
     d = {frozenset((r[a], r[b])): r[distance] for r in rows}
     groups = [[x] for x in sorted({r[a] for r in rows} | {r[b] for r in rows})]
     merges = []

@@ -134,9 +134,11 @@ def mean_interval(rows: DataFrame, by: list[str], value: str, least: int = 3) ->
     return out.withColumn("half_width", F.col("_t") * F.col("sd") / F.sqrt("n")).drop("_n", "_t")
 
 
-def code_report(rows: DataFrame, code: str, declared: list[str], top: int = 20) -> DataFrame:
-    """Reads of each declared code, and of the most frequent `top` others, with shares of all and of the declared."""
-    counts = rows.groupBy(code).agg(F.count("*").alias("reads")).withColumn("declared", F.col(code).isin(declared))
+def code_report(rows: DataFrame, code: str, declared: DataFrame, top: int = 20) -> DataFrame:
+    """Reads of each declared code (column `code` of `declared`), and of the most frequent `top` others, with shares of all and of the declared."""
+    own = declared.select(code).distinct().withColumn("_declared", F.lit(True))
+    counts = rows.groupBy(code).agg(F.count("*").alias("reads")).join(own, code, "left")
+    counts = counts.select(code, "reads", F.when(F.col(code).isNotNull(), F.coalesce("_declared", F.lit(False))).alias("declared"))
     everything = counts.agg(F.sum("reads").alias("_all"), F.sum(F.when(F.col("declared"), F.col("reads"))).alias("_own"))
     others = counts.where("not declared").orderBy(F.col("reads").desc(), code).limit(top)
     out = counts.where("declared").unionByName(others).crossJoin(F.broadcast(everything))

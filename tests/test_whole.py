@@ -2,6 +2,10 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from strandloom.operators import matrix
 from strandloom.plans import catalogue
 from strandloom.plans.fixture import reads
 
@@ -49,3 +53,20 @@ def test_every_read_position_is_a_spot(spark, sf_dir):
     got = {(r.contig, r.spot): r for r in catalogue.peak_molecules(spark, sf_dir).collect()}
     assert got.keys() == want.keys()
     assert all((got[k].reads, got[k].molecules) == (n, m) and abs(got[k].top_share - share) < 1e-6 for k, (n, m, share) in want.items())
+
+
+def test_every_declared_code_counts(spark, sf_dir, tmp_path):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").limit(1)
+    codes = spark.range(1, 1501).withColumnRenamed("id", "_i")
+    part.crossJoin(codes).withColumns({"p_partkey": F.col("_i"), "p_brand": F.concat(F.lit("Brand#1"), F.col("_i"))}).drop("_i").write.parquet(f"{tmp_path}/part.parquet")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(1)
+    lines.crossJoin(codes).withColumn("l_partkey", F.col("_i")).drop("_i").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = catalogue.demux_code_report(spark, str(tmp_path)).collect()
+    assert len(rows) == 1500 and all(r.declared and r.pct_assigned == r.pct_total == round(100 / 1500, 6) for r in rows)
+
+
+def test_too_many_distances_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "MOST_SAMPLES", 1)
+    d = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 4.0), ("b", "c", 6.0)], "a string, b string, d double")
+    with pytest.raises(ValueError):
+        matrix.average_linkage(d, "a", "b", "d")
