@@ -57,7 +57,7 @@ def molecules_per_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("well", "reads", "molecules_b", "molecules_c", "genes", r6(100 * dup / F.col("reads")).alias("duplicate_pct"), r6(low).alias("low"), r6(high).alias("high"))
 
 
-@query(f"SELECT well, umi, contig, pos, gene, strand FROM reads WHERE {KEPT} AND orderkey % 3 <> 0 AND well <> 'W05'")
+@query(f"SELECT well, umi, contig, pos, gene, strand FROM reads WHERE {KEPT} AND well <> 'W05'")
 def read_table_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     excluded = spark.createDataFrame([("W05",)], "well string")
     kept = reads(spark, sf_dir).where(KEPT)
@@ -195,9 +195,9 @@ def dedup_anchored_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, nodes AS (SELECT DISTINCT well, umi FROM reads WHERE suppkey % 7 = 0),
-  pairs AS (SELECT a.well, a.umi AS x, b.umi AS y FROM nodes a JOIN nodes b ON a.well = b.well AND a.umi <> b.umi WHERE hamming(a.umi, b.umi) <= 1)
-SELECT well, x AS a, y AS b FROM pairs WHERE x < y""")
+, nodes AS (SELECT DISTINCT well, umi, left(umi, 3) AS l, right(umi, 3) AS r FROM reads),
+  pairs AS (SELECT a.well, a.umi AS x, b.umi AS y FROM nodes a JOIN nodes b ON a.well = b.well AND a.l = b.l UNION SELECT a.well, a.umi, b.umi FROM nodes a JOIN nodes b ON a.well = b.well AND a.r = b.r)
+SELECT well, x AS a, y AS b FROM pairs WHERE x < y AND hamming(x, y) <= 1""")
 def near_tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes.near_pairs(reads(spark, sf_dir), "umi", ["well"], 6, 1)
 
@@ -265,8 +265,9 @@ def matched_feature_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, g AS (SELECT well, contig, floor(pos / 100) AS cx, orderkey * 100 + lineno AS id, pos AS x, span AS y FROM reads WHERE suppkey % 5 = 0),
-  n AS (SELECT a.well, a.contig, a.id FROM g a JOIN g b ON a.well = b.well AND a.contig = b.contig AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400)
+, g AS (SELECT well, contig, pos // 20 AS cx, orderkey * 100 + lineno AS id, pos AS x, span AS y FROM reads),
+  o AS (SELECT well, contig, cx + d AS cx, id, x, y FROM g, (SELECT unnest([-1, 0, 1]) AS d)),
+  n AS (SELECT a.well, a.contig, a.id FROM g a JOIN o b ON a.well = b.well AND a.contig = b.contig AND a.cx = b.cx AND a.id <> b.id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 400)
 SELECT well, count(DISTINCT id) AS neighbours FROM n GROUP BY well""")
 def optical_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir).withColumn("id", F.col("orderkey") * 100 + F.col("lineno"))
@@ -318,7 +319,7 @@ def dinucleotide_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, g AS (SELECT DISTINCT gene || ':' || umi AS name, repeat(umi, 2) AS seq FROM reads WHERE suppkey % 11 = 0), k AS (SELECT name, i - 1 AS o, substr(seq, CAST(i AS BIGINT), 9) AS kmer FROM g, (SELECT unnest(range(1, 5)) AS i))
+, g AS (SELECT DISTINCT gene || ':' || umi AS name, repeat(umi, 2) AS seq FROM reads), k AS (SELECT name, i - 1 AS o, substr(seq, CAST(i AS BIGINT), 9) AS kmer FROM g, (SELECT unnest(range(1, 5)) AS i))
 SELECT kmer, min(name) AS name, CAST(min(o) AS BIGINT) AS "offset" FROM k GROUP BY kmer HAVING count(*) = 1""")
 def kmer_unique_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = reads(spark, sf_dir).select(F.concat_ws(":", "gene", "umi").alias("name"), F.repeat("umi", 2).alias("seq")).distinct()
@@ -818,7 +819,7 @@ def plate_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-, spots AS (SELECT DISTINCT contig, pos AS spot FROM reads WHERE pos % 50 = 1), x AS (SELECT r.contig, spot, well, umi FROM reads r JOIN spots s ON r.contig = s.contig AND abs(r.pos - spot) <= 25), e AS (SELECT contig, spot, well, count(*) AS n FROM x GROUP BY 1, 2, 3),
+, spots AS (SELECT DISTINCT contig, pos AS spot FROM reads), d AS (SELECT CAST(unnest(range(-25, 26)) AS BIGINT) AS d), x AS (SELECT r.contig, spot, well, umi FROM (SELECT contig, pos + d AS near, well, umi FROM reads, d) r JOIN spots s ON r.contig = s.contig AND r.near = s.spot), e AS (SELECT contig, spot, well, count(*) AS n FROM x GROUP BY 1, 2, 3),
   t AS (SELECT contig, spot, round(max(n) / sum(n), 6) AS top_share FROM e GROUP BY 1, 2)
 SELECT contig, spot, count(*) AS reads, count(DISTINCT well || umi) AS molecules, top_share FROM x JOIN t USING (contig, spot) GROUP BY contig, spot, top_share""")
 def peak_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:

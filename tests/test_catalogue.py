@@ -10,6 +10,9 @@ from strandloom.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Over all reads every 9-mer of a repeated tag occurs again, in the tag turned by one letter: an empty index is the right one.
+NONE_FOUND = {"kmer_unique_index"}
+
 
 @pytest.fixture(scope="module")
 def db(sf_dir):
@@ -35,7 +38,7 @@ def test_against_sql(spark, db, sf_dir, name):
     got = Counter(tuple(plain(r[c]) for c in columns) for r in frame.collect())
     want = Counter(tuple(plain(dict(zip(names, row))[c]) for c in columns) for row in cursor.fetchall())
     assert got == want, (list((got - want).items())[:3], list((want - got).items())[:3])
-    assert got
+    assert got or name in NONE_FOUND
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL)))
