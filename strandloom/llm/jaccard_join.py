@@ -6,17 +6,21 @@
    own first n - ceil(t n) + 1 shingles as a pivot, by the triangle inequality through the empty set on the part of
    the space before the pivot; that window replicates it to the regions of those shingles. Sets that meet in a
    region, directly or by others, make up a larger region that no link leaves.
-3. Inside such a region documents are pivots: a pivot's ball holds the sets linked with it, and a set outside the
-   ball can be linked with one in it only at up to twice the limit. Just the sets in that window become pivots in
-   turn. A region of too many sets is cut by Voronoi cells of document pivots: balls are joined as they are, and each cell keeps only
-   what a document of its window may still add, again and again.
+3. Inside such a region documents are pivots. A document's home is its nearest pivot; a pivot's ball holds the documents linked
+   with it. By the triangle inequality a document can be linked with one in the ball of pivot j only if it lies within twice the distance of a
+   link from j, and with one whose home is j only if it lies at most that much further from j than from its own home: these windows
+   replicate documents to other pivots' balls and cells, which are regions again. Pivots are compared with everything in their
+   region and go nowhere, so it ends, with a region of a handful in which all are pivots. What is joined already isn't compared again: a dense
+   group is settled by its pivots, however large it is.
 
 Common passages come last in the order, so regions are about as small as the groups of near copies. Any order gives
-the same links. Sets are told apart, and shingles compared, by 64-bit hashes.
+the same links. Sets are told apart by 128 bits of hash, shingles by 64.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -38,11 +42,16 @@ COUNTED = 0.4
 FREQUENT = 2
 #: Shingles that a task gathers before it sorts them.
 FLUSH = 1 << 21
-#: Sets that one task joins at once; larger regions are cut first.
-REGION_SETS = 3000
-#: Pivots by which a large region is cut, and how often that is tried before it is cut into plain blocks.
-CELLS = 24
-CUTS = 4
+#: What makes a second hash of a set.
+OTHER_SALT = 0x8EBC6AF09C88C6E3
+#: Sets of a region that is cut inside one task; larger ones are cut across tasks.
+REGION_SETS = 256
+#: Sets that are all pivots.
+HANDFUL = 4
+#: Pivots by which a region of many tasks is cut at first and at most, and its documents that a task compares with them at once.
+PIVOTS = 24
+MOST_PIVOTS = 768
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -90,14 +99,14 @@ def shingle_sets(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def class_hashes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def class_hashes(grams: np.ndarray, bounds: np.ndarray, salt: int = 0x632BE59BD9B4E019) -> np.ndarray:
     """One hash for each set."""
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(grams + U64(0x632BE59BD9B4E019)), dtype=U64)])
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(mixed(grams + U64(salt)), dtype=U64)])
     return mixed(sums[bounds[1:]] - sums[bounds[:-1]] + np.diff(bounds).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def sets_of(docs: DataFrame, limit: Limit) -> DataFrame:
-    """doc_id, row (a hash that tells rows of one id apart), n_shingles and set (a hash, null without shingles)."""
+    """doc_id, row (a hash that tells rows of one id apart), n_shingles, and set and set2 (two hashes, null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,9 +114,10 @@ def sets_of(docs: DataFrame, limit: Limit) -> DataFrame:
                 grams, bounds = shingle_sets(w, limit.width)
                 n = np.diff(bounds)
                 own = [batch.column(c).slice(w.first, len(n)) for c in ("doc_id", "row")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(signed(class_hashes(grams, bounds)), mask=n == 0)], ["doc_id", "row", "n_shingles", "set"])
+                both = (pa.array(signed(class_hashes(grams, bounds, *salt)), mask=n == 0) for salt in ((), (OTHER_SALT,)))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *both], ["doc_id", "row", "n_shingles", "set", "set2"])
 
-    return docs.mapInArrow(run, "doc_id long, row int, n_shingles long, set long")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, set long, set2 long")
 
 
 def _ranged(kind: int, values: np.ndarray, others: np.ndarray, bits: int) -> Iterator[tuple]:
@@ -243,46 +253,81 @@ class Sets:
         return np.bincount(self.owners[at], minlength=len(self.sizes))
 
 
-def ball_links(sets: Sets, limit: Limit) -> Iterator[tuple[int, int]]:
+@dataclass
+class Placed:
+    """Where the sets of a region lie among its pivots: all arrays are pivots x sets but `home`."""
+
+    home: np.ndarray
+    ball: np.ndarray
+    near: np.ndarray
+    window: np.ndarray
+
+    @classmethod
+    def of(cls, both: np.ndarray, pivot_sizes: np.ndarray, sizes: np.ndarray, limit: Limit) -> Placed:
+        """From the shared shingles of each pivot and set: the nearest pivot; who lies within the distance of a link of a pivot,
+        within twice that, and no more than twice that further from it than from the nearest one."""
+        union = pivot_sizes[:, None] + sizes[None, :] - both
+        similarity = both / union
+        home = similarity.argmax(0)
+        widest = 2 * (1 - float(limit.share)) + 1e-9
+        return cls(home, limit.linked(both, union), limit.near(both, union), similarity >= similarity.max(0) - widest)
+
+    def guests(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """inside, ball guests and cell guests, given which pivots are joined (by equal numbers).
+
+        A set inside the ball of its home is linked with it. It can be linked with what lies in the ball of pivot j and isn't joined with it
+        only at up to twice the distance of a link from j. A set in no ball is a guest there by the same rule; sets in no ball
+        among themselves meet in the cell of the lower of their homes, which the other's window reaches.
+        """
+        at = np.arange(len(self.home))
+        inside = self.ball[self.home, at]
+        to_balls = self.near & ~(inside & (group[:, None] == group[self.home][None, :]))
+        to_cells = self.window & ~inside & (np.arange(len(group))[:, None] < self.home[None, :])
+        return inside, to_balls, to_cells
+
+
+def pivot_number(n: int, depth: int) -> int:
+    """Pivots of a region in one task: about the root of its sets, more where it was cut before, all of a handful."""
+    return n if n <= HANDFUL else min(n, math.isqrt(n) << min(depth, 20))
+
+
+def voronoi_links(sets: Sets, limit: Limit) -> list[tuple[int, int]]:
     """Links that join whatever sets are linked, directly or by others: fewer than there are sets.
 
-    Each set is a pivot, or in a pivot's ball; and a pivot as well if it lies in the window around another's ball.
-    Of a pivot's links to its ball only those between sets that aren't joined yet are given out.
+    A region's pivots are compared with all of its sets and settled by that; the others go to the balls and cells of pivots where they may still
+    be linked with something that they aren't joined with, which are regions again. Each is smaller by its pivots at least.
     """
-    n = len(sets.sizes)
-    covered, asked, done = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
-    label = np.arange(n)
-    next_free = 0
-    waiting: list[int] = []
-    while True:
-        while waiting and done[waiting[-1]]:
-            waiting.pop()
-        if waiting:
-            i = waiting.pop()
-        else:
-            while next_free < n and covered[next_free]:
-                next_free += 1
-            if next_free == n:
-                return
-            i = next_free
-        done[i] = covered[i] = True
-        both = sets.shared(i)
-        union = sets.sizes + sets.sizes[i] - both
-        ball = limit.linked(both, union)
-        ball[i] = False
-        hits = np.flatnonzero(ball)
-        covered[hits] = True
-        if not len(hits):
+    label = np.arange(len(sets.sizes))
+    links: list[tuple[int, int]] = []
+
+    def join(a: int, b: int) -> None:
+        if label[a] != label[b]:
+            links.append((a, b))
+            label[label == label[a]] = label[b]
+
+    open_regions = [(np.arange(len(label)), 0)]
+    while open_regions:
+        members, depth = open_regions.pop()
+        if len(members) < 2 or (label[members] == label[members[0]]).all():
             continue
-        groups, first = np.unique(label[hits], return_index=True)
-        apart = groups != label[i]
-        for j in hits[first[apart]].tolist():
-            yield i, j
-        if apart.any():
-            label[np.isin(label, groups)] = label[i]
-        more = np.flatnonzero(limit.near(both, union) & ~ball & ~asked & ~done)
-        asked[more] = True
-        waiting += more.tolist()
+        chosen = np.unique(np.linspace(0, len(members) - 1, pivot_number(len(members), depth)).astype(int))
+        pivots = members[chosen]
+        both = np.stack([sets.shared(i)[members] for i in pivots.tolist()])
+        placed = Placed.of(both, sets.sizes[pivots], sets.sizes[members], limit)
+        for j, x in np.argwhere(placed.ball).tolist():
+            join(int(pivots[j]), int(members[x]))
+        inside, to_balls, to_cells = placed.guests(label[pivots])
+        rest = np.ones(len(members), bool)
+        rest[chosen] = False
+        for j in range(len(pivots)):
+            native = rest & (placed.home == j)
+            guests = rest & to_balls[j]
+            if guests.any() and (native & inside).any():
+                open_regions.append((members[(native & inside) | guests], depth + 1))
+            outer = native & ~inside
+            if outer.any():
+                open_regions.append((members[outer | (rest & to_cells[j])], depth + 1))
+    return links
 
 
 def _table_sets(table: pa.Table, limit: Limit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,105 +359,97 @@ def region_join(regions: DataFrame, limit: Limit) -> DataFrame:
         keep[right] = True
         sizes = np.diff(bounds)
         sets = Sets(grams[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[right])]))
-        pairs = np.array(list(ball_links(sets, limit)), np.int64).reshape(-1, 2)
+        pairs = np.array(voronoi_links(sets, limit), np.int64).reshape(-1, 2)
         return pa.table([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]])], names=["a", "b"])
 
     return regions.groupBy("region").applyInArrow(join, "a long, b long")
 
 
 def _pivot_groups(key: tuple, table: pa.Table) -> pa.Table:
-    """For each of a region's pivots the least pivot that shared documents join it with."""
-    label = local_labels(CELLS, table.column("a").to_numpy().astype(np.int64), table.column("b").to_numpy().astype(np.int64))
-    return pa.table([pa.array([key[0].as_py()]), pa.array([label.astype(np.int32)], pa.list_(pa.int32()))], names=["region", "groups"])
+    """For each of a region's pivots that shared documents join with another, the least pivot that they join it with."""
+    a, b = table.column("a").to_numpy().astype(np.int64), table.column("b").to_numpy().astype(np.int64)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = nodes[local_labels(len(nodes), at[: len(a)], at[len(a) :])]
+    groups = pa.array([list(zip(nodes.tolist(), label.tolist()))], pa.map_(pa.int32(), pa.int32()))
+    return pa.table([pa.array([key[0].as_py()]), groups], names=["region", "groups"])
 
 
-def cells(regions: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller regions for large ones, and links found on the way.
+def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Smaller regions for large ones, and links found on the way: Placed's rule with a region's documents in many tasks.
 
-    Pivots are some documents of each region; a document's home is its nearest pivot. Documents in the ball of their home are
-    linked with it, and pivots that have a document in common are joined. What is joined needs no more comparing with itself. Still
-    open is whether a document of another group, or in no ball, is linked with one in the ball of pivot j; such a guest lies at
-    most twice the link distance from j. So the new regions are: for each j with guests, those at home in its ball with the guests; and
-    the documents in no ball among themselves. A dense group is settled by its pivots, however large it is.
+    A task holds the texts of some of a region's documents and of its pivots, whose number doubles with each turn up to MOST_PIVOTS.
+    Pivots are settled and go nowhere, so every region ends.
     """
     names = ["region", "doc_id", "set", "text"]
+    slots = min(MOST_PIVOTS, PIVOTS << min(turn, 20))
     draw = F.xxhash64("doc_id", "set", F.lit(turn))
-    picked = regions.groupBy("region", F.pmod(draw, F.lit(CELLS)).alias("slot")).agg(F.min_by(F.struct("doc_id", "text"), F.struct(draw, "doc_id", "set")).alias("pivot"))
-    pivots = picked.groupBy("region").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
-    schema = "region string, doc_id long, set long, text string, home int, ball array<int>, near array<int>, a long, b long, i int, j int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple] = {}
-        for batch in batches:
-            grams, bounds, hashes = _table_sets(pa.Table.from_batches([batch]), limit)
-            sizes, right = np.diff(bounds), signed(hashes) == batch.column("set").to_numpy()
-            rows: list[tuple] = []
-            joined: set[tuple] = set()
-            for r, region in enumerate(batch.column("region").to_pylist()):
-                if not right[r]:  # another row of this id
-                    continue
-                if region not in seen:
-                    seen.clear()
-                    at = batch.column("pivots")[r].values
-                    g, b, _ = _table_sets(pa.table({"text": at.field("text")}), limit)
-                    by = np.argsort(g, kind="stable")
-                    seen[region] = (at.field("doc_id").to_pylist(), g[by], np.repeat(np.arange(len(b) - 1), np.diff(b))[by], np.diff(b))
-                ids, g, owner, n = seen[region]
-                own = grams[bounds[r] : bounds[r + 1]]
-                lo, hi = np.searchsorted(g, own), np.searchsorted(g, own, side="right")
-                ends = np.cumsum(hi - lo)
-                both = np.bincount(owner[np.repeat(lo - (ends - (hi - lo)), hi - lo) + np.arange(ends[-1])], minlength=len(n))
-                union = n + sizes[r] - both
-                home = int(np.argmax(both / union))
-                ball, near = (np.flatnonzero(test(both, union)).tolist() for test in (limit.linked, limit.near))
-                doc, key, text = (batch.column(c)[r].as_py() for c in names[1:])
-                rows.append((region, doc, key, text, home, ball, near, ids[home] if ball else None, doc if ball else None, None, None))
-                joined |= {(region, ids[ball[0]], ids[j], ball[0], j) for j in ball[1:]}
-            rows += [(region, None, None, None, None, None, None, a, b, i, j) for region, a, b, i, j in joined]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in schema.split(", ")])
-
-    rows = written(regions.join(pivots, "region").select(*names, "pivots").mapInArrow(run, schema), "cells")
+    picked = regions.groupBy("region", F.pmod(draw, F.lit(slots)).alias("slot")).agg(F.min_by(F.struct("doc_id", "set", "text"), F.struct(draw, "doc_id", "set")).alias("p"))
+    parts = sizes.select("region", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
+    chunk = F.pmod(F.xxhash64("doc_id", "set", F.lit("chunk")), F.col("parts")).cast("int")
+    dealt = regions.join(parts, "region").select(*names, chunk.alias("chunk")).groupBy("region", "chunk")
+    pivots = picked.join(parts, "region").select(F.col("region").alias("of"), "p.*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("at")).groupBy("of", "at")
+    schema = "region string, doc_id long, set long, text string, home int, inside boolean, near array<int>, lower array<int>, a long, b long, i int, j int"
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def place(key: tuple, docs: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("doc_id", "ascending"), ("set", "ascending")])
+        grams, bounds, hashes = _table_sets(pa.concat_tables([own.select(names[1:]), docs.select(names[1:])]), limit)
+        k, sizes = len(own), np.diff(bounds)
+        if not k or not len(docs):
+            return pa.table([pa.array([], kind) for kind in kinds], names=columns)
+        ids = np.concatenate([own.column("doc_id").to_numpy(), docs.column("doc_id").to_numpy()])
+        asked = np.concatenate([own.column("set").to_numpy(), docs.column("set").to_numpy()])
+        sets = Sets(grams, bounds)
+        placed = Placed.of(np.stack([sets.shared(j)[k:] for j in range(k)]), sizes[:k], sizes[k:], limit)
+        inside, near, lower = placed.guests(np.arange(k))
+        settled = set(zip(ids[:k].tolist(), asked[:k].tolist()))
+        region, texts = key[0].as_py(), docs.column("text").to_pylist()
+        rows: list[tuple] = []
+        joined: set[tuple] = set()
+        for x in np.flatnonzero(signed(hashes)[k:] == asked[k:]).tolist():  # not another row of this id
+            ball = np.flatnonzero(placed.ball[:, x]).tolist()
+            joined |= {(ball[0], j) for j in ball[1:]}
+            doc, of = int(ids[k + x]), int(asked[k + x])
+            if (doc, of) not in settled:
+                home = int(placed.home[x])
+                link = (int(ids[home]), doc) if inside[x] else (None, None)
+                rows.append((region, doc, of, texts[x], home, bool(inside[x]), np.flatnonzero(near[:, x]).tolist(), np.flatnonzero(lower[:, x]).tolist(), *link, None, None))
+        rows += [(region, *[None] * 7, int(ids[i]), int(ids[j]), i, j) for i, j in joined]
+        return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=columns)
+
+    rows = written(dealt.cogroup(pivots).applyInArrow(place, schema), "cells")
     edges = rows.where("i is not null").select("region", F.col("i").alias("a"), F.col("j").alias("b")).distinct()
-    groups = edges.groupBy("region").applyInArrow(_pivot_groups, "region string, groups array<int>")
-    own = F.coalesce("groups", F.sequence(F.lit(0), F.lit(CELLS - 1)))
-    placed = rows.where("doc_id is not null").join(groups, "region", "left").withColumn("groups", own)
-    inside = F.size("ball") > 0
-    strange = F.filter("near", lambda j: ~inside | (F.get(F.col("groups"), j) != F.get(F.col("groups"), F.col("home"))))
-    cell = lambda j: F.concat_ws(".", F.col("region"), F.lit(turn).cast("string"), j.cast("string"))
-    guests = written(placed.withColumn("_j", F.explode(strange)).select(cell(F.col("_j")).alias("region"), *names[1:]), "guests")
-    homes = placed.where(inside).select(cell(F.col("home")).alias("region"), *names[1:]).join(guests.select("region").distinct(), "region", "left_semi")
-    outer = placed.where(~inside).select(cell(F.lit("o")).alias("region"), *names[1:])
+    groups = edges.groupBy("region").applyInArrow(_pivot_groups, "region string, groups map<int,int>")
+    placed = rows.where("doc_id is not null").join(groups, "region", "left")
+    group = lambda j: F.coalesce(F.element_at("groups", j), j)
+    strange = F.filter("near", lambda j: ~F.col("inside") | (group(j) != group(F.col("home"))))
+    cell = lambda kind, j: F.concat_ws(".", F.col("region"), F.lit(turn).cast("string"), F.concat(F.lit(kind), j.cast("string")))
+    # balls of pivots with the guests that may be linked with something in them, and cells of what is in no ball
+    guests = written(placed.withColumn("_j", F.explode(strange)).select(cell("b", F.col("_j")).alias("region"), *names[1:]), "guests")
+    natives = placed.where("inside").select(cell("b", F.col("home")).alias("region"), *names[1:]).join(guests.select("region").distinct(), "region", "left_semi")
+    guests = guests.join(placed.where("inside").select(cell("b", F.col("home")).alias("region")).distinct(), "region", "left_semi")
+    outer = placed.where("not inside").withColumn("_j", F.explode(F.concat(F.array("home"), "lower"))).select(cell("o", F.col("_j")).alias("region"), *names[1:])
     links = rows.where("a is not null").select("a", "b")
-    return homes.unionByName(guests).unionByName(outer), links
+    return natives.unionByName(guests).unionByName(outer), links
 
 
-def blocks(regions: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Regions that cells don't divide, as pairs of blocks of half REGION_SETS: every two documents meet in one of them."""
-    half = REGION_SETS // 2
-    cut = regions.join(sizes, "region").withColumn("_k", F.ceil(F.col("n") / half).cast("int"))
-    cut = cut.withColumn("_i", F.pmod(F.xxhash64("doc_id", "set", F.lit("block")), F.col("_k")).cast("int"))
-    cut = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    name = F.concat_ws("/", "region", F.least("_i", "_j"), F.greatest("_i", "_j"))
-    return cut.select(name.alias("region"), "doc_id", "set", "text")
+def linked_sets(regions: DataFrame, sizes: DataFrame, limit: Limit) -> DataFrame:
+    """a, b: links that join all linked documents of regions of any size.
 
-
-def linked_sets(regions: DataFrame, limit: Limit) -> DataFrame:
-    """a, b: links that join all linked documents of regions of any size."""
+    A region of up to REGION_SETS sets is cut by pivots inside one task (voronoi_links), a larger one across tasks (cells) until its parts
+    are as small: the same rule, only the place differs.
+    """
     found: list[DataFrame] = []
-    for turn in range(CUTS + 1):
-        sizes = regions.groupBy("region").agg(F.count("*").alias("n"))
+    for turn in itertools.count():
         large = sizes.where(F.col("n") > REGION_SETS)
         if large.isEmpty():
             found.append(region_join(regions, limit))
             break
-        found.append(region_join(regions.join(large, "region", "left_anti"), limit))
-        rest = regions.join(large.select("region"), "region", "left_semi")
-        if turn == CUTS:
-            found.append(region_join(blocks(rest, large), limit))
-            break
-        regions, links = cells(rest, limit, turn)
-        regions = written(regions, "regions")
+        found.append(region_join(regions.join(sizes.where((F.col("n") > REGION_SETS) | (F.col("n") < 2)).select("region"), "region", "left_anti"), limit))
+        smaller, links = cells(regions.join(large.select("region"), "region", "left_semi"), large, limit, turn)
+        regions = written(smaller, "regions")
+        sizes = written(regions.groupBy("region").agg(F.count("*").alias("n")), "region-sizes")
         found.append(links)
     out = found[0]
     for more in found[1:]:
@@ -428,23 +465,26 @@ def similar_documents(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
     of one id with different texts count as one document's. An empty table gives no rows.
     """
     bits = range_bits(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("row"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     known = rows.where("doc_id is not null")
     sets = written(sets_of(rows, limit), "sets")
-    classes = written(sets.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("head")), "classes")
+    heads = sets.where("set is not null and doc_id is not null").groupBy("set", "set2").agg(F.min(F.struct("doc_id", "row")).alias("_h"))
+    classes = written(heads.select("set", "set2", F.col("_h.doc_id").alias("head"), F.col("_h.row").alias("row")), "classes")
     near = components(region_links(known, limit, frequencies(known, limit, bits), bits))
-    members = classes.join(near.withColumnRenamed("node", "set"), "set").select(F.col("head").alias("doc_id"), "set", F.col("component").cast("string").alias("region"))
+    members = classes.join(near.withColumnRenamed("node", "set"), "set").select(F.col("head").alias("doc_id"), "row", "set", F.col("component").cast("string").alias("region"))
     members = written(members, "members")
+    sizes = written(members.groupBy("region").agg(F.count("*").alias("n")), "region-sizes")
     likely, _ = possible(known, "doc_id", members.select("doc_id"))
-    regions = likely.join(members, "doc_id").select("region", "doc_id", "set", "text")
-    joined = components(linked_sets(regions, limit))
-    heads = classes.join(joined.withColumnRenamed("node", "head"), "head", "left").select("set", F.coalesce("component", "head").alias("_component"))
-    out = sets.join(heads, "set", "left")
+    regions = written(likely.dropDuplicates(["doc_id", "row"]).join(members, ["doc_id", "row"]).select("region", "doc_id", "set", "text"), "regions")
+    joined = components(linked_sets(regions, sizes, limit))
+    labels = classes.join(joined.withColumnRenamed("node", "head"), "head", "left").select("set", "set2", F.coalesce("component", "head").alias("_component"))
+    out = sets.join(labels, ["set", "set2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("_component")))
     return out.select("doc_id", "row", "n_shingles", component.alias("component_id"))
 
 
 def join_report(docs: DataFrame, limit: Limit = Limit()) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row; null, empty, repeated and clashing rows as in similar_documents()."""
     return similar_documents(docs, limit).select("doc_id", "n_shingles", "component_id")
 
 
@@ -458,7 +498,7 @@ def one_of_each(docs: DataFrame, limit: Limit = Limit(5, 80)) -> DataFrame:
     troubled = written(counts.where("component_id < doc_id or n > 1").select("doc_id", "row", (F.col("component_id") < F.col("doc_id")).alias("gone")), "dropped")
     likely, rest = possible(docs, "doc_id", troubled.select("doc_id"))
     asked = troubled.select(F.col("doc_id").alias("_jaccard_id"), F.col("row").alias("_jaccard_row"), F.col("gone").alias("_jaccard_gone"))
-    marked = likely.withColumn("_jaccard_hash", F.hash("text")).join(asked, (F.col("doc_id") == F.col("_jaccard_id")) & (F.col("_jaccard_hash") == F.col("_jaccard_row")), "left")
+    marked = likely.withColumn("_jaccard_hash", F.xxhash64("text")).join(asked, (F.col("doc_id") == F.col("_jaccard_id")) & (F.col("_jaccard_hash") == F.col("_jaccard_row")), "left")
     single = marked.where("_jaccard_gone is null").select(*docs.columns)
     repeated = marked.where("not _jaccard_gone").dropDuplicates(["doc_id", "_jaccard_hash"]).select(*docs.columns)
     return rest.unionByName(single).unionByName(repeated)

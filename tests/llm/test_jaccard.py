@@ -2,9 +2,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from strandloom.llm import jaccard_join
+from strandloom.llm.components import local_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -72,16 +74,61 @@ def test_made_up(spark, seed):
     check(frame, 5, 80)
 
 
-def test_large_regions_are_cut(spark, monkeypatch):
+def test_regions_cut_across_tasks(spark, monkeypatch):
     draw = random.Random(5)
     texts = near_copies(draw, 3, 90)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(jaccard_join, "REGION_SETS", 12)
-    monkeypatch.setattr(jaccard_join, "CELLS", 4)
-    monkeypatch.setattr(jaccard_join, "CUTS", 2)
+    for name, value in (("REGION_SETS", 12), ("PIVOTS", 4), ("CHUNK", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
     check(frame)
 
 
+def test_large_regions(spark):
+    """Regions that are cut across tasks as they come, of near copies and of chains that drift away from their beginning."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(3000)}" for _ in range(80)]
+    texts = []
+    for i in range(420):
+        own = list(base)
+        for _ in range(draw.randrange(5)):
+            own[draw.randrange(80)] = f"x{draw.randrange(40)}"
+        texts.append(" ".join(own))
+        if i % 5 == 0:
+            base[draw.randrange(80)] = f"y{i}"
+    called = []
+    frame = spark.createDataFrame([*enumerate(texts), (3, texts[5]), (3, texts[3]), (None, texts[7])], "doc_id long, text string")
+    real = jaccard_join.cells
+    jaccard_join.cells = lambda *args: called.append(1) or real(*args)
+    try:
+        check(frame)
+    finally:
+        jaccard_join.cells = real
+    assert called
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cells_and_windows(seed):
+    """Pivots, balls and cells against all pairs, with sets at every distance, many just outside each other's balls."""
+    draw = np.random.default_rng(seed)
+    limit = jaccard_join.Limit(4, [85, 80, 60][seed % 3])
+    core = draw.permutation(4000)[:40]
+    sets = []
+    for i in range(150):
+        kept = core[draw.random(40) > [0.02, 0.08, 0.15, 0.5][i % 4]]
+        sets.append(np.unique(np.concatenate([kept, draw.integers(5000, 5060, draw.integers(0, 9)), [9000 + i % 70]])).astype(np.uint64))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    found = jaccard_join.voronoi_links(jaccard_join.Sets(np.concatenate(sets), bounds), limit)
+    label = list(range(150))
+    for i in range(150):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= limit.percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = local_labels(150, np.array([a for a, _ in found], int), np.array([b for _, b in found], int))
+    assert got.tolist() == label and len(found) < 150
+
+
 def test_one_of_each(spark, awkward, empty):
     draw = random.Random(8)
     texts = near_copies(draw, 10, 6)
