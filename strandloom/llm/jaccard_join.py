@@ -45,7 +45,7 @@ FLUSH = 1 << 21
 #: What makes a second hash of a set.
 OTHER_SALT = 0x8EBC6AF09C88C6E3
 #: Sets of a region that is cut inside one task; larger ones are cut across tasks.
-REGION_SETS = 256
+REGION_SETS = 512
 #: Sets that are all pivots.
 HANDFUL = 4
 #: Pivots by which a region of many tasks is cut at first and at most, and its documents that a task compares with them at once.
@@ -139,10 +139,10 @@ def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
 
 
-def frequencies(docs: DataFrame, limit: Limit, bits: int) -> Lookup:
+def frequencies(docs: DataFrame, limit: Limit, bits: int, counted: float = COUNTED) -> Lookup:
     """Files of the shingles among the counted ones that FREQUENT documents or more have, with the rounded logarithm of how many."""
     folder = new_folder(docs.sparkSession, "frequencies")
-    most = U64(int(COUNTED * 2**64))
+    most = U64(min(int(counted * 2**64), 2**64 - 1))
 
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
@@ -172,12 +172,12 @@ def frequencies(docs: DataFrame, limit: Limit, bits: int) -> Lookup:
     return Lookup(folder, "shingles", bits, (U64, np.uint8))
 
 
-def region_links(docs: DataFrame, limit: Limit, order: Lookup, bits: int) -> DataFrame:
+def region_links(docs: DataFrame, limit: Limit, order: Lookup, bits: int, counted: float = COUNTED) -> DataFrame:
     """a, b: links of sets that lie in one shingle's region; each region's sets are linked with one of them.
 
     Regions are joined inside each task first, so a shingle goes from a task to its range once, however many sets have it.
     """
-    most = U64(int(COUNTED * 2**64))
+    most = U64(min(int(counted * 2**64), 2**64 - 1))
 
     def flush(tokens: list[np.ndarray], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         t, s = np.concatenate(tokens), np.concatenate(sets)
@@ -201,9 +201,9 @@ def region_links(docs: DataFrame, limit: Limit, order: Lookup, bits: int) -> Dat
                 grams, bounds = shingle_sets(w, limit.width)
                 n = np.diff(bounds)
                 level = np.where(grams < most, 0, 100).astype(np.uint8)
-                counted = np.flatnonzero(grams < most)
-                values, back = np.unique(grams[counted], return_inverse=True)
-                level[counted] = order.found(values, values, 0, (1,))[0][back]
+                asked = np.flatnonzero(grams < most)
+                values, back = np.unique(grams[asked], return_inverse=True)
+                level[asked] = order.found(values, values, 0, (1,))[0][back]
                 text = np.repeat(np.arange(len(n)), n)
                 by = np.lexsort((grams, level, text))
                 place_in_text = np.arange(len(grams)) - np.repeat(bounds[:-1], n)
@@ -273,16 +273,15 @@ class Placed:
         return cls(home, limit.linked(both, union), limit.near(both, union), similarity >= similarity.max(0) - widest)
 
     def guests(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """inside, ball guests and cell guests, given which pivots are joined (by equal numbers).
+        """inside, guests of balls and guests of cells, given which pivots are joined (by equal numbers).
 
-        A set inside the ball of its home is linked with it. It can be linked with what lies in the ball of pivot j and isn't joined with it
-        only at up to twice the distance of a link from j. A set in no ball is a guest there by the same rule; sets in no ball
-        among themselves meet in the cell of the lower of their homes, which the other's window reaches.
+        A set inside the ball of its home is linked with it. A set can be linked with what lies in the ball of pivot j and isn't joined with it
+        only at up to twice the distance of a link from j. Sets that no ball takes meet among themselves in the cell of the lower of their
+        homes, which the other's window reaches.
         """
-        at = np.arange(len(self.home))
-        inside = self.ball[self.home, at]
+        inside = self.ball[self.home, np.arange(len(self.home))]
         to_balls = self.near & ~(inside & (group[:, None] == group[self.home][None, :]))
-        to_cells = self.window & ~inside & (np.arange(len(group))[:, None] < self.home[None, :])
+        to_cells = self.window & (np.arange(len(group))[:, None] < self.home[None, :])
         return inside, to_balls, to_cells
 
 
@@ -294,8 +293,9 @@ def pivot_number(n: int, depth: int) -> int:
 def voronoi_links(sets: Sets, limit: Limit) -> list[tuple[int, int]]:
     """Links that join whatever sets are linked, directly or by others: fewer than there are sets.
 
-    A region's pivots are compared with all of its sets and settled by that; the others go to the balls and cells of pivots where they may still
-    be linked with something that they aren't joined with, which are regions again. Each is smaller by its pivots at least.
+    A region's pivots are compared with all of its sets and settled by that. A ball with no more guests than natives is a region with them, a dense
+    one settled at once if it has none. Other sets go to their cells and, where the windows would only copy them, on together with more
+    pivots. Each region is smaller than its parent by the pivots at least.
     """
     label = np.arange(len(sets.sizes))
     links: list[tuple[int, int]] = []
@@ -317,16 +317,21 @@ def voronoi_links(sets: Sets, limit: Limit) -> list[tuple[int, int]]:
         for j, x in np.argwhere(placed.ball).tolist():
             join(int(pivots[j]), int(members[x]))
         inside, to_balls, to_cells = placed.guests(label[pivots])
-        rest = np.ones(len(members), bool)
-        rest[chosen] = False
+        free = np.ones(len(members), bool)
+        free[chosen] = False
+        rest = free & ~inside
         for j in range(len(pivots)):
-            native = rest & (placed.home == j)
-            guests = rest & to_balls[j]
-            if guests.any() and (native & inside).any():
-                open_regions.append((members[(native & inside) | guests], depth + 1))
-            outer = native & ~inside
-            if outer.any():
-                open_regions.append((members[outer | (rest & to_cells[j])], depth + 1))
+            native, guests = free & inside & (placed.home == j), free & to_balls[j]
+            if guests.sum() > native.sum():
+                rest |= native
+            elif guests.any():
+                open_regions.append((members[native | guests], depth + 1))
+        to_cells &= rest
+        if to_cells.sum() > rest.sum():
+            open_regions.append((members[rest], depth + 1))
+        else:
+            homes = np.unique(placed.home[rest])
+            open_regions += [(members[(rest & (placed.home == j)) | to_cells[j]], depth + 1) for j in homes.tolist()]
     return links
 
 
@@ -375,10 +380,10 @@ def _pivot_groups(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Smaller regions for large ones, and links found on the way: Placed's rule with a region's documents in many tasks.
+    """Smaller regions for large ones, and links found on the way: the rules of voronoi_links with a region's documents in many tasks.
 
     A task holds the texts of some of a region's documents and of its pivots, whose number doubles with each turn up to MOST_PIVOTS.
-    Pivots are settled and go nowhere, so every region ends.
+    Pivots are settled and go nowhere, so every region ends. What neither balls nor windows divide is divided by shingles again.
     """
     names = ["region", "doc_id", "set", "text"]
     slots = min(MOST_PIVOTS, PIVOTS << min(turn, 20))
@@ -421,17 +426,33 @@ def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tupl
     rows = written(dealt.cogroup(pivots).applyInArrow(place, schema), "cells")
     edges = rows.where("i is not null").select("region", F.col("i").alias("a"), F.col("j").alias("b")).distinct()
     groups = edges.groupBy("region").applyInArrow(_pivot_groups, "region string, groups map<int,int>")
-    placed = rows.where("doc_id is not null").join(groups, "region", "left")
     group = lambda j: F.coalesce(F.element_at("groups", j), j)
     strange = F.filter("near", lambda j: ~F.col("inside") | (group(j) != group(F.col("home"))))
+    placed = rows.where("doc_id is not null").join(groups, "region", "left").withColumn("near", strange)
+    # balls with no more guests than natives
+    natives = placed.where("inside").groupBy("region", F.col("home").alias("j")).agg(F.count("*").alias("natives"))
+    asked = placed.select("region", F.explode("near").alias("j")).groupBy("region", "j").agg(F.count("*").alias("guests"))
+    balls = natives.join(asked, ["region", "j"], "left").where("coalesce(guests, 0) <= natives")
+    balls = balls.groupBy("region").agg(F.collect_list("j").alias("taken"), F.collect_list(F.when(F.col("guests") > 0, F.col("j"))).alias("open"))
+    placed = placed.drop("groups").join(written(balls, "balls"), "region", "left").withColumns({c: F.coalesce(c, F.array().cast("array<int>")) for c in ("taken", "open")})
     cell = lambda kind, j: F.concat_ws(".", F.col("region"), F.lit(turn).cast("string"), F.concat(F.lit(kind), j.cast("string")))
-    # balls of pivots with the guests that may be linked with something in them, and cells of what is in no ball
-    guests = written(placed.withColumn("_j", F.explode(strange)).select(cell("b", F.col("_j")).alias("region"), *names[1:]), "guests")
-    natives = placed.where("inside").select(cell("b", F.col("home")).alias("region"), *names[1:]).join(guests.select("region").distinct(), "region", "left_semi")
-    guests = guests.join(placed.where("inside").select(cell("b", F.col("home")).alias("region")).distinct(), "region", "left_semi")
-    outer = placed.where("not inside").withColumn("_j", F.explode(F.concat(F.array("home"), "lower"))).select(cell("o", F.col("_j")).alias("region"), *names[1:])
-    links = rows.where("a is not null").select("a", "b")
-    return natives.unionByName(guests).unionByName(outer), links
+    to_balls = placed.withColumn("_j", F.explode(F.concat(F.array_intersect("near", "open"), F.when(F.col("inside") & F.array_contains("open", F.col("home")), F.array("home")).otherwise(F.array().cast("array<int>")))))
+    rest = placed.where(~F.col("inside") | ~F.array_contains("taken", F.col("home")))
+    copies = rest.groupBy("region").agg(F.sum(F.size("lower")).alias("more"), F.count("*").alias("n"))
+    rest = rest.join(copies.select("region", (F.col("more") > F.col("n")).alias("stuck")), "region")
+    divided = rest.where("not stuck").withColumn("_j", F.explode(F.concat(F.array("home"), "lower")))
+    stuck = written(rest.where("stuck").select(*names), "stuck")
+    out = to_balls.select(cell("b", F.col("_j")).alias("region"), *names[1:]).unionByName(divided.select(cell("o", F.col("_j")).alias("region"), *names[1:]))
+    if not stuck.isEmpty():
+        out = out.unionByName(shingle_regions(stuck, limit).select(cell("r", F.col("part")).alias("region"), *names[1:]))
+    return out, rows.where("a is not null").select("a", "b")
+
+
+def shingle_regions(stuck: DataFrame, limit: Limit) -> DataFrame:
+    """Rows of `stuck` with `part`: the larger regions of step 2 among these sets alone, with all of their shingles counted; sets that meet none are left out."""
+    bits = range_bits(stuck)
+    near = components(region_links(stuck, limit, frequencies(stuck, limit, bits, 1.0), bits, 1.0))
+    return stuck.join(near.select(F.col("node").alias("set"), F.col("component").alias("part")), "set")
 
 
 def linked_sets(regions: DataFrame, sizes: DataFrame, limit: Limit) -> DataFrame:

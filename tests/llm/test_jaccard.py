@@ -74,36 +74,51 @@ def test_made_up(spark, seed):
     check(frame, 5, 80)
 
 
+def counted(monkeypatch, name):
+    """The calls of a function of the module."""
+    calls, real = [], getattr(jaccard_join, name)
+    monkeypatch.setattr(jaccard_join, name, lambda *args: calls.append(1) or real(*args))
+    return calls
+
+
+def variants(draw, n, words=60, most=6, kinds=3):
+    """Texts of one base with words changed to a few others each: many are near each other, few as near as a link."""
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for k in draw.sample(range(words), draw.randrange(1, most)):
+            own[k] = f"x{k}-{draw.randrange(kinds)}"
+        out.append(" ".join(own))
+    return out
+
+
 def test_regions_cut_across_tasks(spark, monkeypatch):
     draw = random.Random(5)
-    texts = near_copies(draw, 3, 90)
+    texts = near_copies(draw, 3, 60) + variants(draw, 120)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for name, value in (("REGION_SETS", 12), ("PIVOTS", 4), ("CHUNK", 16)):
+    for name, value in (("REGION_SETS", 20), ("PIVOTS", 4), ("CHUNK", 16)):
         monkeypatch.setattr(jaccard_join, name, value)
+    cut, again = counted(monkeypatch, "cells"), counted(monkeypatch, "shingle_regions")
     check(frame)
+    assert cut and again
 
 
-def test_large_regions(spark):
-    """Regions that are cut across tasks as they come, of near copies and of chains that drift away from their beginning."""
+def test_large_regions(spark, monkeypatch):
+    """Regions that are cut across tasks as they come, of near copies that drift away from their beginning."""
     draw = random.Random(11)
     base = [f"w{draw.randrange(3000)}" for _ in range(80)]
     texts = []
-    for i in range(420):
+    for i in range(900):
         own = list(base)
         for _ in range(draw.randrange(5)):
             own[draw.randrange(80)] = f"x{draw.randrange(40)}"
         texts.append(" ".join(own))
-        if i % 5 == 0:
+        if i % 25 == 0:
             base[draw.randrange(80)] = f"y{i}"
-    called = []
-    frame = spark.createDataFrame([*enumerate(texts), (3, texts[5]), (3, texts[3]), (None, texts[7])], "doc_id long, text string")
-    real = jaccard_join.cells
-    jaccard_join.cells = lambda *args: called.append(1) or real(*args)
-    try:
-        check(frame)
-    finally:
-        jaccard_join.cells = real
-    assert called
+    cut = counted(monkeypatch, "cells")
+    check(spark.createDataFrame([*enumerate(texts), (3, texts[5]), (3, texts[3]), (None, texts[7])], "doc_id long, text string"))
+    assert cut
 
 
 @pytest.mark.parametrize("seed", range(6))
