@@ -48,10 +48,14 @@ OTHER_SALT = 0x8EBC6AF09C88C6E3
 REGION_SETS = 512
 #: Sets that are all pivots.
 HANDFUL = 4
-#: Pivots by which a region of many tasks is cut at first and at most, and its documents that a task compares with them at once.
+#: Pivots by which a region of many tasks is cut: one for so many sets, but at first at least and always at most so many; and its documents that a task
+#: compares with them at once.
+SETS_PER_PIVOT = 8
 PIVOTS = 24
-MOST_PIVOTS = 768
+MOST_PIVOTS = 512
 CHUNK = 512
+#: Turns from one division by shingles to the next.
+SHINGLE_TURNS = 2
 
 
 @dataclass(frozen=True)
@@ -382,13 +386,14 @@ def _pivot_groups(key: tuple, table: pa.Table) -> pa.Table:
 def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tuple[DataFrame, DataFrame]:
     """Smaller regions for large ones, and links found on the way: the rules of voronoi_links with a region's documents in many tasks.
 
-    A task holds the texts of some of a region's documents and of its pivots, whose number doubles with each turn up to MOST_PIVOTS.
-    Pivots are settled and go nowhere, so every region ends. What neither balls nor windows divide is divided by shingles again.
+    A task holds the texts of some of a region's documents and of its pivots, whose share doubles with each turn, up to MOST_PIVOTS.
+    Pivots are settled and go nowhere, so every region ends. What neither balls nor windows divide is divided by shingles again, every
+    SHINGLE_TURNS turns, or goes on together.
     """
     names = ["region", "doc_id", "set", "text"]
-    slots = min(MOST_PIVOTS, PIVOTS << min(turn, 20))
     draw = F.xxhash64("doc_id", "set", F.lit(turn))
-    picked = regions.groupBy("region", F.pmod(draw, F.lit(slots)).alias("slot")).agg(F.min_by(F.struct("doc_id", "set", "text"), F.struct(draw, "doc_id", "set")).alias("p"))
+    slots = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(PIVOTS), F.ceil(F.col("n") / SETS_PER_PIVOT)) * 2 ** min(turn, 20))
+    picked = regions.join(sizes, "region").groupBy("region", F.pmod(draw, slots).alias("slot")).agg(F.min_by(F.struct("doc_id", "set", "text"), F.struct(draw, "doc_id", "set")).alias("p"))
     parts = sizes.select("region", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"))
     chunk = F.pmod(F.xxhash64("doc_id", "set", F.lit("chunk")), F.col("parts")).cast("int")
     dealt = regions.join(parts, "region").select(*names, chunk.alias("chunk")).groupBy("region", "chunk")
@@ -443,7 +448,9 @@ def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tupl
     divided = rest.where("not stuck").withColumn("_j", F.explode(F.concat(F.array("home"), "lower")))
     stuck = written(rest.where("stuck").select(*names), "stuck")
     out = to_balls.select(cell("b", F.col("_j")).alias("region"), *names[1:]).unionByName(divided.select(cell("o", F.col("_j")).alias("region"), *names[1:]))
-    if not stuck.isEmpty():
+    if turn % SHINGLE_TURNS:
+        out = out.unionByName(stuck.select(cell("r", F.lit("")).alias("region"), *names[1:]))
+    elif not stuck.isEmpty():
         out = out.unionByName(shingle_regions(stuck, limit).select(cell("r", F.col("part")).alias("region"), *names[1:]))
     return out, rows.where("a is not null").select("a", "b")
 
