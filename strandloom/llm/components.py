@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import discard, written
+
+#: Links that a task contracts at once.
+FLUSH = 1 << 21
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,26 +32,53 @@ def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (v, u) of a task replaced by links that join the same nodes: each node that isn't its group's least with the least."""
+
+    def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        v, u = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("v", "u"))
+        nodes, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        label = local_labels(len(nodes), at[: len(v)], at[len(v) :])
+        low = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[low]), pa.array(nodes[label[low]])], ["v", "u"])
+
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        parts.append(batch)
+        if sum(map(len, parts)) >= FLUSH:
+            yield flush(parts)
+            parts = []
+    if parts:
+        yield flush(parts)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node on a link of `links` (a, b), component being the least node reachable.
+    """(node, component) of every node on a link of `links` (a, b; longs), component being the least node reachable.
 
-    Rounds of large-star and small-star contractions, each written to the shared folder; the number of rounds grows
-    with the logarithm of the nodes. A hub's neighbours are never gathered in one row: minima are aggregated and joined back.
+    Rounds of large-star and small-star contractions, each written to the shared folder; each task contracts its own links first, at most FLUSH
+    at once. The number of rounds grows with the logarithm of the nodes. A hub's neighbours are never gathered in one row: minima are
+    aggregated and joined back. Ends when every node is linked with one other only, and that one with nothing smaller.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
-    before = None
+    schema = "v long, u long"
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().mapInArrow(_stars, schema)
+    spent = None
     for _ in range(rounds):
+        edges = written(edges, "links")
+        if spent is not None:
+            discard(spent)
+        spent = edges
+        sides = edges.select(F.col("v").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+        each = sides.groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+        open_nodes = each.agg(F.count_if((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("top") > 0)))).first()[0]
+        if not open_nodes:
+            break
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = written(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.count_distinct("v")).first()
-        if tuple(now)[:2] == before and now[0] == now[2]:
-            break
-        before = tuple(now)[:2]
+        edges = small.mapInArrow(_stars, schema)
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())

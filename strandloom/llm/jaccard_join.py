@@ -50,10 +50,13 @@ REGION_SETS = 512
 HANDFUL = 4
 #: Pivots by which a region of many tasks is cut: one for so many sets, but at first at least and always at most so many; and its documents that a task
 #: compares with them at once.
-SETS_PER_PIVOT = 8
+SETS_PER_PIVOT = 4
 PIVOTS = 24
-MOST_PIVOTS = 512
+MOST_PIVOTS = 1024
 CHUNK = 512
+#: Shingles of a matrix product, and pairs that are listed, at once.
+DENSE = 4096
+LISTED = 1 << 21
 #: Turns from one division by shingles to the next.
 SHINGLE_TURNS = 2
 
@@ -243,18 +246,53 @@ class Sets:
         by = np.argsort(grams, kind="stable")
         self.owners = owner[by]
         start = runs(grams[by])
-        lengths = np.diff(np.append(start, len(by)))
-        number = np.empty(len(by), np.int64)
-        number[by] = np.repeat(np.arange(len(start)), lengths)
-        self.tokens, self.bounds, self.start, self.lengths = number, bounds, start, lengths
+        self.n_tokens = len(start)
+        self.tokens = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(by))))
 
-    def shared(self, i: int) -> np.ndarray:
-        """How many shingles set i shares with each set."""
-        own = self.tokens[self.bounds[i] : self.bounds[i + 1]]
-        lengths = self.lengths[own]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.start[own] - (ends - lengths), lengths) + np.arange(ends[-1])
-        return np.bincount(self.owners[at], minlength=len(self.sizes))
+    def _at(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingle and place among `chosen` of each entry of theirs, in the order of shingles."""
+        place = np.full(len(self.sizes), -1)
+        place[chosen] = np.arange(len(chosen))
+        at = place[self.owners]
+        return self.tokens[at >= 0], at[at >= 0]
+
+    def shared(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """How many shingles each of `rows` shares with each of `columns`.
+
+        Shingles that many of both have are columns of a matrix product, some at a time (counts below 2**24 are exact in float32); of the others
+        the pairs are listed, some at a time.
+        """
+        (t, r), (u, c) = self._at(rows), self._at(columns)
+        k, n = len(rows), len(columns)
+        in_rows, in_columns = np.bincount(t, minlength=self.n_tokens), np.bincount(u, minlength=self.n_tokens)
+        pairs = in_rows * in_columns
+        out = np.zeros((k, n), np.int64)
+        many = np.flatnonzero(pairs * 64 > k * n)
+        spot = np.full(self.n_tokens, -1)
+        spot[many] = np.arange(len(many))
+        for at in range(0, len(many), DENSE):
+            width = min(DENSE, len(many) - at)
+            left, right = np.zeros((k, width), np.float32), np.zeros((n, width), np.float32)
+            for matrix, token, place in ((left, t, r), (right, u, c)):
+                own = spot[token] - at
+                here = (own >= 0) & (own < width)
+                matrix[place[here], own[here]] = 1
+            out += (left @ right.T).astype(np.int64)
+        few = (spot < 0) & (pairs > 0)
+        t_start = np.cumsum(in_rows) - in_rows
+        u, c = u[few[u]], c[few[u]]
+        times = in_rows[u]
+        ends = np.cumsum(times)
+        at = 0
+        while at < len(u):
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + LISTED, side="right")))
+            own = times[at:stop]
+            first = np.cumsum(own) - own
+            entry = np.repeat(t_start[u[at:stop]] - first, own) + np.arange(own.sum())
+            out += np.bincount(r[entry] * n + np.repeat(c[at:stop], own), minlength=k * n).reshape(k, n)
+            at = stop
+        return out
 
 
 @dataclass
@@ -316,8 +354,7 @@ def voronoi_links(sets: Sets, limit: Limit) -> list[tuple[int, int]]:
             continue
         chosen = np.unique(np.linspace(0, len(members) - 1, pivot_number(len(members), depth)).astype(int))
         pivots = members[chosen]
-        both = np.stack([sets.shared(i)[members] for i in pivots.tolist()])
-        placed = Placed.of(both, sets.sizes[pivots], sets.sizes[members], limit)
+        placed = Placed.of(sets.shared(pivots, members), sets.sizes[pivots], sets.sizes[members], limit)
         for j, x in np.argwhere(placed.ball).tolist():
             join(int(pivots[j]), int(members[x]))
         inside, to_balls, to_cells = placed.guests(label[pivots])
@@ -411,7 +448,7 @@ def cells(regions: DataFrame, sizes: DataFrame, limit: Limit, turn: int) -> tupl
         ids = np.concatenate([own.column("doc_id").to_numpy(), docs.column("doc_id").to_numpy()])
         asked = np.concatenate([own.column("set").to_numpy(), docs.column("set").to_numpy()])
         sets = Sets(grams, bounds)
-        placed = Placed.of(np.stack([sets.shared(j)[k:] for j in range(k)]), sizes[:k], sizes[k:], limit)
+        placed = Placed.of(sets.shared(np.arange(k), np.arange(k, len(sizes))), sizes[:k], sizes[k:], limit)
         inside, near, lower = placed.guests(np.arange(k))
         settled = set(zip(ids[:k].tolist(), asked[:k].tolist()))
         region, texts = key[0].as_py(), docs.column("text").to_pylist()
