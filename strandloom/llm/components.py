@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .scratch import discard, written
 
-#: Links that a task contracts at once.
+#: Links that a task contracts at once, about.
 FLUSH = 1 << 21
 
 
@@ -45,40 +45,47 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts: list[pa.RecordBatch] = []
     for batch in batches:
         parts.append(batch)
-        if sum(map(len, parts)) >= FLUSH:
+        if sum(map(len, parts)) > 2 * FLUSH:
             yield flush(parts)
             parts = []
     if parts:
         yield flush(parts)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is linked with one smaller node at most, and that one with none."""
+    sides = edges.select(F.col("v").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("top")))
+    each = sides.groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
+    return not each.agg(F.count_if((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("top") > 0)))).first()[0]
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """Large-star, then small-star: the same groups with shorter ways to their least nodes."""
+    both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+    least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+    large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
+    least = large.groupBy("v").agg(F.min("u").alias("m"))
+    small = large.join(least, "v")
+    return small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node on a link of `links` (a, b; longs), component being the least node reachable.
 
-    Rounds of large-star and small-star contractions, each written to the shared folder; each task contracts its own links first, at most FLUSH
-    at once. The number of rounds grows with the logarithm of the nodes. A hub's neighbours are never gathered in one row: minima are
-    aggregated and joined back. Ends when every node is linked with one other only, and that one with nothing smaller.
+    Tasks contract up to FLUSH links at once; where there are more, rounds of large-star and small-star contractions follow, each written
+    to the shared folder, their number growing with the logarithm of the nodes. A hub's neighbours are never gathered in one row: minima are
+    aggregated and joined back.
     """
-    schema = "v long, u long"
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().mapInArrow(_stars, schema)
-    spent = None
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")), "links")
     for _ in range(rounds):
-        edges = written(edges, "links")
-        if spent is not None:
-            discard(spent)
-        spent = edges
-        sides = edges.select(F.col("v").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("top")).unionByName(edges.select(F.col("u").alias("node"), F.lit(0).alias("low"), F.lit(1).alias("top")))
-        each = sides.groupBy("node").agg(F.sum("low").alias("low"), F.max("top").alias("top"))
-        open_nodes = each.agg(F.count_if((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("top") > 0)))).first()[0]
-        if not open_nodes:
+        n = edges.count()
+        contracted = written(edges.coalesce(-(-n // FLUSH) or 1).mapInArrow(_stars, "v long, u long"), "stars")
+        discard(edges)
+        if n <= FLUSH or _settled(contracted):
             break
-        both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v")
-        small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(small.select("v", F.col("m").alias("u"))).where("v <> u").distinct()
-        edges = small.mapInArrow(_stars, schema)
+        edges = written(_round(contracted), "links")
+        discard(contracted)
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+    tops = contracted.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    return contracted.select(F.col("v").alias("node"), F.col("u").alias("component")).union(tops)

@@ -1,0 +1,22 @@
+import numpy as np
+import pytest
+
+from strandloom.llm import components as c
+
+
+@pytest.mark.parametrize("flush", [6, 1 << 21])
+def test_least_reachable(spark, monkeypatch, flush):
+    """Chains, hubs, loops and repeated links, in one task and in rounds."""
+    monkeypatch.setattr(c, "FLUSH", flush)
+    draw = np.random.default_rng(3)
+    a = np.concatenate([np.arange(40), np.full(30, 50), draw.integers(100, 180, 60), [7, 7]])
+    b = np.concatenate([np.arange(1, 41), np.arange(51, 81), draw.integers(100, 180, 60), [7, 3]])
+    frame = spark.createDataFrame(list(zip((a - 90).tolist(), (b - 90).tolist())), "a long, b long").repartition(5)
+    got = {r.node: r.component for r in c.components(frame).collect()}
+    label = c.local_labels(200, a, b)
+    on_link = set(a[a != b].tolist()) | set(b[a != b].tolist())
+    assert got == {n - 90: int(label[n]) - 90 for n in on_link}
+
+
+def test_no_links(spark):
+    assert c.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
