@@ -17,7 +17,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
 
     Both sides are cut into bins of `width` and joined on (on, bin). A pair is taken only in the bin where its overlap
     begins, so no pair comes twice and nothing has to be made distinct. `width` near the usual length keeps rows few.
-    Columns of the right side besides `on` must have names of their own. Rows of a null span join with nothing.
+    Columns of the right side besides `on` must have names of their own. Rows with a null in `on` or their span join with nothing.
     """
     ls, le = left_span
     rs, re = right_span
@@ -27,10 +27,10 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
         return _bins(left, ls, le, width).join(_bins(right, rs, re, width), [*on, "_bin"]).where(meets & here).drop("_bin")
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"how can't be {how}")
-    ided = left.withColumn("_key", F.xxhash64(*left.columns))
-    spans = ided.select("_key", *dict.fromkeys([*on, ls, le])).distinct()
-    hits = _bins(spans, ls, le, width).join(_bins(right.select(*on, rs, re), rs, re, width), [*on, "_bin"]).where(meets).select("_key").distinct()
-    return ided.join(hits, "_key", how).drop("_key")
+    keys = list(dict.fromkeys([*on, ls, le]))
+    spans = left.select(*keys).distinct()
+    hits = _bins(spans, ls, le, width).join(_bins(right.select(*on, rs, re), rs, re, width), [*on, "_bin"]).where(meets).select(*keys).distinct()
+    return left.join(hits, keys, how)
 
 
 def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int, key: list[str], tie: list[str]) -> DataFrame:
@@ -46,11 +46,11 @@ def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
 def containing_interval(points: DataFrame, spans: DataFrame, on: list[str], point: str, span: tuple[str, str], width: int) -> DataFrame:
     """For each point the interval around it that starts last; points without one are kept with nulls."""
     start, end = span
-    rows = points.withColumn("_bin", F.floor(F.col(point) / width).cast("long")).withColumn("_id", F.xxhash64(*points.columns))
-    inside = rows.select("_id", "_bin", *on, point).distinct().join(_bins(spans, start, end, width), [*on, "_bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    places = points.select(*on, point).distinct().withColumn("_bin", F.floor(F.col(point) / width).cast("long"))
+    inside = places.join(_bins(spans, start, end, width), [*on, "_bin"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
     extra = [c for c in spans.columns if c not in on and c not in span]
-    best = inside.groupBy("_id").agg(F.max(F.struct(start, end, *extra)).alias("_best"))
-    return rows.join(best, "_id", "left").select(*points.columns, *(F.col(f"_best.{c}").alias(c) for c in (start, end, *extra)))
+    best = inside.groupBy(*on, point).agg(F.max(F.struct(start, end, *extra)).alias("_best"))
+    return points.join(best, [*on, point], "left").select(*points.columns, *(F.col(f"_best.{c}").alias(c) for c in (start, end, *extra)))
 
 
 def last_before(points: DataFrame, marks: DataFrame, on: list[str], point: str, mark: str, carry: list[str]) -> DataFrame:
@@ -137,28 +137,36 @@ def balance(position: Column, coverage: Column) -> Column:
 
 
 def peaks(depth: DataFrame, on: list[str], pos: str, value: str, median: str, fold: float = 5, width: int = 150) -> DataFrame:
-    """Sharp peaks of each group: local maxima of `fold` times the median or more, narrower than `width` at half height and
-    `width` from the last one counted. Which peaks count depends on the last, so each group's profile is walked in one task."""
+    """How many sharp peaks each group has. Rows are covered positions; a position without a row has a depth of 0.
+
+    A peak's top has `fold` times the group's median or more, no less than the position before and more than the one after, and lies inside
+    the group's first and last position; the stretch around it of at least half its depth spans less than `width`, and it lies `width` or more from the
+    last peak counted. The last rule goes by the order of peaks, so a group's covered positions are one task's rows.
+    """
     import numpy as np
     import pandas as pd
 
     schema = ", ".join(f"`{c}` {depth.schema[c].dataType.simpleString()}" for c in on) + ", n_peaks long"
 
+    def stretch(at: np.ndarray, d: np.ndarray, k: int, step: int) -> int:
+        """Positions next to row k, on one side, that are joined with it at half its depth: `width` at most."""
+        side = slice(k + 1, k + 1 + width) if step > 0 else slice(k - 1 if k else None, k - 1 - width if k > width else None, -1)
+        rows, levels = (at[side], d[side]) if step > 0 or k else (at[:0], d[:0])
+        joined = (np.abs(rows - at[k]) == np.arange(1, len(rows) + 1)) & (2 * levels >= d[k])
+        return len(rows) if joined.all() else int(joined.argmin())
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos)
-        d, mid = pdf[value].to_numpy(float), float(pdf[median].iloc[0])
-        n, last = 0, -width
-        if mid > 0 and len(d) >= 3:
-            tops = np.flatnonzero((d[1:-1] >= fold * mid) & (d[1:-1] >= d[:-2]) & (d[1:-1] > d[2:])) + 1
-            for i in tops:
-                if i - last < width:
-                    continue
-                low = np.flatnonzero(d[:i] < d[i] / 2)
-                high = np.flatnonzero(d[i:] < d[i] / 2)
-                left = low[-1] + 1 if len(low) else 0
-                right = i + high[0] - 1 if len(high) else len(d) - 1
-                if right - left < width:
-                    n, last = n + 1, i
-        return pd.DataFrame([[*key, n]], columns=[*on, "n_peaks"])
+        at, d, mid = pdf[pos].to_numpy(np.int64), pdf[value].to_numpy(float), float(pdf[median].iloc[0])
+        touching = np.diff(at) == 1
+        before = np.concatenate([[0.0], np.where(touching, d[:-1], 0.0)])
+        after = np.concatenate([np.where(touching, d[1:], 0.0), [0.0]])
+        high = (d >= fold * mid) & (d >= before) & (d > after) & (at > at[0]) & (at < at[-1]) & (mid > 0)
+        sharp = [int(at[k]) for k in np.flatnonzero(high) if stretch(at, d, k, -1) + stretch(at, d, k, 1) < width]
+        counted: list[int] = []
+        for place in sharp:
+            if not counted or place - counted[-1] >= width:
+                counted.append(place)
+        return pd.DataFrame([[*key, len(counted)]], columns=[*on, "n_peaks"])
 
     return depth.groupBy(*on).applyInPandas(run, schema)

@@ -131,15 +131,21 @@ def average_linkage(distances: DataFrame, a: str, b: str, distance: str) -> list
     if n > MOST_SAMPLES * MOST_SAMPLES:
         raise ValueError(f"{n} distances are more than {MOST_SAMPLES * MOST_SAMPLES}")
     rows = distances.collect()
-    d = {frozenset((r[a], r[b])): r[distance] for r in rows}
     groups = [[x] for x in sorted({r[a] for r in rows} | {r[b] for r in rows})]
+    at = {g[0]: i for i, g in enumerate(groups)}
+    far = np.full((len(groups), len(groups)), np.inf)
+    for r in rows:
+        far[at[r[a]], at[r[b]]] = far[at[r[b]], at[r[a]]] = r[distance]
     merges = []
     while len(groups) > 1:
-        best = min(((sum(d[frozenset((x, y))] for x in p for y in q) / (len(p) * len(q)), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups[:i])), default=None)
-        far, i, j = best
-        merges.append((groups[j], groups[i], far))
+        # the mean distance of a merged group to another is the mean of its parts' by their sizes
+        i, j = (int(x) for x in np.unravel_index(np.where(np.tri(len(groups), k=-1, dtype=bool), far, np.inf).argmin(), far.shape))
+        merges.append((groups[j], groups[i], float(far[i, j])))
+        p, q = len(groups[i]), len(groups[j])
+        far[j] = far[:, j] = (p * far[i] + q * far[j]) / (p + q)
         groups[j] = sorted(groups[i] + groups[j])
         del groups[i]
+        far = np.delete(np.delete(far, i, 0), i, 1)
     return merges
 
 

@@ -16,6 +16,7 @@ RIBOSOMAL = {
     "plain": "^(RPL|RPS)",
     "any case": "(?i)^RP[LS][0-9]",
     "kinase-free tail": "^RP[LS][^K]*$",
+    "mitochondrial too, no kinases": "(?i)^M?RP[LS][^Kk]*$",
 }
 
 
@@ -72,10 +73,12 @@ def matches_rule(rows: DataFrame, rules: DataFrame, key: str, column: str, patte
 
 
 def suffix_match(names: DataFrame, registry: DataFrame, name: str, key: str) -> DataFrame:
-    """name -> key: the equal key, else the only key that ends in the name; null where several do. Both are small lists."""
-    pairs = names.select(name).distinct().join(F.broadcast(registry.select(key).distinct()), F.col(key).endswith(F.col(name)))
-    best = pairs.groupBy(name).agg(F.max(F.when(F.col(key) == F.col(name), F.col(key))).alias("_same"), F.count("*").alias("_n"), F.first(key).alias("_one"))
-    return names.select(name).distinct().join(best.select(name, F.coalesce("_same", F.when(F.col("_n") == 1, F.col("_one"))).alias(key)), name, "left")
+    """name -> key: the equal key, else the only key that ends in the name; null where several do. Keys are joined by their suffixes."""
+    asked = names.select(name).distinct()
+    ends = registry.select(key).distinct().withColumn("_end", F.explode(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.substring(F.col(key), i, F.length(key)))))
+    pairs = asked.join(ends, F.col(name) == F.col("_end"))
+    best = pairs.groupBy(name).agg(F.max(F.when(F.col(key) == F.col(name), F.col(key))).alias("_same"), F.count("*").alias("_n"), F.min(key).alias("_one"))
+    return asked.join(best.select(name, F.coalesce("_same", F.when(F.col("_n") == 1, F.col("_one"))).alias(key)), name, "left")
 
 
 def paired_mates(alignments: DataFrame, read: str, keep: list[str]) -> DataFrame:
