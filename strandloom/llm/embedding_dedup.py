@@ -5,8 +5,10 @@ two vectors by that of their codes within e + e' + 3 e e'. Pairs whose bound sta
 lower bound reaches it are, and only those between are computed again in double precision. Code products are integers below
 2**24, so float32 matrix products give them without error. Equal vectors are one class with a weight.
 
-Classes are dealt to groups; a cell joins two groups, so a task's memory is that of two groups and some tiles. Tiles whose
-spherical caps are too far apart are passed over.
+Classes are dealt to cells, each by its nearest pivot, with the cell's widest angle as its radius. By the triangle inequality a vector can be linked with
+one of another cell only if its angle to that cell's pivot is at most the radius and the angle of a link: to other cells it isn't sent at all. Cells of many
+vectors are dealt to groups by hash. A task joins two groups, so its memory is that of two groups and some tiles; tiles whose spherical caps are too far
+apart are passed over.
 """
 
 from __future__ import annotations
@@ -22,10 +24,17 @@ from .components import components, local_labels
 from .scratch import written
 
 LIMIT = 0.9
-#: Vectors of a group and of a tile; least number of groups, so that small inputs use several tasks.
+#: Vectors of a group and of a tile; least number of pivots, so that small inputs use several tasks.
 GROUP = 8192
 TILE = 2048
 LEAST_GROUPS = 6
+#: Lengths of vectors that have pivots, and the number and bytes of a length's pivots, at most.
+MOST_SIZES = 16
+MOST_PIVOTS = 1024
+PIVOT_BYTES = 8 << 20
+SPREAD = 4
+#: Rows that are sent at once.
+SENT = 4096
 #: What float32 arithmetic on bounds may lose, and dimensions whose products are summed in float32.
 SLACK = 1e-5
 SLICE = 1024
@@ -104,9 +113,113 @@ def tile_links(a: Coded, b: Coded, same: bool, raw_a, raw_b, limit: float = LIMI
                 yield i[sure], j[sure]
 
 
-def _vectors(table: pa.Table) -> np.ndarray:
-    column = table.column("vector").combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of equal length as rows, each times a power of 2 that brings its largest component near 1: cosines stay as they are, to the last bit."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, initial=0))[1][:, None]) if len(rows) else rows
+
+
+def angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+
+
+def chosen_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors its pivots: one for GROUP vectors, at least LEAST_GROUPS; their number and bytes are bounded.
+
+    They are taken from SPREAD times as many vectors of least hash, each the farthest from those taken before, so that clusters get their own.
+    Lengths that are rarer than the MOST_SIZES most frequent ones have none: their vectors are one cell.
+    """
+    sizes = classes.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(MOST_SIZES).collect()
+    pivots = {}
+    for r in sizes:
+        k = max(1, min(max(LEAST_GROUPS, -(-r.n // GROUP)), MOST_PIVOTS, PIVOT_BYTES // (8 * r.size)))
+        rows = classes.where(F.size("vector") == r.size).orderBy(F.xxhash64("vector"), "id").limit(SPREAD * k).select("vector").toArrow()
+        some = _unit(_vectors(rows.column("vector")))
+        taken, closest = [0], some @ some[0]
+        while len(taken) < min(k, len(some)):
+            taken.append(int(closest.argmin()))
+            closest = np.maximum(closest, some @ some[taken[-1]])
+        pivots[r.size] = some[taken]
+    return pivots
+
+
+def _by_length(column: pa.Array):
+    """Places and rows of the vectors of each length in a batch."""
+    lengths = np.diff(column.offsets.to_numpy())
+    for size in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == size)
+        yield size, at, _vectors(column.take(pa.array(at)))
+
+
+def in_cells(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """id, weight and vector with size, cell (the nearest pivot of its length, else 0) and angle to it."""
+
+    def run(batches):
+        for batch in batches:
+            cell, angle = np.zeros(len(batch), np.int32), np.zeros(len(batch))
+            size = np.zeros(len(batch), np.int32)
+            for n, at, rows in _by_length(batch.column("vector")):
+                size[at] = n
+                if n in pivots:
+                    for k in range(0, len(at), TILE):
+                        far = angles(_unit(rows[k : k + TILE]), pivots[n])
+                        cell[at[k : k + TILE]], angle[at[k : k + TILE]] = far.argmin(1), far.min(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "weight", "vector")), pa.array(size), pa.array(cell), pa.array(angle)], ["id", "weight", "vector", "size", "cell", "angle"])
+
+    kind = classes.schema["vector"].dataType.simpleString()
+    return classes.select("id", "weight", "vector").mapInArrow(run, f"id long, weight long, vector {kind}, size int, cell int, angle double")
+
+
+def dealt_to_groups(placed: DataFrame, pivots: dict[int, np.ndarray], limit: float) -> DataFrame:
+    """Rows of in_cells() once for each pair of groups (low, high) that may hold a link of theirs, with their own group.
+
+    Cells are at most MOST_SIZES x MOST_PIVOTS and one for each rarer length; of those only the ones of more than GROUP vectors are gathered.
+    """
+    stats = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    known = {(r.size, r.cell): (max(1, -(-r.n // GROUP)), r.radius) for r in stats.where((F.col("n") > GROUP) | F.col("size").isin([int(x) for x in pivots])).collect()}
+    widest = float(np.arccos(limit)) + 1e-6
+    first: dict[int, np.ndarray] = {}
+    reach: dict[int, np.ndarray] = {}
+    for size, of in pivots.items():
+        parts = [known.get((size, c), (0, 0.0))[0] for c in range(len(of))]
+        first[size] = np.concatenate([[0], np.cumsum(parts)])
+        reach[size] = np.array([known[size, c][1] + widest if parts[c] else -1.0 for c in range(len(of))])
+
+    def run(batches):
+        for batch in batches:
+            where, own, other = [], [], []
+            hashed = batch.column("hash").to_numpy()
+            cells = batch.column("cell").to_numpy()
+            for n, at, rows in _by_length(batch.column("vector")):
+                starts = first.get(n, np.array([0, known.get((n, 0), (1, 0.0))[0]]))
+                parts = np.diff(starts)
+                mine = starts[cells[at]] + hashed[at] % parts[cells[at]]
+                near = np.zeros((len(at), len(parts)), bool)
+                if n in pivots:
+                    for k in range(0, len(at), TILE):
+                        near[k : k + TILE] = angles(_unit(rows[k : k + TILE]), pivots[n]) <= reach[n]
+                near[np.arange(len(at)), cells[at]] = True
+                i, c = np.nonzero(near)
+                times = parts[c]
+                ends = np.cumsum(times)
+                where.append(np.repeat(at[i], times))
+                own.append(np.repeat(mine[i], times))
+                other.append(np.repeat(starts[c] - (ends - times), times) + np.arange(times.sum()))
+            at, own, other = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (where, own, other))
+            groups = [pa.array(x.astype(np.int32)) for x in (np.minimum(own, other), np.maximum(own, other), own)]
+            for k in range(0, len(at), SENT):
+                some = slice(k, k + SENT)
+                rows = batch.select(["size", "id", "weight", "vector"]).take(pa.array(at[some]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(g[some] for g in groups), *(rows.column(c) for c in (1, 2, 3))], ["size", "low", "high", "own", "id", "weight", "vector"])
+
+    kind = placed.schema["vector"].dataType.simpleString()
+    hashed = placed.withColumn("hash", F.pmod(F.xxhash64("vector", F.lit("group")), F.lit(1 << 30)))
+    return hashed.mapInArrow(run, f"size int, low int, high int, own int, id long, weight long, vector {kind}")
 
 
 def _cell(key: tuple, table: pa.Table, limit: float) -> pa.Table:
@@ -114,7 +227,7 @@ def _cell(key: tuple, table: pa.Table, limit: float) -> pa.Table:
     table = table.sort_by([("own", "ascending"), ("id", "ascending")])
     low, high = key[1].as_py(), key[2].as_py()
     own = table.column("own").to_numpy()
-    ids, weights, vectors = table.column("id").to_numpy(), table.column("weight").to_numpy(), _vectors(table)
+    ids, weights, vectors = table.column("id").to_numpy(), table.column("weight").to_numpy(), _vectors(table.column("vector"))
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
     same = low == high
     cut = len(ids) if same else int(np.searchsorted(own, high))
@@ -154,10 +267,9 @@ def similar_vectors(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     fine = F.col("vec_id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("vector", F.when(F.coalesce(fine, F.lit(False)), F.col("vector")))
     classes = written(rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "vectors")
-    n = classes.count()
-    groups = max(LEAST_GROUPS, -(-n // GROUP))
-    dealt = classes.withColumn("own", F.pmod(F.xxhash64("vector"), F.lit(groups)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    dealt = dealt.select(F.size("vector").alias("size"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "weight", "vector")
+    pivots = chosen_pivots(classes)
+    placed = written(in_cells(classes, pivots), "placed")
+    dealt = dealt_to_groups(placed, pivots, limit)
     cells = written(dealt.groupBy("size", "low", "high").applyInArrow(lambda key, table: _cell(key, table, limit), "a long, b long, links long"), "cells")
     degrees = cells.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     joined = components(cells.where("b is not null").select("a", "b")).select(F.col("node").alias("id"), "component")

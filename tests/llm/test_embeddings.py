@@ -65,3 +65,34 @@ def test_bounds_hold():
         c = embedding_dedup.Coded.of(v, np.sqrt((v * v).sum(1)))
         told = embedding_dedup.products(c.codes, c.codes) * c.scale[:, None].astype(float) * c.scale.astype(float)
         assert (np.abs(told - c.unit @ c.unit.T) <= c.bound[:, None].astype(float) + c.bound + 1e-6).all()
+
+
+def test_extreme_values(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [0.0, 1e200]), (4, [1e190, 3e200]), (5, [5e-324, 0.0]), (6, [1.7e308, 1.7e308]), (7, [1e-300, 1e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 5: (2, 1), 3: (1, 3), 4: (1, 3), 6: (1, 6), 7: (1, 6)}
+
+
+def test_far_cells_are_not_sent(spark, monkeypatch):
+    """On clusters that lie apart a vector goes to few groups, and links are the same."""
+    draw = np.random.default_rng(6)
+    centres = np.eye(40)
+    made = [centres[i % 40] + draw.normal(size=40) * 0.03 for i in range(1200)]
+    monkeypatch.setattr(embedding_dedup, "GROUP", 20)
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(made)], "vec_id long, embedding array<float>")
+    check(frame)
+    classes = frame.selectExpr("vec_id as id", "1L as weight", "embedding as vector")
+    pivots = embedding_dedup.chosen_pivots(classes)
+    placed = embedding_dedup.in_cells(classes, pivots)
+    sent = embedding_dedup.dealt_to_groups(placed, pivots, 0.9)
+    groups = sent.select("own").distinct().count()
+    assert groups >= 40 and sent.count() < 1200 * groups / 4
+    assert max(r["count"] for r in sent.groupBy("low", "high").count().collect()) <= 160
+
+
+def test_rare_lengths(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    monkeypatch.setattr(embedding_dedup, "MOST_SIZES", 2)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 9)
+    rows = [(i, [float(x) for x in draw.normal(size=2 + i % 5)]) for i in range(150)]
+    check(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
