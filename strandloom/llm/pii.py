@@ -1,10 +1,11 @@
 """Personal data: identifiers of known form, and others found by the contexts that the known ones stand in.
 
 Base spans of four kinds are found by expressions of form. They are the seeds of a bootstrap: each occurrence of
-an identifier-like word or seed gives lexical patterns (the words around it); a graph links patterns with the
+a seed, or of a run of words that could be an identifier, gives lexical patterns (the words around it); a graph links patterns with the
 values seen in them. In each round a pattern's confidence in a kind is the share of its values that are of that
-kind so far, and an unknown value's score is the noisy-or of its patterns' confidences. Values that end up near
-certain, by several patterns that many seeds support, are further spans. All of it is DataFrame expressions.
+kind so far, and an unknown value's score is the noisy-or of its patterns' confidences. Values that are near
+certain, by several patterns that enough seeds support, are seeds of the next round, so that they induce patterns of their own, and in the end
+further spans. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -27,8 +28,18 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Fixed value: an address part of at most 255, leading zeros allowed.
 BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: Fixed value: a word with at least six digits, which may be an identifier of unknown form.
-UNKNOWN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){6,}+"
+#: What may be an identifier of unknown form, in this order: an address whose sign is spelt out or bracketed, a word with the sign in it, a
+#: code in groups that begins with two letters and two digits, figures in groups, a word with at least six digits.
+_BEGIN = r"(?<![^\x20\x09-\x0D(\[<\"':;,=])"
+_HOST = r"[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20)[A-Za-z0-9-]++)"
+UNKNOWN_FORMS = (
+    _BEGIN + r"[A-Za-z0-9._%+-]++(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?" + _HOST + r"*+|\x20at\x20" + _HOST + "++)",
+    _BEGIN + r"[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++",
+    _BEGIN + r"[A-Z]{2}[0-9]{2}(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,4}(?![^\x20\x09-\x0D.,;:]))?",
+    _BEGIN + r"[+(]?[0-9][0-9().\/-]*+(?:\x20[0-9(][0-9().\/-]*+)++",
+    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){6,}+",
+)
+UNKNOWN = "|".join(f"(?:{f})" for f in UNKNOWN_FORMS)
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 #: Rounds of scoring; seeds that a pattern needs; patterns and score that a value needs; what is added to a pattern's count.
@@ -82,7 +93,7 @@ def base_spans(text: Column) -> Column:
 
 
 def unknown_spans(text: Column, base: Column) -> Column:
-    """Identifier-like words that touch no base span, without the signs around them."""
+    """Runs of words that may be identifiers and touch no base span, without the signs around them: those with an address's sign, or six digits."""
     body = F.coalesce(text, F.lit(""))
 
     def trimmed(x: Column) -> Column:
@@ -90,9 +101,10 @@ def unknown_spans(text: Column, base: Column) -> Column:
         value = F.regexp_replace(x["value"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
         return F.struct(x["kind"].alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), value.alias("value"))
 
-    words = F.transform(_matches(body, UNKNOWN, "?", lambda x: F.lit(True)), trimmed)
+    some = lambda x: x.rlike("(?:[0-9][^0-9]*+){6}") | x.rlike("@|[ \\[({]at[ \\])}]")
+    words = F.transform(_matches(body, UNKNOWN, "?", some), trimmed)
     free = F.filter(words, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.when(body.rlike("[0-9]"), free).otherwise(F.array().cast(SPAN))
+    return F.when(body.rlike("[0-9@]|[ \\[({]at[ \\])}]"), free).otherwise(F.array().cast(SPAN))
 
 
 def _with_contexts(text: Column, spans: Column) -> Column:
@@ -100,6 +112,7 @@ def _with_contexts(text: Column, spans: Column) -> Column:
 
     def add(x: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT + 1, F.lit(1)), F.least(x["start"], F.lit(CONTEXT))))
+        before = F.regexp_replace(before, "[(\\[{<\"']+$", "")
         after = F.lower(F.substring(text, x["end"] + 1, F.lit(CONTEXT)))
         word = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
         one, two = F.regexp_extract(before, word, 1), F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
@@ -110,10 +123,15 @@ def _with_contexts(text: Column, spans: Column) -> Column:
     return F.transform(spans, add)
 
 
+def _row_key() -> Column:
+    parts = (F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull())
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """key, base and unknown spans of each row, without its text; key is a hash of id and text."""
+    """key, base and unknown spans of each row, without its text; key is 128 bits of hash of id and text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text").withColumn("base", base_spans(F.col("text")))
+    rows = docs.select("doc_id", _row_key().alias("key"), "text").withColumn("base", base_spans(F.col("text")))
     rows = rows.withColumn("unknown", unknown_spans(F.col("text"), F.col("base")))
     return rows.select("doc_id", "key", F.when(F.size("base") > 0, _with_contexts(text, F.col("base"))).alias("base"), F.when(F.size("unknown") > 0, _with_contexts(text, F.col("unknown"))).alias("unknown"))
 
@@ -121,24 +139,27 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def score_values(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """value, kind: unknown values that the graph's patterns make near certain.
 
-    edges: pattern, value and the kind of a seed or '?'. A pattern's total is over its distinct values.
+    edges: pattern, value and the kind of a seed or '?'. A pattern's total is over its distinct values. A pattern counts for a kind once
+    LEAST_SEEDS of its values are seeds of that kind or were accepted in the round before; its confidence is the sum of its values' scores
+    by its total.
     """
     graph = edges.distinct()
     totals = graph.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
-    seeds = graph.where("kind <> '?'").select("pattern", "value", "kind", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
     unknown = graph.where("kind = '?'").select("pattern", "value")
-    # only patterns with enough seeds of one kind can ever decide
-    strong = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS).join(totals, "pattern")
-    open_edges = unknown.join(strong, "pattern")
-    scores = seeds.select("pattern", "kind", "score").limit(0)
+    seeds = graph.where("kind <> '?'").groupBy("pattern", "kind").agg(F.count("*").alias("sure"), F.count("*").cast("double").alias("mass"))
+    scored = None
     for _ in range(rounds):
-        gained = scores.groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-        weighed = open_edges.join(gained, ["pattern", "kind"], "left")
-        confidence = F.least(F.lit(0.999), (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("total") + PRIOR))
-        values = weighed.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - confidence)))).alias("score"), F.count("*").alias("patterns"))
-        scores = open_edges.select("pattern", "value", "kind").join(values, ["value", "kind"]).select("pattern", "kind", "score")
-    best = values.where((F.col("score") >= LEAST_SCORE) & (F.col("patterns") >= LEAST_PATTERNS)).groupBy("value")
-    return best.agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        weights = seeds
+        if scored is not None:
+            gained = unknown.join(scored, "value").groupBy("pattern", "kind").agg(F.count_if("accepted").alias("sure"), F.sum("score").alias("mass"))
+            weights = seeds.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("sure").alias("sure"), F.sum("mass").alias("mass"))
+        strong = weights.where(F.col("sure") >= LEAST_SEEDS).join(totals, "pattern")
+        confidence = F.least(F.lit(0.999), F.col("mass") / (F.col("total") + PRIOR))
+        found = unknown.join(strong.select("pattern", "kind", confidence.alias("confidence")), "pattern")
+        values = found.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"), F.count("*").alias("patterns"))
+        accepted = (F.col("score") >= LEAST_SCORE) & (F.col("patterns") >= LEAST_PATTERNS)
+        scored = written(values.select("value", "kind", "score", accepted.alias("accepted")), "pii-scores")
+    return scored.where("accepted").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -197,7 +218,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     Base spans are replaced row by row; only rows with further spans are joined with them.
     """
     found = written(discovered(written(occurrences(docs.select("doc_id", "text")), "pii")), "pii-found")
-    keyed = docs.withColumn("_pii_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_pii_key", _row_key())
     likely, rest = possible(keyed, "_pii_key", found.select("key"))
     none = F.array().cast(SPAN)
     more = found.select(F.col("key").alias("_pii_key"), F.col("found").alias("_pii_found"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from strandloom.llm import pii
@@ -70,6 +71,100 @@ def test_contexts_find_unknown_identifiers(spark):
     assert masked[3] == "text 3 please dial office line [PHONE] today or wait"
 
 
+def test_unknown_forms(spark):
+    """Each form that candidates may have, in contexts that forty seeds share, and outside of them."""
+    rows = [(i, f"text {i} please dial office line +1 555 01{i:03d} 99 today or wait") for i in range(40)]
+    rows += [(100 + i, f"please write to clerk{i}@mail.example before noon or wait") for i in range(40)]
+    lines = ["555 010 4321", "(555) 010-4477", "555.010.4477", "0155 5012 3456"]
+    mails = ["jane at mail.example", "jane(at)mail", "jane [at] mail [dot] example", "jane@localhost", "j.doe at mail dot example"]
+    rows += [(200 + i, f"please dial office line {x} today or wait") for i, x in enumerate(lines)]
+    rows += [(300 + i, f"please write to {x} before noon or wait") for i, x in enumerate(mails)]
+    rows += [(400 + i, f"we counted {x} of them") for i, x in enumerate([*lines, "12 000 000"])] + [(500, "look at home. GB29 NWBK 6016 1331 9268 19 is a code")]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    strip = lambda x: x.strip("()")
+    for i, x in enumerate(lines):
+        at = rows[80 + i][1].index(x) + (x[0] == "(")
+        assert found[200 + i] == f"phone:{at}:{at + len(x) - (x[0] == '(')}", x
+    for i, x in enumerate(mails):
+        assert found[300 + i] == f"email:16:{16 + len(strip(x))}" or x.endswith("]"), x
+    assert found[302].startswith("email:16:")
+
+
+def graph_rounds(edges, rounds):
+    """score_values by dictionaries."""
+    graph = set(edges)
+    total, unknown = {}, {(p, v) for p, v, k in graph if k == "?"}
+    for p in {p for p, _, _ in graph}:
+        total[p] = len({v for q, v, _ in graph if q == p})
+    score, accepted = {}, set()
+    for _ in range(rounds):
+        sure, mass = {}, {}
+        for p, v, k in graph:
+            if k != "?":
+                sure[p, k] = sure.get((p, k), 0) + 1
+                mass[p, k] = mass.get((p, k), 0) + 1
+        for p, v in unknown:
+            for (w, k), s in score.items():
+                if w == v:
+                    sure[p, k] = sure.get((p, k), 0) + ((v, k) in accepted)
+                    mass[p, k] = mass.get((p, k), 0) + s
+        confidence = {x: min(0.999, mass[x] / (total[x[0]] + pii.PRIOR)) for x, n in sure.items() if n >= pii.LEAST_SEEDS}
+        missed, patterns = {}, {}
+        for p, v in unknown:
+            for (q, k), c in confidence.items():
+                if q == p:
+                    missed[v, k] = missed.get((v, k), 1) * (1 - c)
+                    patterns[v, k] = patterns.get((v, k), 0) + 1
+        score = {x: 1 - m for x, m in missed.items()}
+        accepted = {x for x, s in score.items() if s >= pii.LEAST_SCORE and patterns[x] >= pii.LEAST_PATTERNS}
+    out = {}
+    for v, k in accepted:
+        out[v] = max(out.get(v, (0, "")), (score[v, k], k))
+    return {v: k for v, (_, k) in out.items()}
+
+
+def test_graph_rounds(spark):
+    draw = random.Random(12)
+    edges = [(f"p{draw.randrange(30)}", f"s{i}", draw.choice(["phone", "email"])) for i in range(150)]
+    edges += [(f"p{draw.randrange(40)}", f"u{draw.randrange(60)}", "?") for _ in range(400)]
+    for p in ("a", "b"):  # two patterns of phones alone; what stands in them makes c and d patterns of phones, which find more
+        edges += [(p, f"t{i}", "phone") for i in range(60)] + [(p, f"x{i}", "?") for i in range(8)]
+    for p in ("c", "d"):
+        edges += [(p, f"x{i}", "?") for i in range(8)] + [(p, "y", "?")]
+    edges += edges[:50]
+    for rounds in (1, 2, 4):
+        got = {r.value: r.kind for r in pii.score_values(spark.createDataFrame(edges, "pattern string, value string, kind string"), rounds).collect()}
+        assert got == graph_rounds(edges, rounds)
+        assert got.get("x3") == "phone" and (got.get("y") == "phone") == (rounds > 1)
+
+
+def test_recall_of_planted_values(spark):
+    """Recall and precision of discovery on planted contexts; the README tells the figures."""
+    draw = random.Random(77)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    frames = [(f"{word()} {word()}", f"{word()} {word()}") for _ in range(12)]
+    rows, planted, decoys = [], {}, set()
+    for i in range(2400):
+        before, after = draw.choice(frames)
+        kind = draw.random()
+        if kind < 0.6:
+            middle = f"+{digits(2)} {digits(3)} {digits(5)}"
+        elif kind < 0.75:
+            middle = draw.choice([f"{digits(3)} {digits(3)} {digits(4)}", f"0{digits(10)}", f"{digits(4)}-{digits(6)}"])
+            planted[i] = middle
+        else:
+            before, after, middle = prose(2), prose(2), draw.choice([f"{digits(3)} {digits(3)} {digits(4)}", digits(9)])
+            decoys.add(i)
+        rows.append((i, f"{prose(9)} {before} {middle} {after} {prose(7)}"))
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(f"phone:{rows[i][1].index(x)}:{rows[i][1].index(x) + len(x)}" == got[i].spans for i, x in planted.items())
+    wrong = sum(got[i].n_found > 0 for i in decoys)
+    print(f"discovered {hits} of {len(planted)}; {wrong} of {len(decoys)} decoys")
+    assert hits >= 0.95 * len(planted) and wrong <= 0.01 * len(decoys)
+
+
 def test_masking_keeps_columns_and_rows(awkward, empty):
     assert pii.mask_documents(awkward).columns == awkward.columns and pii.mask_documents(awkward).count() == 10
     assert pii.mask_documents(empty).count() == 0
