@@ -32,14 +32,13 @@ BYTE_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: code in groups that begins with two letters and two digits, figures in groups, a word with at least six digits.
 _BEGIN = r"(?<![^\x20\x09-\x0D(\[<\"':;,=])"
 _HOST = r"[A-Za-z0-9-]++(?:(?:\.|\x20?(?:\[dot\]|\(dot\)|\{dot\})\x20?|\x20dot\x20)[A-Za-z0-9-]++)"
-UNKNOWN_FORMS = (
-    _BEGIN + r"[A-Za-z0-9._%+-]++(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?" + _HOST + r"*+|\x20at\x20" + _HOST + "++)",
-    _BEGIN + r"[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++",
-    _BEGIN + r"[A-Z]{2}[0-9]{2}(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,4}(?![^\x20\x09-\x0D.,;:]))?",
-    _BEGIN + r"[+(]?[0-9][0-9().\/-]*+(?:\x20[0-9(][0-9().\/-]*+)++",
-    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){6,}+",
+ADDRESS_FORMS = _BEGIN + r"(?:[A-Za-z0-9._%+-]++(?:\x20?(?:\[at\]|\(at\)|\{at\})\x20?" + _HOST + r"*+|\x20at\x20" + _HOST + r"++)|[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++)"
+FIGURE_FORMS = (
+    _BEGIN + r"(?:[A-Z]{2}[0-9]{2}(?:\x20[0-9A-Z]{4}){2,7}+(?:\x20[0-9A-Z]{1,4}(?![^\x20\x09-\x0D.,;:]))?|[+(]?[0-9][0-9().\/-]*+(?:\x20[0-9(][0-9().\/-]*+)++)"
+    r"|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){6,}+"
 )
-UNKNOWN = "|".join(f"(?:{f})" for f in UNKNOWN_FORMS)
+#: What every text with a match of ADDRESS_FORMS has.
+ADDRESS_SIGN = r"@|[\[({]at[\])}]|\x20at\x20[A-Za-z0-9-]++(?:[.\[({]|\x20dot|\x20?[\[({]dot)"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 #: Rounds of scoring; seeds that a pattern needs; patterns and score that a value needs; what is added to a pattern's count.
@@ -101,10 +100,12 @@ def unknown_spans(text: Column, base: Column) -> Column:
         value = F.regexp_replace(x["value"], "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
         return F.struct(x["kind"].alias("kind"), (x["start"] + lead).alias("start"), (x["start"] + lead + F.length(value)).alias("end"), value.alias("value"))
 
-    some = lambda x: x.rlike("(?:[0-9][^0-9]*+){6}") | x.rlike("@|[ \\[({]at[ \\])}]")
-    words = F.transform(_matches(body, UNKNOWN, "?", some), trimmed)
-    free = F.filter(words, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return F.when(body.rlike("[0-9@]|[ \\[({]at[ \\])}]"), free).otherwise(F.array().cast(SPAN))
+    apart = lambda spans, others: F.filter(spans, lambda x: ~F.exists(others, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    none = F.array().cast(SPAN)
+    addresses = F.when(body.rlike(ADDRESS_SIGN), F.transform(_matches(body, ADDRESS_FORMS, "?", lambda x: F.lit(True)), trimmed)).otherwise(none)
+    six = lambda x: x.rlike("(?:[0-9][^0-9]*+){6}")
+    figures = F.when(body.rlike("[0-9]"), F.transform(_matches(body, FIGURE_FORMS, "?", six), trimmed)).otherwise(none)
+    return let(apart(addresses, base), lambda a: F.concat(a, apart(apart(figures, base), a)))
 
 
 def _with_contexts(text: Column, spans: Column) -> Column:
