@@ -1,10 +1,10 @@
 """Removal of passages that a document with a smaller id has too, by windows of doubling length.
 
-Level one takes windows of 25 words: of the windows inside each run of 50 words, those of least hash, so equal
-runs of 50 words choose equal windows. Only the runs whose window is repeated in another document are extended
-to 50 words, the length that decides; a run that starts in a smaller document loses all its words. Rows are
-sorted by hash and streamed, never gathered, so one passage in many documents takes no more memory than another;
-and each task settles what its own documents share before rows are dealt out by hash.
+Levels have windows of 13, 25 and 50 words: each is twice the one before, less one where that would overshoot. What is followed
+are the runs of 50 words. At each level a run stands for its window of least hash, so equal runs stand for equal windows; runs whose
+window no other document has are dropped, and the others go on to the next length, until none are left or the last length, that of the run
+itself, decides: a run that starts in a smaller document loses all its words. Rows are sorted by hash and streamed, never gathered, so one
+passage in many documents takes no more memory than another; and each task settles what its own documents share before rows are dealt out by hash.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from .membership import possible
 from .scratch import written
 from .text_arrays import WORD_BASES, Words, pieces, signed
 
-#: Words of a window whose repetition counts, and rows that a task compares among themselves before it deals them out.
+#: Words of a window whose repetition counts, lengths on the way to it and itself, and rows that a task compares among themselves before it deals them out.
 WINDOW = 50
+LEVELS = 3
 FLUSH = 1 << 20
 
 
@@ -36,13 +37,30 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def chosen(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: the half-length hash that stands for the window starting there, and whether such a window exists."""
-    half = window // 2
-    hashes, _ = words.windows(words.hashes(), half)
+def levels(window: int) -> list[int]:
+    """Lengths of windows, LEVELS of them at most, the last being `window`: each is half the next, rounded up."""
+    out = [window]
+    while len(out) < LEVELS and out[0] > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
+def chosen(words: Words, window: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: the hash of `width` words that stands for the run of `window` words starting there, and whether such a run exists."""
+    hashes, _ = words.windows(words.hashes(), width)
     n = len(hashes)
     inside = np.arange(n) + window <= np.repeat(words.bounds[1:], words.counts)
-    return sliding_least(hashes, window - half + 1) if n else hashes, inside
+    return sliding_least(hashes, window - width + 1) if n else hashes, inside
+
+
+def surviving(words: Words, window: int, width: int, wanted: pa.Array) -> np.ndarray:
+    """Which runs stand for one of their document's `wanted` hashes (a list for each text) at this width."""
+    least, inside = chosen(words, window, width)
+    values = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    owner = np.repeat(np.arange(len(words.counts)), np.diff(wanted.offsets.to_numpy()))
+    # a hash is looked for among its own document's only
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    return inside & np.isin(least + (words.texts.astype(np.uint64) + np.uint64(1)) * salt, values + (owner.astype(np.uint64) + np.uint64(1)) * salt)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -64,11 +82,11 @@ def _dealt(rows: DataFrame, settled: str, order: list[str]) -> DataFrame:
     return rows.repartition(F.when(F.col(settled), F.xxhash64(*order, "row")).otherwise(F.col("h"))).sortWithinPartitions(*order)
 
 
-def half_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h, doc_id, row, shared, settled: the chosen half windows of each document, each once.
+def level_windows(docs: DataFrame, window: int, width: int, before: int | None) -> DataFrame:
+    """h, doc_id, row, shared, settled: the windows that stand for each document's runs at this level, each once.
 
-    Of a half window that several of the task's documents have, one row is dealt by its hash; the others are known to be shared and
-    dealt anywhere, so a window in very many documents doesn't fill one task.
+    Of the level `before` only the runs in the column `wanted` are followed. Of a window that several of the task's documents have, one row is
+    dealt by its hash; the others are known to be shared and dealt anywhere, so a window in very many documents doesn't fill one task.
     """
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -86,13 +104,17 @@ def half_windows(docs: DataFrame, window: int) -> DataFrame:
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
+            at = 0
             for w in pieces(batch.column("text")):
-                least, inside = chosen(w, window)
-                least, text = least[inside], w.texts[inside]
+                least, alive = chosen(w, window, width)
+                if before is not None:
+                    alive = surviving(w, window, before, batch.column("wanted").slice(at, len(w.counts)))
+                at += len(w.counts)
+                least, text = least[alive], w.texts[alive]
                 new = np.ones(len(least), bool)
                 new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
-                at = w.first + text[new]
-                parts.append((signed(least[new]), ids[at], keys[at]))
+                own = w.first + text[new]
+                parts.append((signed(least[new]), ids[own], keys[own]))
                 if sum(len(p[0]) for p in parts) >= FLUSH:
                     yield flush(parts)
                     parts = []
@@ -141,8 +163,8 @@ def shared_only(sorted_rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "h long, doc_id long, row int")
 
 
-def full_windows(docs: DataFrame, window: int) -> DataFrame:
-    """h, g, doc_id, row, start, later: windows of `docs` whose chosen half window is in the array `halves`; h and g make 96 bits of hash.
+def full_windows(docs: DataFrame, window: int, before: int) -> DataFrame:
+    """h, g, doc_id, row, start, later: the runs of `docs` that are left of the level `before`; h and g make 96 bits of hash.
 
     A window that a smaller document of the task has too is known to be a later one and dealt anywhere; so of a window in very many
     documents each task deals one row by its hash.
@@ -161,19 +183,12 @@ def full_windows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            halves, ids, keys = batch.column("halves"), batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             at = 0
             for w in pieces(batch.column("text")):
-                n = len(w.counts)
-                wanted = halves.slice(at, n)
-                at += n
-                values = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                owner = np.repeat(np.arange(n), np.diff(wanted.offsets.to_numpy()))
-                least, inside = chosen(w, window)
+                hit = surviving(w, window, before, batch.column("wanted").slice(at, len(w.counts)))
+                at += len(w.counts)
                 text = w.texts
-                # a half window is looked for among its own document's only
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                hit = inside & np.isin(least + (text.astype(np.uint64) + np.uint64(1)) * salt, values + (owner.astype(np.uint64) + np.uint64(1)) * salt)
                 spot = np.flatnonzero(hit)
                 if not len(spot):
                     continue
@@ -251,14 +266,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, as_text: bool = False)
     Null and empty texts have no words. Rows with a null id are left whole and take nothing from others; rows of one id
     take nothing from each other. An empty table gives no rows. Further columns of `docs` aren't carried along.
     """
-    if window % 2:
-        raise ValueError("the window must be an even number of words, as it is reached by doubling")
     rows = _with_key(docs)
     known = rows.where("doc_id is not null")
-    halves = shared_only(_dealt(half_windows(known, window), "settled", ["h", "doc_id"]))
-    per_document = halves.groupBy("doc_id", "row").agg(F.collect_set("h").alias("halves"))
-    candidates, _ = possible(known, "doc_id", per_document.select("doc_id"))
-    extended = full_windows(candidates.join(per_document, ["doc_id", "row"]).select("doc_id", "row", "text", "halves"), window)
+    lengths = levels(window)[:-1] or [window]
+    candidates, before = known, None
+    for width in lengths:
+        shared = shared_only(_dealt(level_windows(candidates, window, width, before), "settled", ["h", "doc_id"]))
+        per_document = written(shared.groupBy("doc_id", "row").agg(F.collect_set("h").alias("wanted")), "windows")
+        if per_document.isEmpty():
+            return _kept(rows.select("doc_id", "text"), window, as_text)
+        likely, _ = possible(known, "doc_id", per_document.select("doc_id"))
+        candidates, before = likely.join(per_document, ["doc_id", "row"]).select("doc_id", "row", "text", "wanted"), width
+    extended = full_windows(candidates, window, before)
     starts = later_only(_dealt(extended, "later", ["h", "g", "doc_id"]))
 
     removals = written(starts.groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts")), "removals")

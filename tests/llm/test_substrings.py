@@ -51,3 +51,34 @@ def test_made_up(spark):
     check(frame, 8)
     check(frame, 50)
     check(frame.repartition(7), 12)
+
+
+def test_levels():
+    assert substring_dedup.levels(50) == [13, 25, 50] and substring_dedup.levels(8) == [2, 4, 8] and substring_dedup.levels(1) == [1]
+
+
+def test_each_level_drops_candidates(spark, monkeypatch):
+    """Runs that are repeated for 4, 7, 13, 25 words alone go at the next level; those of 50 are left, at any number of levels."""
+    draw = random.Random(10)
+    word = lambda: f"w{draw.randrange(10**6)}"
+    rows = []
+    for i, n in enumerate([3, 5, 9, 18, 33, 49, 50, 51, 70, 120]):
+        passage = [word() for _ in range(n)]
+        for k in range(3):
+            rows.append((10 * i + k, " ".join([*(word() for _ in range(60)), *passage, *(word() for _ in range(60))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for n in (1, 2, 3, 5):
+        monkeypatch.setattr(substring_dedup, "LEVELS", n)
+        followed, real = [], substring_dedup.level_windows
+        monkeypatch.setattr(substring_dedup, "level_windows", lambda docs, *args: followed.append((args[1], docs.select("doc_id").distinct().count())) or real(docs, *args))
+        got = check(frame)
+        monkeypatch.setattr(substring_dedup, "level_windows", real)
+        assert sum(k[2] > 0 for k in got) == 8
+        if n == 5:
+            assert [w for w, _ in followed] == [4, 7, 13, 25] and [d for _, d in followed] == sorted((d for _, d in followed), reverse=True)
+            assert followed[0][1] == 30 and followed[-1][1] < 24
+
+
+def test_nothing_repeated_ends_early(spark):
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}-{k}" for k in range(120))) for i in range(6)], "doc_id long, text string")
+    assert all(k[2] == 0 for k in check(frame))
