@@ -187,14 +187,16 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 def mixed_documents(docs: DataFrame, labels: DataFrame, factors: dict[str, float] | None = None) -> DataFrame:
     """The documents as often as their rates say: floor(rate) copies, and one more where what is left of the rate is above a draw; columns as before.
 
-    The draw is a hash of the whole row, so rows of one id, or of none, are drawn each for itself; n equal rows are one of n times the rate.
+    The draw is a hash of the row's own columns of documents, whatever others go along, so rows of one id, or of none, are drawn each by its text;
+    n equal rows are one of n times the rate.
     The targets are `factors` of the domains' own totals. Without labelled rows of two domains nothing is known of them and all documents stay.
     """
     model = learn(docs, labels)
     if not model.form.any():
         return docs.select(*docs.columns)
     # a hash passes over nulls, so where they are goes into it too
-    key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    own = [c for c in ("doc_id", "text", "lang", "source") if c in docs.columns]
+    key = F.xxhash64(*own, *(F.col(c).isNull() for c in own))
     rows = written(with_posteriors(docs.withColumn("_mix_key", key), model), "posteriors")
     rate, _ = solve_rates(rows, factors or FACTORS, factors=True)
     again = rows.groupBy("_mix_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_mix_key")
