@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .scratch import new_path
 
 U64 = np.uint64
-#: Bytes of input for each range of hashes.
+#: Bytes of input for each range of hashes: few, while there are not too many ranges for small files; in larger inputs more, but no more than a task holds.
 RANGE_BYTES = 4 << 20
+LARGE_RANGE_BYTES = 32 << 20
+MANY_BITS = 18
+#: Files that a worker keeps mapped at most.
+MOST_MAPPED = 8192
 
 
 def local_folder(uri: str) -> str:
@@ -32,9 +36,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def range_bits(docs: DataFrame) -> int:
-    """So many ranges, as a power of 2, that each has about RANGE_BYTES of the input as Spark estimates it; 64 ranges where it has no estimate."""
+    """So many ranges, as a power of 2, that each has about RANGE_BYTES of the input as Spark estimates it, beyond 2**MANY_BITS ranges up to
+    LARGE_RANGE_BYTES; 64 ranges where there is no estimate."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 6 if size >= 1 << 60 else min(18, max(4, math.ceil(math.log2(max(1, size / RANGE_BYTES)))))
+    return 6 if size >= 1 << 60 else bits_for(size)
+
+
+def bits_for(size: int) -> int:
+    small, large = (max(4, math.ceil(math.log2(max(1, size / b)))) for b in (RANGE_BYTES, LARGE_RANGE_BYTES))
+    return max(min(small, MANY_BITS), large)
 
 
 def range_of(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -92,6 +102,8 @@ class Lookup:
             mine = order[a:b]
             n = int(number[mine[0]])
             if n not in self.files:
+                if len(self.files) >= MOST_MAPPED:  # the one mapped first
+                    del self.files[next(iter(self.files))]
                 self.files[n] = load(f"{self.folder}/{self.kind}-{n}", *self.kinds)
             arrays = self.files[n]
             if arrays is None or not len(arrays[key_column]):

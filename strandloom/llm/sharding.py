@@ -3,8 +3,8 @@
 A row descends region -> rack -> shard. At each level every child draws -ln(u) / weight with u
 from a hash of (key, child), and the least draw wins, so a child wins in proportion to its weight
 and changing one child's weight moves rows only into or out of that child's subtree. A new shard
-joins as a rack of a new region when the last region is full: the weights of all other subtrees
-stay as they were, so rows move into the new shard alone.
+joins as a region of its own: the weights of all other subtrees stay as they were, so rows move into
+the new shard alone.
 """
 
 from __future__ import annotations
@@ -32,13 +32,19 @@ def inner(name: str, children: list[Node]) -> Node:
     return Node(name, sum(c.weight for c in children), tuple(children))
 
 
-def tree(shards: int, racks_per_region: int = 2, shards_per_rack: int = 2) -> Node:
-    """Shards 0..shards-1 of weight 1, dealt to racks and racks to regions in order."""
+def tree(shards: int, founded: int | None = None, racks_per_region: int = 2, shards_per_rack: int = 2) -> Node:
+    """Shards 0..shards-1 of weight 1. The first `founded`, by default all, are dealt to racks and racks to regions in order; each later
+    one is a rack of a region of its own. A cluster keeps the number it was founded with as it grows, so the weights of all other
+    subtrees stay as they were, and one shard more takes rows only into itself."""
     if shards < 1:
         raise ValueError("at least one shard is needed")
+    first = shards if founded is None else founded
+    if not 1 <= first <= shards:
+        raise ValueError("a cluster has at least the shards it was founded with")
     leaves = [Node(f"s{i}", 1.0, (), i) for i in range(shards)]
-    racks = [inner(f"k{i}", leaves[i * shards_per_rack : (i + 1) * shards_per_rack]) for i in range(-(-shards // shards_per_rack))]
+    racks = [inner(f"k{i}", leaves[i * shards_per_rack : min((i + 1) * shards_per_rack, first)]) for i in range(-(-first // shards_per_rack))]
     regions = [inner(f"g{i}", racks[i * racks_per_region : (i + 1) * racks_per_region]) for i in range(-(-len(racks) // racks_per_region))]
+    regions += [inner(f"g-s{i}", [inner(f"k-s{i}", [leaves[i]])]) for i in range(first, shards)]
     return inner("root", regions)
 
 
@@ -95,6 +101,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, buckets: int = 1024) -> Da
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"))
     rows = assign(rows, shards)
-    rows = assign(rows, shards + 1, into="grown_shard")
+    rows = assign(rows, layout=tree(shards + 1, founded=shards), into="grown_shard")
     rows = number_slots(rows, "shard", "doc_id", ["doc_id", "text_crc32", "size"], buckets)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
