@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BOILERPLATE
+from .quality_rules import BOILERPLATE, COMMON_TEXTS, COMMON_WORDS
 from .sharding import DRAW_DIGITS, Node, tree
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -68,7 +68,7 @@ s AS (SELECT doc_id, CAST(len(h) // 2 + 1 AS BIGINT) AS size,
       FROM b, crc)
 SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard,
   CAST(row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5({_KEY}), 25, 8) AS BIGINT) % 1024, doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard
-FROM (SELECT *, CAST({_descend(_KEY, tree(8))} AS INTEGER) AS shard, CAST({_descend(_KEY, tree(9))} AS INTEGER) AS grown_shard FROM s)"""
+FROM (SELECT *, CAST({_descend(_KEY, tree(8))} AS INTEGER) AS shard, CAST({_descend(_KEY, tree(9, 8))} AS INTEGER) AS grown_shard FROM s)"""
 
 _LINE_WORDS = r"len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))"
 _FAILS = rf"""(len(regexp_extract_all(l, '[#*$%&|<>]')) > 0.3 * {_LINE_WORDS} OR len(regexp_extract_all(l, '!')) > 0.3 * {_LINE_WORDS} OR ({_LINE_WORDS} > 3 AND upper(l) = l AND lower(l) <> l)
@@ -78,8 +78,12 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws, list_filte
 tri AS (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
 many AS (SELECT doc_id, t FROM tri GROUP BY doc_id, t HAVING count(*) > 1),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM tri JOIN many USING (doc_id, t)) GROUP BY doc_id),
+lines AS (SELECT doc_id, text, unnest(ls) AS l FROM d),
+good AS (SELECT doc_id, text, l, length(regexp_replace(l, '{_SPACE}+', '', 'g')) AS c FROM lines WHERE NOT {_FAILS}),
+common AS (SELECT l FROM good WHERE {_LINE_WORDS} <= {COMMON_WORDS} GROUP BY l HAVING count(DISTINCT text) >= {COMMON_TEXTS}),
+kept AS (SELECT doc_id, sum(c) AS c FROM good ANTI JOIN common USING (l) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
-        CAST(coalesce(list_sum(list_transform(list_filter(ls, lambda l: NOT {_FAILS}), lambda l: length(regexp_replace(l, '{_SPACE}+', '', 'g')))), 0) AS BIGINT) AS kept_chars
-      FROM d LEFT JOIN rep USING (doc_id))
+        CAST(coalesce(c, 0) AS BIGINT) AS kept_chars
+      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN kept USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 50 * word_chars AS kept FROM m"""

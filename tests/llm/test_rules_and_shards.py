@@ -65,3 +65,39 @@ def test_weights_move_rows_within_their_subtree(spark):
     assert min(counts.values()) > 2200
     assert all(r.b in (0, 1) or r.a == r.b or r.b // 4 == 0 for r in both)
     assert all(r.b < 4 for r in both if r.a != r.b)
+
+
+def test_one_shard_more_takes_rows_only_into_itself(spark):
+    """From any founding size, again and again."""
+    keys = spark.range(4000).withColumnRenamed("id", "doc_id")
+    for founded in (1, 2, 3, 5, 6, 7, 8, 9):
+        out = keys
+        for n in range(founded, founded + 4):
+            out = sharding.assign(out, layout=sharding.tree(n, founded), into=f"s{n}")
+        rows = out.collect()
+        for n in range(founded, founded + 3):
+            assert all(r[f"s{n + 1}"] in (r[f"s{n}"], n) for r in rows)
+            assert 0.75 * 4000 / (n + 1) < sum(r[f"s{n + 1}"] == n for r in rows) < 1.25 * 4000 / (n + 1) or founded == 1
+
+
+def test_common_lines_are_boilerplate(spark):
+    """A short line of twenty different texts goes, whatever its language; in nineteen, in copies of one text, or when long, it stays."""
+    prose = lambda i, k: "\n".join(f"El zorro{i}-{j} cruza{i} el monte{j} y mira{i} ríos{j}." for j in range(k))
+    long = " ".join(f"palabra{j}" for j in range(25)) + "."
+    rows = [(i, prose(i, 12) + "\nSuscríbase a nuestro boletín semanal." + ("\nCasi todos." if i < 19 else "") + "\n" + long) for i in range(20)]
+    rows += [(100 + i, prose(99, 10) + "\nSolo una copia.") for i in range(30)]
+    rows += [(200, prose(200, 10) + "\n" + "\n".join(["Suscríbase a nuestro boletín semanal."] * 40)), (201, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.measure(frame).collect()}
+    letters = lambda x: len("".join(x.split()))
+    for i, text in rows[:-2]:
+        assert got[i].kept and got[i].kept_chars == letters(text) - (letters("Suscríbase a nuestro boletín semanal.") if i < 20 else 0)
+    assert not got[200].kept and got[200].kept_chars == letters(prose(200, 10)) and not got[201].kept
+    cleaned = {r.doc_id: r.text for r in quality_rules.clean(frame).collect()}
+    assert cleaned == {i: t.replace("\nSuscríbase a nuestro boletín semanal.", "") for i, t in rows[:-2]}
+
+
+def test_ranges_of_hashes():
+    from strandloom.llm.hash_files import bits_for
+
+    assert [bits_for(1 << k) for k in (20, 30, 40, 43)] == [4, 8, 18, 18] and bits_for(100 * 10**12) == 22
