@@ -202,7 +202,8 @@ def evidence(reads: DataFrame, seq: str, seeds: list[str], least_share: float) -
 def multiplicity(reads: DataFrame, units: str) -> DataFrame:
     """Reads with 0, 1, 2 and 3 or more units; of pairs, those of equal and unequal units, and the share of unequal ones expected by chance."""
     n = F.size(units)
-    counts = reads.agg(*(F.count_if(test).alias(name) for name, test in (("none", n == 0), ("one", n == 1), ("two", n == 2), ("more", n >= 3))), F.count_if((n == 2) & (F.col(units)[0] == F.col(units)[1])).alias("same"), F.count_if((n == 2) & (F.col(units)[0] != F.col(units)[1])).alias("different"))
+    same = F.get(F.col(units), F.lit(0)) == F.get(F.col(units), F.lit(1))
+    counts = reads.agg(*(F.count_if(test).alias(name) for name, test in (("none", n == 0), ("one", n == 1), ("two", n == 2), ("more", n >= 3))), F.count_if((n == 2) & same).alias("same"), F.count_if((n == 2) & ~same).alias("different"))
     each = reads.select(F.explode(units).alias("u")).groupBy("u").agg(F.count("*").alias("k"))
     chance = each.agg((1 - F.sum(F.col("k") * F.col("k")) / (F.sum("k") * F.sum("k"))).alias("expected_different"))
     return counts.crossJoin(F.broadcast(chance))

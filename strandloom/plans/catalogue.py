@@ -966,3 +966,6 @@ def scaled_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reads(spark, sf_dir).groupBy("gene", F.floor(F.col("pos") / 100).alias("bin")).agg(F.count("*").alias("n"))
     return profiles.block_max(c, ["gene"], "bin", "n", 5)
+
+
+from . import file_queries, read_queries, table_queries  # noqa: E402, F401  (they register their queries here)

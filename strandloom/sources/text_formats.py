@@ -57,10 +57,13 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Mates by place in their files; the run fails where their ids differ or one is missing."""
-    a = first.select("index", F.struct("read_id", "seq", "qual").alias("r1"))
-    b = second.select("index", F.struct("read_id", "seq", "qual").alias("r2"))
-    both = a.join(b, "index", "full")
+    """Mates by place in their files, files by the order of their paths; the run fails where ids differ or one is missing."""
+
+    def placed(reads: DataFrame, name: str) -> DataFrame:
+        files = reads.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")))
+        return reads.join(F.broadcast(files), "path").select("file", "index", F.struct("read_id", "seq", "qual").alias(name))
+
+    both = placed(first, "r1").join(placed(second, "r2"), ["file", "index"], "full")
     bare = lambda c: F.regexp_replace(c, "/[12]$", "")
     same = F.coalesce(bare(F.col("r1.read_id")) == bare(F.col("r2.read_id")), F.lit(False))
     return both.withColumn("read_id", F.when(same, bare(F.col("r1.read_id"))).otherwise(F.raise_error(F.concat(F.lit("mates differ at record "), F.col("index").cast("string")))))
