@@ -22,7 +22,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH reads AS ({READS_SQL}) {sql}" if "reads" in sql else sql
+            SQL[f.__name__] = f"WITH RECURSIVE reads AS ({READS_SQL}) {sql}" if "reads" in sql else sql
         return f
 
     return add
@@ -202,12 +202,20 @@ def near_tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return barcodes.near_pairs(reads(spark, sf_dir), "umi", ["well"], 6, 1)
 
 
-@query()
+@query("""
+, n AS (SELECT DISTINCT well, gene, umi FROM reads), l AS (SELECT a.well, a.gene, a.umi AS a, b.umi AS b FROM n a JOIN n b ON a.well = b.well AND a.gene = b.gene AND hamming(a.umi, b.umi) = 1),
+  r AS (SELECT well, gene, umi, umi AS c FROM n UNION SELECT r.well, r.gene, l.b, r.c FROM r JOIN l ON l.well = r.well AND l.gene = r.gene AND l.a = r.umi)
+SELECT well, gene, umi, min(c) AS cluster FROM r GROUP BY well, gene, umi""")
 def umi_clusters_ed1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return molecules.tag_clusters(reads(spark, sf_dir), ["well", "gene"], "umi", 6, 1)
 
 
-@query()
+@query("""
+, n AS (SELECT well, gene, pos AS s, pos + span AS e, row_number() OVER (ORDER BY well, gene, pos, span) AS id FROM (SELECT DISTINCT well, gene, pos, span FROM reads)),
+  o AS (SELECT *, s // 6 + d AS cell FROM n, (SELECT unnest([-1, 0, 1]) AS d)),
+  l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN o b ON a.well = b.well AND a.gene = b.gene AND a.s // 6 = b.cell AND abs(a.s - b.s) <= 5 AND abs(a.e - b.e) <= 5 AND a.id <> b.id),
+  r AS (SELECT id, id AS c FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id), h AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT well, gene, count(DISTINCT c) AS molecules FROM n JOIN h USING (id) GROUP BY well, gene""")
 def jitter_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reads(spark, sf_dir).withColumn("end", F.col("pos") + F.col("span"))
     return molecules.jitter_molecules(rows, ["well", "gene"], "pos", "end", 5)
@@ -641,11 +649,16 @@ def clopper_pearson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("ci", st.clopper_pearson(F.col("k"), F.col("n"))).select("gene", "k", "n", "ci.low", "ci.high")
 
 
-@query()
+@query("""
+, t AS (SELECT gene, count(*) FILTER (contig LIKE 'HUMAN%' AND strand = '+') AS a, count(*) FILTER (contig LIKE 'HUMAN%' AND strand <> '+') AS b, count(*) FILTER (contig NOT LIKE 'HUMAN%' AND strand = '+') AS c, count(*) FILTER (contig NOT LIKE 'HUMAN%' AND strand <> '+') AS d FROM reads GROUP BY gene),
+  x AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x FROM t),
+  l AS (SELECT *, -lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS v, -lgamma(a + 1) - lgamma(b + 1) - lgamma(c + 1) - lgamma(d + 1) AS seen,
+    lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) AS top FROM x)
+SELECT gene, a, b, c, d, round(least(1.0, sum(exp(top + v)) FILTER (v <= seen + 1e-7)), 6) AS p FROM l GROUP BY ALL""")
 def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     human, plus = F.col("contig").startswith("HUMAN"), F.col("strand") == "+"
     c = reads(spark, sf_dir).groupBy("gene").agg(F.count_if(human & plus).alias("a"), F.count_if(human & ~plus).alias("b"), F.count_if(~human & plus).alias("c"), F.count_if(~human & ~plus).alias("d"))
-    return c.withColumn("p", st.fisher_exact(*(F.col(x) for x in "abcd")))
+    return c.withColumn("p", r6(st.fisher_exact(*(F.col(x) for x in "abcd"))))
 
 
 @query()
@@ -861,13 +874,18 @@ def expression_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.quartile_of(c, [], "n").withColumn("quartile", F.col("quartile").cast("long"))
 
 
-@query()
+@query("""
+, b AS (SELECT gene, CAST(least(floor(pos * 50 / 30000), 49) AS BIGINT) AS bin, CAST(count(*) AS DOUBLE) AS n FROM reads GROUP BY 1, 2),
+  k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n) + 50 - count(*) OVER (PARTITION BY gene) AS k FROM b)
+SELECT gene, count(*) AS occupied, CAST(max(CAST(bin = 0 AS INTEGER)) AS BIGINT) AS first_hit, CAST(max(CAST(bin = 49 AS INTEGER)) AS BIGINT) AS last_hit, round(2 * sum(k * n) / (50 * sum(n)) - 51 / 50.0, 6) AS gini FROM k GROUP BY gene""")
 def breadth_of_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir).withColumn("len", F.lit(30000))
-    return profiles.breadth(profiles.gene_bins(r, [], "gene", "pos", "len", 50), [], "gene", 50).withColumn("gini", r6(F.col("gini")))
+    return profiles.breadth(profiles.gene_bins(r, [], "gene", "pos", "len", 50), [], "gene", 50).select("gene", "occupied", F.col("first_hit").cast("long"), F.col("last_hit").cast("long"), r6(F.col("gini")).alias("gini"))
 
 
-@query()
+@query("""
+, b AS (SELECT contig, gene, CAST(least(floor(pos * 20 / 30000), 19) AS BIGINT) AS bin, CAST(count(*) AS DOUBLE) AS n FROM reads GROUP BY 1, 2, 3)
+SELECT x.gene, x.contig AS a, y.contig AS b, round(corr(x.n, y.n), 6) AS r, count(*) AS bins FROM b x JOIN b y ON x.gene = y.gene AND x.bin = y.bin AND x.contig < y.contig GROUP BY 1, 2, 3""")
 def profile_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reads(spark, sf_dir).withColumn("len", F.lit(30000))
     return profiles.profile_agreement(profiles.gene_bins(r, ["contig"], "gene", "pos", "len", 20), "gene", "contig").withColumn("r", r6(F.col("r")))

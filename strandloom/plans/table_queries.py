@@ -141,7 +141,7 @@ def more_result_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 , x AS (SELECT umi || repeat('G', CAST(lineno AS INTEGER) % 5) || repeat(umi, CAST(lineno AS INTEGER)) AS seq, CASE WHEN umi < 'G' THEN left(umi, 4) END AS code, CASE WHEN umi < 'G' THEN CAST(umi >= 'C' AS INTEGER) END AS mm, repeat('C', CAST(span AS INTEGER)) AS insert FROM reads),
   y AS (SELECT *, length(regexp_extract(substr(seq, 7), '^G*', 0)) AS run FROM x)
-SELECT count(*) AS reads, count(code) AS called, count(*) FILTER (mm = 0) AS exact, count(*) FILTER (mm = 1) AS one_off, count(*) FILTER (code IS NOT NULL AND length(insert) - run < 30) AS too_short, count(*) FILTER (code IS NOT NULL AND length(insert) - run >= 30) AS written FROM y""")
+SELECT count(*) AS n, count(*) - count(code) AS no_code, count(*) FILTER (mm = 0) AS exact, count(*) FILTER (mm = 1) AS one_off, count(*) FILTER (code IS NOT NULL AND length(insert) - run < 30) AS too_short, count(*) FILTER (code IS NOT NULL AND length(insert) - run >= 30) AS written FROM y""")
 def prep_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, u = F.col("lineno").cast("int"), F.col("umi")
     x = reads(spark, sf_dir).select(F.concat(u, F.repeat(F.lit("G"), n % 5), F.repeat(u, n)).alias("seq"), F.when(u < "G", F.substring(u, 1, 4)).alias("code"), F.when(u < "G", (u >= "C").cast("int")).alias("mm"), F.repeat(F.lit("C"), F.col("span").cast("int")).alias("insert"))
