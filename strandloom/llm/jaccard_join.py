@@ -41,7 +41,7 @@ U64 = np.uint64
 COUNTED = 0.4
 FREQUENT = 2
 #: Shingles that a task gathers before it sorts them.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: What makes a second hash of a set.
 OTHER_SALT = 0x8EBC6AF09C88C6E3
 #: Sets of a region that is cut inside one task; larger ones are cut across tasks.
@@ -55,8 +55,8 @@ PIVOTS = 24
 MOST_PIVOTS = 1024
 CHUNK = 512
 #: Shingles of a matrix product, and pairs that are listed, at once.
-DENSE = 4096
-LISTED = 1 << 21
+DENSE = 2048
+LISTED = 1 << 19
 #: Turns from one division by shingles to the next.
 SHINGLE_TURNS = 2
 

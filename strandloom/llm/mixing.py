@@ -139,8 +139,8 @@ def with_posteriors(docs: DataFrame, model: Model, domains: Sequence[str] = DOMA
 def solve_rates(rows: DataFrame, targets: dict[str, float], factors: bool = False, rounds: int = 40, tolerance: float = 1e-7) -> tuple[Column, dict[str, float]]:
     """The rate of a row as a column of its posteriors, and the expected totals it gives, as shares of all tokens.
 
-    Starts at rate 1. Each round's gradient is scaled by the curvature of the rows whose rate isn't held at 0;
-    a step that doesn't bring the totals nearer is halved. Targets that no rates meet are met as nearly as found.
+    Starts at rate 1. Each round's gradient is scaled by the curvature of the rows whose rate isn't held at 0; where neither that step nor a
+    quarter of it brings the totals nearer, the plain gradient's step does. Targets that no rates meet are met as nearly as can be found so.
     With `factors`, a target is that multiple of the total that the domain has at rate 1.
     """
     domains = list(targets)
@@ -162,17 +162,21 @@ def solve_rates(rows: DataFrame, targets: dict[str, float], factors: bool = Fals
     steps: list[np.ndarray] = []
     reached, curve, _ = totals(steps)
     goal = goal * reached if factors else goal
-    size = 1.0
+    # at rate 1 no row is held at 0, so this is the curvature of all rows: a plain step of its inverse never overshoots
+    steepest = float(np.linalg.eigvalsh(curve).max()) or 1.0
     for _ in range(rounds):
         miss = reached - goal
-        if np.abs(miss).max() <= tolerance or size < 1e-3:
+        far = float(np.linalg.norm(miss))
+        if np.abs(miss).max() <= tolerance:
             break
-        step = size * np.linalg.solve(curve + (1e-6 * np.trace(curve) + 1e-12) * np.eye(len(goal)), miss)
-        now, curve_now, _ = totals([*steps, step])
-        if np.linalg.norm(now - goal) < np.linalg.norm(miss):
-            steps, reached, curve, size = [*steps, step], now, curve_now, min(1.0, 2 * size)
+        scaled = np.linalg.solve(curve + (1e-6 * np.trace(curve) + 1e-12) * np.eye(len(goal)), miss)
+        for step in (scaled, scaled / 4, miss / steepest):
+            now, curve_now, _ = totals([*steps, step])
+            if np.linalg.norm(now - goal) < far * (1 - 1e-4):
+                break
         else:
-            size /= 2
+            break
+        steps, reached, curve = [*steps, step], now, curve_now
     return after(steps), dict(zip(domains, reached.tolist()))
 
 
