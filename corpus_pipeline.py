@@ -1,4 +1,7 @@
-"""A corpus from documents: quality, near copies, personal data, mixing and tokens, stage by stage."""
+"""A corpus from documents: quality, near copies, personal data, mixing and tokens, stage by stage.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and further columns; each says what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -11,31 +14,35 @@ from strandloom.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the preference model doesn't reject."""
+    """Documents that the preference model doesn't reject. A null text is judged as an empty one; equal texts are judged alike; without labels of
+    both kinds all stay; an empty table stays empty; columns as before."""
     ship(spark)
     return quality_classifier.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more."""
+    """One document of each group of five-word Jaccard similarity 0.8 or more, that of least id. Rows without words and rows of a null id stay; a repeated
+    row stays once; an empty table stays empty; columns as before."""
     ship(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets."""
+    """Personal data replaced by its kind in brackets. Every row stays, a null text null; equal rows change alike; an empty table stays empty; columns as
+    before."""
     ship(spark)
     return pii.mask_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates for the target totals of domains say: a rate above 1 gives further copies."""
+    """Documents as often as their rates for the target totals of domains say: a rate above 1 gives further copies. A null text is an empty one; n equal
+    rows are one of n times the rate; without labels of two domains all stay; an empty table stays empty; columns as before."""
     ship(spark)
     return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text of every row: a null text is an empty one, repeated rows give equal results, an empty table none."""
     ship(spark)
     return sentencepiece_codec.encode_documents(docs, piece_model())
 
