@@ -164,13 +164,22 @@ def plate_variation(rows: DataFrame, condition: str, value: str) -> DataFrame:
 
 
 def peak_windows(reads: DataFrame, spots: DataFrame, on: list[str], pos: str, spot: str, tag: str, sample: str, reach: int = 25) -> DataFrame:
-    """Reads, molecules and the share of the top sample within `reach` of each spot; a join on bins."""
+    """Reads, molecules and the share of the top sample within `reach` of each spot.
+
+    Equal reads are counted first. Each spot lies in one bin and reads go to the one or two bins that their spots can lie in, so all that a spot
+    sees meets where the bins are joined: the sums by sample and spot need no shuffle of their own.
+    """
     width = 2 * reach + 1
-    near = spots.select(*on, spot, F.explode(F.sequence(F.floor((F.col(spot) - reach) / width), F.floor((F.col(spot) + reach) / width))).alias("_bin"))
-    rows = reads.select(*on, pos, tag, sample).withColumn("_bin", F.floor(F.col(pos) / width)).join(near, [*on, "_bin"]).where(F.abs(F.col(pos) - F.col(spot)) <= reach)
-    each = rows.groupBy(*on, spot, sample).agg(F.count("*").alias("_n"))
-    shares = each.groupBy(*on, spot).agg((F.max("_n") / F.sum("_n")).alias("top_share"))
-    return rows.groupBy(*on, spot).agg(F.count("*").alias("reads"), F.count_distinct(sample, tag).alias("molecules")).join(shares, [*on, spot])
+    bin_of = lambda c: F.floor(c / width).cast("long")
+    places = spots.select(*on, spot).withColumn("_bin", bin_of(F.col(spot)))
+    counted = reads.groupBy(*on, pos, sample, tag).agg(F.count("*").alias("_n"))
+    rows = counted.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(pos) - reach), bin_of(F.col(pos) + reach))))
+    near = rows.join(places, [*on, "_bin"]).where(F.abs(F.col(pos) - F.col(spot)) <= reach)
+    tags = near.groupBy(*on, "_bin", spot, sample, tag).agg(F.sum("_n").alias("_n"))
+    known = F.count_if(F.col(sample).isNotNull() & F.col(tag).isNotNull())
+    each = tags.groupBy(*on, "_bin", spot, sample).agg(F.sum("_n").alias("_n"), known.alias("_tags"))
+    sums = each.groupBy(*on, "_bin", spot).agg(F.sum("_n").alias("reads"), F.sum("_tags").alias("molecules"), (F.max("_n") / F.sum("_n")).alias("top_share"))
+    return sums.drop("_bin")
 
 
 def fragment_types(reads: DataFrame, sample: str, read: str, rules: dict[str, Column]) -> DataFrame:
