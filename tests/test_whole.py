@@ -2,10 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import matrix
+from strandloom.operators import matrix, molecules
+from strandloom.operators import reads as rd
 from strandloom.plans import catalogue
 from strandloom.plans.fixture import reads
 
@@ -70,3 +72,24 @@ def test_too_many_distances_are_refused(spark, monkeypatch):
     d = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 4.0), ("b", "c", 6.0)], "a string, b string, d double")
     with pytest.raises(ValueError):
         matrix.average_linkage(d, "a", "b", "d")
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbours_and_spots_on_any_places(spark, seed):
+    rng = np.random.default_rng(seed)
+    places = rng.integers(-60, 60, (250, 2)).tolist()
+    rows = [(f"f{i % 3}", "t" if i % 5 else None, None if i == 7 else x, y, i, f"s{i % 4}", f"u{i % 6}" if i % 9 else None) for i, (x, y) in enumerate(places)]
+    table = spark.createDataFrame(rows, "family string, tile string, x long, y long, id long, sample string, tag string")
+    fine = [r for r in rows if r[1] and r[2] is not None]
+    near = {a[4]: a[0] for a in fine for b in fine if a[0] == b[0] and a[4] != b[4] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 49}
+    got = {r.family: r.neighbours for r in molecules.optical_neighbours(table, ["family"], "tile", "x", "y", "id", 7).collect()}
+    assert got == Counter(near.values())
+    spots = spark.createDataFrame([("t", s) for s in range(-70, 70, 3)], "tile string, spot long")
+    got = {r.spot: (r.reads, r.molecules, r.top_share) for r in rd.peak_windows(table, spots, ["tile"], "x", "spot", "tag", "sample", 5).collect()}
+    want = {}
+    for s in range(-70, 70, 3):
+        inside = [r for r in fine if abs(r[2] - s) <= 5]
+        if inside:
+            most = max(Counter(r[5] for r in inside).values())
+            want[s] = (len(inside), len({(r[5], r[6]) for r in inside if r[6]}), most / len(inside))
+    assert got == want
