@@ -13,10 +13,29 @@ def hash_order(*keys: str, seed: int = 0) -> Column:
 
 
 def first_by_order(rows: DataFrame, by: list[str], order: list[str | Column], n: int, into: str = "rank") -> DataFrame:
-    """The first n rows of each group in an order."""
+    """The first n rows of each group in an order. Up to spark.sql.optimizer.windowGroupLimitThreshold of them, each task drops the others of its
+    own rows before the shuffle."""
     return rows.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(into) <= n)
 
 
+#: Bits of a hash that name its stretch in hashed_rank().
+STRETCH_BITS = 10
+
+
+def hashed_rank(rows: DataFrame, by: list[str], keys: list[str], seed: int = 0, into: str = "_rank") -> DataFrame:
+    """Rows with their number in their group in the order of hash_order(keys), then the keys; nulls in `by` are a group like others.
+
+    The hashes are cut into stretches. Rows are numbered in theirs, and go on from the rows of the stretches before: a group of any size is the work
+    of many tasks, and one window sees only a group's counts.
+    """
+    cut = rows.withColumn("_group", F.struct(*by)).withColumn("_hash", hash_order(*keys, seed=seed)).withColumn("_stretch", F.shiftright("_hash", 64 - STRETCH_BITS))
+    counts = cut.groupBy("_group", "_stretch").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_group", "_stretch", F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_group", "_stretch").orderBy("_hash", *keys)))
+    return inside.join(starts, ["_group", "_stretch"]).select(*rows.columns, (F.col("_start") + F.col("_in")).alias(into))
+
+
 def exact_sample(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
     """n rows of least hash, from the whole table."""
     return rows.orderBy(hash_order(*keys, seed=seed), *keys).limit(n)
@@ -25,9 +44,10 @@ def exact_sample(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> Dat
 def rarefy(rows: DataFrame, by: list[str], order: list[str | Column], depths: list[int], measures: dict[str, Column]) -> DataFrame:
     """Measures of nested prefixes of each group in an order; depths above a group's rows are left out.
 
-    A row is ranked once and sent to the depths it belongs to, which are few.
+    Only rows up to the largest depth are ranked and kept (first_by_order), and sent to the depths they belong to, which are few.
     """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_all", F.count("*").over(Window.partitionBy(*by)))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_all")).select(F.struct(*by).alias("_group"), "_all")
+    ranked = first_by_order(rows, by, order, max(depths), "_rank").withColumn("_group", F.struct(*by)).join(totals, "_group")
     fits = F.filter(F.array(*(F.lit(d).cast("long") for d in depths)), lambda d: (d >= F.col("_rank")) & (d <= F.col("_all")))
     return ranked.withColumn("depth", F.explode(fits)).groupBy(*by, "depth").agg(*(c.alias(k) for k, c in measures.items()))
 
@@ -57,17 +77,17 @@ def expected_features(counts: DataFrame, by: list[str], count: str, depths: list
 
 def thin_counts(counts: DataFrame, by: list[str], feature: str, count: str, depth: int, seed: int = 0) -> DataFrame:
     """Counts of a sample of `depth` molecules without replacement; groups with fewer are left out."""
-    units = counts.where(F.col(count) > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
-    ranked = units.withColumn("_all", F.count("*").over(Window.partitionBy(*by))).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(hash_order(*by, feature, "_i", seed=seed), feature, "_i")))
-    return ranked.where((F.col("_all") >= depth) & (F.col("_rank") <= depth)).groupBy(*by, feature).agg(F.count("*").alias(count))
+    some = counts.where(F.col(count) > 0)
+    enough = some.groupBy(*by).agg(F.sum(F.col(count).cast("int")).alias("_all")).where(F.col("_all") >= depth).select(F.struct(*by).alias("_group"))
+    units = some.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
+    taken = first_by_order(units, by, [hash_order(*by, feature, "_i", seed=seed), feature, "_i"], depth, "_rank")
+    return taken.withColumn("_group", F.struct(*by)).join(enough, "_group", "left_semi").groupBy(*by, feature).agg(F.count("*").alias(count))
 
 
 def to_smallest(rows: DataFrame, by: list[str], keys: list[str], seed: int = 0) -> DataFrame:
     """As many rows of each group as the smallest group has."""
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    least = counts.agg(F.min("_n").alias("_least"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(hash_order(*keys, seed=seed), *keys)))
-    return ranked.crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")
+    least = rows.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
+    return hashed_rank(rows, by, keys, seed).crossJoin(F.broadcast(least)).where("_rank <= _least").drop("_rank", "_least")
 
 
 def common_features(rows: DataFrame, method: str, feature: str, depth: int, methods: int, keys: list[str], seed: int = 0) -> DataFrame:
