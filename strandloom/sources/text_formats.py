@@ -25,35 +25,57 @@ def resolve(spark: SparkSession, patterns: str) -> list[str]:
     return out
 
 
+FASTQ_FIELDS = "path string, index long, read_id string, seq string, qual string"
+#: Names of files that are gzipped, and of all others.
+GZIPPED, PLAIN = "*.gz", "{*[^z],*[^g]z,*[^.]gz}"
+
+
+def fastq_records(path: str, first: int, lines: list[str]) -> pd.DataFrame:
+    """Records number `first` and on from lines in fours."""
+    heads, seqs, pluses, quals = (lines[k::4] for k in range(4))
+    for i, (head, seq, plus, qual) in enumerate(zip(heads, seqs, pluses, quals)):
+        if head[:1] != "@" or not head[1:].split() or plus[:1] != "+" or len(seq) != len(qual):
+            raise ValueError(f"{path}: record {first + i} isn't FASTQ")
+    return pd.DataFrame({"path": path, "index": range(first, first + len(heads)), "read_id": [h[1:].split()[0] for h in heads], "seq": seqs, "qual": quals})
+
+
+def streamed_fastq(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records from lines (path, value) that come file by file, in order; up to three lines are carried over from batch to batch."""
+    path, index, rest = None, 0, []
+
+    def ended() -> None:
+        if rest:
+            raise ValueError(f"{path}: record {index} isn't FASTQ")
+
+    for pdf in batches:
+        for name, lines in pdf.groupby("path", sort=False)["value"]:
+            if name != path:
+                ended()
+                path, index, rest = name, 0, []
+            rest = rest + lines.tolist()
+            whole = len(rest) - len(rest) % 4
+            yield fastq_records(path, index, rest[:whole])
+            index, rest = index + whole // 4, rest[whole:]
+    ended()
+
+
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, index, read_id, seq and qual of four-line records.
+    """path, index, read_id, seq and qual of four-line records. Text after the id's first space is dropped; other lines fail the run.
 
-    Lines have no key of their own and a file may be split anywhere, so each file is read as records by one task; give many
-    files (or chunks of four lines) rather than one large one. Text after the id's first space is dropped.
+    A gzipped file can't be split: one task streams it, whatever its size, and has a batch of lines in memory. Lines have no key of their own, so a
+    plain file is read as records by one task, too, and as a whole (2 GB at most): gzip large files. Give many files rather than few.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-        import io
+    lines = spark.read.option("pathGlobFilter", GZIPPED).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PLAIN).load(paths).select("path", "content")
 
+    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                raw = gzip.open(io.BytesIO(content), "rt") if content[:2] == b"\x1f\x8b" else io.StringIO(content.decode())
-                lines = iter(raw)
-                rows, index = [], 0
-                for head in lines:
-                    seq, plus, qual = (next(lines, "").rstrip("\r\n") for _ in range(3))
-                    if head[0] != "@" or plus[:1] != "+" or len(seq) != len(qual):
-                        raise ValueError(f"{path}: record {index} isn't FASTQ")
-                    rows.append((path, index, head[1:].split()[0], seq, qual))
-                    index += 1
-                    if len(rows) == 20000:
-                        yield pd.DataFrame(rows, columns=["path", "index", "read_id", "seq", "qual"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "index", "read_id", "seq", "qual"])
-
-    return files.mapInPandas(run, "path string, index long, read_id string, seq string, qual string")
+                text = content.decode().split("\n")
+                found = [line.rstrip("\r") for line in (text if text[-1] else text[:-1])]
+                yield from streamed_fastq(pd.DataFrame({"path": path, "value": found[at : at + 80000]}) for at in range(0, len(found), 80000))
+
+    return lines.mapInPandas(streamed_fastq, FASTQ_FIELDS).unionByName(files.mapInPandas(plain, FASTQ_FIELDS))
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:

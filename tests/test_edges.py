@@ -1,14 +1,17 @@
 """Cases that tables of the usual shape don't reach: nulls in keys, gaps between rows, names at the edge of a rule."""
 
+import gzip
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandloom.operators import intervals, matrix, molecules
+from strandloom.operators import intervals, matrix, molecules, sampling
 from strandloom.operators import reads as rd
+from strandloom.sources import text_formats as tf
 
 
 def test_null_keys_meet_nothing(spark):
@@ -90,3 +93,40 @@ def test_average_linkage_against_all_pairs(spark):
         best, p, q = min((np.mean([far[x, y] for x in p for y in q]), p, q) for p in groups for q in groups if p > q)
         assert abs(best - d) < 1e-9 and sorted([low, high]) == sorted([[f"s{x}" for x in p], [f"s{x}" for x in q]])
         groups = [g for g in groups if g not in (p, q)] + [sorted(p + q)]
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_ranks_by_hash_are_those_of_one_window(spark, copies):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id % 7) AS g", f"id DIV {copies} AS id", "id AS n")
+    one = rows.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(sampling.hash_order("id", seed=4), "id")))
+    got = sampling.hashed_rank(rows, ["g"], ["id"], 4, "r")
+    assert Counter((r.g, r.id, r.r) for r in got.collect()) == Counter((r.g, r.id, r.r) for r in one.collect())
+    assert got.columns == [*rows.columns, "r"]
+    assert sampling.hashed_rank(rows.limit(0), ["g"], ["id"]).count() == 0
+
+
+def test_rarefaction_keeps_null_groups_and_drops_depths_too_deep(spark):
+    rows = spark.range(50).selectExpr("IF(id < 30, NULL, 'a') AS g", "id")
+    got = {(r.g, r.depth): (r.n, r.last) for r in sampling.rarefy(rows, ["g"], ["id"], [5, 20, 25], {"n": F.count("*"), "last": F.max("id")}).collect()}
+    assert got == {(None, 5): (5, 4), (None, 20): (20, 19), (None, 25): (25, 24), ("a", 5): (5, 34), ("a", 20): (20, 49)}
+
+
+def test_fastq_plain_and_gzipped(spark, tmp_path):
+    want = set()
+    for name, ends, n in [("a.fastq.gz", "\n", 25001), ("b.fastq.gz", "\r\n", 7), ("c.fastq", "\r\n", 25), ("d.fastq", "\n", 0), ("e.fastq.gz", "\n", 0), ("f.fastqz", "\n", 3)]:
+        rows = [(f"{name}:{i}", "ACGT"[: i % 5], "@+I?"[: i % 5]) for i in range(n)]
+        text = "".join(f"@{r} more{ends}{s}{ends}+{ends}{q}{ends}" for r, s, q in rows)
+        (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+        want |= {(name, i, *r) for i, r in enumerate(rows)}
+    got = [(r.path.rsplit("/", 1)[1], r["index"], r.read_id, r.seq, r.qual) for r in tf.read_fastq(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+    one = tf.read_fastq(spark, [str(tmp_path / "b.fastq.gz"), str(tmp_path / "c.fastq")])
+    assert one.count() == 32
+
+
+@pytest.mark.parametrize("text", ["@a\nAC\n+\nI", "@a\nAC\n+\nII\n@b\nAC\n", "a\nAC\n+\nII\n", "@ \nAC\n+\nII\n"])
+@pytest.mark.parametrize("name", ["x.fastq", "x.fastq.gz"])
+def test_fastq_that_is_none(spark, tmp_path, name, text):
+    (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
+    with pytest.raises(Exception, match="isn't FASTQ"):
+        tf.read_fastq(spark, str(tmp_path)).collect()
