@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import MIN_CHARS, MIN_DOCS
 from .quality_rules import BOILERPLATE, COMMON_TEXTS, COMMON_WORDS
 from .sharding import DRAW_DIGITS, Node, tree
 
@@ -60,8 +61,9 @@ def _descend(key: str, node: Node) -> str:
 
 _KEY = "coalesce(CAST(doc_id AS VARCHAR), 'null')"
 #: The checksum's table is made by its rule: eight times, shift right, and subtract the polynomial where a 1 fell out.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS t)"
 SHARDS = f"""
-WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS t),
+WITH {_CRC_TABLE},
 b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 s AS (SELECT doc_id, CAST(len(h) // 2 + 1 AS BIGINT) AS size,
         xor(list_reduce(list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT))), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS text_crc32
@@ -87,3 +89,45 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_st
         CAST(coalesce(c, 0) AS BIGINT) AS kept_chars
       FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN kept USING (doc_id))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 50 * word_chars AS kept FROM m"""
+
+LINES = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, x, regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS k
+      FROM (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM d)),
+common AS (SELECT k FROM l WHERE length(k) >= {MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM l ANTI JOIN common USING (k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - coalesce(n, 0) AS BIGINT) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+MERGE = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS x FROM d),
+parts AS (SELECT doc_id, unnest(['row', 'lang', 'source']) AS part FROM d UNION ALL SELECT doc_id, CAST(i AS VARCHAR) FROM lines),
+named AS (SELECT doc_id, part, b, b || ':' || doc_id || ':' || part AS s FROM parts, (SELECT unnest(['L', 'R']) AS b)),
+code AS (SELECT doc_id, part, b,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(length(s)), lambda i: CAST(ascii(substr(s, CAST(i + 1 AS BIGINT), 1)) AS BIGINT))), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 11 AS c FROM named, crc),
+c AS (SELECT doc_id, part, max(c) FILTER (b = 'L') AS l, max(c) FILTER (b = 'R') AS r FROM code GROUP BY 1, 2),
+ops AS (SELECT doc_id, i, x, l, r, CASE WHEN l <= 2 THEN l END AS le, CASE WHEN r <= 2 THEN r END AS re, CASE WHEN l IN (3, 4) THEN l END AS lg, CASE WHEN r IN (3, 4) THEN r END AS rg
+        FROM lines JOIN c USING (doc_id) WHERE part = CAST(i AS VARCHAR)),
+made AS (SELECT *, CASE WHEN le <> re THEN NULL ELSE coalesce(le, re) END AS e, CASE WHEN lg <> rg THEN NULL ELSE coalesce(lg, rg) END AS g FROM ops),
+texts AS (SELECT doc_id,
+    coalesce(string_agg(CASE WHEN e = 0 THEN '' ELSE x || CASE e WHEN 1 THEN '!' WHEN 2 THEN '?' ELSE '' END END || CASE WHEN g IS NULL THEN '' ELSE CASE WHEN e = 0 THEN '' ELSE chr(10) END || CASE g WHEN 3 THEN '!' ELSE '?' END END, chr(10) ORDER BY i)
+      FILTER (coalesce(e, 1) <> 0 OR g IS NOT NULL), '') AS text,
+    count(*) FILTER (e IS NOT NULL) + count(*) FILTER (g IS NOT NULL) AS clean, count(*) FILTER (le <> re AND le > 0 AND re > 0) AS ee, count(*) FILTER (le <> re AND (le = 0 OR re = 0)) AS ed, count(*) FILTER (lg <> rg) AS ii,
+    bool_or(l <= 4) AS lc, bool_or(r <= 4) AS rc FROM made GROUP BY doc_id),
+cols AS (SELECT doc_id, part, v, CASE l WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS lv, CASE r WHEN 0 THEN '' WHEN 1 THEN v || '!' WHEN 2 THEN v || '?' ELSE v END AS rv
+         FROM (SELECT doc_id, part, CASE part WHEN 'lang' THEN lang ELSE source END AS v, l, r FROM d JOIN c USING (doc_id) WHERE part IN ('lang', 'source'))),
+settled AS (SELECT doc_id, part, CASE WHEN lv = rv THEN lv WHEN lv = v THEN rv WHEN rv = v THEN lv ELSE v END AS v, lv <> v AS lc, rv <> v AS rc, lv <> v AND rv <> v AND lv <> rv AS clash FROM cols),
+wide AS (SELECT doc_id, max(v) FILTER (part = 'lang') AS lang, max(v) FILTER (part = 'source') AS source, bool_or(lc) AS lc, bool_or(rc) AS rc,
+    count(*) FILTER ((lc OR rc) AND NOT clash) AS clean, count(*) FILTER (clash) AS ee FROM settled GROUP BY doc_id),
+joined AS (SELECT d.doc_id, d.lang AS bl, d.source AS bs, array_to_string(d.ls, chr(10)) AS bt, w.lang, w.source, x.text, w.clean + x.clean AS clean, w.ee + x.ee AS ee, x.ed, x.ii, c.l = 0 OR c.r = 0 AS gone,
+    c.l = 0 AND c.r > 0 AND (w.rc OR x.rc) OR c.r = 0 AND c.l > 0 AND (w.lc OR x.lc) AS clash
+  FROM d JOIN wide w USING (doc_id) JOIN texts x USING (doc_id) JOIN c ON c.doc_id = d.doc_id AND c.part = 'row'),
+added AS (SELECT -1 - doc_id AS id, lang, source, CASE l WHEN 3 THEN '!' ELSE '?' END AS t FROM d JOIN c USING (doc_id) WHERE part = 'row' AND l IN (3, 4)
+  UNION ALL SELECT -2 - doc_id, lang, source, CASE r WHEN 3 THEN '!' ELSE '?' END FROM d JOIN c USING (doc_id) WHERE part = 'row' AND r IN (3, 4)),
+fresh AS (SELECT id, min(lang) AS lang, min(source) AS source, min(t) AS t, count(DISTINCT (lang, source, t)) = 1 AS same FROM added GROUP BY id)
+SELECT doc_id, CASE WHEN clash THEN bl WHEN NOT gone THEN lang END AS lang, CASE WHEN clash THEN bs WHEN NOT gone THEN source END AS source, CASE WHEN clash THEN sha256(bt) WHEN NOT gone THEN sha256(text) END AS text_sha256,
+  CAST(CASE WHEN clash THEN 0 WHEN gone THEN 1 ELSE clean END AS BIGINT) AS n_clean, CAST(CASE WHEN gone THEN 0 ELSE ee END AS BIGINT) AS n_edit_edit,
+  CAST(CASE WHEN clash THEN 1 WHEN gone THEN 0 ELSE ed END AS BIGINT) AS n_edit_delete, CAST(CASE WHEN gone THEN 0 ELSE ii END AS BIGINT) AS n_insert_insert FROM joined
+UNION ALL
+SELECT id, CASE WHEN same THEN lang END, CASE WHEN same THEN source END, CASE WHEN same THEN sha256(t) END, CAST(same AS BIGINT), 0, 0, CAST(NOT same AS BIGINT) FROM fresh"""

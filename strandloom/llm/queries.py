@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, jaccard_join, kneser_ney, mixing, oracles, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from . import branch_merge, embedding_dedup, jaccard_join, kneser_ney, line_dedup, mixing, oracles, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op10_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_common_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_native_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return branch_merge.merge_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_int8_embedding_dedup,
@@ -71,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_kneser_ney_scoring,
         op9_hash_tree_sharding,
         op10_line_quality_rules,
+        op11_common_line_dedup,
+        op13_native_branch_merge,
     )
     return {f.__name__: f for f in found}
 
@@ -83,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_doubling_substring_dedup": oracles.SUBSTRINGS,
         "op9_hash_tree_sharding": oracles.SHARDS,
         "op10_line_quality_rules": oracles.RULES,
+        "op11_common_line_dedup": oracles.LINES,
+        "op13_native_branch_merge": oracles.MERGE,
     }
