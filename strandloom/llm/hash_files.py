@@ -9,6 +9,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .scratch import new_path
 
@@ -68,10 +69,17 @@ def save(path: str, *arrays: np.ndarray) -> None:
     os.replace(own, path)
 
 
-def load(path: str, *kinds: type) -> list[np.ndarray] | None:
-    """The arrays of save(), mapped; None where nothing was saved."""
+def every_range(rows: DataFrame, bits: int) -> DataFrame:
+    """`rows` (range and binary columns, and perhaps numbers) with an empty row for each range, so that a file is written for all: one that isn't there later is then known to be lost."""
+    none = {t: F.lit(b"") if t == "binary" else F.lit(0).cast(t) for t in {t for _, t in rows.dtypes}}
+    ranges = rows.sparkSession.range(1 << bits).select(*((F.col("id").cast("int") if c == "range" else none[t]).alias(c) for c, t in rows.dtypes))
+    return rows.unionByName(ranges)
+
+
+def load(path: str, *kinds: type) -> list[np.ndarray]:
+    """The arrays of save(), mapped. A file that isn't there is an error: it was written, and holds counts that can't be guessed."""
     if not os.path.exists(path):
-        return None
+        raise FileNotFoundError(f"{path} is gone, or its folder isn't mounted on this worker")
     raw = np.memmap(path, np.uint8, "r")
     at = 8 * len(kinds)
     out = []
@@ -87,7 +95,7 @@ class Lookup:
 
     def __init__(self, folder: str, kind: str, bits: int, kinds: tuple[type, ...]):
         self.folder, self.kind, self.bits, self.kinds = folder, kind, bits, kinds
-        self.files: dict[int, list[np.ndarray] | None] = {}
+        self.files: dict[int, list[np.ndarray]] = {}
 
     def __reduce__(self):
         return Lookup, (self.folder, self.kind, self.bits, self.kinds)
@@ -106,7 +114,7 @@ class Lookup:
                     del self.files[next(iter(self.files))]
                 self.files[n] = load(f"{self.folder}/{self.kind}-{n}", *self.kinds)
             arrays = self.files[n]
-            if arrays is None or not len(arrays[key_column]):
+            if not len(arrays[key_column]):
                 continue
             have = arrays[key_column]
             spot = np.minimum(np.searchsorted(have, keys[mine]), len(have) - 1)

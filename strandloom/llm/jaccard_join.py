@@ -14,7 +14,7 @@
    group is settled by its pivots, however large it is.
 
 Common passages come last in the order, so regions are about as small as the groups of near copies. Any order gives
-the same links. Sets are told apart by 128 bits of hash, shingles by 64.
+the same links. Shingles are told apart by 64 bits of hash, sets of them by 128.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, local_labels
-from .hash_files import Lookup, new_folder, range_bits, range_of, runs, save
+from .hash_files import Lookup, every_range, new_folder, range_bits, range_of, runs, save
 from .membership import possible
 from .scratch import written
 from .text_arrays import Words, mixed, pieces, signed, span_hashes
@@ -175,7 +175,7 @@ def frequencies(docs: DataFrame, limit: Limit, bits: int, counted: float = COUNT
         save(f"{folder}/shingles-{key[0].as_py()}", values[keep], np.log2(counts[keep]).astype(np.uint8))
         return pa.table([pa.array([int(keep.sum())], pa.int64())], names=["n"])
 
-    docs.select("text").mapInArrow(count, _RANGED).groupBy("range").applyInArrow(write, "n long").agg(F.sum("n")).first()
+    every_range(docs.select("text").mapInArrow(count, _RANGED), bits).groupBy("range").applyInArrow(write, "n long").agg(F.sum("n")).first()
     return Lookup(folder, "shingles", bits, (U64, np.uint8))
 
 

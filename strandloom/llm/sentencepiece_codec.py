@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text_arrays import BASE, BYTE_VALUES, flat, mixed, powers
+from .text_arrays import flat, run_hashes
 
 META = "▁"
 NEVER = np.int32(2**31 - 1)
@@ -214,8 +214,7 @@ def encode_texts(coder: Codec, column: pa.Array) -> Iterator[tuple[int, bytes, b
         start[own[:-1][full]] = True
         starts = np.flatnonzero(start)
         bounds = np.append(starts, len(part))
-        keys = _hashes(part, bounds)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        first, inverse = _distinct(part, bounds)
         lengths = (bounds[1:] - bounds[:-1])[first]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         gather = np.repeat(bounds[:-1][first] - ends[:-1], lengths) + np.arange(ends[-1])
@@ -229,20 +228,23 @@ def encode_texts(coder: Codec, column: pa.Array) -> Iterator[tuple[int, bytes, b
         i = j
 
 
-def _hashes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the runs of bytes between bounds."""
-    out = np.empty(len(bounds) - 1, np.uint64)
-    i, n = 0, len(bounds) - 1
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + (1 << 18), side="right")) - 1)
-        block = data[bounds[i] : bounds[j]]
-        up, down = powers(BASE, len(block) + 1)
-        sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[block] * up[:-1], out=sums[1:])
-        s, e = bounds[i:j] - bounds[i], bounds[i + 1 : j + 1] - bounds[i]
-        out[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
-    return out
+def _distinct(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct run of bytes between bounds, and for each run which it equals: by hash, and then by all their bytes."""
+    starts, lengths = bounds[:-1], np.diff(bounds)
+    _, first, inverse = np.unique(run_hashes(data, starts, bounds[1:]), return_index=True, return_inverse=True)
+    twin = first[inverse]
+    same = lengths == lengths[twin]
+    checked = np.flatnonzero(same & (twin != np.arange(len(twin))))
+    if len(checked):
+        n = lengths[checked]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        equal = data[np.repeat(starts[checked], n) + place] == data[np.repeat(starts[twin[checked]], n) + place]
+        same[checked] = np.logical_and.reduceat(equal, begin)
+    if not same.all():  # runs that only their hash makes equal
+        raw = data.tobytes()
+        _, first, inverse = np.unique(np.array([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], object), return_index=True, return_inverse=True)
+    return first, inverse
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .membership import possible
 from .scratch import written
-from .text_arrays import WORD_BASES, Words, pieces, signed
+from .text_arrays import SEEDS, Words, pieces, signed
 
 #: Words of a window whose repetition counts, lengths on the way to it and itself, and rows that a task compares among themselves before it deals them out.
 WINDOW = 50
@@ -164,7 +164,7 @@ def shared_only(sorted_rows: DataFrame) -> DataFrame:
 
 
 def full_windows(docs: DataFrame, window: int, before: int) -> DataFrame:
-    """h, g, doc_id, row, start, later: the runs of `docs` that are left of the level `before`; h and g make 96 bits of hash.
+    """h, g, doc_id, row, start, later: the runs of `docs` that are left of the level `before`; h and g make 96 bits of hash, from two hashes of each word.
 
     A window that a smaller document of the task has too is known to be a later one and dealt anywhere; so of a window in very many
     documents each task deals one row by its hash.
@@ -192,9 +192,8 @@ def full_windows(docs: DataFrame, window: int, before: int) -> DataFrame:
                 spot = np.flatnonzero(hit)
                 if not len(spot):
                     continue
-                hashes = w.hashes()
-                h, _ = w.windows(hashes, window)
-                g, _ = w.windows(hashes, window, WORD_BASES[1])
+                h, _ = w.windows(w.hashes(), window)
+                g, _ = w.windows(w.hashes(SEEDS[1]), window)
                 rows = w.first + text[spot]
                 parts.append((signed(h[spot]), (g[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[rows], keys[rows], (spot - w.bounds[text[spot]]).astype(np.int32)))
                 if sum(len(p[0]) for p in parts) >= FLUSH:

@@ -1,8 +1,9 @@
 """Words of many texts at once: byte positions and 64-bit hashes as flat numpy arrays.
 
 A text's words are its runs of bytes that are not white space (0x20, 0x09 to 0x0D), which in UTF-8 are
-its runs of characters `[^\\x20\\x09-\\x0D]`. Hashes are polynomials in random 64-bit values of the
-bytes, modulo 2**64, then mixed; sums over prefixes give the hash of any run of words.
+its runs of characters `[^\\x20\\x09-\\x0D]`. A word is hashed eight bytes at a time: each eight are mixed with
+a value of their place, and only then summed. Windows are put together from mixed hashes of their halves. Nothing is a
+polynomial modulo 2**64: there, long strings of two letters can be written down that collide whatever the base.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240229))
-BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
-BASE = 0x9E3779B97F4A7C15
-WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: An odd number, so that its multiples differ, and seeds of two independent hashes.
+STEP = U64(0x9E3779B97F4A7C15)
+SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -26,23 +26,8 @@ LOWER[65:91] += 32
 
 #: Bytes of text that are worked on at once, unless one text has more.
 PIECE_BYTES = 1 << 21
-#: Bytes hashed at once.
-BLOCK_BYTES = 1 << 18
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0 .. base**(n-1) modulo 2**64, and their inverses."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = tuple(np.full(size, b, dtype=U64) for b in (base, pow(base, -1, 2**64)))
-        for table in have:
-            table[0] = 1
-            np.cumprod(table, out=table)
-        _powers[base] = have
-    return have[0][:n], have[1][:n]
+#: Runs of eight bytes that are hashed at once.
+BLOCK_LANES = 1 << 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,6 +39,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of bytes data[start:end]; runs ascend. Another seed gives another hash."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    lanes = np.maximum((ends - starts + 7) >> 3, 1)
+    upto = np.cumsum(lanes)
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        done = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, done + BLOCK_LANES, side="right")))
+        n = lanes[i:j]
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        at = np.repeat(starts[i:j], n) + 8 * place
+        left = np.minimum(np.repeat(ends[i:j], n) - at, 8).astype(U64)
+        lane = eights[at] & (~U64(0) >> ((U64(8) - left) * U64(8)) if (left > 0).all() else np.where(left > 0, ~U64(0) >> ((U64(8) - np.maximum(left, U64(1))) * U64(8)), U64(0)))
+        sums = np.add.reduceat(mixed(lane ^ mixed(place.astype(U64) * STEP + U64(seed))), first)
+        out[i:j] = mixed(sums + (ends[i:j] - starts[i:j]).astype(U64) * STEP)
+        i = j
+    return out
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and where each begins and the last ends; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -88,35 +96,52 @@ class Words:
         """The text of each word, from 0."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        out = np.empty(len(self.starts), U64)
-        i, n = 0, len(self.starts)
-        while i < n:
-            at = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, at + BLOCK_BYTES, side="right")))
-            block = self.data[at : self.ends[j - 1]]
-            up, down = powers(BASE, len(block) + 1)
-            sums = np.zeros(len(block) + 1, U64)
-            np.cumsum(BYTE_VALUES[block] * up[:-1], out=sums[1:])
-            s, e = self.starts[i:j] - at, self.ends[i:j] - at
-            out[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
-            i = j
-        return out
-
-    def windows(self, hashes: np.ndarray, width: int, base: int = WORD_BASES[0]) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, seed: int = SEEDS[0]) -> np.ndarray:
+        return run_hashes(self.data, self.starts, self.ends, seed)
+
+    def windows(self, hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window that starts at each word, and whether it ends within the word's text."""
         n = len(hashes)
-        ends = np.repeat(self.bounds[1:], self.counts)
-        inside = np.arange(n) + width <= ends
-        return span_hashes(hashes, np.arange(n), np.minimum(np.arange(n) + width, n), base), inside
-
-
-def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = WORD_BASES[0]) -> np.ndarray:
-    """Hash of each run of words [start, end)."""
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+        inside = np.arange(n) + width <= np.repeat(self.bounds[1:], self.counts)
+        return window_hashes(hashes, width), inside
+
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two runs of words in a row, from theirs."""
+    return mixed(mixed(left + STEP) + right)
+
+
+def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of hashes[i : i + width] for each i, from windows whose widths are powers of 2; the last width - 1 results are of no use."""
+    out, power, at, bit = None, hashes, 0, 1
+    while True:
+        if width & bit:
+            out = power.copy() if out is None else np.concatenate([joined(out[: len(out) - at], power[at:]), out[len(out) - at :]]) if at < len(out) else out
+            at += bit
+        bit <<= 1
+        if bit > width:
+            return out
+        half = bit >> 1
+        power = np.concatenate([joined(power[:-half], power[half:]), power[-half:]]) if half < len(power) else power
+
+
+def span_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of words [start, end), each of one word at least: as window_hashes() has it for its width."""
+    out = np.zeros(len(starts), U64)
+    for width in np.unique(ends - starts).tolist():
+        own = np.flatnonzero(ends - starts == width)
+        rows = hashes[starts[own][:, None] + np.arange(width)]
+        value, at, bit = None, 0, 1
+        while bit <= width:
+            if width & bit:
+                part = rows[:, at : at + bit]
+                while part.shape[1] > 1:
+                    part = joined(part[:, ::2], part[:, 1::2])
+                value = part[:, 0] if value is None else joined(value, part[:, 0])
+                at += bit
+            bit <<= 1
+        out[own] = value
+    return out
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, lower: bool = False, piece_bytes: int = PIECE_BYTES) -> Iterator[Words]:
