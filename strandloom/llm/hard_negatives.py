@@ -49,9 +49,9 @@ def heights(rows: np.ndarray, most: float) -> np.ndarray:
     return np.sqrt(np.maximum(most - np.einsum("ij,ij->i", rows, rows), 0))
 
 
-def scores(rows: np.ndarray, query: np.ndarray, most: float) -> np.ndarray:
-    """Exact inner products: in doubles where all partial sums fit them, else in longs."""
-    return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64) if most < 2.0**52 else rows @ query
+def scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact inner products: rows are doubles where all partial sums fit them, else longs."""
+    return (rows @ query.astype(rows.dtype)).astype(np.int64)
 
 
 @dataclass
@@ -233,25 +233,38 @@ def search(requests: pa.Table, members: pa.Table, size: int, most: float, same:
     order = np.argsort(leaf, kind="stable")
     rows, ids, labels, leaf, on_way = rows[order], ids[order], labels[order], leaf[order], on_way[order]
     at = np.searchsorted(leaf, np.arange((1 << tree.levels) + 1))
-    full = at[1:] > at[:-1]
+    full, places = at[1:] > at[:-1], [np.arange(a, b) for a, b in zip(at[:-1], at[1:])]
     low, high = np.full((len(full), tree.levels), np.inf), np.full((len(full), tree.levels), -np.inf)
     low[full], high[full] = np.minimum.reduceat(on_way, at[:-1][full]), np.maximum.reduceat(on_way, at[:-1][full])
 
     queries = _rows(requests.column("vector"), size)
     nearest, farthest = tree.bounds(tree.far(queries, np.zeros(len(queries))), low, high, SLACK * np.sqrt(most))
     top, bottom = score_bounds(nearest, farthest, queries, most)
+    whole = rows.astype(np.float64) if most < 2.0**52 else rows
     anchor, label, lows, highs = (requests.column(c).to_numpy() for c in ("anchor_id", "label", "low", "high"))
     out_request, out_id, out_score = [], [], []
-    for r, query in enumerate(queries):
+    # windows of one anchor share the scores of leaves that either has visited
+    _, group = np.unique(np.column_stack([anchor, queries]), axis=0, return_inverse=True)
+    by_group = np.argsort(group, kind="stable")
+    value, known, last = np.zeros(len(rows), np.int64), np.zeros(len(full), bool), -1
+    for r in by_group.tolist():
+        if group[r] != last:
+            last, known[:] = group[r], False
         ways = np.flatnonzero(full & (top[r] >= lows[r]) & (bottom[r] <= highs[r]))
         ways = ways[np.argsort(-top[r, ways], kind="stable")]
         have_id, have_score, step, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0
         while done < len(ways) and (len(have_id) < k or top[r, ways[done]] >= have_score[-1]):
-            some = np.concatenate([np.arange(at[w], at[w + 1]) for w in ways[done : done + step]])
+            now = ways[done : done + step]
             done, step = done + step, 2 * step
-            value = scores(rows[some], query, most)
-            fit = ((labels[some] == label[r]) == same) & (ids[some] != anchor[r]) & (value >= lows[r]) & (value <= highs[r])
-            have_id, have_score = np.concatenate([have_id, ids[some][fit]]), np.concatenate([have_score, value[fit]])
+            new = now[~known[now]]
+            if len(new):
+                part = np.concatenate([places[w] for w in new])
+                value[part] = scores(whole[part], queries[r])
+                known[new] = True
+            some = np.concatenate([places[w] for w in now])
+            got = value[some]
+            some = some[((labels[some] == label[r]) == same) & (ids[some] != anchor[r]) & (got >= lows[r]) & (got <= highs[r])]
+            have_id, have_score = np.concatenate([have_id, ids[some]]), np.concatenate([have_score, value[some]])
             best = np.lexsort((have_id, -have_score))[:k]
             have_id, have_score = have_id[best], have_score[best]
         out_request.append(np.full(len(have_id), r))
