@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import distributions
+
 #: Fixed value: the normal quantile of a 95 % interval.
 Z95 = 1.96
 
@@ -48,32 +50,6 @@ def specificity(ah: Column, am: Column, th: Column, tm: Column) -> Column:
     return F.when(n > 0, F.when(seen >= expected, up).otherwise(down))
 
 
-def adjusted(p: str, by: list[str] | None = None) -> Column:
-    """Benjamini-Hochberg adjusted p-values of column `p`, within `by`.
-
-    One window per group: give `by`, or use adjust_p(), where a group may hold more rows than a task should.
-    """
-    w = Window.partitionBy(*(by or [F.lit(1)]))
-    rank = F.row_number().over(w.orderBy(F.col(p)))
-    n = F.count(F.col(p)).over(w)
-    return F.least(F.min(F.col(p) * n / rank).over(w.orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))
-
-
-def adjust_p(rows: DataFrame, p: str, into: str, by: list[str] | None = None) -> DataFrame:
-    """Add Benjamini-Hochberg adjusted p-values; ties share the value of the last of them. Null p stays null.
-
-    Distinct p-values are counted first, so a window sees one row per value.
-    """
-    by = by or []
-    counts = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n"))
-    up = Window.partitionBy(*(by or [F.lit(1)])).orderBy(p)
-    whole = Window.partitionBy(*(by or [F.lit(1)]))
-    ranked = counts.withColumn("_rank", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(whole))
-    down = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    values = ranked.withColumn(into, F.least(F.min(F.col(p) * F.col("_all") / F.col("_rank")).over(down), F.lit(1.0))).select(*by, p, into)
-    return rows.join(values, [*by, p], "left")
-
-
 def effective_numbers(counts: DataFrame, by: list[str], count: str) -> DataFrame:
     """Simpson's and Shannon's effective numbers and the Gini-Simpson index of the counts of each group."""
     total = F.sum(count).over(Window.partitionBy(*by))
@@ -89,112 +65,24 @@ def gini(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     return rows.withColumn("_rank", rank).groupBy(*by).agg(F.when(s != 0, 2 * F.sum(F.col("_rank") * F.col(value)) / (n * s) - (n + 1) / n).otherwise(0.0).alias("gini"))
 
 
-# Distributions ----------------------------------------------------------------------------------------------
-
-
-def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny = 1e-300
-    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    out = d.copy()
-    for m in range(1, 400):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + top * d
-            c = 1 + top / np.where(np.abs(c) < tiny, tiny, c)
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            out *= d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    return out
-
-
-def beta_cdf(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta function."""
-    a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))
-    inner = (x > 0) & (x < 1)
-    out = np.where(x >= 1, 1.0, 0.0)
-    if inner.any():
-        a, b, x = a[inner], b[inner], x[inner]
-        lg = np.vectorize(math.lgamma, otypes=[float])
-        front = np.exp(lg(a + b) - lg(a) - lg(b) + a * np.log(x) + b * np.log1p(-x))
-        swap = x > (a + 1) / (a + b + 2)
-        direct = front * _beta_fraction(a, b, np.where(swap, 0.5, x)) / a
-        other = 1 - front * _beta_fraction(b, a, np.where(swap, 1 - x, 0.5)) / b
-        out = out.copy()
-        out[inner] = np.where(swap, other, direct)
-    return out
-
-
-def t_two_sided(t, df) -> np.ndarray:
-    """P(|T| >= |t|) of Student's distribution."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return beta_cdf(df / 2, 0.5, df / (df + t * t))
-
-
-def _inverse(cdf, target: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    for _ in range(200):
-        mid = (low + high) / 2
-        below = cdf(mid) < target
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
-
-
-def beta_quantile(q, a, b) -> np.ndarray:
-    q, a, b = np.broadcast_arrays(*(np.asarray(v, float) for v in (q, a, b)))
-    return _inverse(lambda x: beta_cdf(a, b, x), q, np.zeros(q.shape), np.ones(q.shape))
-
-
-def t_quantile(p: float, df) -> np.ndarray:
-    """Upper quantile: P(T <= t) = p for p of at least a half."""
-    df = np.asarray(df, float)
-    return _inverse(lambda t: 1 - t_two_sided(t, df) / 2, np.full(df.shape, p), np.zeros(df.shape), np.full(df.shape, 1e6))
+# Tests ------------------------------------------------------------------------------------------------------
 
 
 def p_of_t(t: Column, df: Column) -> Column:
     """Two-sided p of t; 1 where either isn't a number (nothing varies, so there's no evidence)."""
-
-    @F.pandas_udf("double")
-    def run(t: pd.Series, df: pd.Series) -> pd.Series:
-        a, b = t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)
-        fine = np.isfinite(b) & ~np.isnan(a) & (b > 0)
-        out = np.ones(len(a))
-        out[fine] = t_two_sided(a[fine], b[fine])
-        return pd.Series(out)
-
-    return run(t.cast("double"), df.cast("double"))
+    return F.coalesce(distributions.t_two_sided(t, df), F.lit(1.0))
 
 
 def clopper_pearson(k: Column, n: Column, alpha: float = 0.05) -> Column:
     """struct<low, high> of the exact interval of k of n; nulls where n is 0."""
-
-    @F.pandas_udf("low double, high double")
-    def run(k: pd.Series, n: pd.Series) -> pd.DataFrame:
-        a, b = k.to_numpy(float), n.to_numpy(float)
-        low = np.where(a > 0, beta_quantile(alpha / 2, np.maximum(a, 1), np.maximum(b - a + 1, 1)), 0.0)
-        high = np.where(a < b, beta_quantile(1 - alpha / 2, a + 1, np.maximum(b - a, 1)), 1.0)
-        return pd.DataFrame({"low": np.where(b > 0, low, np.nan), "high": np.where(b > 0, high, np.nan)})
-
-    return run(k.cast("double"), n.cast("double"))
+    low = F.when(k > 0, distributions.beta_quantile(alpha / 2, k, n - k + 1)).otherwise(0.0)
+    high = F.when(k < n, distributions.beta_quantile(1 - alpha / 2, k + 1, n - k)).otherwise(1.0)
+    return F.struct(F.when(n > 0, low).alias("low"), F.when(n > 0, high).alias("high"))
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided p of a 2 x 2 table: tables no likelier than the one seen."""
-
-    @F.pandas_udf("double")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        lg = math.lgamma
-
-        def one(a: int, b: int, c: int, d: int) -> float:
-            r, s, k = a + b, c + d, a + c
-            top = lg(r + 1) + lg(s + 1) + lg(k + 1) + lg(b + d + 1) - lg(r + s + 1)
-            log_p = lambda x: top - lg(x + 1) - lg(r - x + 1) - lg(k - x + 1) - lg(s - k + x + 1)
-            seen = log_p(a)
-            return min(1.0, sum(math.exp(v) for x in range(max(0, k - s), min(r, k) + 1) if (v := log_p(x)) <= seen + 1e-7))
-
-        return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d)], dtype=float)
-
-    return run(a, b, c, d)
+    return distributions.hypergeometric_two_sided(a, b, c, d)
 
 
 def mann_whitney(rows: DataFrame, by: list[str], value: str, group: str, first: str) -> DataFrame:

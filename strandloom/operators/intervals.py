@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def _bins(frame: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """One row for each bin that an interval touches; empty intervals touch none."""
@@ -54,12 +56,14 @@ def containing_interval(points: DataFrame, spans: DataFrame, on: list[str], poin
 
 
 def last_before(points: DataFrame, marks: DataFrame, on: list[str], point: str, mark: str, carry: list[str]) -> DataFrame:
-    """Points with the `carry` columns of the last mark at or before them: one sort of both sides together, no join of ranges."""
-    marked = marks.select(*on, F.col(mark).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(mark), *carry).alias("_mark"))
+    """Points with the `carry` columns of the last mark at or before them: both sides sorted together in stretches (scans.py), no join of ranges.
+
+    A point without a place has no mark; of marks at one place any one is taken. Nulls in `on` are a group like others.
+    """
+    marked = marks.where(F.col(mark).isNotNull()).select(*on, F.col(mark).alias("_at"), F.lit(0).alias("_side"), F.struct(F.col(mark), *carry).alias("_mark"))
     asked = points.select(*on, F.col(point).alias("_at"), F.lit(1).alias("_side"), F.struct(*points.columns).alias("_point"))
-    both = marked.unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy(*on).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(w)).where("_side = 1")
+    both = scans.in_stretches(marked.unionByName(asked, allowMissingColumns=True), "_at")
+    out = scans.scan(both, on, ["_at", "_side"], {"_last": scans.running_last(F.col("_mark"), F.col("_at"))}).where("_side = 1")
     return out.select("_point.*", F.col(f"_last.{mark}").alias(mark), *(F.col(f"_last.{c}").alias(c) for c in carry))
 
 
@@ -94,12 +98,11 @@ def exon_offsets(exons: DataFrame, on: list[str], start: str, end: str) -> DataF
 def depth_steps(spans: DataFrame, on: list[str], start: str, end: str) -> DataFrame:
     """Coverage as steps: [from_pos, to_pos) and the number of intervals over it; steps of depth 0 are left out.
 
-    Ends are summed by position first, so a window sees one row for each place where coverage may change.
+    Ends are summed by position first; the running sum over places where coverage may change is a scan in stretches, so one deep gene or contig is many tasks' work.
     """
     ends = spans.select(*on, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("change")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("change")))).alias("_e")).select(*on, "_e.*")
-    changes = ends.groupBy(*on, "pos").agg(F.sum("change").alias("change"))
-    w = Window.partitionBy(*on).orderBy("pos")
-    steps = changes.withColumn("depth", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("to_pos", F.lead("pos").over(w))
+    changes = scans.in_stretches(ends.groupBy(*on, "pos").agg(F.sum("change").alias("change")), "pos")
+    steps = scans.scan(changes, on, ["pos"], {"depth": scans.running_sum(F.col("change")), "to_pos": scans.following(F.col("pos"))})
     return steps.where("depth > 0").select(*on, F.col("pos").alias("from_pos"), "to_pos", "depth")
 
 

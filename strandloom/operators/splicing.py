@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.statistics import adjust_p, p_of_t
+from ..functions.statistics import p_of_t
+from . import scans
 
 
 def junction_support(reads: DataFrame, junction: list[str], read: str, left: str, right: str, anchor: int = 4, each_read: bool = False) -> DataFrame:
@@ -68,6 +69,20 @@ def separated(rows: DataFrame, by: list[str], value: str, treated: Column) -> Da
     return rows.groupBy(*by).agg((above | below).alias("consistent"))
 
 
+def adjust_p(rows: DataFrame, p: str, into: str, by: list[str] | None = None) -> DataFrame:
+    """Add Benjamini-Hochberg adjusted p-values; ties share the value of the last of them. Null p stays null.
+
+    Distinct p-values are counted; ranks and the least values to the right of them are scans in stretches, so no task sees all p-values of a group.
+    """
+    by = by or []
+    counts = scans.in_stretches(rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n")), p)
+    ranked = scans.scan(counts, by, [p], {"_rank": scans.running_sum(F.col("_n"))}, {"_all": F.col("_n")})
+    least = scans.scan(ranked, by, [p], {into: scans.running_min(F.col(p) * F.col("_all") / F.col("_rank"), backward=True)})
+    values = least.select(*by, p, F.least(into, F.lit(1.0)).alias(into))
+    same = [F.col(f"_row.{c}").eqNullSafe(F.col(f"_value.{c}")) for c in by] + [F.col(f"_row.{p}") == F.col(f"_value.{p}")]
+    return rows.alias("_row").join(values.alias("_value"), same, "left").select("_row.*", F.col(f"_value.{into}").alias(into))
+
+
 def differential(psi: DataFrame, row: list[str], count: str, treated: Column, limit: float = 0.1, effect: float = 0.1) -> DataFrame:
     """Welch tests of psi with pooled differences, adjusted p, consistency and hits (effects up only)."""
     tests = welch(psi, row, "psi", treated).join(pooled_difference(psi, row, count, "total", treated), row).join(separated(psi, row, "psi", treated), row)

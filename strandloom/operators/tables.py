@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import t_quantile
 from ..functions.statistics import ratio, wilson
 
 
@@ -125,13 +126,8 @@ def top_share(rows: DataFrame, by: list[str], count: str, key: str, tops: list[i
 
 def mean_interval(rows: DataFrame, by: list[str], value: str, least: int = 3) -> DataFrame:
     """n, mean, sample SD and half width of the 95 % t interval of groups of `least` values or more."""
-    from ..functions.statistics import t_quantile
-
-    spark = rows.sparkSession
-    table = spark.createDataFrame([(n, float(t_quantile(0.975, n - 1))) for n in range(2, 202)], "_n int, _t double")
     out = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).where(F.col("n") >= least)
-    out = out.join(F.broadcast(table), F.least(F.col("n"), F.lit(201)) == F.col("_n"), "left")
-    return out.withColumn("half_width", F.col("_t") * F.col("sd") / F.sqrt("n")).drop("_n", "_t")
+    return out.withColumn("half_width", t_quantile(0.975, F.col("n") - 1) * F.col("sd") / F.sqrt("n"))
 
 
 def code_report(rows: DataFrame, code: str, declared: DataFrame, top: int = 20) -> DataFrame:

@@ -389,9 +389,9 @@ def asof_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, o.d AS last_order, o.n AS orders_that_day FROM events ASOF LEFT JOIN (SELECT o_orderdate AS d, count(*) AS n FROM orders GROUP BY 1) o ON events.ts >= o.d""")
 def asof_last_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("last_order")).agg(F.count("*").alias("orders_that_day")).withColumn("one", F.lit(1))
-    events = table(spark, sf_dir, "events").select("event_id", "ts", F.lit(1).alias("one"))
-    return intervals.last_before(events, days, ["one"], "ts", "last_order", ["orders_that_day"]).select("event_id", "last_order", "orders_that_day")
+    days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("last_order")).agg(F.count("*").alias("orders_that_day"))
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return intervals.last_before(events, days, [], "ts", "last_order", ["orders_that_day"]).select("event_id", "last_order", "orders_that_day")
 
 
 @query(f"""
@@ -598,7 +598,7 @@ def katz_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, round(p, 6) AS p, round(padj, 6) AS padj FROM p JOIN a USING (p)""")
 def bh_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (((F.col("p_partkey") * 7919) % 1009 + 1) / 1010.0).alias("p"))
-    return st.adjust_p(p, "p", "padj").select("id", r6(F.col("p")).alias("p"), r6(F.col("padj")).alias("padj"))
+    return splicing.adjust_p(p, "p", "padj").select("id", r6(F.col("p")).alias("p"), r6(F.col("padj")).alias("padj"))
 
 
 @query(", c AS (SELECT well, gene, count(*) AS n FROM reads GROUP BY 1, 2), p AS (SELECT well, n / sum(n) OVER (PARTITION BY well) AS p FROM c) SELECT well, round(1 / sum(p * p), 6) AS simpson, round(exp(-sum(p * ln(p))), 6) AS shannon, round(1 - sum(p * p), 6) AS gini_simpson FROM p GROUP BY well")
@@ -625,10 +625,19 @@ def mean_sd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.mean_interval(c, ["contig", "gene"], "k").select("contig", "gene", "n", r6(F.col("mean")).alias("mean"), r6(F.col("sd")).alias("sd"))
 
 
-@query()
+#: Student's quantile at 0.975 for 2, 3, ... degrees of freedom, for the SQL of mean_t_interval (a group has at most 24 wells).
+T975 = (
+    "4.30265272975, 3.18244630528, 2.77644510520, 2.57058183564, 2.44691185114, 2.36462425159, 2.30600413520, 2.26215716280, 2.22813885199, 2.20098516009, 2.17881282967, "
+    "2.16036865646, 2.14478668792, 2.13144954556, 2.11990529922, 2.10981557783, 2.10092204024, 2.09302405441, 2.08596344727, 2.07961384473, 2.07387306790, 2.06865761042"
+)
+
+
+@query(f"""
+, c AS (SELECT contig, gene, well, count(*) AS k FROM reads GROUP BY 1, 2, 3), m AS (SELECT contig, gene, count(*) AS n, avg(k) AS mean, stddev_samp(k) AS sd FROM c GROUP BY contig, gene HAVING count(*) >= 3)
+SELECT contig, gene, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(CAST([{T975}][n - 2] AS DOUBLE) * sd / sqrt(n), 6) AS half_width FROM m""")
 def mean_t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reads(spark, sf_dir).groupBy("contig", "gene", "well").agg(F.count("*").alias("k"))
-    return tables.mean_interval(c, ["contig", "gene"], "k")
+    return tables.mean_interval(c, ["contig", "gene"], "k").withColumns({x: r6(F.col(x)) for x in ("mean", "sd", "half_width")})
 
 
 @query(", q AS (SELECT gene, well, count(*) AS v FROM reads GROUP BY 1, 2), s AS (SELECT gene, v, row_number() OVER (PARTITION BY gene ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY gene) AS n FROM q) SELECT gene, round(quantile_cont(v, 0.25), 6) AS linear, min(v) FILTER (k + 1 >= 0.25 * n) AS cumulative, min(v) FILTER (k >= floor(0.25 * n)) AS floor_index, min(v) FILTER (k >= floor(n / 2)) AS upper_median, min(v) FILTER (k + 1 >= floor((n + 1) / 2)) AS half_up FROM s GROUP BY gene")
@@ -643,10 +652,18 @@ def partial_final_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.merge_partials(parts, ["event_type"], ["n"], ["top"], ["version"]).withColumn("top", r6(F.col("top")))
 
 
-@query()
+#: Each bound is where the binomial tail beyond the count seen has a chance of 0.025; halving an interval 45 times finds it.
+@query("""
+, c AS (SELECT gene, count(*) FILTER (strand = '+') AS k, count(*) AS n FROM reads GROUP BY gene),
+  b AS (SELECT gene, k, n, lower, 0.0::DOUBLE AS x, 1.0::DOUBLE AS y, 0 AS i FROM c, (SELECT unnest([true, false]) AS lower)
+    UNION ALL
+    SELECT gene, k, n, lower, CASE WHEN low THEN m ELSE x END, CASE WHEN low THEN y ELSE m END, i + 1
+    FROM (SELECT *, CASE WHEN lower THEN tail < 0.025 ELSE tail > 0.025 END AS low FROM (SELECT *, (x + y) / 2 AS m,
+      list_sum(list_transform(CASE WHEN lower THEN range(k, n + 1) ELSE range(0, k + 1) END, lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((x + y) / 2) + (n - j) * ln(1 - (x + y) / 2)))) AS tail FROM b WHERE i < 45)))
+SELECT gene, k, n, round(max(CASE WHEN k = 0 THEN 0 ELSE x END) FILTER (lower), 6) AS low, round(max(CASE WHEN k = n THEN 1 ELSE x END) FILTER (NOT lower), 6) AS high FROM b WHERE i = 45 GROUP BY gene, k, n""")
 def clopper_pearson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reads(spark, sf_dir).groupBy("gene").agg(F.count_if(F.col("strand") == "+").alias("k"), F.count("*").alias("n"))
-    return c.withColumn("ci", st.clopper_pearson(F.col("k"), F.col("n"))).select("gene", "k", "n", "ci.low", "ci.high")
+    return c.withColumn("ci", st.clopper_pearson(F.col("k"), F.col("n"))).select("gene", "k", "n", r6(F.col("ci.low")).alias("low"), r6(F.col("ci.high")).alias("high"))
 
 
 @query("""
@@ -661,10 +678,17 @@ def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("p", r6(st.fisher_exact(*(F.col(x) for x in "abcd"))))
 
 
-@query()
+#: Groups of more than 20 wells, or with ties, have the normal limit; its upper tail is summed by Simpson's rule. Smaller ones would need all ways to choose ranks.
+@query("""
+, c AS (SELECT gene, well >= 'W05' AS treated, count(*) AS v FROM reads GROUP BY gene, well),
+  r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS k FROM c),
+  t AS (SELECT gene, sum(m * m * m - m) AS ties FROM (SELECT gene, v, count(*) AS m FROM c GROUP BY 1, 2) GROUP BY gene),
+  u AS (SELECT gene, count(*) FILTER (treated) AS n, count(*) FILTER (NOT treated) AS m, sum(k) FILTER (treated) - count(*) FILTER (treated) * (count(*) FILTER (treated) + 1) / 2.0 AS u FROM r GROUP BY gene),
+  z AS (SELECT gene, u, greatest(0, abs(u - n * m / 2.0) - 0.5) / sqrt(n * m / 12.0 * (n + m + 1 - ties / ((n + m) * (n + m - 1.0)))) AS z FROM u JOIN t USING (gene))
+SELECT gene, u::DOUBLE AS u, round(1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000) * (z * i / 2000) / 2))) * z / 2000 / 3 / sqrt(2 * pi()), 6) AS p FROM z""")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reads(spark, sf_dir).groupBy("gene", "well").agg(F.count("*").alias("n")).withColumn("arm", F.when(_treated(), "treated").otherwise("control"))
-    return st.mann_whitney(c, ["gene"], "n", "arm", "treated")
+    return st.mann_whitney(c, ["gene"], "n", "arm", "treated").withColumn("p", r6(F.col("p")))
 
 
 @query()

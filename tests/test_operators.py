@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import distributions as dist
 from strandloom.functions import sequence as sq
 from strandloom.functions import statistics as st
 from strandloom.operators import barcodes, checks, intervals, matrix, molecules, motifs, sampling, splicing, tables
@@ -53,16 +54,43 @@ def test_cigars(spark):
     assert one(spark, "10M", sq.five_prime(F.lit(5), c, F.lit("-"))) == 14
 
 
-def test_distributions():
+def test_distributions(spark):
     # closed forms: one and two degrees of freedom, and binomial tails
-    assert np.allclose(st.t_two_sided(1.0, 1), 0.5)
-    assert np.allclose(st.t_two_sided(2.0, 2), 1 - 2 / math.sqrt(2 + 4))
-    assert np.allclose(st.t_quantile(0.975, np.array([1, 2, 10])), [12.706204736, 4.302652730, 2.228138852], atol=1e-6)
-    for n, k, p in ((10, 3, 0.2), (25, 20, 0.7)):
+    t = spark.createDataFrame([(1.0, 1), (2.0, 2)], "t double, df int").select(dist.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()
+    assert np.allclose([r.p for r in t], [0.5, 1 - 2 / math.sqrt(2 + 4)])
+    t = spark.createDataFrame([(1,), (2,), (10,), (10**6,)], "df int").select(dist.t_quantile(0.975, F.col("df")).alias("t")).collect()
+    assert np.allclose([r.t for r in t], [12.706204736175, 4.302652729454, 2.228138851986, 1.959966356], atol=1e-9)
+    for n, k, p in ((10, 3, 0.2), (25, 20, 0.7), (400, 200, 0.5)):
         tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
-        assert np.allclose(st.beta_cdf(k, n - k + 1, p), tail)
-    q = st.beta_quantile(0.025, 3, 8)
-    assert np.allclose(st.beta_cdf(3, 8, q), 0.025)
+        got = spark.range(1).select(dist.beta_cdf(k, n - k + 1, F.lit(p)).alias("p")).first().p
+        assert math.isclose(got, tail, rel_tol=1e-12)
+
+
+def test_quantiles_and_their_distributions_agree(spark):
+    draw = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(q)) for a, b, q in zip(10 ** draw.uniform(-0.5, 5, 300), 10 ** draw.uniform(-0.3, 5, 300), draw.uniform(0.001, 0.999, 300))]
+    frame = spark.createDataFrame([*rows, (2.0, 3.0, 0.0), (2.0, 3.0, 1.0)], "a double, b double, q double").withColumn("x", dist.beta_quantile(F.col("q"), F.col("a"), F.col("b")))
+    got = frame.withColumn("back", dist.beta_cdf(F.col("a"), F.col("b"), F.col("x"))).collect()
+    assert max(abs(r.back - r.q) for r in got) < 1e-8
+    none = spark.createDataFrame([(None, 1.0, 0.5), (1.0, None, 0.5), (1.0, 1.0, None)], "a double, b double, q double")
+    assert all(r.x is None for r in none.select(dist.beta_quantile(F.col("q"), F.col("a"), F.col("b")).alias("x")).collect())
+    values = spark.range(1, 400).select((F.col("id") / 7).alias("x")).select("x", dist.log_gamma(F.col("x")).alias("g")).collect()
+    assert max(abs(r.g - math.lgamma(r.x)) / max(1, abs(r.g)) for r in values) < 1e-13
+
+
+def test_fisher_against_all_tables(spark):
+    draw = np.random.default_rng(9)
+    tables = [tuple(int(v) for v in draw.integers(0, k, 4)) for k in (2, 5, 30, 300) for _ in range(40)] + [(0, 0, 0, 0), (0, 0, 3, 4), (5, 0, 0, 5)]
+
+    def plain(a, b, c, d):
+        ways = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        return sum(w for w in ways.values() if w <= ways[a]) / math.comb(a + b + c + d, a + c)
+
+    rows = spark.createDataFrame(tables, "a long, b long, c long, d long").select(*"abcd", st.fisher_exact(*(F.col(x) for x in "abcd")).alias("p")).collect()
+    assert max(abs(r.p - plain(r.a, r.b, r.c, r.d)) for r in rows) < 1e-9
+    large = spark.createDataFrame([(500_000, 500_300, 500_100, 500_000)], "a long, b long, c long, d long").select(st.fisher_exact(*(F.col(x) for x in "abcd")).alias("p")).first().p
+    z = (abs(500_000 * 500_000 - 500_300 * 500_100) - 0.5 * 2_000_400) / math.sqrt(1_000_300 * 1_000_100 * 1_000_100 * 1_000_300 / 2_000_400)
+    assert math.isclose(large, math.erfc(z / math.sqrt(2)), rel_tol=1e-4)
 
 
 def test_intervals_and_tests(spark):
