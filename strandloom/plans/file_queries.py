@@ -32,6 +32,16 @@ def fastq_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("read_id", "seq").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT {_ID} AS read_id, umi AS seq, count(*) AS n FROM reads GROUP BY 1, 2")
+def fastq_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads in one plain file, which is read in blocks. Qualities begin with the sign of a record's head."""
+    path = work_path(spark, "lane")
+    rows = reads(spark, sf_dir).select(_read_id().alias("read_id"), F.col("umi").alias("seq"), F.translate("umi", "ACGT", "@+?!").alias("qual"))
+    sinks.write_fastq(rows, path, compression="none")
+    back = tf.read_fastq(spark, path).where(F.col("qual") == F.translate("seq", "ACGT", "@+?!"))
+    return back.groupBy("read_id", "seq").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT {_ID} AS read_id, umi AS seq1, reverse(umi) AS seq2, count(*) AS n FROM reads GROUP BY 1, 2, 3")
 def fastq_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [work_path(spark, f"mates{k}") for k in (1, 2)]
@@ -141,13 +151,13 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.read_table(spark, path, "well string, umi string, gene string, span long").groupBy("well", "umi", "gene", "span").agg(F.count("*").alias("n"))
 
 
-@query("SELECT gene, well, CAST(count(*) AS DOUBLE) AS n FROM reads WHERE well < 'W06' GROUP BY 1, 2 UNION ALL SELECT g.gene, w.well, 0.0 FROM (SELECT DISTINCT gene FROM reads WHERE well < 'W06') g, (SELECT DISTINCT well FROM reads WHERE well < 'W06') w WHERE (g.gene, w.well) NOT IN (SELECT (gene, well) FROM reads)")
+@query("SELECT gene, well, CAST(count(*) AS DOUBLE) AS n FROM reads GROUP BY 1, 2 UNION ALL SELECT g.gene, w.well, 0.0 FROM (SELECT DISTINCT gene FROM reads) g, (SELECT DISTINCT well FROM reads) w WHERE (g.gene, w.well) NOT IN (SELECT (gene, well) FROM reads)")
 def wide_matrix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts as a wide table with empty cells, written, read, and made long with zeros."""
     path = work_path(spark, "matrix")
-    wells = [f"W{i:02d}" for i in range(6)]
-    found = [r.well for r in reads(spark, sf_dir).where(F.col("well").isin(wells)).select("well").distinct().orderBy("well").collect()]
-    wide = reads(spark, sf_dir).where(F.col("well").isin(found)).groupBy("gene").agg(*(F.nullif(F.count_if(F.col("well") == w), F.lit(0)).alias(w) for w in found))
+    # there are 24 wells, whatever the size of the table
+    found = [r.well for r in reads(spark, sf_dir).select("well").distinct().orderBy("well").collect()]
+    wide = reads(spark, sf_dir).groupBy("gene").agg(*(F.nullif(F.count_if(F.col("well") == w), F.lit(0)).alias(w) for w in found))
     sinks.write_table(wide, path)
     back = tf.read_table(spark, path, "gene string, " + ", ".join(f"{w} double" for w in found))
     return matrix.to_long(back, ["gene"], "gene", "well", "n")
@@ -180,13 +190,13 @@ def histogram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.read_histogram(spark, path).select(F.col("position").cast("long"), "coverage")
 
 
-@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'first' ELSE 'second' END AS sheet, s_name AS name FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 2 = 0")
+@query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal < 0 THEN 'first' ELSE 'second' END AS sheet, s_name AS name FROM supplier""")
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sheets with keys in common, the first one's rows winning, and one sheet that isn't there."""
+    """A sheet of the suppliers in debt and one of all suppliers, the first one's rows winning, and one sheet that isn't there."""
     path = work_path(spark, "registry")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    for sheet, every in (("first", 3), ("second", 2)):
-        sinks.write_table(s.where(F.col("id") % every == 0).select("id", F.lit(sheet).alias("sheet"), "name").coalesce(1), f"{path}/{sheet}")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), "s_acctbal")
+    for sheet, rows in (("first", s.where("s_acctbal < 0")), ("second", s)):
+        sinks.write_table(rows.select("id", F.lit(sheet).alias("sheet"), "name").coalesce(1), f"{path}/{sheet}")
     return tf.read_registry(spark, [f"{path}/none*/*.csv", f"{path}/first/*.csv", f"{path}/second/*.csv"], "id long, sheet string, name string", "id").select("id", "sheet", "name")
 
 

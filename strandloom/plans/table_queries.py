@@ -119,7 +119,8 @@ def completed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'denominators' AS "check", count(*) FILTER (u = 0 AND n = 0) = 0 AS passed FROM w UNION ALL SELECT 'columns', max(n) > 0 AND max(u) > 0 FROM w
 UNION ALL SELECT 'kept', (SELECT count(*) FILTER (u > n) FROM w) = 0 AND abs(u - n) / n <= 0.02 FROM a
 UNION ALL SELECT 'direction', count(*) FILTER (n >= 50 AND u / n < 0.5) = 0 FROM w
-UNION ALL SELECT 'shares', true
+UNION ALL SELECT 'shares', max(abs(s / (SELECT sum(s) FROM w) - 2 * s / (SELECT sum(2 * s) FROM w))) <= 1e-6 FROM w
+UNION ALL SELECT 'unequal shares', max(abs(n / (SELECT sum(n) FROM w) - s / (SELECT sum(s) FROM w))) <= 1e-6 FROM w
 UNION ALL SELECT 'declared codes', (SELECT count(*) FILTER (well < 'W20' AND n < greatest(1.0, 0.001 * (SELECT n FROM a))) FROM w) = 0 AND (SELECT coalesce(sum(n) FILTER (well >= 'W20'), 0) FROM w) / (SELECT n FROM a) <= 0.005""")
 def more_result_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = reads(spark, sf_dir).groupBy("well").agg(F.count("*").alias("n"), F.count_if(F.col("nh") == "U").alias("u"), F.sum("span").cast("double").alias("s"))
@@ -130,6 +131,7 @@ def more_result_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.kept_within(w, "kept", "u", "n"),
         checks.right_direction(w, "direction", "share", "n"),
         checks.proportional(w, "shares", ["all"], "s", "twice"),
+        checks.proportional(w, "unequal shares", ["all"], "n", "s"),
         checks.declared_codes(w.withColumn("declared", F.col("well") < "W20"), "well", "n", "declared"),
     )
     return found.select("check", "passed")

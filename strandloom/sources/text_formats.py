@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .work import written
+
 SAM_FIELDS = ("qname string", "flag int", "contig string", "pos long", "mapq int", "cigar string", "rnext string", "pnext long", "tlen long", "seq string", "qual string")
 GTF_FIELDS = ("contig string", "source string", "feature string", "start long", "end long", "score string", "strand string", "frame string", "attributes string")
 
@@ -26,8 +29,30 @@ def resolve(spark: SparkSession, patterns: str) -> list[str]:
 
 
 FASTQ_FIELDS = "path string, index long, read_id string, seq string, qual string"
-#: Names of files that are gzipped, and of all others.
-GZIPPED, PLAIN = "*.gz", "{*[^z],*[^g]z,*[^.]gz}"
+#: Blocks of text whose places are sent to all tasks (about 100 bytes each); with more of them lines are dealt by a shuffle instead.
+MOST_BLOCKS = 100_000
+#: Records that are dealt together by that shuffle.
+DEALT_RECORDS = 100_000
+
+
+def _block_ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each block of lines (path, start, value) that come in order: how many they are, and the first and last three."""
+    key, n, head, tail = None, 0, [], []
+
+    def row() -> pd.DataFrame:
+        return pd.DataFrame([[*key, n, head, tail]], columns=["path", "start", "n", "head", "tail"])
+
+    for pdf in batches:
+        for own, lines in pdf.groupby(["path", "start"], sort=False)["value"]:
+            if own != key:
+                if key:
+                    yield row()
+                key, n, head, tail = own, 0, [], []
+            n += len(lines)
+            head = (head + lines.head(3).tolist())[:3]
+            tail = (tail + lines.tail(3).tolist())[-3:]
+    if key:
+        yield row()
 
 
 def fastq_records(path: str, first: int, lines: list[str]) -> pd.DataFrame:
@@ -39,43 +64,81 @@ def fastq_records(path: str, first: int, lines: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"path": path, "index": range(first, first + len(heads)), "read_id": [h[1:].split()[0] for h in heads], "seq": seqs, "qual": quals})
 
 
-def streamed_fastq(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Records from lines (path, value) that come file by file, in order; up to three lines are carried over from batch to batch."""
-    path, index, rest = None, 0, []
-
-    def ended() -> None:
-        if rest:
-            raise ValueError(f"{path}: record {index} isn't FASTQ")
-
+def _whole_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records that lie in one block, from lines (path, start, before, value) in order; `before` lines of the file come before the block."""
+    key, index, skip, rest = None, 0, 0, []
     for pdf in batches:
-        for name, lines in pdf.groupby("path", sort=False)["value"]:
-            if name != path:
-                ended()
-                path, index, rest = name, 0, []
-            rest = rest + lines.tolist()
+        for (path, start, before), lines in pdf.groupby(["path", "start", "before"], sort=False)["value"]:
+            if (path, start) != key:
+                key, index, skip, rest = (path, start), -(-before // 4), -before % 4, []
+            lines = lines.tolist()
+            skip, lines = max(0, skip - len(lines)), lines[skip:]
+            rest += lines
             whole = len(rest) - len(rest) % 4
-            yield fastq_records(path, index, rest[:whole])
+            if whole:
+                yield fastq_records(path, index, rest[:whole])
             index, rest = index + whole // 4, rest[whole:]
-    ended()
+
+
+def _cut_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records that lie in several blocks, from their lines: path, record, lines (n, value)."""
+    for pdf in batches:
+        for path, record, lines in zip(pdf["path"], pdf["record"], pdf["lines"]):
+            if len(lines) != 4:
+                raise ValueError(f"{path}: record {record} isn't FASTQ")
+            yield fastq_records(path, record, [x["value"] for x in sorted(lines, key=lambda x: x["n"])])
+
+
+def _dealt_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records from lines (path, n, value) that are sorted; those of a record follow each other."""
+    rest = pd.DataFrame()
+    for pdf in batches:
+        rest = pd.concat([rest, pdf])
+        new = (rest["path"] != rest["path"].shift()) | (rest["n"] % 4 == 0)
+        last = int(np.flatnonzero(new.to_numpy())[-1]) if new.any() else 0
+        ready, rest = rest.iloc[:last], rest.iloc[last:]
+        yield from _in_fours(ready)
+    yield from _in_fours(rest)
+
+
+def _in_fours(lines: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    if len(lines):
+        n, path = lines["n"].to_numpy(), lines["path"].to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(n) != 1) | (path[1:] != path[:-1])) + 1).tolist(), len(n)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if n[a] % 4 or (b - a) % 4:
+                raise ValueError(f"{path[a]}: record {n[b - 1] // 4} isn't FASTQ")
+            yield fastq_records(path[a], int(n[a]) // 4, lines["value"].iloc[a:b].tolist())
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, index, read_id, seq and qual of four-line records. Text after the id's first space is dropped; other lines fail the run.
 
-    A gzipped file can't be split: one task streams it, whatever its size, and has a batch of lines in memory. Lines have no key of their own, so a
-    plain file is read as records by one task, too, and as a whole (2 GB at most): gzip large files. Give many files rather than few.
+    Plain files are read in the blocks of spark.sql.files.maxPartitionBytes, each by a task of its own; a gzipped file can't be cut and is one block. A first job counts
+    each block's lines and keeps its first and last three. So every task knows which line of a record its block begins with, whatever a quality line looks like,
+    and the number of its first record; records over a border are put together from those ends. Lines have no other order than their place in a
+    block, so where the table of blocks is too large to send to all tasks, lines are numbered and dealt by a shuffle instead.
     """
-    lines = spark.read.option("pathGlobFilter", GZIPPED).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", PLAIN).load(paths).select("path", "content")
-
-    def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                text = content.decode().split("\n")
-                found = [line.rstrip("\r") for line in (text if text[-1] else text[:-1])]
-                yield from streamed_fastq(pd.DataFrame({"path": path, "value": found[at : at + 80000]}) for at in range(0, len(found), 80000))
-
-    return lines.mapInPandas(streamed_fastq, FASTQ_FIELDS).unionByName(files.mapInPandas(plain, FASTQ_FIELDS))
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(paths).select(block.alias("block"), "value").select("block.path", "block.start", "value")
+    ends = written(lines.mapInPandas(_block_ends, "path string, start long, n long, head array<string>, tail array<string>"), "blocks")
+    order = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    if ends.count() > MOST_BLOCKS:
+        placed = lines.withColumn("at", F.monotonically_increasing_id())
+        first = placed.groupBy("path", "start").agg(F.min("at").alias("first"))
+        known = placed.join(first.join(blocks.select("path", "start", "before"), ["path", "start"]), ["path", "start"])
+        numbered = known.select("path", (F.col("before") + F.col("at") - F.col("first")).alias("n"), "value")
+        return numbered.repartition("path", F.floor(F.col("n") / (4 * DEALT_RECORDS))).sortWithinPartitions("path", "n").mapInPandas(_dealt_records, FASTQ_FIELDS)
+    whole = lines.join(F.broadcast(blocks.select("path", "start", "before")), ["path", "start"]).select("path", "start", "before", "value").mapInPandas(_whole_records, FASTQ_FIELDS)
+    after = F.col("before") + F.col("n")
+    at_head, at_tail = F.least(F.pmod(-F.col("before"), F.lit(4)), F.col("n")).cast("int"), F.least(after % 4, F.col("n")).cast("int")
+    place = lambda ends, first: F.transform(ends, lambda x, i: F.struct((first + i).alias("n"), x.alias("value")))
+    head = place(F.slice("head", F.lit(1), at_head), F.col("before"))
+    tail = place(F.slice("tail", F.size("tail") - at_tail + 1, at_tail), after - at_tail)
+    pieces = blocks.select("path", F.explode(F.array_union(head, tail)).alias("line"))
+    cut = pieces.groupBy("path", F.floor(F.col("line.n") / 4).alias("record")).agg(F.collect_set("line").alias("lines"))
+    return whole.unionByName(cut.mapInPandas(_cut_records, FASTQ_FIELDS))
 
 
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -181,11 +244,12 @@ def read_table(spark: SparkSession, paths: str | list[str], schema: str, sep: st
 
 
 def read_sections(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """section, line of a text in which '[name]' begins a section. The file is a short list, read whole."""
-    files = spark.read.text(paths, wholetext=True)
-    lines = files.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    named = lines.withColumn("section", F.last(F.when(F.col("line").rlike(r"^\[.*\]$"), F.expr("substring(line, 2, length(line) - 2)")), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
-    return named.where(F.col("section").isNotNull() & ~F.col("line").rlike(r"^\[.*\]$") & (F.trim("line") != "")).select("section", "n", "line")
+    """path, section, n and line of texts in which '[name]' begins a section. Each file is a short list, read whole; its sections end with it."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    in_file = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    named = lines.withColumn("section", F.last(F.when(F.col("line").rlike(r"^\[.*\]$"), F.expr("substring(line, 2, length(line) - 2)")), ignorenulls=True).over(in_file))
+    return named.where(F.col("section").isNotNull() & ~F.col("line").rlike(r"^\[.*\]$") & (F.trim("line") != "")).select("path", "section", "n", "line")
 
 
 def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -194,13 +258,14 @@ def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).where(F.col("value").contains("|")).select(F.trim(parts[0]).alias("key"), F.trim(F.regexp_replace(parts[1], "\t", "")).alias("value"))
 
 
-def read_histogram(spark: SparkSession, path: str) -> DataFrame:
-    """position, coverage of the histogram part of a metrics file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    start = F.max(F.when(F.col("line").startswith("## HISTOGRAM"), F.col("n"))).over(Window.partitionBy(F.lit(1)))
+def read_histogram(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, position and coverage of the histogram part of metrics files."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    start = F.max(F.when(F.col("line").startswith("## HISTOGRAM"), F.col("n"))).over(Window.partitionBy("path"))
     rows = lines.withColumn("_at", start).where((F.col("n") > F.col("_at") + 1) & F.col("line").rlike(r"^\d"))
     parts = F.split("line", "\t")
-    return rows.select(parts[0].cast("int").alias("position"), parts[1].cast("double").alias("coverage"))
+    return rows.select("path", parts[0].cast("int").alias("position"), parts[1].cast("double").alias("coverage"))
 
 
 def parse_guide(text: str) -> dict[str, str]:

@@ -130,3 +130,56 @@ def test_fastq_that_is_none(spark, tmp_path, name, text):
     (tmp_path / name).write_bytes(gzip.compress(text.encode()) if name.endswith(".gz") else text.encode())
     with pytest.raises(Exception, match="isn't FASTQ"):
         tf.read_fastq(spark, str(tmp_path)).collect()
+
+
+@pytest.fixture
+def cut_at(spark):
+    """Sets how many bytes of a file are one task's block."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+
+    def to(size):
+        for name, value in zip(names, (size, 1, 1)):
+            spark.conf.set(name, value)
+
+    yield to
+    for n, v in before.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_one_file_is_cut_anywhere(spark, tmp_path, monkeypatch, cut_at, shuffled):
+    """Qualities that look like the head of a record or its third line, reads without bases, and records longer than a block."""
+    rows = [(f"r{i}", "ACGT"[: i % 5] * 3, "@+@I"[: i % 5] * 3) for i in range(60)] + [("long", "A" * 9000, "@" * 9000)] + [(f"s{i}", "AC", "+@") for i in range(9)]
+    for name, ends in (("a.fastq", "\n"), ("b.fastq", "\r\n")):
+        (tmp_path / name).write_text("".join(f"@{r}{ends}{s}{ends}+{ends}{q}{ends}" for r, s, q in rows), newline="")
+    want = Counter((name, i, *r) for name in ("a.fastq", "b.fastq") for i, r in enumerate(rows))
+    if shuffled:
+        monkeypatch.setattr(tf, "MOST_BLOCKS", 0)
+        monkeypatch.setattr(tf, "DEALT_RECORDS", 3)
+    for size in (900, 911) if shuffled else range(900, 932, 3):
+        cut_at(size)
+        frame = tf.read_fastq(spark, str(tmp_path))
+        assert Counter((r.path.rsplit("/", 1)[1], r["index"], r.read_id, r.seq, r.qual) for r in frame.collect()) == want, size
+
+
+def test_a_plain_file_is_many_tasks_work(spark, tmp_path, cut_at):
+    (tmp_path / "x.fastq").write_text("".join(f"@r{i}\nACGTACGT\n+\nIIIIIIII\n" for i in range(20000)))
+    cut_at(50_000)
+    rows = tf.read_fastq(spark, str(tmp_path / "x.fastq"))
+    tasks = rows.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count("*").alias("n")).where("n > 1000").count()
+    assert rows.count() == 20000 and tasks >= 8
+    assert rows.agg(F.count_distinct("index"), F.max("index")).first()[:] == (20000, 19999)
+
+
+def test_sections_and_histograms_of_several_files(spark, tmp_path):
+    (tmp_path / "s1").write_text("\n".join(["[one]", "a1", "a2", "a3", "[two]", "b1"]))
+    (tmp_path / "s2").write_text("\n".join(["loose", "[first]", "x1", "x2", "x3", "[second]", "y1"]))
+    got = {}
+    for r in tf.read_sections(spark, str(tmp_path / "s*")).orderBy("path", "n").collect():
+        got.setdefault(r.section, []).append(r.line)
+    assert got == {"one": ["a1", "a2", "a3"], "two": ["b1"], "first": ["x1", "x2", "x3"], "second": ["y1"]}
+    (tmp_path / "h1").write_text("## METRICS\n1\n2\n## HISTOGRAM\tx\nposition\tcoverage\n0\t1.5\n1\t2\n")
+    (tmp_path / "h2").write_text("## HISTOGRAM\tx\nposition\tcoverage\n0\t3\n")
+    rows = tf.read_histogram(spark, str(tmp_path / "h*")).collect()
+    assert Counter((r.path[-2:], r.position, r.coverage) for r in rows) == Counter([("h1", 0, 1.5), ("h1", 1, 2.0), ("h2", 0, 3.0)])
