@@ -10,6 +10,7 @@ further spans. All of it is DataFrame expressions.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -41,8 +42,7 @@ FIGURE_FORMS = (
 ADDRESS_SIGN = r"@|[\[({]at[\])}]|\x20at\x20[A-Za-z0-9-]++(?:[.\[({]|\x20dot|\x20?[\[({]dot)"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
-#: Rounds of scoring; seeds that a pattern needs; patterns and score that a value needs; what is added to a pattern's count.
-ROUNDS = 3
+#: Seeds that a pattern needs; patterns and score that a value needs; what is added to a pattern's count.
 LEAST_SEEDS = 5
 LEAST_PATTERNS = 2
 LEAST_SCORE = 0.95
@@ -137,19 +137,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", F.when(F.size("base") > 0, _with_contexts(text, F.col("base"))).alias("base"), F.when(F.size("unknown") > 0, _with_contexts(text, F.col("unknown"))).alias("unknown"))
 
 
-def score_values(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def score_values(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """value, kind: unknown values that the graph's patterns make near certain.
 
     edges: pattern, value and the kind of a seed or '?'. A pattern's total is over its distinct values. A pattern counts for a kind once
     LEAST_SEEDS of its values are seeds of that kind or were accepted in the round before; its confidence is the sum of its values' scores
-    by its total.
+    by its total. Scores only rise from round to round, so no value is ever given up; it goes on until a round accepts none, or for `rounds`.
     """
     graph = edges.distinct()
     totals = graph.groupBy("pattern").agg(F.count_distinct("value").alias("total"))
     unknown = graph.where("kind = '?'").select("pattern", "value")
     seeds = graph.where("kind <> '?'").groupBy("pattern", "kind").agg(F.count("*").alias("sure"), F.count("*").cast("double").alias("mass"))
-    scored = None
-    for _ in range(rounds):
+    scored, accepted_before = None, 0
+    for done in itertools.count(1):
         weights = seeds
         if scored is not None:
             gained = unknown.join(scored, "value").groupBy("pattern", "kind").agg(F.count_if("accepted").alias("sure"), F.sum("score").alias("mass"))
@@ -160,6 +160,10 @@ def score_values(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         values = found.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"), F.count("*").alias("patterns"))
         accepted = (F.col("score") >= LEAST_SCORE) & (F.col("patterns") >= LEAST_PATTERNS)
         scored = written(values.select("value", "kind", "score", accepted.alias("accepted")), "pii-scores")
+        accepted_now = scored.where("accepted").count()
+        if accepted_now == accepted_before or done == rounds:
+            break
+        accepted_before = accepted_now
     return scored.where("accepted").groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
 
 

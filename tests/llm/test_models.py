@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import kneser_ney, mixing, quality_classifier
 
@@ -110,3 +111,18 @@ def test_without_labels_nothing_is_lost(documents, labels):
     one_kind = labels.where("quality = 1 and toxic = 0")
     assert mixing.mixed_documents(documents, one_kind).count() > 0.9 * documents.count()
     assert quality_classifier.good_documents(documents, one_kind).count() == documents.count()
+
+
+def test_an_id_of_many_documents_is_one_row_of_the_sample(spark, documents, labels):
+    """Labels of ids that very many documents share: what is learnt is one row an id, the least text, in both classifiers."""
+    hot = documents.limit(40).crossJoin(spark.range(50)).selectExpr("3 as doc_id", "concat(text, ' ', id) as text", "lang", "source", "n_chars")
+    least = hot.groupBy("doc_id", "lang", "source", "n_chars").agg(F.min("text").alias("text")).orderBy("text").limit(1).select(*documents.columns)
+    some = spark.createDataFrame([(3, 1, 0)], labels.selectExpr("doc_id", "quality", "toxic").schema).unionByName(labels.where("doc_id <> 3").select("doc_id", "quality", "toxic"))
+    rest = documents.where("doc_id <> 3")
+    for module in (quality_classifier, mixing):
+        a, b = (module.learn(rest.unionByName(x.select(*documents.columns)), some) for x in (hot, least))
+        assert all((x == y).all() for x, y in zip(arrays(a), arrays(b)))
+
+
+def arrays(model):
+    return [x for x in vars(model).values() if hasattr(x, "shape")]

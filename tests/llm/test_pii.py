@@ -90,7 +90,7 @@ def test_unknown_forms(spark):
     assert found[302].startswith("email:16:")
 
 
-def graph_rounds(edges, rounds):
+def graph_rounds(edges, rounds=10**6):
     """score_values by dictionaries."""
     graph = set(edges)
     total, unknown = {}, {(p, v) for p, v, k in graph if k == "?"}
@@ -116,7 +116,9 @@ def graph_rounds(edges, rounds):
                     missed[v, k] = missed.get((v, k), 1) * (1 - c)
                     patterns[v, k] = patterns.get((v, k), 0) + 1
         score = {x: 1 - m for x, m in missed.items()}
-        accepted = {x for x, s in score.items() if s >= pii.LEAST_SCORE and patterns[x] >= pii.LEAST_PATTERNS}
+        before, accepted = accepted, {x for x, s in score.items() if s >= pii.LEAST_SCORE and patterns[x] >= pii.LEAST_PATTERNS}
+        if len(before) == len(accepted):
+            break
     out = {}
     for v, k in accepted:
         out[v] = max(out.get(v, (0, "")), (score[v, k], k))
@@ -138,6 +140,15 @@ def test_graph_rounds(spark):
         assert got.get("x3") == "phone" and (got.get("y") == "phone") == (rounds > 1)
 
 
+def test_rounds_go_on_as_long_as_something_is_found(spark):
+    """Seven patterns of each of six levels share their values with the next: each level is found a round after the one before."""
+    levels = [[f"v{k}-{i}" for i in range(30)] for k in range(7)]
+    edges = [(f"p{k}-{j}", v, "phone" if v in levels[0] else "?") for k in range(6) for j in range(7) for v in levels[k] + levels[k + 1]]
+    got = {r.value for r in pii.score_values(spark.createDataFrame(edges, "pattern string, value string, kind string")).collect()}
+    assert got == set(graph_rounds(edges)) == {v for level in levels[1:] for v in level}
+    assert len(graph_rounds(edges, 3)) == 90
+
+
 def test_recall_of_planted_values(spark):
     """Recall and precision of discovery on planted contexts; the README tells the figures."""
     draw = random.Random(77)
