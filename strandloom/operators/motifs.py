@@ -1,78 +1,54 @@
-"""Motifs in reads: exact ones as native expressions, fuzzy ones as Arrow functions over whole batches, and what structures they make."""
+"""Motifs in reads, exact and fuzzy, and what structures they make: all of it expressions."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import occurrences, reverse_complement, run_length_at, tail_match
-
-
-def _matrix(seqs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Letters of all reads as rows of bytes, padded by 0, and their lengths."""
-    raw = [s.encode() if isinstance(s, str) else b"" for s in seqs]
-    lengths = np.array([len(r) for r in raw])
-    out = np.zeros((len(raw), max(1, int(lengths.max(initial=0)))), np.uint8)
-    for i, r in enumerate(raw):
-        out[i, : len(r)] = np.frombuffer(r, np.uint8)
-    return out, lengths
-
-
-def substitutions(reads: np.ndarray, lengths: np.ndarray, motif: str) -> np.ndarray:
-    """Substitutions of the motif at each start of each read; the motif's length + 1 where it doesn't fit."""
-    n, m = reads.shape[1], len(motif)
-    if n < m:
-        return np.full((len(reads), 1), m + 1)
-    miss = np.zeros((len(reads), n - m + 1), np.int16)
-    for k, letter in enumerate(motif.encode()):
-        miss += reads[:, k : n - m + 1 + k] != letter
-    miss[np.arange(n - m + 1) > (lengths - m)[:, None]] = m + 1
-    return miss
-
-
-def edit_ends(reads: np.ndarray, lengths: np.ndarray, motif: str) -> np.ndarray:
-    """Least edits of the whole motif against any stretch that ends at each place of each read."""
-    m, out = len(motif), np.full(reads.shape, len(motif) + 1, np.int16)
-    column = np.tile(np.arange(m + 1, dtype=np.int16), (len(reads), 1))
-    letters = np.frombuffer(motif.encode(), np.uint8)
-    for j in range(reads.shape[1]):
-        fresh = np.zeros_like(column)
-        cost = (reads[:, j : j + 1] != letters).astype(np.int16)
-        best = np.minimum(column[:, :-1] + cost, column[:, 1:] + 1)
-        for i in range(m):
-            fresh[:, i + 1] = np.minimum(best[:, i], fresh[:, i] + 1)
-        column = fresh
-        out[:, j] = np.where(j < lengths, column[:, m], m + 1)
-    return out
+from ..functions.sequence import hamming_fixed, occurrences, reverse_complement, run_length_at, tail_match
+
+
+def seeds(motif: str, differences: int) -> list[tuple[int, str]]:
+    """Offset and letters of the differences + 1 blocks of a motif: a place with at most so many differences has one of them unchanged."""
+    n = differences + 1
+    if n > len(motif):
+        raise ValueError("a motif needs a letter more than it may differ in")
+    cuts = [round(i * len(motif) / n) for i in range(n + 1)]
+    return [(a, motif[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def seed_places(seq: Column, motif: str, differences: int) -> Column:
+    """Where the motif would start for each place at which one of its seeds occurs: an array without repeats, empty in a read that has no seed."""
+    none = F.array().cast("array<int>")
+    found = [F.when(seq.contains(block), F.transform(occurrences(seq, block), lambda i: i - at)).otherwise(none) for at, block in (seeds(motif, differences))]
+    return F.array_distinct(F.concat(*found))
 
 
 def fuzzy_first(seq: Column, motif: str, mismatches: int, edits: int = 0) -> Column:
     """struct<start, end, distance> of the first place with at most `mismatches` substitutions; failing that, with `edits`, of the first
-    end with at most so many edits (its start is then the end less the motif's length). Null without a hit."""
-
-    @F.pandas_udf("start int, end int, distance int")
-    def run(seqs: pd.Series) -> pd.DataFrame:
-        reads, lengths = _matrix(seqs)
-        m = len(motif)
-        miss = substitutions(reads, lengths, motif)
-        hit = miss <= mismatches
-        start = np.where(hit.any(1), hit.argmax(1), -1)
-        distance = miss[np.arange(len(reads)), np.maximum(start, 0)].astype(int)
-        end = start + m
-        if edits and (start < 0).any():
-            rest = np.flatnonzero(start < 0)
-            near = edit_ends(reads[rest], lengths[rest], motif)
-            good = near <= edits
-            found = rest[good.any(1)]
-            at = good.argmax(1)[good.any(1)]
-            end[found], start[found] = at + 1, np.maximum(at + 1 - m, 0)
-            distance[found] = near[good.any(1), at]
-        none = start < 0
-        return pd.DataFrame({"start": pd.array(np.where(none, 0, start), "Int32"), "end": pd.array(np.where(none, 0, end), "Int32"), "distance": pd.array(np.where(none, 0, distance), "Int32")}).mask(pd.Series(none))
-
-    return run(seq)
+    end with at most so many edits (its start is then the end less the motif's length). Null without a hit.
+
+    Only places beside a seed are compared, and only ends beside one of the edits' seeds: a read without any is passed over by `contains`. It is an expression.
+    """
+    m = len(motif)
+
+    def substituted(start: Column) -> Column:
+        return F.struct(start.alias("start"), (start + m).alias("end"), hamming_fixed(F.substring(seq, start + 1, F.lit(m)), F.lit(motif), m).alias("distance"))
+
+    fits = F.filter(seed_places(seq, motif, mismatches), lambda i: (i >= 0) & (i + m <= F.length(seq)))
+    first = F.array_min(F.filter(F.transform(fits, substituted), lambda x: x["distance"] <= mismatches))
+    if not edits:
+        return first
+
+    def edited(end: Column) -> Column:
+        near = [F.nullif(F.when(end >= size, F.levenshtein(F.substring(seq, end - size + 1, F.lit(size)), F.lit(motif), edits)), F.lit(-1)) for size in range(m - edits, m + edits + 1)]
+        return F.struct(end.alias("end"), F.array_min(F.array(*near)).alias("distance"))
+
+    # around a seed that is unchanged the rest holds at most `edits` insertions or deletions
+    around = F.flatten(F.transform(seed_places(seq, motif, edits), lambda i: F.sequence(i + (m - edits), i + (m + edits))))
+    ends = F.filter(F.array_distinct(around), lambda j: (j >= 1) & (j <= F.length(seq)))
+    last = F.array_min(F.filter(F.transform(ends, edited), lambda x: x["distance"].isNotNull()))
+    return F.coalesce(first, F.when(last.isNotNull(), F.struct(F.greatest(last["end"] - m, F.lit(0)).alias("start"), last["end"].alias("end"), last["distance"].alias("distance"))))
 
 
 def backbone_call(seq: Column, backbone: str, codes: list[str], least_tail: int = 6, mismatches: int = 1) -> Column:

@@ -915,10 +915,16 @@ def profile_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.profile_agreement(profiles.gene_bins(r, ["contig"], "gene", "pos", "len", 20), "gene", "contig").withColumn("r", r6(F.col("r")))
 
 
-@query()
+@query("""
+, x AS (SELECT DISTINCT umi, umi || 'ACGTTGCA' || umi AS seq FROM reads),
+  s AS (SELECT umi, min(i) AS start FROM x, range(0, 13) t(i) WHERE hamming(substr(seq, i + 1, 8), 'ACGATGCA') <= 1 GROUP BY umi),
+  e AS (SELECT umi, j, min(levenshtein(substr(seq, j - l + 1, l), 'ACGATGCA')) AS d FROM x, range(1, 21) t(j), range(7, 10) u(l) WHERE l <= j GROUP BY umi, j),
+  f AS (SELECT umi, min(j) AS j, arg_min(d, j) AS d FROM e WHERE d <= 1 GROUP BY umi)
+SELECT umi, coalesce(start, greatest(j - 8, 0)) AS start, coalesce(start + 8, j) AS "end", CASE WHEN start IS NULL THEN d ELSE hamming(substr(seq, start + 1, 8), 'ACGATGCA') END AS distance
+FROM x LEFT JOIN s USING (umi) LEFT JOIN f USING (umi)""")
 def fuzzy_motif_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = reads(spark, sf_dir).select("umi").distinct().withColumn("seq", F.concat("umi", F.lit("ACGTTGCA"), "umi"))
-    return s.withColumn("hit", motifs.fuzzy_first(F.col("seq"), "ACGATGCA", 1, 1)).select("umi", "hit.start", "hit.end", "hit.distance")
+    return s.withColumn("hit", motifs.fuzzy_first(F.col("seq"), "ACGATGCA", 1, 1)).select("umi", *(F.col(f"hit.{c}").cast("long").alias(c) for c in ("start", "end", "distance")))
 
 
 @query(", x AS (SELECT DISTINCT umi, umi || 'AACC' || umi AS seq FROM reads) SELECT umi, CASE WHEN contains(seq, 'CAC') OR contains(reverse(translate(seq, 'ACGT', 'TGCA')), 'CAC') THEN 'both' ELSE 'first' END AS class FROM x")

@@ -170,6 +170,46 @@ def test_overlaps_lose_none(spark):
     assert {r.i for r in intervals.overlap_join(a, b, ["c"], ("s", "e"), ("rs", "re"), 64, "left_anti").collect()} == {x[0] for x in left} - {i for i, _ in want}
 
 
+def test_fuzzy_places_against_a_table_of_all_edits(spark):
+    draw = random.Random(11)
+    motif = "ACGGTACCTAGA"
+
+    def broken(n):
+        text = list(motif)
+        for _ in range(n):
+            i = draw.randrange(len(text))
+            draw.choice([lambda i=i: text.pop(i), lambda i=i: text.insert(i, draw.choice("ACGT")), lambda i=i: text.__setitem__(i, draw.choice("ACGT"))])()
+        return "".join(text)
+
+    noise = lambda n: "".join(draw.choices("ACGT", k=n))
+    seqs = [noise(draw.randint(0, 20)) + broken(draw.randint(0, 4)) + noise(draw.randint(0, 20)) for _ in range(250)] + ["", motif, motif * 3, motif[1:], "N" * 40, None]
+
+    def plain(seq, mismatches, edits):
+        m = len(motif)
+        for i in range(len(seq) - m + 1):
+            if (d := sum(a != b for a, b in zip(seq[i : i + m], motif))) <= mismatches:
+                return (i, i + m, d)
+        row = list(range(m + 1))
+        for j, letter in enumerate(seq if edits else "", 1):
+            fresh = [0]
+            for i in range(1, m + 1):
+                fresh.append(min(fresh[-1] + 1, row[i] + 1, row[i - 1] + (letter != motif[i - 1])))
+            row = fresh
+            if row[m] <= edits:
+                return (max(j - m, 0), j, row[m])
+        return None
+
+    frame = spark.createDataFrame(list(enumerate(seqs)), "i int, x string")
+    for mismatches, edits in ((0, 0), (1, 0), (2, 1), (1, 2), (3, 3)):
+        found = frame.select("i", motifs.fuzzy_first(F.col("x"), motif, mismatches, edits).alias("h"))
+        got = {r.i: None if r.h is None else tuple(r.h) for r in found.collect()}
+        assert got == {i: None if s is None else plain(s, mismatches, edits) for i, s in enumerate(seqs)}
+        assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    # of reads without a seed none gets to a comparison
+    empty = frame.select(F.size(motifs.seed_places(F.col("x"), motif, 1)).alias("n"), "x").where("x is not null").collect()
+    assert all(bool(r.n) == any(b in r.x for _, b in motifs.seeds(motif, 1)) for r in empty) and any(not r.n for r in empty)
+
+
 def test_fuzzy_motifs(spark):
     x = F.col("x")
     assert one(spark, "TTTTACGTACGTTT", motifs.fuzzy_first(x, "ACGAACG", 1))["start"] == 4
