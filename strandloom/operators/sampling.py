@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +78,68 @@ def expected_features(counts: DataFrame, by: list[str], count: str, depths: list
     return rows.groupBy(*by, "depth").agg(expected.alias("expected"))
 
 
+#: Branches of a group's tree of features, and how far from the mode, in standard deviations and in counts, a draw is sought.
+BRANCHES = 1024
+REACH, MORE_REACH = 12, 60
+
+
+def hypergeometric(u: float, good: int, bad: int, draws: int) -> int:
+    """The number of good ones among `draws` without replacement, by inversion at u from [0, 1): exact weights around the mode, each from its neighbour."""
+    low, high = max(0, draws - bad), min(good, draws)
+    if low == high:
+        return low
+    every = good + bad
+    mode = min(max((draws + 1) * (good + 1) // (every + 2), low), high)
+    share = good / every
+    width = int(REACH * math.sqrt(draws * share * (1 - share) * (every - draws) / max(every - 1, 1))) + MORE_REACH
+    x = np.arange(max(low, mode - width), min(high, mode + width) + 1, dtype=float)
+    rise = (good - x[:-1]) * (draws - x[:-1]) / ((x[1:]) * (bad - draws + x[1:]))
+    at = mode - int(x[0])
+    weight = np.ones(len(x))
+    weight[at + 1 :] = np.cumprod(rise[at:])
+    weight[:at] = np.cumprod(1 / rise[:at][::-1])[::-1]
+    total = np.cumsum(weight)
+    return int(x[min(int(np.searchsorted(total, u * total[-1], side="right")), len(x) - 1)])
+
+
+def _dealt_draws(draws: int, counts: list[int], chances: list[float]) -> list[int]:
+    """`draws` without replacement from all counts, one count after another: each takes its part of what is left."""
+    left, out = sum(counts), []
+    for n, u in zip(counts, chances):
+        out.append(hypergeometric(u, n, left - n, draws))
+        left, draws = left - n, draws - out[-1]
+    return out
+
+
 def thin_counts(counts: DataFrame, by: list[str], feature: str, count: str, depth: int, seed: int = 0) -> DataFrame:
-    """Counts of a sample of `depth` molecules without replacement; groups with fewer are left out."""
-    some = counts.where(F.col(count) > 0)
-    enough = some.groupBy(*by).agg(F.sum(F.col(count).cast("int")).alias("_all")).where(F.col("_all") >= depth).select(F.struct(*by).alias("_group"))
-    units = some.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))))
-    taken = first_by_order(units, by, [hash_order(*by, feature, "_i", seed=seed), feature, "_i"], depth, "_rank")
-    return taken.withColumn("_group", F.struct(*by)).join(enough, "_group", "left_semi").groupBy(*by, feature).agg(F.count("*").alias(count))
+    """Counts of a sample of `depth` molecules without replacement; groups with fewer are left out. Features without any are, too.
+
+    No molecule is listed: features are dealt to branches by hash, a group's draws are split over the totals of its branches, and each branch's over its features,
+    by hypergeometric draws whose chances are hashes. So rows are as many as features, whatever their counts, and the sample is the same on every run. A null
+    feature is one like others; features' rows are summed first.
+    """
+    chance = lambda *keys: F.shiftrightunsigned(hash_order(*keys, seed=seed), 11).cast("double") / float(1 << 53)
+    group = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    some = counts.where(F.col(count) > 0).groupBy(*by, feature).agg(F.sum(F.col(count).cast("long")).alias("_n"))
+    some = some.withColumn("_group", group).withColumn("_branch", F.pmod(hash_order(feature, seed=seed + 1), F.lit(BRANCHES)).cast("int"))
+    some = some.withColumn("_u", chance("_group", feature)).withColumn("_id", F.to_json("_group")).withColumn("_order", hash_order(feature, seed=seed + 2))
+    branches = some.groupBy("_id", "_branch").agg(F.sum("_n").alias("_n")).withColumn("_u", chance("_id", "_branch"))
+
+    def split(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_branch")
+        n = pdf["_n"].tolist()
+        drawn = _dealt_draws(depth, n, pdf["_u"].tolist()) if sum(n) >= depth else [0] * len(n)
+        return pd.DataFrame({"_id": pdf["_id"], "_branch": pdf["_branch"], "_drawn": drawn})
+
+    taken = branches.groupBy("_id").applyInPandas(split, "_id string, _branch int, _drawn long").where("_drawn > 0")
+
+    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_order")  # not by the chances: what comes first would have the small ones
+        return pdf.assign(_taken=_dealt_draws(int(pdf["_drawn"].iloc[0]), pdf["_n"].tolist(), pdf["_u"].tolist()))[[*by, feature, "_taken"]]
+
+    schema = ", ".join(f"`{c}` {some.schema[c].dataType.simpleString()}" for c in [*by, feature]) + ", _taken long"
+    rows = some.join(taken, ["_id", "_branch"]).groupBy("_id", "_branch").applyInPandas(inside, schema)
+    return rows.where("_taken > 0").withColumnRenamed("_taken", count)
 
 
 def to_smallest(rows: DataFrame, by: list[str], keys: list[str], seed: int = 0) -> DataFrame:
@@ -91,10 +149,10 @@ def to_smallest(rows: DataFrame, by: list[str], keys: list[str], seed: int = 0)
 
 
 def common_features(rows: DataFrame, method: str, feature: str, depth: int, methods: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """Exactly `depth` rows of each (method, feature), for features that all methods have that many of."""
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(method, feature).orderBy(hash_order(*keys, seed=seed), *keys)))
+    """Exactly `depth` rows of each (method, feature), for features that all methods have that many of. Tasks keep only their first rows before the shuffle (first_by_order)."""
     enough = rows.groupBy(method, feature).agg(F.count("*").alias("_n")).where(F.col("_n") >= depth).groupBy(feature).agg(F.count("*").alias("_m")).where(F.col("_m") == methods)
-    return ranked.where(F.col("_rank") <= depth).join(enough.select(feature), feature, "left_semi").drop("_rank")
+    first = first_by_order(rows, [method, feature], [hash_order(*keys, seed=seed), *keys], depth, "_rank").drop("_rank")
+    return first.join(enough.select(feature), feature, "left_semi")
 
 
 def strided(rows: DataFrame, by: list[str], order: list[str], step: int, at_most: int | None = None) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import p_of_t
+from ..sources.work import written
 from . import scans
+from .sampling import first_by_order
+from .tables import all_of
 
 
 def junction_support(reads: DataFrame, junction: list[str], read: str, left: str, right: str, anchor: int = 4, each_read: bool = False) -> DataFrame:
@@ -89,30 +91,41 @@ def differential(psi: DataFrame, row: list[str], count: str, treated: Column, li
     return adjust_p(tests, "p", "padj").withColumn("hit", (F.col("padj") < limit) & (F.col("dpsi") >= effect))
 
 
+def _before(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """Of `rows`, those that come before the n-th of the chosen in their group: nothing behind it can be among the first n."""
+    last = first_by_order(chosen, ["_group"], ["_at"], n, "_k").where(F.col("_k") == n).select("_group", F.col("_at").alias("_last"))
+    return rows.join(last, "_group", "left").where(F.col("_last").isNull() | (F.col("_at") < F.col("_last"))).drop("_last")
+
+
 def greedy_distinct(rows: DataFrame, by: list[str], order: list[Column], keys: list[str], n: int = 10) -> DataFrame:
-    """The first n rows of each group in an order, passing over rows of which any key has been seen.
+    """The first n rows of each group, or of all without `by`, in an ascending order, passing over rows of which any key has been seen; `place` counts them from 1.
 
-    What's passed over depends on what came before, so a group's rows are walked in one task: it's meant for ranked results of tests.
+    With one key these are the first rows of their keys. With several it goes by rounds: a row that is the first of all that are left under each of its keys
+    is taken, as whatever comes before it shares no key with it; then what it blocks is removed, and what lies behind the n-th row taken. So no group is walked
+    through in one task; each round's rows are written, and their number falls as in any greedy choice by local minima. Nulls are keys like others; rows
+    that `order` doesn't part are ordered by their keys, and rows that agree in those are one.
     """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    schema = ranked.schema
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rank")
-        seen: list[set] = [set() for _ in keys]
-        chosen = []
-        for i, values in enumerate(zip(*(pdf[k] for k in keys))):
-            if not any(v in s for v, s in zip(values, seen)):
-                chosen.append(i)
-                for v, s in zip(values, seen):
-                    s.add(v)
-                if len(chosen) == n:
-                    break
-        out = pdf.iloc[chosen].copy()
-        out["_rank"] = range(1, len(out) + 1)
-        return out
-
-    return ranked.groupBy(*by).applyInPandas(run, schema).withColumnRenamed("_rank", "place")
+    names = [f"_key{i}" for i in range(len(keys))]
+    group = F.struct(*by) if by else F.lit(0)
+    left = rows.withColumn("_group", group).withColumn("_at", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys))))
+    left = left.withColumns({name: F.struct(F.col("_group").alias("g"), F.col(k).alias("k")) for name, k in zip(names, keys)})
+    if len(keys) == 1:
+        best = left.groupBy(names[0]).agg(F.min_by(F.struct(*left.columns), "_at").alias("_best"))
+        taken = best.select("_best.*")
+    else:
+        taken, left = None, written(left.groupBy("_group", "_at").agg(F.any_value(F.struct(*left.columns)).alias("_row")).select("_row.*"), "greedy")
+        while not left.isEmpty():
+            marked = left
+            for name in names:
+                marked = marked.join(left.groupBy(name).agg(F.min("_at").alias(f"_first{name}")), name)
+            free = written(marked.where(all_of([F.col("_at") == F.col(f"_first{name}") for name in names])).select(*left.columns), "greedy")
+            taken = free if taken is None else taken.unionByName(free)
+            for name in names:
+                left = left.join(free.select(name), name, "left_anti")
+            left = written(_before(left, taken, n).select(*free.columns), "greedy")
+        taken = left if taken is None else taken
+    some = first_by_order(taken, ["_group"], ["_at"], n, "place") if by else taken.orderBy("_at").limit(n).withColumn("place", F.row_number().over(Window.partitionBy("_group").orderBy("_at")))
+    return some.select(*rows.columns, "place")
 
 
 def extents(junctions: DataFrame, event: str, start: str, end: str, least: int = 500, share: float = 0.2) -> DataFrame:

@@ -564,10 +564,22 @@ def differential_splicing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splicing.differential(splicing.testable(_psi(spark, sf_dir), ["gene", "junction"], 20, 0.0005), ["gene", "junction"], "k", _treated(), 0.5, 0.0)
 
 
-@query()
+_DPSI = _PSI + """, d AS (SELECT gene, junction, sum(k) FILTER (well < 'W05') / sum(total) FILTER (well < 'W05') AS psi_control, sum(k) FILTER (well >= 'W05') / sum(total) FILTER (well >= 'W05') AS psi_treated FROM p GROUP BY gene, junction)"""
+
+
+@query(_DPSI + """, f AS (SELECT *, round(psi_treated - psi_control, 9) AS by FROM d WHERE psi_treated > psi_control QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(psi_treated - psi_control, 9) DESC, junction) = 1)
+SELECT gene, junction, round(psi_control, 6) AS psi_control, round(psi_treated, 6) AS psi_treated, round(psi_treated - psi_control, 6) AS dpsi, row_number() OVER (ORDER BY by DESC, gene, junction) AS place FROM f ORDER BY place LIMIT 10""")
 def greedy_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _treated()).where("dpsi > 0").withColumn("one", F.lit(1))
-    return splicing.greedy_distinct(out, ["one"], [F.round("dpsi", 9).desc(), F.col("gene"), F.col("junction")], ["gene"], 10)
+    out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _treated()).where("dpsi > 0")
+    best = splicing.greedy_distinct(out, [], [-F.round("dpsi", 9), F.col("gene"), F.col("junction")], ["gene"], 10)
+    return best.withColumns({c: r6(F.col(c)) for c in ("psi_control", "psi_treated", "dpsi")} | {"place": F.col("place").cast("long")})
+
+
+@query()
+def greedy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a gene and a well by reads, each gene and each well once in a contig."""
+    pairs = reads(spark, sf_dir).groupBy("contig", "gene", "well").agg(F.count("*").alias("n"))
+    return splicing.greedy_distinct(pairs, ["contig"], [-F.col("n")], ["gene", "well"], 10)
 
 
 @query("SELECT gene, min(pos) AS from_pos, max(pos) AS to_pos, CAST(greatest(min(pos) - CAST(floor(greatest(500, 0.2 * (max(pos) - min(pos)))) AS BIGINT), 0) AS BIGINT) AS window_start, max(pos) + CAST(floor(greatest(500, 0.2 * (max(pos) - min(pos)))) AS BIGINT) AS window_end FROM reads GROUP BY gene")

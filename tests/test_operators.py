@@ -252,10 +252,33 @@ def test_sampling_is_nested_and_exact(spark):
 
 def test_greedy_distinct(spark):
     rows = spark.createDataFrame([("c", "l1", "j1", 9.0), ("c", "l1", "j2", 8.0), ("c", "l2", "j1", 7.0), ("c", "l2", "j2", 6.0), ("c", "l3", "j3", 5.0)], "c string, l string, j string, v double")
-    got = [(r.place, r.l, r.j) for r in splicing.greedy_distinct(rows, ["c"], [F.col("v").desc()], ["l", "j"], 3).orderBy("place").collect()]
+    got = [(r.place, r.l, r.j) for r in splicing.greedy_distinct(rows, ["c"], [-F.col("v")], ["l", "j"], 3).orderBy("place").collect()]
     assert got == [(1, "l1", "j1"), (2, "l2", "j2"), (3, "l3", "j3")]
 
 
+@pytest.mark.parametrize("keys", [["a"], ["a", "b"], ["a", "b", "c"]])
+def test_greedy_rounds_against_a_walk(spark, keys):
+    draw = random.Random(len(keys))
+    pick = lambda n: draw.choice([None, *range(n)])
+    rows = [(draw.choice(["x", "y", None]), pick(12), pick(12), pick(12), draw.randint(0, 40)) for _ in range(150)]
+    rows += [("chain", i // 2, (i + 1) // 2, i, i) for i in range(40)]  # each row blocks the next
+    frame = spark.createDataFrame(rows, "g string, a int, b int, c int, v int")
+    for by, n in ((["g"], 4), (["g"], 100), ([], 5)):
+        want = {}
+        for g in {r[0] for r in rows} if by else {0}:
+            seen, place = [set() for _ in keys], 0
+            own = [dict(zip("gabcv", r)) for r in rows if not by or r[0] == g]
+            first = lambda r: (r["v"], *((r[k] is not None, r[k] or 0) for k in keys))
+            for r in sorted(own, key=first):
+                if place < n and not any(r[k] in s for k, s in zip(keys, seen)):
+                    place += 1
+                    want[g, place] = (r["v"], *(r[k] for k in keys))
+                    for k, s in zip(keys, seen):
+                        s.add(r[k])
+        got = splicing.greedy_distinct(frame, by, [F.col("v")], keys, n).collect()
+        assert {(r.g if by else 0, r.place): (r.v, *(r[k] for k in keys)) for r in got} == want and len(got) == len(want)
+
+
 def test_components_match_numpy(spark):
     draw = np.random.default_rng(3)
     v = draw.normal(size=(40, 6))
