@@ -67,9 +67,18 @@ def last_before(points: DataFrame, marks: DataFrame, on: list[str], point: str,
     return out.select("_point.*", F.col(f"_last.{mark}").alias(mark), *(F.col(f"_last.{c}").alias(c) for c in carry))
 
 
-def nearest_end(anchor: Column, ends: Column, strand: Column) -> Column:
-    """Of a gene's transcript ends: the nearest at or beyond the anchor in the direction of the strand."""
-    return F.when(strand == "+", F.array_min(F.filter(ends, lambda x: x >= anchor))).otherwise(F.array_max(F.filter(ends, lambda x: x <= anchor)))
+def nearest_ends(points: DataFrame, ends: DataFrame, on: list[str], point: str, strand: str, end: str) -> DataFrame:
+    """Points with the nearest of their group's transcript ends at or beyond them in the direction of their strand; null where there is none, or no place or strand.
+
+    As-of lookups, forward points with both sides negated: no group's ends are gathered for its points.
+    """
+    sides = []
+    for sign, own in ((-1, F.col(strand) == "+"), (1, F.coalesce(F.col(strand) != "+", F.lit(True)))):
+        asked = points.where(own).withColumn("_place", F.when(F.col(strand).isNotNull(), sign * F.col(point)))
+        marks = ends.select(*on, (sign * F.col(end)).alias("_mark_at")).distinct()
+        found = last_before(asked, marks, on, "_place", "_mark_at", [])
+        sides.append(found.select(*points.columns, (sign * F.col("_mark_at")).alias("nearest_end")))
+    return sides[0].unionByName(sides[1])
 
 
 def merge_intervals(spans: DataFrame, on: list[str], start: str, end: str, gap: int = 0) -> DataFrame:

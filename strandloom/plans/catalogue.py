@@ -567,8 +567,8 @@ def differential_splicing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DPSI = _PSI + """, d AS (SELECT gene, junction, sum(k) FILTER (well < 'W05') / sum(total) FILTER (well < 'W05') AS psi_control, sum(k) FILTER (well >= 'W05') / sum(total) FILTER (well >= 'W05') AS psi_treated FROM p GROUP BY gene, junction)"""
 
 
-@query(_DPSI + """, f AS (SELECT *, round(psi_treated - psi_control, 9) AS by FROM d WHERE psi_treated > psi_control QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(psi_treated - psi_control, 9) DESC, junction) = 1)
-SELECT gene, junction, round(psi_control, 6) AS psi_control, round(psi_treated, 6) AS psi_treated, round(psi_treated - psi_control, 6) AS dpsi, row_number() OVER (ORDER BY by DESC, gene, junction) AS place FROM f ORDER BY place LIMIT 10""")
+@query(_DPSI + """, f AS (SELECT *, round(psi_treated - psi_control, 9) AS score FROM d WHERE psi_treated > psi_control QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(psi_treated - psi_control, 9) DESC, junction) = 1)
+SELECT gene, junction, round(psi_control, 6) AS psi_control, round(psi_treated, 6) AS psi_treated, round(psi_treated - psi_control, 6) AS dpsi, row_number() OVER (ORDER BY score DESC, gene, junction) AS place FROM f ORDER BY place LIMIT 10""")
 def greedy_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = splicing.pooled_difference(_psi(spark, sf_dir), ["gene", "junction"], "k", "total", _treated()).where("dpsi > 0")
     best = splicing.greedy_distinct(out, [], [-F.round("dpsi", 9), F.col("gene"), F.col("junction")], ["gene"], 10)
@@ -690,14 +690,18 @@ def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("p", r6(st.fisher_exact(*(F.col(x) for x in "abcd"))))
 
 
-#: Groups of more than 20 wells, or with ties, have the normal limit; its upper tail is summed by Simpson's rule. Smaller ones would need all ways to choose ranks.
+#: Without ties and up to 20 wells all ways to choose ranks are counted: each further well is one of the treated, which lies above the others so far, or one of
+#: the others. Else the normal limit holds; its upper tail is summed by Simpson's rule.
 @query("""
 , c AS (SELECT gene, well >= 'W05' AS treated, count(*) AS v FROM reads GROUP BY gene, well),
   r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2.0 AS k FROM c),
   t AS (SELECT gene, sum(m * m * m - m) AS ties FROM (SELECT gene, v, count(*) AS m FROM c GROUP BY 1, 2) GROUP BY gene),
-  u AS (SELECT gene, count(*) FILTER (treated) AS n, count(*) FILTER (NOT treated) AS m, sum(k) FILTER (treated) - count(*) FILTER (treated) * (count(*) FILTER (treated) + 1) / 2.0 AS u FROM r GROUP BY gene),
-  z AS (SELECT gene, u, greatest(0, abs(u - n * m / 2.0) - 0.5) / sqrt(n * m / 12.0 * (n + m + 1 - ties / ((n + m) * (n + m - 1.0)))) AS z FROM u JOIN t USING (gene))
-SELECT gene, u::DOUBLE AS u, round(1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000) * (z * i / 2000) / 2))) * z / 2000 / 3 / sqrt(2 * pi()), 6) AS p FROM z""")
+  u AS (SELECT gene, count(*) FILTER (treated) AS n, count(*) FILTER (NOT treated) AS m, coalesce(sum(k) FILTER (treated), 0) - count(*) FILTER (treated) * (count(*) FILTER (treated) + 1) / 2.0 AS u FROM r GROUP BY gene),
+  ways AS (SELECT 0 AS i, 0 AS j, 0 AS s, 1.0::DOUBLE AS c UNION ALL SELECT i + d, j + 1 - d, s + d * j, sum(c) FROM ways, (SELECT unnest([0, 1]) AS d) WHERE i + j < 20 GROUP BY 1, 2, 3),
+  e AS (SELECT gene, least(1.0, 2 * least(sum(c) FILTER (s <= u), sum(c) FILTER (s >= u)) / sum(c)) AS p FROM u JOIN ways ON i = n AND j = m GROUP BY gene),
+  z AS (SELECT gene, u, n, m, ties, coalesce(greatest(0, abs(u - n * m / 2.0) - 0.5) / sqrt(nullif(n * m / 12.0 * (n + m + 1 - ties / ((n + m) * (n + m - 1.0))), 0)), 0) AS z FROM u JOIN t USING (gene))
+SELECT gene, CASE WHEN n = 0 OR m = 0 THEN 'NaN'::DOUBLE ELSE u::DOUBLE END AS u, CASE WHEN n = 0 OR m = 0 THEN 1.0 WHEN n + m <= 20 AND ties = 0 THEN round(p, 6) ELSE
+  round(1 - 2 * list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * i / 2000) * (z * i / 2000) / 2))) * z / 2000 / 3 / sqrt(2 * pi()), 6) END AS p FROM z LEFT JOIN e USING (gene)""")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = reads(spark, sf_dir).groupBy("gene", "well").agg(F.count("*").alias("n")).withColumn("arm", F.when(_treated(), "treated").otherwise("control"))
     return st.mann_whitney(c, ["gene"], "n", "arm", "treated").withColumn("p", r6(F.col("p")))
@@ -1028,4 +1032,4 @@ def block_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.block_max(c, ["gene"], "bin", "n", 5)
 
 
-from . import file_queries, read_queries, table_queries  # noqa: E402, F401  (they register their queries here)
+from . import file_queries, read_queries, structure_queries, table_queries  # noqa: E402, F401  (they register their queries here)

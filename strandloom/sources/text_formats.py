@@ -164,6 +164,17 @@ def concat_distinct(parts: list[DataFrame], read_id: str, order: str, at_most: i
     return (once.orderBy("_part", order).limit(at_most) if at_most else once).drop("_part")
 
 
+def write_by_region(rows: DataFrame, path: str, contig: str, pos: str, places: int = 1 << 20) -> None:
+    """Rows in a folder for each contig, in files by stretches of positions and in their order, so that read_region() opens little else than what it is asked for."""
+    rows.repartition(contig, F.floor(F.col(pos) / places)).sortWithinPartitions(contig, pos).write.partitionBy(contig).parquet(path)
+
+
+def read_region(spark: SparkSession, path: str, schema: str, contig: str, pos: str, region: tuple[str, int, int]) -> DataFrame:
+    """Rows of a half-open region of write_by_region(): other contigs' folders aren't listed, and row groups beyond it are passed over by their bounds."""
+    name, start, end = region
+    return spark.read.schema(schema).parquet(path).where((F.col(contig) == name) & (F.col(pos) >= start) & (F.col(pos) < end))
+
+
 def read_sam(spark: SparkSession, paths: str | list[str], drop_flags: int = 0x904) -> DataFrame:
     """Alignment records without headers and without any of `drop_flags`; tags as a map of their text."""
     text = spark.read.text(paths).where(~F.col("value").startswith("@"))
