@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandloom.llm import jaccard_join, mixing, pii, quality_classifier, sentencepiece_codec
 from strandloom.llm.queries import piece_model
-from strandloom.llm.scratch import written
 from strandloom.shipping import ship
+from strandloom.sources.work import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
