@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_labels
-from .scratch import written
+from ..operators.components import components, local_labels
+from ..sources.work import written
 
 LIMIT = 0.9
 #: Vectors of a group and of a tile; least number of pivots, so that small inputs use several tasks.

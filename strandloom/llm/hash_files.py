@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from ..sources.work import work_path
 
 U64 = np.uint64
 #: Bytes of input for each range of hashes: few, while there are not too many ranges for small files; in larger inputs more, but no more than a task holds.
@@ -31,7 +31,7 @@ def local_folder(uri: str) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    folder = local_folder(new_path(spark, name))
+    folder = local_folder(work_path(spark, name))
     os.makedirs(folder, exist_ok=True)
     return folder
 

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, local_labels
+from ..operators.components import components, local_labels
+from ..sources.work import written
 from .hash_files import Lookup, every_range, new_folder, range_bits, range_of, runs, save
 from .membership import possible
-from .scratch import written
 from .text_arrays import Words, mixed, pieces, signed, span_hashes
 
 U64 = np.uint64

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from strandloom.llm import jaccard_join
-from strandloom.llm.components import local_labels
+from strandloom.operators.components import local_labels
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
