@@ -243,27 +243,35 @@ def search(requests: pa.Table, members: pa.Table, size: int, most: float, same:
     whole = rows.astype(np.float64) if most < 2.0**52 else rows
     anchor, label, lows, highs = (requests.column(c).to_numpy() for c in ("anchor_id", "label", "low", "high"))
     out_request, out_id, out_score = [], [], []
-    # windows of one anchor share the scores of leaves that either has visited
-    _, group = np.unique(np.column_stack([anchor, queries]), axis=0, return_inverse=True)
+    # windows of one anchor share the scores of leaves that either has visited; rows that none of them wants have one below all
+    _, group = np.unique(np.column_stack([anchor, label, queries]), axis=0, return_inverse=True)
     by_group = np.argsort(group, kind="stable")
     value, known, last = np.zeros(len(rows), np.int64), np.zeros(len(full), bool), -1
     for r in by_group.tolist():
         if group[r] != last:
-            last, known[:] = group[r], False
+            last, known[:], value[:] = group[r], False, -ALL
+            wanted = ((labels == label[r]) == same) & (ids != anchor[r])
         ways = np.flatnonzero(full & (top[r] >= lows[r]) & (bottom[r] <= highs[r]))
         ways = ways[np.argsort(-top[r, ways], kind="stable")]
         have_id, have_score, step, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 1, 0
+        if known[ways].all():  # another window of the anchor has been here: nothing is left to visit
+            some = np.flatnonzero((value >= max(lows[r], 1 - ALL)) & (value <= highs[r]))
+            if len(some) > k:
+                some = some[value[some] >= np.partition(value[some], len(some) - k)[len(some) - k]]
+            best = some[np.lexsort((ids[some], -value[some]))[:k]]
+            have_id, have_score, done = ids[best], value[best], len(ways)
         while done < len(ways) and (len(have_id) < k or top[r, ways[done]] >= have_score[-1]):
             now = ways[done : done + step]
             done, step = done + step, 2 * step
             new = now[~known[now]]
             if len(new):
                 part = np.concatenate([places[w] for w in new])
-                value[part] = scores(whole[part], queries[r])
+                value[part] = np.where(wanted[part], scores(whole[part], queries[r]), -ALL)
                 known[new] = True
             some = np.concatenate([places[w] for w in now])
             got = value[some]
-            some = some[((labels[some] == label[r]) == same) & (ids[some] != anchor[r]) & (got >= lows[r]) & (got <= highs[r])]
+            least = have_score[-1] if len(have_id) == k else lows[r]
+            some = some[(got >= max(least, 1 - ALL)) & (got <= highs[r])]
             have_id, have_score = np.concatenate([have_id, ids[some]]), np.concatenate([have_score, value[some]])
             best = np.lexsort((have_id, -have_score))[:k]
             have_id, have_score = have_id[best], have_score[best]
