@@ -10,6 +10,7 @@ from ..operators import assays, intervals, matrix, molecules, motifs, profiles,
 from ..operators import reads as rd
 from ..sources import text_formats as tf
 from ..sources.work import work_path
+from ..streaming import reads as stream
 from .catalogue import _DEPTH, _SPANS, _genes, _span_reads, query, r6
 from .fixture import reads, table
 
@@ -54,6 +55,18 @@ def structural_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.merge_counters(parts, ["well"], "counters")
 
 
+@query("SELECT well, CAST(count(DISTINCT umi || gene) AS BIGINT) AS molecules FROM reads GROUP BY well")
+def streamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads as a stream of three batches whose state forgets nothing."""
+    source, sink, marks = (work_path(spark, name) for name in ("reads", "molecules", "marks"))
+    rows = reads(spark, sf_dir).select(F.make_date("ship_year", F.lit(1), F.lit(1)).cast("timestamp").alias("ts"), "well", "umi", "gene")
+    rows.repartition(3).write.parquet(source)
+    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    first = stream.first_molecules(files, "ts", ["well", "umi", "gene"], "40000 days")
+    first.writeStream.outputMode("append").format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(sink).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(sink).groupBy("well").agg(F.count("*").alias("molecules"))
+
+
 # Reads --------------------------------------------------------------------------------------------------------
 
 
