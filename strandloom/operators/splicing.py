@@ -88,7 +88,8 @@ def adjust_p(rows: DataFrame, p: str, into: str, by: list[str] | None = None) ->
 def differential(psi: DataFrame, row: list[str], count: str, treated: Column, limit: float = 0.1, effect: float = 0.1) -> DataFrame:
     """Welch tests of psi with pooled differences, adjusted p, consistency and hits (effects up only)."""
     tests = welch(psi, row, "psi", treated).join(pooled_difference(psi, row, count, "total", treated), row).join(separated(psi, row, "psi", treated), row)
-    return adjust_p(tests, "p", "padj").withColumn("hit", (F.col("padj") < limit) & (F.col("dpsi") >= effect))
+    # adjusting reads its rows several times
+    return adjust_p(written(tests, "tests"), "p", "padj").withColumn("hit", (F.col("padj") < limit) & (F.col("dpsi") >= effect))
 
 
 def _before(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
