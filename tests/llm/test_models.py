@@ -126,3 +126,24 @@ def test_an_id_of_many_documents_is_one_row_of_the_sample(spark, documents, labe
 
 def arrays(model):
     return [x for x in vars(model).values() if hasattr(x, "shape")]
+
+
+def test_quality_is_learnt_from_every_labelled_row(spark, monkeypatch):
+    """Rows far down the order of hashes move the model; blocks, bins and pairs of small size give what one array gives."""
+    good, bad = "The river ran past a quiet village, and nobody minded. " * 3, "BUY!!! 000 $$$ ### 111 *** CLICK 222 %%% " * 3
+    rows = [(i, (good if i % 3 else bad) + "ab" * (i % 17)) for i in range(1, 91)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    known = [r.doc_id for r in labels.where("crc32(cast(doc_id as string)) % 3 <> 1").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    monkeypatch.setattr(quality_classifier, "SAMPLE_ROWS", 10, raising=False)
+    monkeypatch.setattr(quality_classifier, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(quality_classifier, "FEW", 2, raising=False)
+    monkeypatch.setattr(quality_classifier, "BINS", 3, raising=False)
+    learnt = quality_classifier.learn(docs, labels)
+    features = quality_classifier._features(docs.join(labels, "doc_id"), "doc_id long, quality int, features binary").collect()
+    x = np.vstack([np.frombuffer(r.features, np.float32) for r in features if r.doc_id in known]).astype(float)
+    assert np.allclose(learnt.centre, x.mean(0), atol=1e-6) and np.allclose(learnt.spread, x.std(0) + 1e-3, atol=1e-6)
+    raw = np.sort(np.clip((x - learnt.centre) / learnt.spread, -8, 8) @ learnt.weights)
+    k = sum(i % 3 == 0 for i in known)
+    assert math.isclose(learnt.threshold, (raw[k - 1] + raw[k]) / 2, abs_tol=1e-9)
+    assert math.isclose(learnt.scale, (np.quantile(raw, 0.75) - np.quantile(raw, 0.25)) / 4, abs_tol=1e-9)
