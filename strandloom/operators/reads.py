@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,23 +165,68 @@ def plate_variation(rows: DataFrame, condition: str, value: str) -> DataFrame:
     return rows.groupBy(condition).agg(F.count("*").alias("n"), (F.stddev_pop(value) / F.nullif(F.avg(value), F.lit(0))).alias("cv")).where("n > 1")
 
 
+#: Positions of a tile of peak_windows().
+PEAK_TILE = 1 << 12
+
+
 def peak_windows(reads: DataFrame, spots: DataFrame, on: list[str], pos: str, spot: str, tag: str, sample: str, reach: int = 25) -> DataFrame:
-    """Reads, molecules and the share of the top sample within `reach` of each spot.
+    """Reads, molecules and the share of the top sample within `reach` of each spot; spots without reads are left out.
 
-    Equal reads are counted first. Each spot lies in one bin and reads go to the one or two bins that their spots can lie in, so all that a spot
-    sees meets where the bins are joined: the sums by sample and spot need no shuffle of their own.
+    Equal reads are counted first, and positions are cut into tiles. A tile's spots meet the reads of the tile and of `reach` beyond it in one task, where windows
+    are differences of running sums: work grows with reads and spots, not with their pairs, and no row comes out but a spot's.
     """
-    width = 2 * reach + 1
-    bin_of = lambda c: F.floor(c / width).cast("long")
-    places = spots.select(*on, spot).withColumn("_bin", bin_of(F.col(spot)))
-    counted = reads.groupBy(*on, pos, sample, tag).agg(F.count("*").alias("_n"))
-    rows = counted.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(pos) - reach), bin_of(F.col(pos) + reach))))
-    near = rows.join(places, [*on, "_bin"]).where(F.abs(F.col(pos) - F.col(spot)) <= reach)
-    tags = near.groupBy(*on, "_bin", spot, sample, tag).agg(F.sum("_n").alias("_n"))
-    known = F.count_if(F.col(sample).isNotNull() & F.col(tag).isNotNull())
-    each = tags.groupBy(*on, "_bin", spot, sample).agg(F.sum("_n").alias("_n"), known.alias("_tags"))
-    sums = each.groupBy(*on, "_bin", spot).agg(F.sum("_n").alias("reads"), F.sum("_tags").alias("molecules"), (F.max("_n") / F.sum("_n")).alias("top_share"))
-    return sums.drop("_bin")
+    width = max(PEAK_TILE, 2 * reach + 1)
+    tile_of = lambda c: F.floor(c / width).cast("long")
+    counted = reads.where(F.col(pos).isNotNull()).groupBy(*on, pos, sample, tag).agg(F.count("*").alias("_n"))
+    own = counted.select(*on, F.col(pos).cast("long").alias("_at"), F.col(sample).alias("_sample"), F.col(tag).alias("_tag"), "_n")
+    own = own.withColumn("_tile", F.explode(F.sequence(tile_of(F.col("_at") - reach), tile_of(F.col("_at") + reach)))).na.drop(subset=on)
+    # new names: both sides may come from one table
+    keys = [f"_on{i}" for i in range(len(on))]
+    asked = spots.na.drop(subset=[*on, spot]).select(*(F.col(c).alias(k) for c, k in zip(on, keys)), F.col(spot).cast("long").alias("_at"), tile_of(F.col(spot)).alias("_spot_tile"))
+    kinds = {f.name: f.dataType.simpleString() for f in spots.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in on) + f", `{spot}` long, reads long, molecules long, top_share double"
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        at = np.unique(right.column("_at").to_numpy())
+        group = [pa.array([k.as_py()] * len(at), k.type) for k in key[:-1]]
+        sums = _window_sums(left, at, int(key[-1].as_py()) * width - reach, width + 2 * reach, reach)
+        seen = sums[0] > 0
+        columns = [*group, pa.array(at), *map(pa.array, (sums[0], sums[1], np.divide(sums[2], sums[0], out=np.zeros(len(at)), where=seen)))]
+        return pa.table([c.filter(pa.array(seen)) for c in columns], names=[*on, spot, "reads", "molecules", "top_share"])
+
+    sides = own.groupBy(*on, "_tile").cogroup(asked.groupBy(*keys, "_spot_tile"))
+    return sides.applyInArrow(run, schema).select(*on, F.col(spot).cast(kinds[spot]).alias(spot), "reads", "molecules", "top_share")
+
+
+def _window_sums(reads: pa.Table, spots: np.ndarray, first: int, places: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Reads, molecules and reads of the top sample within `reach` of each spot, from rows (_at, _sample, _tag, _n) at `first` and the `places` from there."""
+    at, n = reads.column("_at").to_numpy() - first, reads.column("_n").to_numpy()
+    codes = [reads.column(c).combine_chunks().dictionary_encode() for c in ("_sample", "_tag")]
+    known = np.logical_and.reduce([c.indices.is_valid().to_numpy(False) for c in codes])
+    s, t = (c.indices.fill_null(len(c.dictionary)).to_numpy().astype(np.int64) for c in codes)
+    place = spots - first
+    # a molecule is seen from `reach` before a read to `reach` behind it, and once where its reads' stretches overlap
+    order = np.lexsort((at[known], t[known], s[known]))
+    ka, ks, kt = at[known][order], s[known][order], t[known][order]
+    since = ka - reach
+    same = np.flatnonzero((ks[1:] == ks[:-1]) & (kt[1:] == kt[:-1])) + 1
+    since[same] = np.maximum(since[same], ka[same - 1] + reach + 1)
+    until = ka + reach + 1
+    change = np.bincount(np.clip(since, 0, places), minlength=places + 1) - np.bincount(np.clip(until, 0, places), minlength=places + 1)
+    molecules = np.cumsum(change)[place].astype(np.int64)
+    # reads of one sample after another: of those in a spot's window, by running sums over its own rows
+    total, top = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
+    order = np.lexsort((at, s))
+    at, n, s = at[order], n[order], s[order]
+    cuts = np.flatnonzero(np.diff(s)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(s)]):
+        so_far = np.concatenate([[0], np.cumsum(n[a:b])])
+        # only spots that this sample's reads can reach
+        x, y = np.searchsorted(place, [at[a] - reach, at[b - 1] + reach + 1]) if b > a else (0, 0)
+        inside = so_far[np.searchsorted(at[a:b], place[x:y] + reach, "right")] - so_far[np.searchsorted(at[a:b], place[x:y] - reach)]
+        total[x:y] += inside
+        top[x:y] = np.maximum(top[x:y], inside)
+    return total, molecules, top
 
 
 def fragment_types(reads: DataFrame, sample: str, read: str, rules: dict[str, Column]) -> DataFrame:

@@ -93,3 +93,19 @@ def test_neighbours_and_spots_on_any_places(spark, seed):
             most = max(Counter(r[5] for r in inside).values())
             want[s] = (len(inside), len({(r[5], r[6]) for r in inside if r[6]}), most / len(inside))
     assert got == want
+
+
+def test_spots_next_to_tiles_and_a_spot_asked_for_twice(spark, monkeypatch):
+    """Tiles of 11 places: windows reach over their borders, and the sums of a spot aren't doubled when it is asked for twice."""
+    monkeypatch.setattr(rd, "PEAK_TILE", 11, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [("c", int(x), f"s{i % 3}", f"u{i % 5}") for i, x in enumerate(rng.integers(-40, 40, 300))]
+    spots = spark.createDataFrame([("c", s) for s in range(-50, 50)] * 2, "contig string, spot int")
+    found = rd.peak_windows(spark.createDataFrame(rows, "contig string, pos long, sample string, tag string"), spots, ["contig"], "pos", "spot", "tag", "sample", 5)
+    want = {}
+    for s in range(-50, 50):
+        near = [r for r in rows if abs(r[1] - s) <= 5]
+        if near:
+            want[s] = (len(near), len({r[2:] for r in near}), max(Counter(r[2] for r in near).values()) / len(near))
+    assert {r.spot: (r.reads, r.molecules, r.top_share) for r in found.collect()} == want
+    assert found.count() == len(want) and found.schema["spot"].dataType.simpleString() == "int"
