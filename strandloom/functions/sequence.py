@@ -163,7 +163,7 @@ def junction_parts(row_id: Column) -> Column:
 
 def cigar_ops(cigar: Column) -> Column:
     """array<struct<n, op>> of a CIGAR string."""
-    return F.transform(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"^\d+", 0).cast("int").alias("n"), F.substring(x, -1, 1).alias("op")))
+    return F.transform(F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), lambda x: F.struct(F.left(x, F.length(x) - 1).cast("int").alias("n"), F.right(x, F.lit(1)).alias("op")))
 
 
 def cigar_sum(cigar: Column, ops: str) -> Column:
