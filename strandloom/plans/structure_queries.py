@@ -14,6 +14,9 @@ from ..streaming import reads as stream
 from .catalogue import _DEPTH, _SPANS, _genes, _span_reads, query, r6
 from .fixture import reads, table
 
+#: Reads of a file of a stream, about: each is dealt to one task and read by one.
+STREAM_READS = 1_000_000
+
 # Tags and molecules -------------------------------------------------------------------------------------------
 
 
@@ -60,8 +63,9 @@ def streamed_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads as a stream of three batches whose state forgets nothing."""
     source, sink, marks = (work_path(spark, name) for name in ("reads", "molecules", "marks"))
     rows = reads(spark, sf_dir).select(F.make_date("ship_year", F.lit(1), F.lit(1)).cast("timestamp").alias("ts"), "well", "umi", "gene")
-    rows.repartition(3).write.parquet(source)
-    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    each = max(1, -(-rows.count() // (3 * STREAM_READS)))
+    rows.repartition(3 * each).write.parquet(source)
+    files = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(source)
     first = stream.first_molecules(files, "ts", ["well", "umi", "gene"], "40000 days")
     first.writeStream.outputMode("append").format("parquet").option("checkpointLocation", marks).trigger(availableNow=True).start(sink).awaitTermination()
     return spark.read.schema(rows.schema).parquet(sink).groupBy("well").agg(F.count("*").alias("molecules"))

@@ -183,3 +183,41 @@ def test_sections_and_histograms_of_several_files(spark, tmp_path):
     (tmp_path / "h2").write_text("## HISTOGRAM\tx\nposition\tcoverage\n0\t3\n")
     rows = tf.read_histogram(spark, str(tmp_path / "h*")).collect()
     assert Counter((r.path[-2:], r.position, r.coverage) for r in rows) == Counter([("h1", 0, 1.5), ("h1", 1, 2.0), ("h2", 0, 3.0)])
+
+
+def test_a_gzipped_file_is_read_once(spark, tmp_path, monkeypatch):
+    """No first pass counts its lines; ids end at any white space, records go on from file to file, and a cut file fails."""
+    passes = []
+    monkeypatch.setattr(tf, "written", lambda rows, name: passes.append(name) or rows)
+    want = set()
+    for k in range(3):
+        with gzip.open(f"{tmp_path}/{k}.fq.gz", "wt") as f:
+            for i in range(25_000):
+                f.write(f"@r{k}_{i}\tx\n{'ACGT'[i % 4]}\n+\n@\n")
+                want.add((k, i, f"r{k}_{i}"))
+    got = tf.read_fastq(spark, f"{tmp_path}/*.fq.gz").selectExpr("int(regexp_extract(path, '([0-9]).fq', 1))", "index", "read_id").collect()
+    assert passes == [] and len(got) == len(want) and {tuple(r) for r in got} == want
+    with gzip.open(f"{tmp_path}/cut.fq.gz", "wt") as f:
+        f.write("@a\nA\n+\nI\n@b\nA\n")
+    with pytest.raises(Exception, match="record 1 isn't FASTQ"):
+        tf.read_fastq(spark, f"{tmp_path}/cut.fq.gz").count()
+
+
+def test_work_is_cut_and_done_once(spark, sf_dir, monkeypatch):
+    """Tags of wells are written once, a stream's files grow in number with its reads, and a CIGAR is matched by one expression."""
+    from glob import glob
+
+    from strandloom.functions import sequence
+    from strandloom.plans import structure_queries
+
+    names, real = [], molecules.__dict__.get("written")
+    monkeypatch.setattr(molecules, "written", lambda rows, name: names.append(name) or real(rows, name), raising=False)
+    rows = spark.createDataFrame([("W", "ACGT", "g"), ("W", "ACGT", "g"), ("W", "CCGT", "h")], "well string, tag string, gene string")
+    assert molecules.corrected_molecules(rows, "well", "tag", "gene").first().b_raw == 2 and names == ["tags"]
+    paths, place = {}, structure_queries.work_path
+    monkeypatch.setattr(structure_queries, "STREAM_READS", 500, raising=False)
+    monkeypatch.setattr(structure_queries, "work_path", lambda s, n: paths.setdefault(n, place(s, n)))
+    assert structure_queries.streamed_molecules(spark, sf_dir).count() > 0
+    assert len(glob(paths["reads"].removeprefix("file://") + "/*.parquet")) > 3
+    ops = spark.createDataFrame([("12M3N4S",)], "c string").select(sequence.cigar_ops(F.col("c")).alias("o"))
+    assert [tuple(o) for o in ops.first().o] == [(12, "M"), (3, "N"), (4, "S")] and "regexp_extract(" not in ops._jdf.queryExecution().toString()
