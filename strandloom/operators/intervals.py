@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
 from . import scans
 
+#: Rows of a right side that are few enough for Spark to send them to all tasks.
+FEW = 10_000
+
 
 def _bins(frame: DataFrame, start: str, end: str, width: int) -> DataFrame:
     """One row for each bin that an interval touches; empty intervals touch none."""
@@ -14,6 +18,14 @@ def _bins(frame: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return frame.where(F.col(end) > F.col(start)).withColumn("_bin", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
+def _paired(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
+    """Pairs of rows of _bins() that overlap, each in the bin where its overlap begins."""
+    ls, le = left_span
+    rs, re = right_span
+    here = F.col("_bin") == F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
+    return left.join(right, [*on, "_bin"]).where((F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs)) & here).drop("_bin")
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int, how: str = "inner") -> DataFrame:
     """All pairs with equal `on` whose intervals overlap; how: inner, left_semi or left_anti.
 
@@ -23,10 +35,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
     """
     ls, le = left_span
     rs, re = right_span
-    meets = (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
     if how == "inner":
-        here = F.col("_bin") == F.floor(F.greatest(F.col(ls), F.col(rs)) / width)
-        return _bins(left, ls, le, width).join(_bins(right, rs, re, width), [*on, "_bin"]).where(meets & here).drop("_bin")
+        return _paired(_bins(left, ls, le, width), _bins(right, rs, re, width), on, left_span, right_span, width)
+    meets = (F.col(ls) < F.col(re)) & (F.col(le) > F.col(rs))
     if how not in ("left_semi", "left_anti"):
         raise ValueError(f"how can't be {how}")
     keys = list(dict.fromkeys([*on, ls, le]))
@@ -36,13 +47,22 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_span: tu
 
 
 def best_overlap(left: DataFrame, right: DataFrame, on: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int, key: list[str], tie: list[str]) -> DataFrame:
-    """For each `key` of the left side the right row of largest overlap, then of largest `tie`; left rows without any have nulls."""
-    pairs = overlap_join(left, right, on, left_span, right_span, width)
+    """For each `key` of the left side the right row of largest overlap, then of largest `tie`; left rows without any have nulls.
+
+    The left side is written first, so that it is computed once and its rows are counted: bins, pairs and keys are dealt to tasks that grow in number with them.
+    """
+    left = written(left, "spans")
+    n = left.count()
+    ours, theirs = _bins(left, *left_span, width), _bins(right, *right_span, width)
+    if n > scans.ROWS and (few := right.count()) > FEW:
+        most = max(n, few)
+        ours, theirs = (scans.dealt(side, [*on, "_bin"], most) for side in (ours, theirs))
+    pairs = _paired(ours, theirs, on, left_span, right_span, width)
     shared = F.least(left_span[1], right_span[1]) - F.greatest(left_span[0], right_span[0])
     extra = [c for c in right.columns if c not in on]
-    best = pairs.groupBy(*key).agg(F.max(F.struct(shared.alias("_overlap"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(tie)), *(F.col(c) for c in extra if c not in tie))).alias("_best"))
+    best = scans.dealt(pairs, key, n).groupBy(*key).agg(F.max(F.struct(shared.alias("_overlap"), *(F.col(c).alias(f"t{i}") for i, c in enumerate(tie)), *(F.col(c) for c in extra if c not in tie))).alias("_best"))
     named = [F.col(f"_best.t{tie.index(c)}").alias(c) if c in tie else F.col(f"_best.{c}") for c in extra]
-    return left.join(best.select(*key, F.col("_best._overlap").alias("overlap"), *named), key, "left")
+    return scans.dealt(left, key, n).join(best.select(*key, F.col("_best._overlap").alias("overlap"), *named), key, "left")
 
 
 def containing_interval(points: DataFrame, spans: DataFrame, on: list[str], point: str, span: tuple[str, str], width: int) -> DataFrame:

@@ -20,6 +20,20 @@ MOST_STRETCHES = 4096
 STRETCH = "_stretch"
 
 
+def tasks_for(rows: DataFrame, n: int) -> int:
+    """How many tasks `n` rows are dealt to: as many as the session runs at once, and more where a task would get more than ROWS."""
+    return max(min(MOST_STRETCHES, -(-n // ROWS)), rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def dealt(rows: DataFrame, on: list[str], n: int | None = None) -> DataFrame:
+    """`rows` dealt by the columns `on`; few rows are left to the session's settings. Without their number `n` a job counts them.
+
+    A session's number of shuffle partitions is fixed, so what one of its tasks sorts or hashes grows with the table. These tasks grow in number instead.
+    """
+    n = rows.count() if n is None else n
+    return rows if n <= ROWS else rows.repartition(tasks_for(rows, n), *on)
+
+
 def in_stretches(rows: DataFrame, order: str) -> DataFrame:
     """`rows` with the number of their stretch, which rises with the column `order` (a number, date or time). Rows of one value share a stretch; nulls are in the first.
 
