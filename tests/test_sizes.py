@@ -2,9 +2,10 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
-from strandloom.operators import intervals, scans
+from strandloom.operators import intervals, molecules, scans
 
 
 @pytest.mark.parametrize("few", [0, 10**6])
@@ -24,3 +25,45 @@ def test_best_overlaps_are_dealt_by_their_number(spark, monkeypatch, few):
     got = {r.i: None if r.overlap is None else (r.overlap, r.rs, r.j, r.re) for r in found.collect()}
     assert got == want
     assert found.rdd.getNumPartitions() >= len(left) // 10
+
+
+def plain_windows(reads, edits, reach):
+    """Molecules of one isle after another, each held whole."""
+    out, live, last = [], {}, None
+    sizes = {}
+    for w, c, s, p, t, _ in sorted(reads, key=lambda r: (r[0], r[1] or "", r[2] or "", r[3], r[4])):
+        sizes.setdefault(w, len(t))
+    for w, c, s, p, t, g in sorted(reads, key=lambda r: (r[0], r[1] or "", r[2] or "", r[3], r[4], r[5] is None, r[5] or "")):
+        if len(t) != sizes[w] or set(t) - set("ACGT"):
+            continue
+        if (w, c, s) != last:
+            last, live = (w, c, s), {}
+        near = [t[:i] + x + t[i + 1 :] for i in range(len(t)) for x in "ACGT" if x != t[i]] if edits else []
+        mol = next((live[x] for x in [t, *near] if x in live and p - live[x][1] <= reach), None)
+        if mol is None:
+            mol = [g, p, 0, w]
+            out.append(mol)
+        live[t] = mol
+        mol[2] += 1
+    return sorted((w, g or "", p, n) for g, p, n, w in out)
+
+
+@pytest.mark.parametrize("reach, edits", [(1, 1), (7, 1), (40, 1), (40, 0)])
+def test_reads_in_windows_are_dealt_and_forgotten(spark, monkeypatch, reach, edits):
+    monkeypatch.setattr(scans, "ROWS", 20)
+    monkeypatch.setattr(molecules, "SWEEP", 5, raising=False)
+    draw = random.Random(reach)
+    tag = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
+    reads = [(draw.choice(["v", "w"]), draw.choice(["c", "d", None]), draw.choice(["+", "-"]), draw.choice([-60, 0, 0, 300]) + draw.randint(0, 90), tag(3 if draw.random() < 0.97 else 2), draw.choice(["g", "h", None])) for _ in range(400)]
+    frame = spark.createDataFrame([*reads, ("w", "c", "+", 3, "ACN", "g"), (None, "c", "+", 3, "ACG", "g"), ("w", "c", "+", None, "ACG", "g")], "well string, contig string, strand string, pos int, umi string, gene string")
+    found = molecules.anchored_windows(frame, "well", "contig", "strand", "pos", "umi", "gene", edits, reach)
+    assert sorted((r.well, r.gene or "", r.anchor, r.reads) for r in found.collect()) == plain_windows(reads, edits, reach)
+    assert found.rdd.getNumPartitions() > 4
+
+
+def test_what_a_window_leaves_behind_is_given_back(monkeypatch):
+    monkeypatch.setattr(molecules, "SWEEP", 5)
+    row = lambda i: {"w": "w", "c": "c", "s": "+", "k": 0, "p": 10 * i, "t": "ACGT"[i % 4] + "ACGT"[i // 4 % 4], "g": "g", "n": 1}
+    batches = (pa.RecordBatch.from_pylist([row(i) for i in range(k, k + 10)]) for k in range(0, 200, 10))
+    given = [len(b) for b in molecules._greedy(batches, 0, 15)]
+    assert sum(given) == 200 and max(given) <= 12
