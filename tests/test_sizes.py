@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import intervals, molecules, scans
 
@@ -67,3 +68,37 @@ def test_what_a_window_leaves_behind_is_given_back(monkeypatch):
     batches = (pa.RecordBatch.from_pylist([row(i) for i in range(k, k + 10)]) for k in range(0, 200, 10))
     given = [len(b) for b in molecules._greedy(batches, 0, 15)]
     assert sum(given) == 200 and max(given) <= 12
+
+
+@pytest.mark.parametrize("reach", [1, 4, 30])
+@pytest.mark.parametrize("rows_of_a_task, longest", [(7, 10**6), (40, 10**6), (10**6, 16), (7, 1)])
+def test_jitter_in_stretches_against_all_pairs(spark, monkeypatch, reach, rows_of_a_task, longest):
+    monkeypatch.setattr(scans, "ROWS", rows_of_a_task)
+    monkeypatch.setattr(molecules, "LONGEST", longest, raising=False)
+    draw = random.Random(reach)
+    places = sorted({(draw.choice("AAB"), s, s + draw.randint(5, 25)) for s in (draw.randint(-40, 60) for _ in range(90))} | {("C", 5 * i, 5 * i + 3) for i in range(-10, 12)} | {("D", 9, e) for e in range(0, 200, 9)})
+    head = list(range(len(places)))
+
+    def root(i):
+        while head[i] != i:
+            i = head[i]
+        return i
+
+    for i, (g, s, e) in enumerate(places):
+        for j, (h, t, f) in enumerate(places[:i]):
+            if g == h and abs(s - t) <= reach and abs(e - f) <= reach:
+                a, b = sorted((root(i), root(j)))
+                head[b] = a
+    want = {g: len({root(i) for i, x in enumerate(places) if x[0] == g}) for g in "ABCD"}
+    rows = spark.createDataFrame([(g, 1, s, e) for g, s, e in places * 2] + [("A", None, 1, 3), ("A", 1, None, 3), (None, 1, 1, 2)], "g string, k int, s long, e int")
+    assert {r.g: r.molecules for r in molecules.jitter_molecules(rows, ["g", "k"], "s", "e", reach).collect()} == want
+
+
+def test_jitter_links_only_what_lies_at_cuts(spark, monkeypatch):
+    monkeypatch.setattr(scans, "ROWS", 100)
+    asked = []
+    whole = molecules.near_ends
+    monkeypatch.setattr(molecules, "near_ends", lambda places, *rest: asked.append(places.count()) or whole(places, *rest))
+    rows = spark.range(1000).select((F.col("id") % 3).alias("g"), (4 * F.col("id")).alias("s"), (4 * F.col("id") + 9).alias("e"))
+    assert {r.g: r.molecules for r in molecules.jitter_molecules(rows, ["g"], "s", "e", 5).collect()} == {0: 334, 1: 333, 2: 333}
+    assert all(n < 100 for n in asked)
