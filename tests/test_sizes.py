@@ -49,13 +49,14 @@ def plain_windows(reads, edits, reach):
     return sorted((w, g or "", p, n) for g, p, n, w in out)
 
 
+@pytest.mark.parametrize("isles", [[-60, 0, 0, 300], [-500, -200, 100, 400]])
 @pytest.mark.parametrize("reach, edits", [(1, 1), (7, 1), (40, 1), (40, 0)])
-def test_reads_in_windows_are_dealt_and_forgotten(spark, monkeypatch, reach, edits):
+def test_reads_in_windows_are_dealt_and_forgotten(spark, monkeypatch, reach, edits, isles):
     monkeypatch.setattr(scans, "ROWS", 20)
     monkeypatch.setattr(molecules, "SWEEP", 5, raising=False)
     draw = random.Random(reach)
     tag = lambda n: "".join(draw.choice("ACGT") for _ in range(n))
-    reads = [(draw.choice(["v", "w"]), draw.choice(["c", "d", None]), draw.choice(["+", "-"]), draw.choice([-60, 0, 0, 300]) + draw.randint(0, 90), tag(3 if draw.random() < 0.97 else 2), draw.choice(["g", "h", None])) for _ in range(400)]
+    reads = [(draw.choice(["v", "w"]), draw.choice(["c", "d", None]), draw.choice(["+", "-"]), draw.choice(isles) + draw.randint(0, 90), tag(3 if draw.random() < 0.97 else 2), draw.choice(["g", "h", None])) for _ in range(400)]
     frame = spark.createDataFrame([*reads, ("w", "c", "+", 3, "ACN", "g"), (None, "c", "+", 3, "ACG", "g"), ("w", "c", "+", None, "ACG", "g")], "well string, contig string, strand string, pos int, umi string, gene string")
     found = molecules.anchored_windows(frame, "well", "contig", "strand", "pos", "umi", "gene", edits, reach)
     assert sorted((r.well, r.gene or "", r.anchor, r.reads) for r in found.collect()) == plain_windows(reads, edits, reach)
